@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, url_filter
+from . import exact_dedup, jaccard, language_id, packing, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
+        "op10_language_id": language_id.op10_language_id,
     }
 
 
