@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard, language_id, packing, toxicity, url_filter
+from . import decontaminate, exact_dedup, jaccard, language_id, line_dedup, packing, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_decontamination": decontaminate.op4_decontamination,
+        "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
         "op10_language_id": language_id.op10_language_id,
