@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, jaccard, language_id, line_dedup, packing, toxicity, url_filter
+from . import decontaminate, exact_dedup, html_text, jaccard, language_id, licenses, line_dedup, packing, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_html_extraction": html_text.op7_html_extraction,
+        "op8_license_scan": licenses.op8_license_scan,
         "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
         "op10_language_id": language_id.op10_language_id,
     }
