@@ -80,6 +80,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def item_blocks(benchmark: DataFrame, min_chars: int, block_chars: int) -> list[list[tuple[int, str]]]:
+    """The items to look for, normalised, in blocks of about block_chars; each block is fetched when it is its turn."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    n = max(1, math.ceil(total / block_chars))
+
+    def block(b: int) -> list[tuple[int, str]]:
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect() if n > 1 else items.collect()
+        return sorted((-1 if r["item_id"] is None else r["item_id"], t) for r in own if len(t := normal(r["text"])) >= min_chars)
+
+    return [block(b) for b in range(n)]
+
+
 def find_benchmark(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE,
     min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS,
@@ -97,15 +110,9 @@ def find_benchmark(
     """
     spark = docs.sparkSession
     ship(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n = max(1, math.ceil(total / block_chars))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def one(block: int) -> DataFrame:
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).collect() if n > 1 else items.collect()
-        wanted = sorted((r["item_id"], t) for r in own if len(t := normal(r["text"])) >= min_chars)
-
+    def one(wanted: list[tuple[int, str]]) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             match = Matcher(wanted, rate)
             for batch in batches:
@@ -120,7 +127,27 @@ def find_benchmark(
 
         return rows.mapInArrow(search, HIT)
 
-    return reduce(DataFrame.unionByName, [one(b) for b in range(n)])
+    return reduce(DataFrame.unionByName, [one(b) for b in item_blocks(benchmark, min_chars, block_chars)])
+
+
+def without_benchmark(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
+    """The rows of docs, whole, in which find_benchmark finds nothing.  No row is shuffled."""
+    ship(docs.sparkSession)
+    at_text = docs.columns.index(text_col)
+
+    def clean(rows: DataFrame, wanted: list[tuple[int, str]]) -> DataFrame:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            match = Matcher(wanted, rate)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    yield part.filter(pa.array([not (t and match(normal(t))) for t in part.column(at_text).to_pylist()], pa.bool_()))
+
+        return rows.mapInArrow(search, rows.schema)
+
+    return reduce(clean, item_blocks(benchmark, min_chars, block_chars), docs)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -410,6 +410,24 @@ def jaccard_components(
     )
 
 
+def one_of_each(docs: DataFrame, max_bits: int = bloom.MAX_BITS, **options) -> DataFrame:
+    """The rows of docs (doc_id, text, ...), whole, without those linked to one of a smaller doc_id.
+
+    Of each component the document with the smallest doc_id stays (repeated rows of that id and text all do).
+    Rows that a Bloom filter of the dropped ones doesn't know pass straight through; the rest is anti-joined.
+    """
+    found = jaccard_components(docs, max_bits=max_bits, **options)
+    gone = keep(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("key").distinct())
+    n = gone.count()
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.withColumn("_key", key)
+    gone = gone.withColumnRenamed("key", "_key")
+    if bloom.shape(n, 0.01)[0] > max_bits:
+        return rows.join(gone, "_key", "left_anti").drop("_key").select(docs.columns)
+    hit = bloom.build(gone, "_key", n, 0.01, seed=8).might_contain(F.col("_key"))
+    return rows.filter(~hit).select(docs.columns).unionByName(rows.filter(hit).join(gone, "_key", "left_anti").select(docs.columns))
+
+
 def n_parts(df: DataFrame, block_bytes: int) -> int:
     """A number of blocks in proportion to the input, from how the scan is split."""
     most = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m").lower()

@@ -127,6 +127,13 @@ def identify(docs: DataFrame, model: dict, order: int = ORDER, id_col: str = "do
     return rows.mapInArrow(judge, "doc_id long, lang_pred string, score double")
 
 
+def learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, fold: int) -> DataFrame:
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
+    )
+    return rows.filter("doc_id is not null and text is not null and lang is not null").filter(~held_out(F.col("doc_id"), folds, fold))
+
+
 def predict_language(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2,
     order: int = ORDER, rows_per_lang: int = ROWS_PER_LANG,
@@ -140,16 +147,28 @@ def predict_language(
     learned from.  Repeated rows count each; an empty table gives an empty result; other columns are ignored.
     """
     ship(docs.sparkSession)
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
-    )
-    learn = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).filter(
-        ~held_out(F.col("doc_id"), folds, fold)
-    )
-    model = fit(learn, order, rows_per_lang)
-    found = identify(rows, model, order)
+    model = fit(learnable(docs, id_col, text_col, lang_col, folds, fold), order, rows_per_lang)
+    found = identify(docs, model, order, id_col, text_col)
     return found.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "lang_pred", "score")
 
 
+def identified(docs: DataFrame, text_col: str = "text", order: int = ORDER, **fitting) -> DataFrame:
+    """The rows of docs, whole, whose language can be told: those not predicted `und`.  See predict_language."""
+    ship(docs.sparkSession)
+    given = {"id_col": "doc_id", "lang_col": "lang", "folds": 4, "fold": 2} | fitting
+    model = fit(learnable(docs, text_col=text_col, **given), order)
+    at_text = docs.columns.index(text_col)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Judge(model, order)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                lang, _ = of(part.column(at_text).to_pylist())
+                yield part.filter(pa.array([x != UND for x in lang], pa.bool_()))
+
+    return docs.mapInArrow(judge, docs.schema)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(table(spark, sf_dir, "documents"))

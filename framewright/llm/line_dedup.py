@@ -122,11 +122,13 @@ def without_lines(docs: DataFrame, repeated: DataFrame, max_bits: int = bloom.MA
     drops = keep(repeated.groupBy("doc_id").agg(F.collect_set("line_no").alias("_lines")))
     n = drops.count()
     left = F.array_join(F.expr("filter(transform(split(text, '\\n', -1), (x, i) -> if(array_contains(_lines, i), null, x)), x -> x is not null)"), "\n")
-    columns = docs.columns
+    columns, kinds = docs.columns, dict(docs.dtypes)
 
     def cut(rows: DataFrame) -> DataFrame:
         joined = rows.join(drops, rows["doc_id"].eqNullSafe(drops["doc_id"]), "left").drop(drops["doc_id"])
         joined = joined.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(left))
+        if "n_chars" in columns:
+            joined = joined.withColumn("n_chars", F.when(F.col("_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kinds["n_chars"])))
         return joined.filter(F.col("_lines").isNull() | F.col("text").rlike(r"\S")).select(columns)
 
     if bloom.shape(n, 0.01)[0] > max_bits:
