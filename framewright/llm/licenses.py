@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import table
+from .shared import keep, table
 
 UNKNOWN = "unknown"
 COPIES = 25  # training paragraphs made of each template
@@ -197,7 +197,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     p = [F.exp(x - top) for x in z]
     total = sum(p[1:], p[0])
     best = F.greatest(*(F.struct((x / total).alias("p"), F.lit(-k).alias("k")) for k, x in enumerate(p)))
-    found = found.withColumn("best", best).filter((F.col("best.k") != 1 - len(model.families)) & (F.col("best.p") >= model.threshold))
+    found = found.select("row", "doc_id", "line_no", "grams", best.alias("best"))
+    # few lines are left: what follows is worked out on them alone
+    found = keep(found.filter((F.col("best.k") != 1 - len(model.families)) & (F.col("best.p") >= model.threshold)))
     templates = [(k, x, sorted(set(ngrams(x)))) for k, f in enumerate(names) for x in TEMPLATES[f]]
     shares = [
         F.when(
