@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bloom
 from .components import connected_components
-from .shared import keep, ship, table
+from .shared import drop, keep, ship, table
 from .shingles import WORDS, shingle_sets, signature
 
 NUM, DEN = 80, 100  # two sets link when DEN * |both| >= NUM * |either|
@@ -367,6 +367,7 @@ def jaccard_components(
     first = keep(rows.mapInArrow(lambda it: _first(it, words, n_blocks), DEALT))
     recurring = first.filter("block >= 0").groupBy("block").applyInArrow(_recurring, DEALT)
     known = keep(first.filter("block < 0").unionByName(recurring).groupBy("chunk").applyInArrow(_suspects, KNOWN))
+    drop(first)
     groups = keep(known.filter("near").groupBy("sig").agg(F.min("key").alias("node"), F.min("doc_id").alias("lead")))
     n = groups.count()
     if bloom.shape(n, 0.01)[0] <= max_bits:
@@ -381,6 +382,7 @@ def jaccard_components(
     least = postings.groupBy("shingle").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     edges = postings.join(least, "shingle").select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
     comp = connected_components(edges)
+    drop(postings)
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
