@@ -192,29 +192,20 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = lines.select("row", "doc_id", "line_no", F.explode(grams).alias("gram")).join(F.broadcast(vectors), "gram")
     sums = [F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(model.families))]
     found = known.groupBy("row", "doc_id", "line_no").agg(*sums, F.collect_set("gram").alias("grams"))
-    z = [F.col(f"z{k}") + F.lit(float(model.bias[k])) for k in range(len(model.families))]
-    top = F.greatest(*z)
-    p = [F.exp(x - top) for x in z]
-    total = sum(p[1:], p[0])
-    best = F.greatest(*(F.struct((x / total).alias("p"), F.lit(-k).alias("k")) for k, x in enumerate(p)))
-    found = found.select("row", "doc_id", "line_no", "grams", best.alias("best"))
+    z = F.array(*(F.col(f"z{k}") + F.lit(float(model.bias[k])) for k in range(len(model.families))))
+    found = found.select("row", "doc_id", "line_no", "grams", z.alias("z")).withColumn("top", F.array_max("z"))
+    found = found.withColumn("k", F.array_position("z", F.col("top")) - 1)
+    found = found.withColumn("probability", F.expr("1 / aggregate(z, 0D, (a, x) -> a + exp(x - top))"))
     # few lines are left: what follows is worked out on them alone
-    found = keep(found.filter((F.col("best.k") != 1 - len(model.families)) & (F.col("best.p") >= model.threshold)))
-    templates = [(k, x, sorted(set(ngrams(x)))) for k, f in enumerate(names) for x in TEMPLATES[f]]
-    shares = [
-        F.when(
-            F.col("best.k") == -k,
-            F.struct((F.size(F.array_intersect("grams", F.array(*map(F.lit, g)))) / len(g)).alias("share"), F.lit(-n).alias("n")),
-        )
-        for n, (k, _, g) in enumerate(templates)
-    ]
-    found = found.withColumn("near", F.greatest(*shares))
-    name = F.element_at(F.array(*map(F.lit, names)), 1 - F.col("best.k"))
-    which = F.element_at(F.array(*(F.lit(x) for _, x, _ in templates)), 1 - F.col("near.n"))
-    share = F.round("near.share", 6)
-    return found.select(
-        "doc_id", "line_no", name.alias("family"), F.round("best.p", 6).alias("probability"), which.alias("template"),
-        share.alias("similarity"), (share >= similar).alias("confirmed"),
+    found = keep(found.filter((F.col("k") < len(names)) & (F.col("probability") >= model.threshold)).drop("z", "top"))
+    rows = [(k, f, n, x, sorted(set(ngrams(x)))) for k, f in enumerate(names) for n, x in enumerate(TEMPLATES[f])]
+    templates = spark.createDataFrame(rows, "k long, family string, n int, template string, own array<string>")
+    share = F.size(F.array_intersect("grams", "own")) / F.size("own")
+    held = found.join(F.broadcast(templates), "k").withColumn("best", F.struct(share.alias("share"), (-F.col("n")).alias("n"), "template"))
+    near = held.groupBy("row", "doc_id", "line_no", "family", "probability").agg(F.max("best").alias("best"))
+    return near.select(
+        "doc_id", "line_no", "family", F.round("probability", 6).alias("probability"), F.col("best.template").alias("template"),
+        F.round("best.share", 6).alias("similarity"), (F.col("best.share") >= similar).alias("confirmed"),
     )
 
 
