@@ -1,0 +1,136 @@
+"""Numeric kernels on blocks of samples in NumPy."""
+
+from __future__ import annotations
+
+import numpy as np
+
+# The standard's integer cosines at k/64 of a half turn, and its interpolation filters.
+COSINES = (64, 90, 90, 90, 89, 88, 87, 85, 83, 82, 80, 78, 75, 73, 70, 67, 64, 61, 57, 54, 50, 46, 43, 38, 36, 31, 25, 22, 18, 13, 9, 4, 0)
+LUMA = ((0, 0, 0, 64, 0, 0, 0, 0), (-1, 4, -10, 58, 17, -5, 1, 0), (-1, 4, -11, 40, 40, -11, 4, -1), (0, 1, -5, 17, 58, -10, 4, -1))
+CHROMA = ((0, 64, 0, 0), (-2, 58, 10, -2), (-4, 54, 16, -2), (-6, 46, 28, -4), (-4, 36, 36, -4), (-4, 28, 46, -6), (-2, 16, 54, -4), (-2, 10, 58, -2))
+DST4 = np.array(((29, 55, 74, 84), (74, 74, 0, -74), (84, -29, -74, 55), (55, -84, 74, -29)))
+
+
+def cosine_matrix(n: int) -> np.ndarray:
+    """The n-point integer transform, n = 4, 8, 16 or 32: rows are frequencies."""
+    angle = np.outer(np.arange(n) * (32 // n), 2 * np.arange(32) + 1)[:, :n] if n == 32 else None
+    if angle is None:
+        angle = np.outer(np.arange(n), 2 * np.arange(n) + 1) * (32 // n)
+    a = angle % 128
+    a = np.where(a > 64, 128 - a, a)
+    c = np.array(COSINES)
+    return np.where(a <= 32, c[np.minimum(a, 32)], -c[np.maximum(64 - a, 0) % 33])
+
+
+def inverse_transform(coefficients: np.ndarray, depth: int = 8, sine: bool = False) -> np.ndarray:
+    """Columns, then rows; 16 bits are kept in between.  coefficients: (..., n, n)."""
+    t = DST4 if sine else cosine_matrix(coefficients.shape[-1])
+    first = np.clip((np.swapaxes(t, 0, 1) @ coefficients.astype(np.int64) + 64) >> 7, -32768, 32767)
+    shift = 20 - depth
+    return np.clip((first @ t + (1 << (shift - 1))) >> shift, -32768, 32767)
+
+
+def dequantise(levels: np.ndarray, qp: int, log2_size: int, depth: int = 8, scaling: np.ndarray | int = 16) -> np.ndarray:
+    scale = (40, 45, 51, 57, 64, 72)[qp % 6]
+    shift = depth + log2_size - 5
+    value = levels.astype(np.int64) * scaling * (scale << (qp // 6))
+    return np.clip((value + (1 << (shift - 1))) >> shift, -32768, 32767)
+
+
+def reconstruct(prediction: np.ndarray, residual: np.ndarray, depth: int = 8) -> np.ndarray:
+    return np.clip(prediction.astype(np.int64) + residual, 0, (1 << depth) - 1)
+
+
+def interpolate(plane: np.ndarray, x: int, y: int, width: int, height: int, dx: int, dy: int, depth: int = 8, filters=LUMA) -> np.ndarray:
+    """A block at (x, y) plus (dx, dy) fractions of a sample, at 14 bits; samples beyond the plane repeat its edge."""
+    taps = len(filters[0])
+    before = taps // 2 - 1
+    rows = np.clip(np.arange(y - before, y + height + taps - before - 1), 0, plane.shape[0] - 1)
+    cols = np.clip(np.arange(x - before, x + width + taps - before - 1), 0, plane.shape[1] - 1)
+    around = plane[np.ix_(rows, cols)].astype(np.int64)
+    fx, fy = np.array(filters[dx]), np.array(filters[dy])
+    if not dx and not dy:
+        return around[before : before + height, before : before + width] << (14 - depth)
+    if not dy:
+        return np.stack([around[before : before + height, i : i + width] * f for i, f in enumerate(fx)]).sum(0) >> (depth - 8)
+    if not dx:
+        return np.stack([around[i : i + height, before : before + width] * f for i, f in enumerate(fy)]).sum(0) >> (depth - 8)
+    across = np.stack([around[:, i : i + width] * f for i, f in enumerate(fx)]).sum(0) >> (depth - 8)
+    return np.stack([across[i : i + height] * f for i, f in enumerate(fy)]).sum(0) >> 6
+
+
+def predict(block: np.ndarray, other: np.ndarray | None = None, depth: int = 8) -> np.ndarray:
+    """Samples from one interpolated block, or the mean of two."""
+    shift = 14 - depth + (other is not None)
+    total = block if other is None else block + other
+    return np.clip((total + (1 << (shift - 1))) >> shift, 0, (1 << depth) - 1)
+
+
+def weighted(block: np.ndarray, weight: int, offset: int, log2_denominator: int, depth: int = 8) -> np.ndarray:
+    shift = log2_denominator + 14 - depth
+    value = (block * weight + (1 << (shift - 1)) >> shift) if shift >= 1 else block * weight
+    return np.clip(value + offset, 0, (1 << depth) - 1)
+
+
+def edge_offset(plane: np.ndarray, direction: int, offsets: tuple[int, int, int, int], depth: int = 8) -> np.ndarray:
+    """Adds an offset by how each inner sample compares with two neighbours: across, down, or along either diagonal."""
+    dy, dx = ((0, 1), (1, 0), (1, 1), (1, -1))[direction]
+    p = plane.astype(np.int64)
+    out = p.copy()
+    h, w = p.shape
+    ys, xs = slice(dy, h - dy), slice(abs(dx), w - abs(dx))
+    c = p[ys, xs]
+    a = p[0 : h - 2 * dy, (abs(dx) - dx) : (w - abs(dx) - dx)]
+    b = p[2 * dy : h, (abs(dx) + dx) : (w - abs(dx) + dx)]
+    kind = 2 + np.sign(c - a) + np.sign(c - b)
+    out[ys, xs] = c + np.array([offsets[0], offsets[1], 0, offsets[2], offsets[3]])[kind]
+    return np.clip(out, 0, (1 << depth) - 1)
+
+
+def band_offset(plane: np.ndarray, first: int, offsets: tuple[int, int, int, int], depth: int = 8) -> np.ndarray:
+    """Adds offsets in four of 32 bands of sample values, from band `first` on and not past the last."""
+    table = np.zeros(32, np.int64)
+    for k, o in enumerate(offsets):
+        if first + k < 32:
+            table[first + k] = o
+    p = plane.astype(np.int64)
+    return np.clip(p + table[p >> (depth - 5)], 0, (1 << depth) - 1)
+
+
+def intra_dc(top: np.ndarray, left: np.ndarray) -> np.ndarray:
+    n = len(top)
+    return np.full((n, n), (int(top.sum()) + int(left.sum()) + n) >> n.bit_length())
+
+
+def intra_planar(top: np.ndarray, left: np.ndarray, corner_right: int, corner_below: int) -> np.ndarray:
+    n = len(top)
+    x, y = np.meshgrid(np.arange(n), np.arange(n))
+    across = (n - 1 - x) * left[:, None] + (x + 1) * corner_right
+    down = (n - 1 - y) * top[None, :] + (y + 1) * corner_below
+    return (across + down + n) >> n.bit_length()
+
+
+def boundary_strength(intra_a, intra_b, transform_edge, coded_a, coded_b, motion_differs) -> np.ndarray:
+    """2 next to an intra block, 1 at a transform edge with coefficients or where motion differs, else 0."""
+    one = np.asarray(transform_edge) & (np.asarray(coded_a) | np.asarray(coded_b)) | np.asarray(motion_differs)
+    return np.where(np.asarray(intra_a) | np.asarray(intra_b), 2, one.astype(int))
+
+
+def scale_motion(vector: np.ndarray, current: int, reference: int) -> np.ndarray:
+    """A motion vector stretched by the ratio of two picture distances, in the standard's fixed point."""
+    td, tb = np.clip(reference, -128, 127), np.clip(current, -128, 127)
+    tx = int((16384 + abs(int(td)) // 2) / td)
+    factor = np.clip((int(tb) * tx + 32) >> 6, -4096, 4095)
+    v = factor * vector.astype(np.int64)
+    return np.clip(np.sign(v) * ((np.abs(v) + 127) >> 8), -32768, 32767)
+
+
+def to_rgb(y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """BT.709, all in 0 to 1 with u and v centred on a half."""
+    u, v = u - 0.5, v - 0.5
+    return np.clip(np.stack([y + 1.5748 * v, y - 0.1873 * u - 0.4681 * v, y + 1.8556 * u], -1), 0, 1)
+
+
+def write_planar(planes: list[np.ndarray], depth: int) -> bytes:
+    """Planes one after another: a byte for each sample up to 8 bits, else two, little-endian."""
+    return b"".join(p.astype("u1" if depth <= 8 else "<u2").tobytes() for p in planes)

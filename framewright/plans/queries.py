@@ -8,7 +8,9 @@ from ..functions import bits, media
 from ..operators import blocks, control, lookup, ordering, quality, sessions
 
 
-_US = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
+def _us():
+    """Microseconds of ts, whatever the session's time zone."""
+    return F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +47,12 @@ def display_order(spark, d):
 
 
 def next_gap_duration(spark, d):
-    e = _t(spark, d, "events").select("user_id", "event_id", _US.alias("us"))
+    e = _t(spark, d, "events").select("user_id", "event_id", _us().alias("us"))
     return ordering.durations(e, ["user_id"], ["us", "event_id"], "us").select("user_id", "event_id", "duration")
 
 
 def contiguous_ranges(spark, d):
-    e = _t(spark, d, "events").select("user_id", "event_id", _US.alias("us"))
+    e = _t(spark, d, "events").select("user_id", "event_id", _us().alias("us"))
     return ordering.contiguous_ranges(e, ["user_id"], ["us", "event_id"], "us", 6 * 3600 * 1_000_000)
 
 
