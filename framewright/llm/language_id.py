@@ -101,6 +101,8 @@ class Judge:
         for _, grams, starts, which in blocks(raw, self.n) if fine else ():
             np.add.at(cost, which, np.add.reduceat(self.values[grams], starts, axis=0, dtype=np.float64))
         lang, score = [UND] * len(texts), [0.0] * len(texts)
+        if not fine:
+            return lang, score
         best = cost.argmin(1)
         for j, i in enumerate(fine):
             # the posterior at equal priors, bits counted as if n bytes were sqrt(n) independent ones

@@ -257,6 +257,8 @@ def score_toxicity(
     drawn = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("kn")), F.lit(1 << 20)) < int(share * (1 << 20)))
     got = _features_of(drawn, grams, n).toArrow()
     x = np.column_stack([got.column(f"f{i}").to_numpy() for i in range(FEATURES)])
+    if not len(x):  # labels, but none of a document in docs
+        return rows.select("doc_id", out.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     finish = Logit.fit(x, got.column("toxic").to_numpy().astype(np.float64))
     scored = _features_of(rows.withColumn("held_out", out), grams, n, finish)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
