@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bloom
 from .edits import within
@@ -15,14 +16,6 @@ EDITS = 2
 MIN_CHARS = 40  # shorter lines recur by chance and always stay
 
 
-def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i (from 0) of a line; the last ones are longer by one where it isn't even."""
-    short, more = F.floor(length / parts), length % parts
-    longer = F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - more))
-    size = short + F.when(F.lit(i) >= F.lit(parts) - more, 1).otherwise(0)
-    return (short * i + longer + 1).cast("int"), size.cast("int")
-
-
 def probes(edits: int) -> list[tuple[int, int, int]]:
     """(length less, segment, shift): which substrings of a line to look up among segments of lines shorter by 0 to `edits`.
 
@@ -37,15 +30,71 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def segment_keys(line: Column, length: Column, edits: int) -> tuple[list[Column], list[Column]]:
-    """Keys of the line's own segments, and of the substrings to look up that aren't segments of it."""
-    parts, own, other = edits + 1, [], []
+def key_rows(edits: int) -> str:
+    """SQL for an array of (key, own): keys of the line's own segments, and of the substrings to look up.
+
+    Segment i (from 0) of a line of length l has l div (edits + 1) characters, the last l % (edits + 1) ones one more.
+    A key is a hash of length, segment and substring; where it goes is worked out on numbers first, so that the line is
+    touched once for each key.
+    """
+    parts, specs = edits + 1, []
     for less, i, shift in probes(edits):
-        start, size = segment(length - less, i, parts)
-        key = F.xxhash64(length - less, F.lit(i), F.substring(line, start + shift, size))
-        key = F.when((start + shift >= 1) & (start + shift + size - 1 <= length), key)
-        (own if less == 0 and shift == 0 else other).append(key)
-    return own, other
+        l = f"(len - {less})"
+        start = f"({l} div {parts} * {i} + greatest(0, {i} - {parts} + {l} % {parts}) + 1 + {shift})"
+        size = f"({l} div {parts} + if({i} >= {parts} - {l} % {parts}, 1, 0))"
+        own = "true" if less == shift == 0 else "false"
+        specs.append(f"named_struct('l', len - {less}, 'i', {i}, 'a', int({start}), 'n', int({size}), 'own', {own})")
+    fits = f"filter(array({', '.join(specs)}), s -> s.a >= 1 and s.a + s.n - 1 <= len)"
+    return f"transform({fits}, s -> named_struct('key', xxhash64(s.l, s.i, substring(line, s.a, s.n)), 'own', s.own))"
+
+
+def _met(batches: Iterator[pa.RecordBatch], slab: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows (key, h1, own) sorted by key, h1 and own last: pairs of a line that owns a segment and another that looks it up.
+
+    Keys met by one line only, nearly all, are passed over at once; a key's pairs are put out in slabs.
+    """
+    held: list[np.ndarray] = [np.zeros((3, 0), np.int64)]
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, line, own = rows
+        last = np.append((key[1:] != key[:-1]) | (line[1:] != line[:-1]), True) if len(key) else np.zeros(0, bool)
+        key, line, own = key[last], line[last], own[last].astype(bool)  # of a line's rows the last owns, if any does
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(key)))
+        several = size > 1
+        # small groups together: each row against those 1, 2, ... places on
+        for far in range(1, int(size[several].max()) if several.any() else 0):
+            at = start[size > far]
+            span = size[size > far] - far
+            if len(at) < 50 and span.sum() > slab:
+                break
+            i = np.repeat(at - np.cumsum(span) + span, span) + np.arange(span.sum())
+            ok = own[i] | own[i + far]
+            for k in range(0, len(i), slab):
+                j = i[k : k + slab][ok[k : k + slab]]
+                if len(j):
+                    yield _pairs(line[j], line[j + far])
+        else:
+            return
+        for a, n in zip(start[size > far], size[size > far]):  # what is left: few and very large groups
+            for d in range(far, n):
+                j = np.arange(a, a + n - d)
+                j = j[own[j] | own[j + d]]
+                if len(j):
+                    yield _pairs(line[j], line[j + d])
+
+    for batch in batches:
+        held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
+        rows = np.concatenate(held, 1)
+        cut = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0  # the last key may go on
+        yield from pairs(rows[:, :cut])
+        held = [rows[:, cut:]]
+    yield from pairs(np.concatenate(held, 1))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["x", "y"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
@@ -78,17 +127,9 @@ def repeated_lines(
     place = F.struct("doc_id", "line_no")
     occ = keep(lines.select("doc_id", "line_no", "h1", F.xxhash64(F.lit(1), "line").alias("h2"), "len"))
     distinct = keep(occ.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")))
-    own, other = segment_keys(F.col("line"), F.col("len"), edits)
-    as_rows = lambda keys, is_own: [F.when(k.isNotNull(), F.struct(k.alias("key"), F.lit(is_own).alias("own"))) for k in keys]
-    keys = (
-        lines.select("h1", F.explode(F.array(*as_rows(own, True), *as_rows(other, False))).alias("k"))
-        .filter("k is not null").select("k.key", "h1", "k.own")
-        .repartition("key").dropDuplicates(["key", "h1", "own"])
-    )
-    pairs = keep(
-        keys.filter("own").select("key", F.col("h1").alias("x")).join(keys.select("key", F.col("h1").alias("y")), "key")
-        .filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    )
+    keys = lines.select("h1", F.explode(F.expr(key_rows(edits))).alias("k")).select("k.key", "h1", "k.own")
+    keys = keys.repartition("key").sortWithinPartitions("key", "h1", "own")
+    pairs = keep(keys.mapInArrow(_met, "x long, y long").distinct())
     ids = pairs.select(F.col("x").alias("h1")).unionByName(pairs.select(F.col("y").alias("h1"))).distinct()
     texts = keep(among(lines.select("h1", "line"), ids, "h1", max_bits).groupBy("h1").agg(F.min("line").alias("line")))
     a, b = texts.withColumnsRenamed({"h1": "x", "line": "a"}), texts.withColumnsRenamed({"h1": "y", "line": "b"})
