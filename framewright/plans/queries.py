@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import bits, media
-from ..operators import blocks, control, lookup, ordering, quality, sessions
+from ..functions import bits, media, mime
+from ..operators import blocks, control, ladder, lookup, ordering, quality, references, sessions
+from ..streaming import ordered
 
 
 def _us():
@@ -141,10 +142,69 @@ def segment_speed(spark, d):
     return g.select("l_orderkey", quality.speed(F.col("ms"), F.col("dur")).alias("speed"))
 
 
+def _variants(spark, d):
+    height = F.when(F.col("p_size") % 3 > 0, F.col("p_size") * 36)
+    return _t(spark, d, "part").select(
+        F.col("p_brand").alias("brand"), F.col("p_partkey").alias("n"), height.alias("height"), (F.col("p_size") * 1000 + F.col("p_partkey") % 2).alias("bandwidth"), F.col("p_type").alias("codec")
+    )
+
+
+def ladder_rungs(spark, d):
+    return ladder.ladder(_variants(spark, d), ["brand"], "n").select("brand", "n", "height", "bandwidth", "rung")
+
+
+def active_rung(spark, d):
+    rungs = ladder.ladder(_variants(spark, d), ["brand"], "n")
+    playing = _t(spark, d, "part").select("p_partkey", F.col("p_brand").alias("brand"), (F.col("p_size") * 36).alias("height"), (F.col("p_size") * 1000).alias("bandwidth"))
+    return ladder.active_rung(playing, rungs, ["brand"]).select("p_partkey", "brand", "rung")
+
+
+def mime_rewrite(spark, d):
+    audio = F.when(F.col("p_size") % 2 == 0, ",mp4a.40.2").otherwise("")
+    video = F.when(F.col("p_size") % 3 == 0, "avc1.640028").otherwise(F.concat(F.lit("hvc1.1.6.L"), F.col("p_size").cast("string")))
+    m = _t(spark, d, "part").select("p_partkey", F.concat(F.lit('video/mp4; codecs="'), video, audio, F.lit('"')).alias("mime"))
+    c = F.col("mime")
+    return m.select("p_partkey", mime.is_muxed(c).alias("muxed"), mime.wants_transmux(c).alias("transmux"), mime.with_video_codec(c, F.lit("avc1.x")).alias("rewritten"))
+
+
+def reference_lists(spark, d):
+    k = F.col("c_custkey")
+    c = _t(spark, d, "customer").select("c_custkey", F.array(k, k + 1).alias("before"), F.array(k + 2).alias("after"), F.array(k + 3).alias("long_term"), (k % 7 + 1).cast("int").alias("n"))
+    got = c.select("c_custkey", F.posexplode(references.reference_list(F.col("before"), F.col("after"), F.col("long_term"), F.col("n"))).alias("place", "picture"))
+    return got
+
+
+def tile_scan(spark, d):
+    k = F.col("p_partkey")
+    cells = _t(spark, d, "part").select("p_partkey", F.floor(k / 200).alias("picture"), (k % 20).cast("int").alias("x"), F.floor(k % 200 / 20).cast("int").alias("y"))
+    got = references.tile_scan(cells, ["picture"], F.array(*map(F.lit, (0, 7, 13))), F.array(*map(F.lit, (0, 4))))
+    return got.select("p_partkey", F.col("tile").cast("int").alias("tile"), F.col("scan").cast("int").alias("scan"))
+
+
+def neighbour_cells(spark, d):
+    k = F.col("p_partkey")
+    cells = _t(spark, d, "part").select(F.floor(k / 200).alias("picture"), (k % 20).alias("gx"), F.floor(k % 200 / 20).alias("gy"), "p_size")
+    return references.neighbours(cells, ["picture"], "p_size")
+
+
+def generation_filter(spark, d):
+    e = _t(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    e = ordering.sequence_number(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup", "generation")
+    return ordered.current_generation(e, "user_id", "generation").select("user_id", "event_id", "generation")
+
+
+def rebase_times(spark, d):
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("base"))
+    li = li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("dts"), F.max("l_suppkey").alias("pts"), F.min("base").alias("base"))
+    first = li.groupBy("l_orderkey").agg(F.min(F.when(F.col("base") > 10, F.col("base"))).alias("tfdt"))
+    return ordered.rebase(li.drop("base").join(first, "l_orderkey"), ["l_orderkey"], "l_linenumber", ["dts", "pts"], "tfdt").select("l_orderkey", "l_linenumber", "dts", "pts")
+
+
 NAMES = (
     rolling_speed, compute_aware_cap, counter_unwrap, sequence_number, display_order, next_gap_duration, contiguous_ranges, session_group,
     ladder_dedup, asof_config, ref_mark, ordinal_zip, inherit_last, frame_quality, codec_level, exp_golomb, chunk30, retention,
-    block_transform, best_of_runs, segment_speed,
+    block_transform, best_of_runs, segment_speed, ladder_rungs, active_rung, mime_rewrite, reference_lists, tile_scan, neighbour_cells,
+    generation_filter, rebase_times,
 )
 
 

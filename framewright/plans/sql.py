@@ -4,7 +4,46 @@ _W = "OVER (PARTITION BY user_id ORDER BY ts, event_id"
 _UP = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 _BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
+_LADDER = """
+v AS (SELECT p_brand AS brand, p_partkey AS n, CASE WHEN p_size % 3 > 0 THEN p_size * 36 END AS height, p_size * 1000 + p_partkey % 2 AS bandwidth FROM part),
+o AS (SELECT *, row_number() OVER (PARTITION BY brand, CASE WHEN height IS NULL THEN 'b' || bandwidth ELSE 'h' || height END ORDER BY n) AS k FROM v),
+l AS (SELECT brand, n, height, bandwidth, (row_number() OVER (PARTITION BY brand ORDER BY height NULLS FIRST, bandwidth, n) - 1)::INT AS rung FROM o WHERE k = 1)
+"""
+
 SQL = {
+    "ladder_rungs": f"WITH {_LADDER} SELECT * FROM l",
+    "active_rung": f"""
+WITH {_LADDER}
+SELECT p_partkey, p_brand AS brand, coalesce(
+  (SELECT min(rung) FROM l WHERE l.brand = p_brand AND l.height = p_size * 36), (SELECT min(rung) FROM l WHERE l.brand = p_brand AND l.bandwidth = p_size * 1000),
+  (SELECT max(rung) FROM l WHERE l.brand = p_brand)) AS rung
+FROM part
+""",
+    "mime_rewrite": """
+SELECT p_partkey, p_size % 3 <> 0 AND p_size % 2 = 0 AS muxed, p_size % 3 <> 0 AND p_size % 2 <> 0 AS transmux,
+       'video/mp4; codecs="' || CASE WHEN p_size % 3 = 0 THEN 'avc1.640028' ELSE 'avc1.x' END || CASE WHEN p_size % 2 = 0 THEN ',mp4a.40.2' ELSE '' END || '"' AS rewritten
+FROM part
+""",
+    "reference_lists": "SELECT c_custkey, i::INT AS place, c_custkey + i % 4 AS picture FROM (SELECT c_custkey, unnest(range(c_custkey % 7 + 1)) AS i FROM customer)",
+    "tile_scan": """
+WITH c AS (SELECT p_partkey, p_partkey // 200 AS picture, p_partkey % 20 AS x, p_partkey % 200 // 20 AS y FROM part),
+t AS (SELECT *, CASE WHEN y >= 4 THEN 3 ELSE 0 END + CASE WHEN x >= 13 THEN 2 WHEN x >= 7 THEN 1 ELSE 0 END AS tile FROM c)
+SELECT p_partkey, tile, (row_number() OVER (PARTITION BY picture ORDER BY tile, y, x) - 1)::INT AS scan FROM t
+""",
+    "neighbour_cells": """
+WITH c AS (SELECT p_partkey // 200 AS picture, p_partkey % 20 AS gx, p_partkey % 200 // 20 AS gy, p_size FROM part)
+SELECT c.picture, c.gx, c.gy, c.p_size, a.p_size AS left, b.p_size AS above
+FROM c LEFT JOIN c a ON a.picture = c.picture AND a.gx = c.gx - 1 AND a.gy = c.gy LEFT JOIN c b ON b.picture = c.picture AND b.gx = c.gx AND b.gy = c.gy - 1
+""",
+    "generation_filter": f"""
+WITH s AS (SELECT user_id, event_id, (count(*) FILTER (event_type = 'signup') {_W} {_UP})::BIGINT AS generation FROM events)
+SELECT * FROM s QUALIFY generation = max(generation) OVER (PARTITION BY user_id)
+""",
+    "rebase_times": """
+WITH g AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS dts, max(l_suppkey) AS pts, min(l_quantity::BIGINT) AS base FROM lineitem GROUP BY ALL),
+f AS (SELECT l_orderkey, min(base) FILTER (base > 10) AS tfdt, min_by(dts, l_linenumber) AS first FROM g GROUP BY 1)
+SELECT l_orderkey, l_linenumber, dts - coalesce(first - tfdt, 0) AS dts, pts - coalesce(first - tfdt, 0) AS pts FROM g JOIN f USING (l_orderkey)
+""",
     "rolling_speed": f"SELECT user_id, event_id, round(avg(value) {_W} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 6) AS mean FROM events",
     "compute_aware_cap": """
 WITH RECURSIVE e AS (

@@ -165,3 +165,35 @@ def parameter_sets(data: bytes) -> list[tuple[int, bytes]]:
             out.append((kind, data[at : at + size]))
             at += size
     return out
+
+
+FREE = box(b"free")  # what stands for a segment of which nothing came
+
+
+def _track(track: int, scale: int, handler: bytes, header: bytes, entry: bytes, width: int = 0, height: int = 0) -> bytes:
+    matrix = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
+    volume = 0x0100 if handler == b"soun" else 0
+    tkhd = full_box(b"tkhd", 0, 3, struct.pack(">5I", 0, 0, track, 0, 0), b"\0" * 8, struct.pack(">4H", 0, 0, volume, 0), matrix, struct.pack(">II", width << 16, height << 16))
+    mdhd = full_box(b"mdhd", 0, 0, struct.pack(">4I2H", 0, 0, scale, 0, 0x55C4, 0))
+    hdlr = full_box(b"hdlr", 0, 0, b"\0" * 4 + handler + b"\0" * 12 + b"handler\0")
+    dinf = box(b"dinf", full_box(b"dref", 0, 0, struct.pack(">I", 1), full_box(b"url ", 0, 1)))
+    empty = [full_box(k, 0, 0, b"\0" * n) for k, n in ((b"stts", 4), (b"stsc", 4), (b"stsz", 8), (b"stco", 4))]
+    stbl = box(b"stbl", full_box(b"stsd", 0, 0, struct.pack(">I", 1), entry), *empty)
+    return box(b"trak", tkhd, box(b"mdia", mdhd, hdlr, box(b"minf", header, dinf, stbl)))
+
+
+def init_segment(width: int, height: int, scale: int, avcc: bytes, audio: tuple[int, int, bytes] | None = None) -> bytes:
+    """ftyp and moov for an AVC track 1 and, given (sample rate, channels, decoder-specific bytes), an AAC track 2."""
+    entry = box(
+        b"avc1", b"\0" * 6 + struct.pack(">H", 1) + b"\0" * 16 + struct.pack(">HHII", width, height, 0x480000, 0x480000) + b"\0" * 4
+        + struct.pack(">H", 1) + b"\0" * 32 + struct.pack(">Hh", 24, -1), box(b"avcC", avcc),
+    )
+    tracks = [_track(1, scale, b"vide", full_box(b"vmhd", 0, 1, b"\0" * 8), entry, width, height)]
+    if audio:
+        rate, channels, specific = audio
+        esds = full_box(b"esds", 0, 0, descriptor(3, struct.pack(">HB", 0, 0) + descriptor(4, b"\x40\x15" + b"\0" * 11 + descriptor(5, specific)) + descriptor(6, b"\2")))
+        sound = box(b"mp4a", b"\0" * 6 + struct.pack(">H", 1) + b"\0" * 8 + struct.pack(">HHHHI", channels, 16, 0, 0, rate << 16), esds)
+        tracks.append(_track(2, rate, b"soun", full_box(b"smhd", 0, 0, b"\0" * 4), sound))
+    mvhd = full_box(b"mvhd", 0, 0, struct.pack(">6I", 0, 0, scale, 0, 0x10000, 0x01000000), b"\0" * 8, struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000), b"\0" * 24, struct.pack(">I", len(tracks) + 1))
+    extends = box(b"mvex", *(full_box(b"trex", 0, 0, struct.pack(">5I", k + 1, 1, 0, 0, 0)) for k in range(len(tracks))))
+    return box(b"ftyp", b"isom", struct.pack(">I", 512), b"isomiso2avc1mp41") + box(b"moov", mvhd, *tracks, extends)

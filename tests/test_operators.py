@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from framewright.functions import bits, kernels, media
 from framewright.functions.syntax import Bits, Writer, parse_parameter_sets, parse_pps, parse_slice_start, parse_sps
-from framewright.operators import blocks, control, lookup, ordering, quality, sessions
+from framewright.operators import blocks, control, lookup, ordering, quality, references, sessions
 from framewright.operators.control import Controller, Settings
-from framewright.sources import annexb, mp4
+from framewright.sources import annexb, manifests, mp4
 from framewright.streaming import ordered
 
 
@@ -235,3 +235,31 @@ def test_transforms(spark):
     got = spark.createDataFrame([([1, 2, 3, 4],)], "x array<int>").select(blocks.inverse4(blocks.transform4(F.col("x")), shift=14).alias("y")).first()["y"]
     assert got == [1, 2, 3, 4]
     assert kernels.scale_motion(np.array([8, -8]), 2, 4).tolist() == [4, -4]
+
+
+def test_reference_sets(spark):
+    d = "array<struct<delta:int,used:boolean>>"
+    rows = [("s", 0, 0, [], True), ("s", 1, 4, [(-4, True)], False), ("s", 2, 2, [(-2, True), (2, True)], False), ("s", 3, 8, [(-4, True), (-6, False), (-8, True), (-7, True)], False), ("s", 4, 6, [(-2, True), (2, True)], False), ("s", 5, 0, [], True)]
+    df = spark.createDataFrame(rows, f"stream string, decode_idx int, poc int, deltas {d}, resets boolean")
+    got = {r["decode_idx"]: (r["before"], r["after"], r["follow"], r["missing"]) for r in references.derive_sets(df).collect()}
+    assert got[1] == ([0], [], [], []) and got[2] == ([0], [4], [], [])
+    assert got[3] == ([4, 0], [], [2], [1]) and got[4] == ([4], [8], [], []) and got[5] == ([], [], [], [])
+
+
+def test_manifests(spark):
+    hls = '#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH=800000,AVERAGE-BANDWIDTH=700000,RESOLUTION=854x480,CODECS="hvc1.1.6.L90.90,mp4a.40.2"\nlow.m3u8\n#EXT-X-STREAM-INF:BANDWIDTH=5000000\nhigh.m3u8\n'
+    dash = '<MPD xmlns="urn:mpeg:dash:schema:mpd:2011"><Period><AdaptationSet codecs="hev1"><Representation id="a" width="640" height="360" bandwidth="500000"/></AdaptationSet></Period></MPD>'
+    df = spark.createDataFrame([("h", bytearray(hls.encode())), ("d", bytearray(dash.encode())), ("x", bytearray(b"<")), ("n", None)], "path string, content binary")
+    got = sorted((r["path"], r["variant_id"], r["height"], r["bandwidth"], r["codecs"]) for r in manifests.variants(df).collect())
+    assert got == [("d", "a", 360, 500000, "hev1"), ("h", "high.m3u8", None, 5000000, None), ("h", "low.m3u8", 480, 800000, "hvc1.1.6.L90.90,mp4a.40.2")]
+
+
+def test_init_segment():
+    data = mp4.init_segment(1280, 720, 12800, b"\1\x64\0\x28", audio=(48000, 2, b"\x11\x90"))
+    assert mp4.is_init(data, moov=False) and [k for k, _, _ in mp4.boxes(data)] == [b"ftyp", b"moov"]
+    assert len(mp4.find(data, (b"moov", b"trak"))) == 2 and len(mp4.find(data, (b"moov", b"mvex", b"trex"))) == 2
+    (a, b), = mp4.find(data, (b"moov", b"mvhd"))
+    assert b - a == 100
+    at = data.index(b"esds")
+    assert mp4.audio_config(data[at + 8 : at - 4 + int.from_bytes(data[at - 4 : at], "big")]) == b"\x11\x90"
+    assert b"avcC\1\x64\0\x28" in data and mp4.FREE == b"\0\0\0\x08free"
