@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.buffer import PictureBuffer
+
 
 def reference_list(before: Column, after: Column, long_term: Column, size: Column, entries: Column | None = None) -> Column:
     """The list of `size` pictures: the sets one after another, repeated until long enough; `entries` (from 0) pick others."""
@@ -78,3 +80,37 @@ def neighbours(cells: DataFrame, picture: list[str], value: str) -> DataFrame:
     left = at.select(*picture, (F.col("gx") + 1).alias("gx"), "gy", F.col(value).alias("left"))
     above = at.select(*picture, "gx", (F.col("gy") + 1).alias("gy"), F.col(value).alias("above"))
     return at.join(left, [*picture, "gx", "gy"], "left").join(above, [*picture, "gx", "gy"], "left")
+
+
+def output_order(pictures: DataFrame, max_reorder: int, max_size: int, stream: str = "stream", order: str = "decode_idx") -> DataFrame:
+    """pictures: stream, order, poc, deltas, resets, as for derive_sets.  One row per picture: stream, sequence, poc, shown_after
+    (the order of the picture whose arrival let it out, null at the end of the stream) and shown, its running number.
+
+    An ordered fold with a picture buffer for state, so a task holds max_size pictures' marks at most.
+    """
+    schema = f"{stream} string, sequence int, poc long, shown_after long, shown long"
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, buffer, n = object(), PictureBuffer(max_reorder, max_size), 0
+
+        def rows(found: list[tuple[int, int]], after: int | None) -> list[tuple]:
+            nonlocal n
+            n += len(found)
+            return [(now, s, p, after, n - len(found) + i) for i, (s, p) in enumerate(found)]
+
+        def frame(out: list[tuple]) -> pd.DataFrame:
+            got = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+            return got.astype({"shown_after": "Int64"})
+
+        for f in frames:
+            out = []
+            for s, at, poc, deltas, resets in zip(f[stream], f[order], f["poc"], f["deltas"], f["resets"]):
+                if s != now:
+                    out += rows(buffer.flush(), None)
+                    now, buffer, n = s, PictureBuffer(max_reorder, max_size), 0
+                out += rows(buffer.add(poc, {poc + d["delta"] for d in deltas}, bool(resets)), at)
+            yield frame(out)
+        yield frame(rows(buffer.flush(), None))
+
+    rows_ = pictures.select(stream, F.col(order).cast("long").alias(order), F.col("poc").cast("long").alias("poc"), "deltas", "resets")
+    return rows_.repartition(stream).sortWithinPartitions(stream, order).mapInPandas(fold, schema)

@@ -263,3 +263,42 @@ def test_init_segment():
     at = data.index(b"esds")
     assert mp4.audio_config(data[at + 8 : at - 4 + int.from_bytes(data[at - 4 : at], "big")]) == b"\x11\x90"
     assert b"avcC\1\x64\0\x28" in data and mp4.FREE == b"\0\0\0\x08free"
+
+
+def test_output_order(spark):
+    rng = random.Random(12)
+    d = "array<struct<delta:int,used:boolean>>"
+    rows, want = [], {}
+    for s in ("a", "b"):
+        at = 0
+        for sequence in range(3):
+            pocs = [0] + [p for g in range(1, 17, 4) for p in (g + 3, g + 1, g, g + 2)]  # groups of four, the last first
+            for k, p in enumerate(pocs):
+                rows.append((s, at, p, [] if k == 0 else [(q - p, True) for q in pocs[max(0, k - 3) : k]], k == 0))
+                at += 1
+            want.setdefault(s, []).extend((sequence, p) for p in sorted(pocs))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, f"stream string, decode_idx int, poc int, deltas {d}, resets boolean")
+    got = references.output_order(df, 2, 9).collect()
+    for s in want:
+        mine = sorted((r for r in got if r["stream"] == s), key=lambda r: r["shown"])
+        assert [(r["sequence"], r["poc"]) for r in mine] == want[s]
+        assert any(r["shown_after"] is None for r in mine) and any(r["shown_after"] is not None for r in mine)
+
+
+def test_picture_buffer_is_bounded_and_incremental_equals_batch():
+    from framewright.functions.buffer import PictureBuffer
+
+    rng = random.Random(3)
+    for _ in range(50):
+        b, out, n = PictureBuffer(rng.randint(0, 3), rng.randint(3, 16)), [], 0
+        recent: list[int] = []
+        for p in range(60):
+            poc = p ^ 1
+            out += b.add(poc, set(recent[-(b.max_size - 2) :]), p == 0)
+            recent.append(poc)
+            n = max(n, len(b.held))
+        out += b.flush()
+        assert sorted(out) == [(0, p) for p in range(60)] and n <= b.max_size + 1
+        if b.max_reorder:
+            assert out == sorted(out)
