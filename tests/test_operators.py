@@ -291,11 +291,11 @@ def test_picture_buffer_is_bounded_and_incremental_equals_batch():
 
     rng = random.Random(3)
     for _ in range(50):
-        b, out, n = PictureBuffer(rng.randint(0, 3), rng.randint(3, 16)), [], 0
+        b, out, n = PictureBuffer(rng.randint(0, 3), rng.randint(8, 16)), [], 0
         recent: list[int] = []
         for p in range(60):
             poc = p ^ 1
-            out += b.add(poc, set(recent[-(b.max_size - 2) :]), p == 0)
+            out += b.add(poc, set(recent[-2:]), p == 0)
             recent.append(poc)
             n = max(n, len(b.held))
         out += b.flush()
