@@ -48,17 +48,36 @@ def key_rows(edits: int) -> str:
     return f"transform({fits}, s -> named_struct('key', xxhash64(s.l, s.i, substring(line, s.a, s.n)), 'own', s.own))"
 
 
-def _met(batches: Iterator[pa.RecordBatch], slab: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows (key, h1, own) sorted by key, h1 and own last: pairs of a line that owns a segment and another that looks it up.
+LETTERS = "etaoinsrhldcumpg"  # fixed values: letters that are counted
 
-    Keys met by one line only, nearly all, are passed over at once; a key's pairs are put out in slabs.
+
+def letter_counts() -> str:
+    """SQL for 16 counts of letters in the line, modulo 16, in one long."""
+    count = lambda c: f"(octet_length(line) - octet_length(replace(line, '{c}', ''))) & 15L"
+    return " | ".join(f"shiftleft({count(c)}, {4 * k})" for k, c in enumerate(LETTERS))
+
+
+def _alike(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
+    """Whether the letter counts allow for `edits`: each changes two of them by one at most."""
+    total = np.zeros(len(a), np.int64)
+    for k in range(len(LETTERS)):
+        d = ((a >> 4 * k) - (b >> 4 * k)) & 15
+        total += np.minimum(d, 16 - d)
+    return total <= 2 * edits
+
+
+def _met(batches: Iterator[pa.RecordBatch], edits: int, slab: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows (key, h1, own, letters) sorted by key, h1 and own last: pairs of a line that owns a segment and another that looks it up.
+
+    Keys met by one line only, nearly all, are passed over at once.  Of lines that share a segment but differ by whole words,
+    as those of near copies do, few have letter counts that allow for so few edits; the others are left out here.
     """
-    held: list[np.ndarray] = [np.zeros((3, 0), np.int64)]
+    held: list[np.ndarray] = [np.zeros((4, 0), np.int64)]
 
     def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, line, own = rows
+        key, line, own, letters = rows
         last = np.append((key[1:] != key[:-1]) | (line[1:] != line[:-1]), True) if len(key) else np.zeros(0, bool)
-        key, line, own = key[last], line[last], own[last].astype(bool)  # of a line's rows the last owns, if any does
+        key, line, own, letters = key[last], line[last], own[last].astype(bool), letters[last]  # of a line's rows the last owns, if any does
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(key)))
         several = size > 1
@@ -72,6 +91,7 @@ def _met(batches: Iterator[pa.RecordBatch], slab: int = 1 << 20) -> Iterator[pa.
             ok = own[i] | own[i + far]
             for k in range(0, len(i), slab):
                 j = i[k : k + slab][ok[k : k + slab]]
+                j = j[_alike(letters[j], letters[j + far], edits)]
                 if len(j):
                     yield _pairs(line[j], line[j + far])
         else:
@@ -80,6 +100,7 @@ def _met(batches: Iterator[pa.RecordBatch], slab: int = 1 << 20) -> Iterator[pa.
             for d in range(far, n):
                 j = np.arange(a, a + n - d)
                 j = j[own[j] | own[j + d]]
+                j = j[_alike(letters[j], letters[j + d], edits)]
                 if len(j):
                     yield _pairs(line[j], line[j + d])
 
@@ -127,9 +148,9 @@ def repeated_lines(
     place = F.struct("doc_id", "line_no")
     occ = keep(lines.select("doc_id", "line_no", "h1", F.xxhash64(F.lit(1), "line").alias("h2"), "len"))
     distinct = keep(occ.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")))
-    keys = lines.select("h1", F.explode(F.expr(key_rows(edits))).alias("k")).select("k.key", "h1", "k.own")
+    keys = lines.select("h1", F.expr(letter_counts()).alias("letters"), F.explode(F.expr(key_rows(edits))).alias("k")).select("k.key", "h1", "k.own", "letters")
     keys = keys.repartition("key").sortWithinPartitions("key", "h1", "own")
-    pairs = keep(keys.mapInArrow(_met, "x long, y long").distinct())
+    pairs = keep(keys.mapInArrow(lambda it: _met(it, edits), "x long, y long").distinct())
     ids = pairs.select(F.col("x").alias("h1")).unionByName(pairs.select(F.col("y").alias("h1"))).distinct()
     texts = keep(among(lines.select("h1", "line"), ids, "h1", max_bits).groupBy("h1").agg(F.min("line").alias("line")))
     a, b = texts.withColumnsRenamed({"h1": "x", "line": "a"}), texts.withColumnsRenamed({"h1": "y", "line": "b"})
