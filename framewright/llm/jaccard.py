@@ -17,7 +17,7 @@ from .shingles import WORDS, shingle_sets, signature
 
 NUM, DEN = 80, 100  # two sets link when DEN * |both| >= NUM * |either|
 BLOCK_BYTES = 8 << 20  # of input to each block in which shingles are counted
-GROUP_BYTES = 64 << 20  # of sets that one task joins at once
+GROUP_BYTES = 24 << 20  # of sets that one task joins at once; it takes about six times that while it does
 LONG = 0.01  # DivideSkip's mu: the larger, the fewer lists are probed instead of merged
 _U = np.uint64
 
@@ -364,7 +364,9 @@ def jaccard_components(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text")).select("key", "doc_id", "text")
     n_blocks = n_parts(rows, block_bytes)
-    first = keep(rows.mapInArrow(lambda it: _first(it, words, n_blocks), DEALT))
+    # of more blocks each chunk has less for one: larger chunks keep the arrays from thinning out
+    most = min(max(1 << 21, 16 * n_blocks), 1 << 25)
+    first = keep(rows.mapInArrow(lambda it: _first(it, words, n_blocks, most), DEALT))
     recurring = first.filter("block >= 0").groupBy("block").applyInArrow(_recurring, DEALT)
     known = keep(first.filter("block < 0").unionByName(recurring).groupBy("chunk").applyInArrow(_suspects, KNOWN))
     drop(first)
