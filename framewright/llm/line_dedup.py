@@ -45,22 +45,42 @@ def key_rows(edits: int) -> str:
         own = "true" if less == shift == 0 else "false"
         specs.append(f"named_struct('l', len - {less}, 'i', {i}, 'a', int({start}), 'n', int({size}), 'own', {own})")
     fits = f"filter(array({', '.join(specs)}), s -> s.a >= 1 and s.a + s.n - 1 <= len)"
-    return f"transform({fits}, s -> named_struct('key', xxhash64(s.l, s.i, substring(line, s.a, s.n)), 'own', s.own))"
+    key = "xxhash64(s.l, s.i, substring(line, s.a, s.n))"
+    return f"transform({fits}, s -> named_struct('key', {key}, 'own', s.own))"
 
 
-LETTERS = "etaoinsrhldcumpg"  # fixed values: letters that are counted
+KINDS = 16  # characters are counted by the lower half of their last byte
 
 
-def letter_counts() -> str:
-    """SQL for 16 counts of letters in the line, modulo 16, in one long."""
-    count = lambda c: f"(octet_length(line) - octet_length(replace(line, '{c}', ''))) & 15L"
-    return " | ".join(f"shiftleft({count(c)}, {4 * k})" for k, c in enumerate(LETTERS))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds letters: how many characters of each of 16 kinds a line has, modulo 16, in one long."""
+    of = np.zeros((4, 256), np.uint64)  # counts of four kinds side by side, 16 bits for each
+    for byte in range(256):
+        of[byte % 16 // 4, byte] = 1 << (16 * (byte % 4))
+    for batch in batches:
+        line = batch.column(2).cast(pa.large_string())
+        ends = np.frombuffer(line.buffers()[1], np.int64)[line.offset : line.offset + len(line) + 1]
+        if not len(line):
+            continue
+        raw = np.frombuffer(line.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        last = np.append(raw[1:] & 0xC0 != 0x80, True)  # of the bytes of each character
+        letters = np.zeros(len(line), np.uint64)
+        long = np.flatnonzero(np.diff(ends) > 0xFFFF)  # their counts could run over
+        for k in range(4):
+            sums = np.add.reduceat(np.where(last, of[k][raw], np.uint64(0)), ends[:-1] - ends[0])
+            for j in range(4):
+                letters |= ((sums >> np.uint64(16 * j)) & np.uint64(15)) << np.uint64(4 * (4 * k + j))
+        for i in long:
+            part = slice(ends[i] - ends[0], ends[i + 1] - ends[0])
+            n = np.bincount(raw[part][last[part]] & 15, minlength=16) & 15
+            letters[i] = sum(int(x) << (4 * k) for k, x in enumerate(n))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(letters.view(np.int64))], names=["h1", "len", "line", "letters"])
 
 
 def _alike(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
     """Whether the letter counts allow for `edits`: each changes two of them by one at most."""
     total = np.zeros(len(a), np.int64)
-    for k in range(len(LETTERS)):
+    for k in range(KINDS):
         d = ((a >> 4 * k) - (b >> 4 * k)) & 15
         total += np.minimum(d, 16 - d)
     return total <= 2 * edits
@@ -148,7 +168,8 @@ def repeated_lines(
     place = F.struct("doc_id", "line_no")
     occ = keep(lines.select("doc_id", "line_no", "h1", F.xxhash64(F.lit(1), "line").alias("h2"), "len"))
     distinct = keep(occ.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")))
-    keys = lines.select("h1", F.expr(letter_counts()).alias("letters"), F.explode(F.expr(key_rows(edits))).alias("k")).select("k.key", "h1", "k.own", "letters")
+    counted = lines.select("h1", "len", "line").mapInArrow(_counted, "h1 long, len int, line string, letters long")
+    keys = counted.select("h1", "letters", F.explode(F.expr(key_rows(edits))).alias("k")).select("k.key", "h1", "k.own", "letters")
     keys = keys.repartition("key").sortWithinPartitions("key", "h1", "own")
     pairs = keep(keys.mapInArrow(lambda it: _met(it, edits), "x long, y long").distinct())
     ids = pairs.select(F.col("x").alias("h1")).unionByName(pairs.select(F.col("y").alias("h1"))).distinct()
