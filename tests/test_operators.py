@@ -302,3 +302,16 @@ def test_picture_buffer_is_bounded_and_incremental_equals_batch():
         assert sorted(out) == [(0, p) for p in range(60)] and n <= b.max_size + 1
         if b.max_reorder:
             assert out == sorted(out)
+
+
+def test_reorder_stream_equals_batch_but_for_what_it_still_holds(spark, tmp_path):
+    df = spark.createDataFrame([(k, i, i ^ 3) for k in range(2) for i in range(40)], "k long, at long, p long")
+    for i in range(2):
+        df.filter((F.col("at") >= 20 * i) & (F.col("at") < 20 * i + 20)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = ordered.reorder_stream(stream, "k", "at", "p", 4).writeStream.format("memory").queryName("shown").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted(tuple(r) for r in spark.table("shown").collect())
+    want = sorted(tuple(r) for r in ordered.reorder_batch(df, "k", "at", "p", 4).filter("emitted < 36").collect())
+    assert got == want and len(got) == 72
