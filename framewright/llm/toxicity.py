@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,10 @@ from .shared import keep, ship, table
 N = 8  # bytes of the longest n-gram
 DISCOUNT = 0.75
 SMOOTH = 4.0  # bytes added to a word's length where its log-likelihoods are length-normalised
-MAX_GRAMS = 600_000  # distinct n-grams a model may have: 14 MB at most are sent to the tasks
+MAX_GRAMS = 600_000  # distinct n-grams of a model that is sent to the tasks: 14 MB at most; a larger one stays a table
+PART_GRAMS = 100_000  # of those of a larger model to each part of it
+CHUNK_BYTES = 32 << 20  # of documents that look up their n-grams in a larger model together
+LOW = 3  # shorter n-grams, and those of this length, are few enough to be sent to the tasks with a larger model too
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -39,7 +43,8 @@ class Model:
     what all text has shown, and only what one class has really seen more often tells them apart.
     """
 
-    def __init__(self, grams: Grams, n: int = N, discount: float = DISCOUNT):
+    def __init__(self, grams: Grams, n: int = N, discount: float = DISCOUNT, low: tuple[np.ndarray, np.ndarray] | None = None):
+        """low: distinct n-grams of length min(LOW, n - 1) and their kinds, if grams is a part of all of them only."""
         self.n, self.d = n, discount
         self.top = []
         for c in (grams.toxic, grams.clean):
@@ -49,7 +54,7 @@ class Model:
         self.lower = []
         g = grams.gram
         for k in range(n - 1, 0, -1):
-            g, kinds = np.unique(g & mask(k), return_counts=True)
+            g, kinds = low if low and k == min(LOW, n - 1) else np.unique(g & mask(k), return_counts=True)
             ctx, at = np.unique(g >> np.uint64(8), return_inverse=True)
             self.lower.append((k, g, kinds.astype(np.float64), ctx, np.bincount(at, kinds), np.bincount(at).astype(np.float64)))
 
@@ -156,22 +161,19 @@ def _count(batches: Iterator[pa.RecordBatch], n: int, most: int = 1 << 21) -> It
     yield from out()
 
 
-def fit_grams(rows: DataFrame, n: int, max_grams: int) -> Grams:
-    """rows: text, toxic (0 or 1).  Counts all rows; of the n-grams, the rarest go if there are more than max_grams."""
-    grams = keep(
+def count_grams(rows: DataFrame, n: int) -> DataFrame:
+    """rows: text, toxic (0 or 1).  Every distinct n-gram of them, and how often each class has it: gram, toxic, clean."""
+    return keep(
         rows.mapInArrow(lambda it: _count(it, n), "gram long, toxic long, clean long")
         .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     )
-    total = F.least(F.col("toxic") + F.col("clean"), F.lit(10_000))
-    least, have = 10_001, 0
-    for r in grams.groupBy(total.alias("c")).count().orderBy(F.desc("c")).collect():
-        if (have := have + r["count"]) > max_grams:
-            break
-        least = r["c"]
-    got = grams.filter(total >= least).toArrow()
-    gram, toxic, clean = (got.column(c).to_numpy() for c in ("gram", "toxic", "clean"))
+
+
+def _in_order(got: pa.Table) -> list[np.ndarray]:
+    """Columns sorted by the first, n-grams."""
+    gram, *counts = (c.to_numpy() for c in got.columns)
     by = np.argsort(gram.view(np.uint64))
-    return Grams(gram.view(np.uint64)[by], toxic[by], clean[by])
+    return [gram.view(np.uint64)[by], *(c[by] for c in counts)]
 
 
 @dataclass
@@ -198,25 +200,170 @@ class Logit:
         return 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
 
 
+def _scored(part: pa.Table | pa.RecordBatch, values: Values, n: int, extra: str, finish=None) -> list[pa.RecordBatch]:
+    """part: doc_id, text and another column.  doc_id, that column, and features, or the score that finish makes of them."""
+    x = features(values, lowered(part.column(1).to_pylist()), n)
+    cols = list(x.T) if finish is None else [finish(x)]
+    names = _names(finish)
+    got = pa.table([part.column(0), part.column(2), *(pa.array(c, pa.float64()) for c in cols)], names=["doc_id", extra, *names])
+    return got.to_batches()
+
+
+def _names(finish) -> list[str]:
+    return [f"f{i}" for i in range(FEATURES)] if finish is None else ["score"]
+
+
+def _schema(rows: DataFrame, finish) -> str:
+    extra = rows.columns[2]
+    return f"doc_id long, {extra} {dict(rows.dtypes)[extra]}, " + ", ".join(f"{x} double" for x in _names(finish))
+
+
 def _features_of(rows: DataFrame, grams: Grams, n: int, finish=None) -> DataFrame:
     """rows: doc_id, text and another column.  Features, or the score that finish makes of them."""
-    names = [f"f{i}" for i in range(FEATURES)] if finish is None else ["score"]
     extra = rows.columns[2]
-    kind = dict(rows.dtypes)[extra]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = None
         for batch in batches:
             values = values or Values(Model(grams, n).ratio, 1, bits=21)
             for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                x = features(values, lowered(part.column(1).to_pylist()), n)
-                cols = list(x.T) if finish is None else [finish(x)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), *(pa.array(c, pa.float64()) for c in cols)], names=["doc_id", extra, *names]
-                )
+                yield from _scored(batch.slice(at, 500), values, n, extra, finish)
+
+    return rows.mapInArrow(of, _schema(rows, finish))
+
+
+# -- models that are too large to be sent to the tasks
 
-    return rows.mapInArrow(of, f"doc_id long, {extra} {kind}, " + ", ".join(f"{x} double" for x in names))
+
+def _deal(grams: np.ndarray, n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the n-grams by part, and the bounds of the parts in it.
+
+    The last LOW bytes of what is before its last byte tell an n-gram's part.  So all that its probability
+    needs of n-grams longer than LOW is in the same part.
+    """
+    part = ((grams >> np.uint64(8) & mask(min(LOW, n - 1))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Compressed, first bytes first."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, kind: str) -> np.ndarray:
+    n, size = int.from_bytes(packed[:8], "little"), np.dtype(kind).itemsize
+    raw = pa.decompress(packed[8:], n * size, "zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(size, n).T.copy().view(kind)[:, 0]
+
+
+def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
+    cols = list(zip(*rows)) or [[]] * len(kinds)
+    return pa.table({k: pa.array(c, t) for (k, t), c in zip(kinds.items(), cols)})
+
+
+def _parted(batches: Iterator[pa.RecordBatch], n: int, parts: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Counted n-grams by part."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        gram, toxic, clean = _in_order(pa.Table.from_batches(held))
+        order, at = _deal(gram, n, parts)
+        cols = gram[order], toxic[order], clean[order]
+        rows = [(p, *(_pack(c[i:j]) for c in cols)) for p, (i, j) in enumerate(zip(at, at[1:])) if j > i]
+        held.clear()
+        yield from _table(rows, part=pa.int32(), gram=pa.binary(), toxic=pa.binary(), clean=pa.binary()).to_batches()
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= most:
+            yield from out()
+    if held:
+        yield from out()
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows in compressed chunks.  A chunk's number is a hash of it, so that what is looked up for it can't go to another."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+            to.write_table(pa.Table.from_batches(held).combine_chunks())
+        held.clear()
+        rows = sink.getvalue().to_pybytes()
+        chunk = int.from_bytes(hashlib.blake2b(rows, digest_size=8).digest(), "little", signed=True)
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([rows], pa.binary())], names=["chunk", "rows"])
+
+    size = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            held.append(batch.slice(at, 500))
+            size += held[-1].nbytes
+            if size >= most:
+                yield out()
+                size = 0
+    if held:
+        yield out()
+
+
+def _distinct(texts: list[bytes], n: int, most: int = 1 << 22) -> np.ndarray:
+    held = [np.zeros(0, np.uint64)]
+    for b in blocks(texts, n):
+        held.append(np.unique(in_words(*b[:3], n)[0]))
+        if sum(map(len, held[1:])) >= most:
+            held = [np.unique(np.concatenate(held))]
+    return np.unique(np.concatenate(held))
+
+
+def _features_far(rows: DataFrame, counts: DataFrame, n: int, parts: int, finish=None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """As _features_of, with a model that stays a table.
+
+    Documents are put together in chunks.  A chunk's distinct n-grams go to the parts of the model that know of them; their
+    values come back to the chunk, whose documents are then scored as by a model at hand.
+    """
+    extra, order = rows.columns[2], min(LOW, n - 1)
+    low = None
+    if order:
+        last = lambda k: F.col("gram").bitwiseAND(F.lit(int(mask(k))))
+        kinds = counts.select(last(order + 1).alias("gram")).distinct().groupBy(last(order).alias("gram")).agg(F.count(F.lit(1)).alias("kinds"))
+        low = tuple(_in_order(kinds.toArrow()))
+    chunks = rows.mapInArrow(lambda it: _chunks(it, chunk_bytes), "chunk long, rows binary")
+
+    def texts_of(packed: bytes) -> pa.Table:
+        return pa.ipc.open_stream(packed).read_all()
+
+    def asked(t: pa.Table) -> pa.Table:
+        grams = _distinct(lowered(texts_of(t.column("rows")[0].as_py()).column(1).to_pylist()), n)
+        by, at = _deal(grams, n, parts)
+        grams = grams[by]
+        out = [(t.column("chunk")[0].as_py(), p, _pack(np.diff(grams[i:j], prepend=np.uint64(0)))) for p, (i, j) in enumerate(zip(at, at[1:])) if j > i]
+        return _table(out, chunk=pa.int64(), part=pa.int32(), gram=pa.binary())
+
+    def valued(ask: pa.Table, known: pa.Table) -> pa.Table:
+        cols = [np.concatenate([np.zeros(0, k), *(_unpack(x, k) for x in known.column(c).to_pylist())]) for c, k in (("gram", "<u8"), ("toxic", "<i8"), ("clean", "<i8"))]
+        by = np.argsort(cols[0])
+        values = Values(Model(Grams(*(c[by] for c in cols)), n, low=low).ratio, 1, bits=20)
+        out = [
+            (c, p, _pack(values[np.cumsum(_unpack(g, "<u8"), dtype=np.uint64)][:, 0]))
+            for c, p, g in zip(*(ask.column(x).to_pylist() for x in ("chunk", "part", "gram")))
+        ]
+        return _table(out, chunk=pa.int64(), part=pa.int32(), value=pa.binary())
+
+    def scored(t: pa.Table, got: pa.Table) -> pa.Table:
+        docs = [texts_of(x) for x in t.column("rows").to_pylist()]
+        grams = _distinct(lowered(docs[0].column(1).to_pylist()), n)
+        by, _ = _deal(grams, n, parts)
+        value = np.empty(len(grams), np.float32)
+        value[by] = np.concatenate([np.zeros(0, np.float32), *(_unpack(v, "<f4") for _, v in sorted(zip(*(got.column(x).to_pylist() for x in ("part", "value")))))])
+        values = Values(lambda g: value[np.searchsorted(grams, g)][:, None], 1, bits=21)
+        return pa.Table.from_batches([b for d in docs for at in range(0, len(d), 500) for b in _scored(d.slice(at, 500), values, n, extra, finish)])
+
+    model = counts.mapInArrow(lambda it: _parted(it, n, parts), "part int, gram binary, toxic binary, clean binary")
+    ask = chunks.groupBy("chunk").applyInArrow(asked, "chunk long, part int, gram binary")
+    values = ask.groupBy("part").cogroup(model.groupBy("part")).applyInArrow(valued, "chunk long, part int, value binary")
+    return chunks.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(scored, _schema(rows, finish))
 
 
 def score_toxicity(
@@ -232,7 +379,8 @@ def score_toxicity(
     like others; null doc_ids are scored, not learned from; of several labels of a doc_id the largest counts and
     null ones don't.  Repeated rows count each; an empty table gives an empty result; other columns are ignored.
 
-    Labels are sent to the tasks if there are broadcast_rows of them at most, and joined by a shuffle of the labelled rows beyond.
+    The models have every n-gram of the counted rows.  They are sent to the tasks if these are max_grams at most, and stay a table in
+    which the documents look up theirs beyond.  Labels are sent to the tasks if there are broadcast_rows of them at most, and joined by a shuffle of the labelled rows beyond.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -250,17 +398,23 @@ def score_toxicity(
     if len(have) < 2:
         score = F.lit(1.0 if have.get(1) else 0.0)
         return rows.select("doc_id", out.alias("held_out"), score.alias("score"), score.cast("int").alias("predicted"))
-    grams = fit_grams(known.filter(~last).select("text", "toxic"), n, max_grams)
+    counts = count_grams(known.filter(~last).select("text", "toxic"), n)
+    size = counts.count()
+    if size <= max_grams:
+        grams = Grams(*_in_order(counts.toArrow()))
+        features_of: Callable[..., DataFrame] = lambda rows, finish=None: _features_of(rows, grams, n, finish)
+    else:
+        features_of = lambda rows, finish=None: _features_far(rows, counts, n, -(-size // PART_GRAMS), finish)
     held = {r["toxic"]: r["count"] for r in marks.filter(last).groupBy("toxic").count().collect()}
     usable = known.filter(last) if len(held) == 2 else known
     share = min(1.0, calibrate_rows / max(1, sum((held if len(held) == 2 else have).values())))
     drawn = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("kn")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    got = _features_of(drawn, grams, n).toArrow()
+    got = features_of(drawn).toArrow()
     x = np.column_stack([got.column(f"f{i}").to_numpy() for i in range(FEATURES)])
     if not len(x):  # labels, but none of a document in docs
         return rows.select("doc_id", out.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     finish = Logit.fit(x, got.column("toxic").to_numpy().astype(np.float64))
-    scored = _features_of(rows.withColumn("held_out", out), grams, n, finish)
+    scored = features_of(rows.withColumn("held_out", out), finish)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
