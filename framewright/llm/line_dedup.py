@@ -13,7 +13,7 @@ from .edits import within
 from .shared import keep, ship, table
 
 EDITS = 2
-MIN_CHARS = 40  # shorter lines recur by chance and always stay
+MIN_CHARS = 40  # shorter lines are not compared by edits
 
 
 def probes(edits: int) -> list[tuple[int, int, int]]:
@@ -146,12 +146,14 @@ def _verified(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Reco
 
 
 def repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, max_bits: int = bloom.MAX_BITS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, max_bits: int = bloom.MAX_BITS,
+    exact_chars: int | None = None,
 ) -> DataFrame:
     """One row for each line that repeats an earlier one: doc_id, line_no, first_doc_id, first_line_no.
 
     A line repeats an earlier one, by doc_id and then number (from 0), if the two are at most `edits` insertions,
     deletions and substitutions apart and have min_chars characters at least; first_* name the earliest such line.
+    Shorter lines of exact_chars at least (min_chars, if it is None) that aren't blank repeat an earlier one if they equal it.
     So of each set of equal lines exactly the first stays.  Null texts have no lines; null doc_ids come first; rows
     repeated with the same doc_id count as one; an empty table gives an empty result; other columns are ignored.
 
@@ -164,16 +166,19 @@ def repeated_lines(
     ship(spark)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = text.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    lines = lines.withColumn("len", F.length("line")).filter(F.col("len") >= max(min_chars, edits + 1)).withColumn("h1", F.xxhash64("line"))
+    long = F.col("len") >= max(min_chars, edits + 1)
+    least = min_chars if exact_chars is None else exact_chars
+    short = F.lit(False) if least >= max(min_chars, edits + 1) else (F.col("len") >= least) & F.col("line").rlike(r"\S")
+    lines = lines.withColumn("len", F.length("line")).filter(long | short).withColumn("h1", F.xxhash64("line"))
     place = F.struct("doc_id", "line_no")
     occ = keep(lines.select("doc_id", "line_no", "h1", F.xxhash64(F.lit(1), "line").alias("h2"), "len"))
     distinct = keep(occ.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")))
-    counted = lines.select("h1", "len", "line").mapInArrow(_counted, "h1 long, len int, line string, letters long")
+    counted = lines.filter(long).select("h1", "len", "line").mapInArrow(_counted, "h1 long, len int, line string, letters long")
     keys = counted.select("h1", "letters", F.explode(F.expr(key_rows(edits))).alias("k")).select("k.key", "h1", "k.own", "letters")
     keys = keys.repartition("key").sortWithinPartitions("key", "h1", "own")
     pairs = keep(keys.mapInArrow(lambda it: _met(it, edits), "x long, y long").distinct())
     ids = pairs.select(F.col("x").alias("h1")).unionByName(pairs.select(F.col("y").alias("h1"))).distinct()
-    texts = keep(among(lines.select("h1", "line"), ids, "h1", max_bits).groupBy("h1").agg(F.min("line").alias("line")))
+    texts = keep(among(lines.filter(long).select("h1", "line"), ids, "h1", max_bits).groupBy("h1").agg(F.min("line").alias("line")))
     a, b = texts.withColumnsRenamed({"h1": "x", "line": "a"}), texts.withColumnsRenamed({"h1": "y", "line": "b"})
     near = pairs.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(lambda it: _verified(it, edits), "x long, y long")
     both = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y")))
@@ -221,4 +226,4 @@ def without_lines(docs: DataFrame, repeated: DataFrame, max_bits: int = bloom.MA
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines(table(spark, sf_dir, "documents"))
+    return repeated_lines(table(spark, sf_dir, "documents"), exact_chars=1)

@@ -17,7 +17,7 @@ from framewright.llm.exact_dedup import exact_dedup
 from framewright.llm.html_text import extract_text
 from framewright.llm.language_id import identified, predict_language
 from framewright.llm.licenses import scan_licenses
-from framewright.llm.line_dedup import repeated_lines, without_lines
+from framewright.llm.line_dedup import op5_line_dedup, repeated_lines, without_lines
 from framewright.llm.packing import Words, best_two_fit, cut, pack_documents
 from framewright.llm.toxicity import score_toxicity
 from framewright.llm.url_filter import RULES, Rule, build_cascade, url_filter
@@ -265,6 +265,13 @@ def test_line_dedup(spark, bits):
     assert repeated_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_of_short_equal_lines(spark, tmp_path):
+    rows = [(1, "ab\n\n  \nShort line.\nAnd."), (2, "And.\nShort line\n  \n"), (3, "Short line.\nab\nx" + "y" * 50), (4, "x" + "y" * 51 + "\nAnd.")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(2, 0, 1, 4), (3, 0, 1, 3), (3, 1, 1, 0), (4, 0, 3, 2), (4, 1, 1, 4)}
+
+
 # -- op6
 
 
