@@ -124,7 +124,7 @@ def _recurring(t: pa.Table) -> pa.Table:
         doc, n = np.unique(doc[again[at : at + len(doc)]], return_counts=True)
         at += len(p) // 2
         if len(doc):
-            rows.append((c, 0, doc.tobytes(), n.astype(np.uint16).tobytes()))
+            rows.append((c, 0, doc.tobytes(), n.astype(np.uint32).tobytes()))
     return pa.Table.from_batches([_batch(DEALT, list(zip(*rows)) or [[]] * 4)])
 
 
@@ -141,7 +141,7 @@ def _suspects(t: pa.Table) -> pa.Table:
     found = np.zeros(n, np.int64)
     for b, p, c in zip(block, places, values):
         if b >= 0:
-            found[_u(p, "<u2")] += _u(c, "<u2")
+            found[_u(p, "<u2")] += _u(c, "<u4")
     near = (size > 0) & (found >= _lead(overlap_needed(size)))
     cols = [pa.array(ids, mask=null.astype(bool)), pa.array(key), pa.array(size), pa.array([sigs[16 * j : 16 * j + 16] for j in range(n)], pa.binary()), pa.array(near)]
     return pa.Table.from_arrays(cols, names=[x.split()[0] for x in KNOWN.split(", ")])

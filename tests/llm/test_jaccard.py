@@ -3,9 +3,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from framewright.llm.jaccard import jaccard_components
+from framewright.llm.jaccard import DEALT, _batch, _prefix, _recurring, _suspects, jaccard_components
 
 SCHEMA = "doc_id long, text string, n_chars long, key string"
 
@@ -68,3 +70,13 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_empty_table(spark):
     assert jaccard_components(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_more_recurring_shingles_than_16_bits_count():
+    size = 159_090  # two equal sets of so many, all in one block
+    value = np.arange(_prefix(size), dtype=np.uint32)
+    place = np.repeat(np.arange(2), len(value)).astype(np.uint16)
+    again = _recurring(pa.Table.from_batches([_batch(DEALT, [[0], [0], [place.tobytes()], [np.tile(value, 2).tobytes()]])]))
+    known = np.array([1, 2], np.int64).tobytes() + bytes(2) + np.full(2, size, np.int32).tobytes() + bytes(32)
+    meta = _batch(DEALT, [[0], [-1], [np.arange(2).tobytes()], [known]])
+    assert _suspects(pa.concat_tables([pa.Table.from_batches([meta]), again])).column("near").to_pylist() == [True, True]
