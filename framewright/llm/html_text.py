@@ -17,18 +17,23 @@ from .shared import ship, table
 
 TRAIN_PAGES = 500  # labelled pages that the field is trained on
 # Attributes as HTML writes them, or else anything up to the next angle bracket.
-_ATTRIBUTES = r"(?:\s++(?:[^\s=<>\"'/]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s<>\"']++))?+)?+)*+\s*+/?|[^<>]*+"
+_WELL = r"(?:\s++(?:[^\s=<>\"'/]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s<>\"']++))?+)?+)*+\s*+"
+_ATTRIBUTES = rf"{_WELL}/?|[^<>]*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*+>"
-    rf"|<(script|style|noscript|template|svg|iframe|object|textarea|title)\b(?:{_ATTRIBUTES})>.*?(?:</\2\s*>|\Z)"
+    rf"|<(script|style|noscript|iframe|textarea|title)(?![\w:-]|{_WELL}/>)(?:{_ATTRIBUTES})>.*?(?:</\2\s*>|\Z)"
     rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_ATTRIBUTES})>",
     re.S | re.I,
 )
+_UNFINISHED = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+HIDDEN = frozenset(["svg", "template"])
+# HTML elements that end an open svg.
+BREAKS = frozenset("article aside b big blockquote body br center code dd div dl dt em embed footer form h1 h2 h3 h4 h5 h6 head header hr i img li main menu nav ol p pre s section small span strike strong sub sup table tt u ul".split())
 # An opening tag ends an open element of these kinds, unless one of BOUNDARY is in between.
 CLOSES = {x: {"p"} for x in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
 CLOSES |= {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -64,7 +69,8 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """The page's leaf blocks: runs of text between block-level tags, white space made single spaces.
 
-    Comments, scripts, styles and other text that isn't shown are left out.  Unclosed elements end where HTML ends
+    Comments, scripts, styles and other text that isn't shown are left out; what is in an svg or template, up to its end tag, that of an
+    element around it or, for an svg, an HTML element.  Tags of objects are passed over, and what starts no tag is text.  Unclosed elements end where HTML ends
     them, and end tags without a start are ignored.
     """
     out: list[Block] = []
@@ -82,9 +88,10 @@ def blocks_of(page: str) -> list[Block]:
             inside.clear()
 
     inside: list[frozenset[int]] = []
+    hidden: list[str] = []  # open elements from an svg or template on
 
     def add(raw: str) -> None:
-        if raw:
+        if raw and not hidden:
             held.append((html.unescape(raw) if "&" in raw else raw, any(t == "a" for t, _ in stack)))
             if not raw.isspace():
                 inside[:] = [stack[-1][1]]
@@ -98,6 +105,24 @@ def blocks_of(page: str) -> list[Block]:
         if m[4] is None:
             continue
         tag = m[4].lower()
+        if tag == "object":
+            continue
+        if hidden:
+            if m[3]:
+                if tag in hidden:
+                    del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
+                    continue
+                if not any(t == tag for t, _ in stack):
+                    continue
+            elif hidden[0] != "svg" or tag not in BREAKS:
+                if tag not in VOID and not m[5].endswith("/"):
+                    hidden.append(tag)
+                continue
+            hidden.clear()
+        if tag in HIDDEN:
+            if not m[3] and not m[5].endswith("/"):
+                hidden.append(tag)
+            continue
         if m[3]:
             if tag not in INLINE:
                 flush()
@@ -130,7 +155,7 @@ def blocks_of(page: str) -> list[Block]:
                     if k := WORDS.get(w.lower()):
                         marks.add(INDEX[f"kind:{k}"])
         stack.append((tag, frozenset(marks)))
-    add(page[at:] if not page[at:].startswith("<") else "")
+    add(page[at:] if not _UNFINISHED.match(page, at) else "")
     flush()
     return out
 

@@ -14,7 +14,7 @@ from framewright.llm import bloom
 from framewright.llm.decontaminate import find_benchmark, normal, without_benchmark
 from framewright.llm.edits import best_ending, masks, within
 from framewright.llm.exact_dedup import exact_dedup
-from framewright.llm.html_text import extract_text
+from framewright.llm.html_text import blocks_of, extract_text
 from framewright.llm.language_id import identified, predict_language
 from framewright.llm.licenses import scan_licenses
 from framewright.llm.line_dedup import op5_line_dedup, repeated_lines, without_lines
@@ -326,6 +326,16 @@ def test_html_extraction(spark):
     assert extract_text(df.limit(0)).count() == 0
 
 
+def test_html_text_after_odd_tags():
+    of = lambda page: [b.text for b in blocks_of(page)]
+    assert of("<p>one <svg width='1' /> two</p><p>three</p>") == ["one two", "three"]
+    assert of("<p>one <svg><title>t</title><text>x</text></svg> two</p><template><div>x</div></template><p>three</p>") == ["one two", "three"]
+    assert of("<div><p>one</p><svg><g><p>two</p></div><div><template><b>x</div><p>three</p>") == ["one", "two", "three"]
+    assert of("<article><object data='a'><p>one</p></article><p>two</p>") == ["one", "two"]
+    assert of("<iframe title='a>b' src=\"x\"/><p>one</p><script src=/a/>var x</script><title-card>two</title-card>") == ["one", "two"]
+    assert of("<p>one</p><3 apples") == ["one", "<3 apples"] and of("<p>one</p><div class='x") == ["one"]
+
+
 # -- op8
 
 
