@@ -3,53 +3,69 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import keep, ship, table
 
 CAPACITY = 2048
 END_ID = 0
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, rank long"
+SPECIAL = {"<|endoftext|>": 50256}  # the tokenizer file's added tokens
+CELL = 1 << 20  # pieces of one length that are ranked in one task
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
+# What the tokenizer's pre-tokenisation takes for white space (Unicode's White_Space).
+WHITE = "\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_PART = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
 class Words(dict):
-    """Token ids, as little-endian unsigned 32-bit bytes, of what stands between two single spaces.
+    """Token ids, as little-endian unsigned 32-bit bytes, of a run of white space and the run of other characters after it.
 
-    Pre-tokenisation never joins what a single space separates, so each such part is encoded once
-    and looked up afterwards.  The memory is bounded: a full dictionary is emptied.
+    Pre-tokenisation always ends a token where white space begins, so each such part is encoded once and
+    looked up afterwards.  The memory is bounded: a full dictionary is emptied, and long parts are not remembered.
     """
 
     LIMIT = 400_000
+    LONG = 256
 
-    def __init__(self, ranks_path: str):
+    def __init__(self, ranks_path: str, special: dict[str, int] = SPECIAL):
+        """special: strings that are a token of their own wherever they stand, and their ids; the longest wins."""
         import public_tokenizers
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.special = {k: np.array([v], "<u4").tobytes() for k, v in special.items()}
+        self.cuts = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        ids = self[part] = self.whole(part if part[0] == "\n" else " " + part)
+        ids = np.array(self.encoding.encode_ordinary(part), "<u4").tobytes()
+        if len(part) <= self.LONG:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[part] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text."""
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
-            return self.whole(text)  # white space of other kinds, in runs, or at an end
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self.whole(first) + b"".join(map(self.__getitem__, rest))
+        if not any(x in text for x in self.special):
+            return self.plain(text)
+        out, at = [], 0
+        for m in self.cuts.finditer(text):
+            out += [self.plain(text[at : m.start()]), self.special[m[0]]]
+            at = m.end()
+        return b"".join([*out, self.plain(text[at:])])
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, _PART.findall(text)))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -59,21 +75,17 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], ranks_path: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    """A row for each piece; rank counts pieces of one length within this task."""
-    words, seen = Words(ranks_path), np.zeros(capacity + 1, np.int64)
-    chunk, end = TaskContext.get().partitionId() if TaskContext.get() else 0, np.array([END_ID], "<u4").tobytes()
+    """A row for each piece."""
+    words, end = Words(ranks_path), np.array([END_ID], "<u4").tobytes()
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     for batch in batches:
-        for at in range(0, max(batch.num_rows, 1), 500):
+        for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             out: list[tuple] = []
             for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 ids = (words.encode(text) if text else b"") + end
-                for i, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    out.append((key, i, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), chunk, int(seen[n])))
-                    seen[n] += 1
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            cols = list(zip(*out)) or [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in PIECES.split(", ")])
+                out += [(key, i, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])) for i, (start, n) in enumerate(cut(len(ids) // 4, capacity))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[x.split()[0] for x in PIECES.split(", ")])
 
 
 def best_two_fit(counts: list[int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -150,7 +162,8 @@ def slots(plan: list[tuple[list[tuple[int, int]], int]]) -> dict[int, np.ndarray
 
 
 def pack_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, ranks_path: str | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, ranks_path: str | None = None,
+    cell: int = CELL,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -160,8 +173,11 @@ def pack_documents(
     are ignored.  Pieces of one length are interchangeable: the order in which they stand decides ties.
 
     Texts are read once; what is shuffled is one narrow row per piece.  The driver gets the number of
-    pieces of each length (at most `capacity` rows) and packs those counts; every piece then finds its place by
-    its length and its rank among pieces of that length.
+    pieces of each length (at most `capacity` rows) and packs those counts; the plan has a few rows for each length, however
+    many pieces there are.  Every piece then finds its place by its length and its rank among pieces of that length.
+    Ranks are given out cell by cell: pieces of one length are dealt to as many cells as keep them at about CELL each, the
+    driver gets the cells' sizes (one number for each length and each million pieces), and a cell is numbered by the one
+    task that has it, in an order that its rows alone decide, so that a task that runs again gives the same ranks.
     """
     import public_tokenizers
 
@@ -170,32 +186,40 @@ def pack_documents(
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = keep(source.mapInArrow(lambda it: pieces(it, ranks_path, capacity), PIECES))
-    # ranks within a task become ranks over all tasks by adding what the tasks before it have
-    per = keep(rows.groupBy("chunk", "length").agg(F.count(F.lit(1)).alias("n")))
     counts = [0] * (capacity + 1)
-    for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect():
+    for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[r["length"]] = r["n"]
     place = slots(best_two_fit(counts, capacity))
-    before = F.expr("coalesce(sum(n) over (partition by length order by chunk rows between unbounded preceding and 1 preceding), 0)")
-    base = per.select("chunk", "length", before.alias("before"))
-    ranked = rows.join(base, ["chunk", "length"]).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank")
-    )
+    cells = F.element_at(F.array(*(F.lit(max(1, -(-c // cell))) for c in counts[1:])), F.col("length").cast("int"))
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), cells.cast("long")))
+    size: dict[tuple[int, int], int] = {}
+    for r in sorted(rows.groupBy("length", "cell").agg(F.count(F.lit(1)).alias("n")).collect()):
+        size[r["length"], r["cell"]] = r["n"]
+    before, total = {}, {}
+    for (n, c), own in size.items():
+        before[n, c] = total.get(n, 0)
+        total[n] = before[n, c] + own
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, given = None, 0
         for batch in batches:
-            n, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            n, c = batch.column("length").to_numpy(), batch.column("cell").to_numpy()
             seq, off = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
-            for k in np.unique(n):
-                at = np.flatnonzero(n == k)
-                t = place[int(k)]
-                row = t[np.searchsorted(t[:, 0], rank[at], "right") - 1]
-                i = rank[at] - row[:, 0]
-                seq[at], off[at] = row[:, 1] + i // row[:, 2], row[:, 3] + i % row[:, 2] * k
+            edges = np.flatnonzero(np.append(True, (n[1:] != n[:-1]) | (c[1:] != c[:-1]))) if len(n) else []
+            for a, b in zip(edges, [*edges[1:], len(n)]):
+                k = int(n[a]), int(c[a])
+                at, given = k, given if k == at else 0
+                rank = before[k] + given + np.arange(b - a)
+                given += b - a
+                t = place[k[0]]
+                row = t[np.searchsorted(t[:, 0], rank, "right") - 1]
+                i = rank - row[:, 0]
+                seq[a:b], off[a:b] = row[:, 1] + i // row[:, 2], row[:, 3] + i % row[:, 2] * k[0]
             cols = [batch.column(i) for i in range(5)] + [pa.array(seq), pa.array(off)]
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(put, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    dealt = rows.repartition("length", "cell").sortWithinPartitions("length", "cell", "doc_id", "piece", "ids_crc32", "start")
+    return dealt.mapInArrow(put, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import binascii
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -146,7 +147,9 @@ def test_words_encode_like_the_tokenizer():
     rng = random.Random(8)
     bits = ["a", "the", "Ünï", "x1", "42", "don't", "'s", " ", "  ", "\n", "\n\n", "\t", "\u00a0", "\u3000", "!", "###", "日本", "🙂", ".", "\r\n", "\x1c", "_"]
     texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
-    for t in [*texts, " a", "a ", "a b", "a\nb", "\n", " ", "a \nb", "a\n b"]:
+    texts += ["".join(x) for n in range(7) for x in itertools.product("a \t\n", repeat=n)]
+    texts += ["Name\tAge  City", "x\ty ", "a\u00a0b  c", "a<|endoftext|> b", "<|endoftext|><|endoftext|>", " <|endoftext|>  y", "!\x1c?\x85 z", "word " * 300 + "\n" * 700]
+    for t in texts:
         assert np.frombuffer(own.encode(t), "<u4").tolist() == ref.encode(t, add_special_tokens=False).ids, repr(t)
 
 
@@ -178,9 +181,50 @@ def test_best_two_fit_packs_all_and_nearly_best():
         assert bins <= len(rooms) * 1.06 + 2
 
 
-def test_packing(spark):
-    rows = [*ODD, *((100 + i, "word " * (i * 37 % 500)) for i in range(80))]
-    got = pack_documents(docs(spark, rows)).collect()
+def piecewise(lengths, cap):
+    """Best-two-fit with one piece after the other: what each bin holds, as sorted lengths."""
+    left, out = sorted(lengths, reverse=True), []
+    while left:
+        own = []
+
+        def fitting(room):
+            return next((n for n in left if n <= room), None)
+
+        while (n := fitting(cap - sum(own))) is not None:
+            left.remove(n)
+            own.append(n)
+        if sum(own) < cap and len(own) > 1:
+            gap, best, pair = cap - sum(own) + min(own), min(own), None
+            for a in sorted(set(left), reverse=True):
+                rest = list(left)
+                rest.remove(a)
+                b = next((n for n in rest if n <= min(gap - a, a)), None)
+                if a < gap and b and a + b > best:
+                    best, pair = a + b, (a, b)
+            if pair:
+                left.append(min(own))
+                own.remove(min(own))
+                for n in pair:
+                    left.remove(n)
+                    own.append(n)
+                left.sort(reverse=True)
+        out.append(sorted(own))
+    return sorted(out)
+
+
+def test_best_two_fit_packs_like_piece_by_piece():
+    rng = random.Random(12)
+    for _ in range(150):
+        cap = rng.choice([7, 20, 60])
+        counts = [0] + [rng.choice([0, 0, 1, 2, 7]) for _ in range(cap)]
+        got = [sorted(n for n, c in contents for _ in range(c)) for contents, times in best_two_fit(counts, cap) for _ in range(times)]
+        assert sorted(got) == piecewise([n for n, c in enumerate(counts) for _ in range(c)], cap)
+
+
+@pytest.mark.parametrize("cell", [1 << 20, 3])
+def test_packing(spark, cell):
+    rows = [*ODD, *((100 + i, "word " * (i * 37 % 500)) for i in range(80)), (7, "tab\tand  runs "), (8, "<|endoftext|>"), (8, "same id")]
+    got = pack_documents(docs(spark, rows), cell=cell).collect()
     pieces, seqs = {}, {}
     for r in got:
         pieces.setdefault((r["doc_id"], r["piece"]), []).append((r["start"], r["length"], r["ids_crc32"]))
