@@ -1,8 +1,8 @@
 """Bloom filters made of plain SQL expressions.
 
 A filter is a DataFrame of one row that holds its bits as array<bigint>; expressions read it
-through a scalar subquery, so that probing needs neither a join nor Python.  The number of bits
-is a parameter of whoever builds a filter; MAX_BITS is the most that is ever sent to the tasks.
+through a scalar subquery, so that probing needs neither a join nor Python.  max_bits is the most that
+is ever sent to the tasks.
 """
 
 from __future__ import annotations
@@ -38,18 +38,21 @@ def positions(key: Column, m: int, k: int, seed: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(seed), F.lit(i)), F.lit(m)) for i in range(k)]
 
 
-def shape(n: int, fpp: float) -> tuple[int, int]:
-    """Bits (a multiple of 64) and hash functions for n keys at the false positive rate fpp."""
+def shape(n: int, fpp: float, max_bits: int | None = None) -> tuple[int, int]:
+    """Bits (a multiple of 64, max_bits at most) and hash functions for n keys at the false positive rate fpp, or what max_bits allows."""
     n = max(n, 1)
     m = max(64, -(-math.ceil(-n * math.log(fpp) / math.log(2) ** 2) // 64) * 64)
+    m = min(m, max(64, max_bits // 64 * 64)) if max_bits else m
     return m, max(1, min(12, round(m / n * math.log(2))))
 
 
-def build(keys: DataFrame, key: str, n: int, fpp: float, seed: int) -> Bloom:
-    """A filter of the n keys in keys[key].  Raises if it would have more than MAX_BITS."""
-    m, k = shape(n, fpp)
-    if m > MAX_BITS:
-        raise ValueError(f"{m} bits are more than {MAX_BITS}")
+def build(keys: DataFrame, key: str, n: int, fpp: float, seed: int, max_bits: int = MAX_BITS) -> Bloom:
+    """A filter of the n keys in keys[key], of max_bits at most.
+
+    More keys than that holds at fpp let more other keys pass, never fewer of their own: whoever filters by it
+    and then joins gets the same rows, by the same plan, at any number of keys.
+    """
+    m, k = shape(n, fpp, max_bits)
     spark = keys.sparkSession
     words = (
         keys.select(F.explode(F.array(*positions(F.col(key), m, k, seed))).alias("p"))

@@ -21,7 +21,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1B54A32D192ED03))
+BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1B54A32D192ED03))
 _PLACE = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | _U(1)
 
 
@@ -37,6 +37,11 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base of hashes, and their inverses modulo 2**64."""
+    return _Powers.upto(n)
+
+
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each word of raw, A-Z lower-cased."""
     b = np.frombuffer(raw.lower(), np.uint8)
@@ -45,8 +50,8 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     inside = ~_ISSPACE[b]
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _Powers.upto(len(b) + 1)
-    total = np.concatenate([[_U(0)], np.cumsum(_BYTE[b] * up[: len(b)])])
+    up, down = powers(len(b) + 1)
+    total = np.concatenate([[_U(0)], np.cumsum(BYTE_HASH[b] * up[: len(b)])])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start
 
 

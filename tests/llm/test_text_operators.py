@@ -18,7 +18,7 @@ from framewright.llm.exact_dedup import exact_dedup
 from framewright.llm.html_text import blocks_of, extract_text
 from framewright.llm.language_id import identified, predict_language
 from framewright.llm.licenses import scan_licenses
-from framewright.llm.line_dedup import op5_line_dedup, repeated_lines, without_lines
+from framewright.llm.line_dedup import line_repeats, op5_line_dedup, repeated_lines, without_lines
 from framewright.llm.packing import Words, best_two_fit, cut, pack_documents
 from framewright.llm.toxicity import score_toxicity
 from framewright.llm.url_filter import RULES, Rule, build_cascade, url_filter
@@ -280,8 +280,8 @@ def test_decontamination(spark):
 # -- op5
 
 
-@pytest.mark.parametrize("bits", [bloom.MAX_BITS, 64])
-def test_line_dedup(spark, bits):
+@pytest.mark.parametrize("bits,group", [(bloom.MAX_BITS, 4096), (64, 2)])
+def test_line_dedup(spark, bits, group):
     rng = random.Random(9)
     line = lambda: "".join(rng.choice("abcd é") for _ in range(rng.randint(10, 60)))
     pool = [line() for _ in range(60)]
@@ -295,8 +295,8 @@ def test_line_dedup(spark, bits):
         if first:
             want.add((i, n, *first))
     df = docs(spark, rows)
-    found = repeated_lines(df, min_chars=20, max_bits=bits)
-    assert {tuple(r) for r in found.collect()} == want and len(want) > 20
+    assert {tuple(r) for r in repeated_lines(df, min_chars=20, max_bits=bits, group=group).collect()} == want and len(want) > 20
+    found = line_repeats(df, min_chars=20, max_bits=bits, group=group)
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in without_lines(df, found, max_bits=bits).collect()}
     gone = {(i, n) for i, n, *_ in want}
     for i, t in rows:
@@ -309,6 +309,36 @@ def test_line_dedup(spark, bits):
     assert repeated_lines(docs(spark, [])).count() == 0
 
 
+def test_lines_go_from_their_own_row(spark):
+    long = "this line of more than forty characters is here twice"
+    rows = [(1, long), (2, f"{long}\nand this is another line of the first row with the id two"), (2, "what stands here is nowhere else, though the id is used again\n" + long), (3, None)]
+    df = spark.createDataFrame([(i, t, 9, "a", "b", 7) for i, t in rows], "doc_id long, text string, n_chars int, _lines string, key string, gone int")
+    got = without_lines(df, line_repeats(df))
+    assert got.columns == df.columns and got.dtypes == df.dtypes
+    second, third = rows[1][1].split("\n")[1], rows[2][1].split("\n")[0]
+    assert {(r["doc_id"], r["text"], r["n_chars"], r["_lines"], r["gone"]) for r in got.collect()} == {(1, long, 9, "a", 7), (2, second, len(second), "a", 7), (2, third, len(third), "a", 7), (3, None, 9, "a", 7)}
+
+
+def test_line_keys_of_long_and_wide_lines():
+    """Keys of a line of its own path (longer than a slab) and of lines side by side are the same."""
+    from framewright.llm import line_dedup as own
+
+    lines = ["é" * 50 + "x" * 700_000 + "日本" * 300_000, "short and ascii", "ünï" * 20, "z" * 70_000]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in lines]
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    both = own._Lines(np.concatenate(raw), ends)
+    spots = [(0, 49, 3), (0, 700_000, 100_000), (1, 0, 5), (2, 1, 7), (3, 69_000, 1000), (3, 5, 65_000)]
+    assert both.total is None
+    for i, start, size in spots:
+        single = own._Lines(raw[i], np.array([0, len(raw[i])]))
+        at = np.array([i]), np.array([start]), np.array([size])
+        part = np.frombuffer(lines[i][start : start + size].encode(), np.uint8)
+        whole = own._Lines(part, np.array([0, len(part)])).hashes(np.array([0]), np.array([0]), np.array([size]))
+        assert both.hashes(*at) == single.hashes(np.array([0]), *at[1:]) == whole
+    counts = lambda t: [sum(b & 15 == k for b in (c.encode()[-1] for c in t)) & 15 for k in range(16)]
+    assert [[int(x) >> 4 * k & 15 for k in range(16)] for x in both.letters()] == [counts(t) for t in lines]
+
+
 def test_line_dedup_of_short_equal_lines(spark, tmp_path):
     rows = [(1, "ab\n\n  \nShort line.\nAnd."), (2, "And.\nShort line\n  \n"), (3, "Short line.\nab\nx" + "y" * 50), (4, "x" + "y" * 51 + "\nAnd.")]
     docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
