@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from framewright.llm.decontaminate import without_benchmark
 from framewright.llm.jaccard import one_of_each
 from framewright.llm.language_id import identified
-from framewright.llm.line_dedup import repeated_lines, without_lines
+from framewright.llm.line_dedup import line_repeats, without_lines
 from framewright.llm.packing import pack_documents
 from framewright.llm.shared import keep, table
 
@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go, and documents of which nothing is left."""
-    return without_lines(docs, repeated_lines(docs))
+    return without_lines(docs, line_repeats(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
