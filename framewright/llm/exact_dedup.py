@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,31 +19,38 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smallest.  Other columns of docs are ignored, so their names can't clash.  An empty table gives
     an empty result.
 
-    Pass 1 maps each hash to one of 2^b positions, b so that there are 64 or more to a row, and finds
-    the positions that are set twice; the bits live in a hash-partitioned table and are never in one
-    place.  Pass 2 packs the positions set twice in a filter that is sent to the tasks.  Rows it doesn't
-    know are unique and pass straight through; only the rest is shuffled, and as ids and hashes.
-    Where that filter would need more than max_bits, a semi-join with the positions on the same ids
-    and hashes takes its place; the result is the same.
+    Pass 1 is a Bloom filter of all hashes, of 64 bits or more to a hash and one position each.  Its words of 64 bits are
+    or-ed in each task first and then in a table hash-partitioned by word, so no place ever holds the whole filter.  A word to which
+    more hashes were added than it has bits set holds one that may be repeated.  Pass 2 packs those words' numbers in a
+    filter that is sent to the tasks.  Rows it doesn't know are unique and pass straight through; only the rest is shuffled,
+    and as ids and hashes.  A filter of more than max_bits is cut by ranges of words: each range reads the ids and hashes, not the
+    texts, once.
     """
     spark = docs.sparkSession
     rows = keep(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("text_sha256"),
+            F.monotonically_increasing_id().alias("rid"),
         )
-    ).withColumn("rid", F.monotonically_increasing_id())
+    )
     n = rows.count()
     m1 = 1 << math.ceil(math.log2(64 * max(n, 2)))
     pos = F.pmod(F.xxhash64("text_sha256"), F.lit(m1))
-    twice = keep(rows.groupBy(pos.alias("pos")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("pos"))
+    rows = rows.withColumn("word", F.shiftright(pos, 6))
+    bits = rows.select("word", F.call_function("shiftleft", F.lit(1).cast("long"), (pos % 64).cast("int")).alias("bit"))
+    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"), F.count(F.lit(1)).alias("c"))
+    twice = keep(words.filter(F.col("c") > F.bit_count("bits")).select("word"))
     n2 = twice.count()
-    rows = rows.withColumn("pos", pos)
-    if bloom.shape(n2, 0.01)[0] <= max_bits:
-        known = bloom.build(twice, "pos", n2, 0.01, seed=2).might_contain(F.col("pos"))
-        again, once = rows.filter(known), rows.filter(~known)
-    else:
-        again, once = rows.join(twice, "pos", "left_semi"), rows.join(twice, "pos", "left_anti")
+    parts = max(1, math.ceil(bloom.shape(n2, 0.01)[0] / max_bits))
+    again, once = [], []
+    for p in range(parts):
+        mine = F.pmod(F.xxhash64("word", F.lit(1)), F.lit(parts)) == p
+        known = bloom.build(twice.filter(mine), "word", -(-n2 // parts), 0.01, seed=2).might_contain(F.col("word"))
+        own = rows.filter(mine) if parts > 1 else rows
+        again.append(own.filter(known))
+        once.append(own.filter(~known))
+    again, once = reduce(DataFrame.unionByName, again), reduce(DataFrame.unionByName, once)
     groups = keep(
         again.groupBy("text_sha256").agg(
             F.max(F.struct("doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("group_size")

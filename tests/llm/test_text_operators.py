@@ -89,8 +89,8 @@ def test_bloom_and_cascade_are_exact(spark):
     assert len(c.levels) > 2
     got = universe.withColumn("in", c.contains(F.col("key"))).filter("in <> (cast(substring(key, 2) as int) % 7 = 0)")
     assert got.count() == 0
-    with pytest.raises(ValueError):
-        bloom.build(listed, "key", 1 << 40, 0.01, 0)
+    small = bloom.build(listed, "key", 429, 0.01, 0, max_bits=64)
+    assert small.m == 64 and listed.filter(~small.might_contain(F.col("key"))).count() == 0
 
 
 def test_url_filter(spark):
@@ -112,6 +112,10 @@ def test_url_filter(spark):
     got = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter(df).collect()}
     assert got == {(i, *want(u)) for i, u in enumerate([*urls, *urls])}
     assert url_filter(df.limit(0)).count() == 0
+    table = spark.createDataFrame([(r.verdict, r.host, r.path, 1) for r in RULES], "verdict string, host string, path string, n int")
+    parted = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter(df, table, max_bits=64).collect()}
+    assert parted == got
+    assert url_filter(df, []).filter("verdict = 'allow' and rule is null").count() == df.count()
     none = url_filter(df, [Rule("block", "nowhere.test", "/")])
     assert none.filter("verdict = 'allow' and rule is null").count() == df.count()
 
