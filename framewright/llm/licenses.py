@@ -8,7 +8,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .shared import keep, table
 
@@ -91,6 +91,7 @@ ORDINARY = [
 # Words too common to tell anything alone.
 STOP = frozenset("a an and any are as at be been by can for from has have he if in into is it its may must not of on or shall she should that the this to was we were will with you".split())
 _WORD = "[a-z0-9]+"
+SENTENCE_END = r"[.!?:][\"')\]]*\s*$"
 
 
 def ngrams(text: str) -> list[str]:
@@ -120,6 +121,16 @@ def _variants(rng: random.Random, text: str, n: int) -> list[str]:
     return out
 
 
+def _parts(rng: random.Random, text: str, n: int) -> list[str]:
+    """Parts of the text such as a line break after a sentence leaves."""
+    words, out = text.split(), []
+    for _ in range(n if len(words) >= 16 else 0):
+        size = rng.randint(8, len(words) - 1)
+        at = rng.choice([0, len(words) - size, rng.randint(0, len(words) - size)])
+        out.append(" ".join(words[at : at + size]))
+    return out
+
+
 @functools.lru_cache(maxsize=2)
 def trained(copies: int = COPIES, seed: int = 5, penalty: float = 2e-4, rounds: int = 250) -> Classifier:
     """Multinomial logistic regression with an L1 penalty (proximal gradient), on paragraphs made of the templates.
@@ -129,7 +140,7 @@ def trained(copies: int = COPIES, seed: int = 5, penalty: float = 2e-4, rounds:
     """
     rng = random.Random(seed)
     families = (*TEMPLATES, UNKNOWN)
-    texts = [(t, k) for k, f in enumerate(TEMPLATES) for x in TEMPLATES[f] for t in _variants(rng, x, copies)]
+    texts = [(t, k) for k, f in enumerate(TEMPLATES) for x in TEMPLATES[f] for t in (*_variants(rng, x, copies), *_parts(rng, x, copies // 2))]
     words = [w for f in TEMPLATES for x in TEMPLATES[f] for w in x.split()] + [w for x in ORDINARY for w in x.split()]
     other = [t for x in ORDINARY for t in _variants(rng, x, copies)]
     other += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 25))) for _ in range(20 * copies)]
@@ -164,48 +175,75 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(low, F.lit(f"({_WORD})"), F.lit(1))
 
 
+def _predicted(z: Column, families: int, threshold: float) -> Column:
+    """(k, probability) of the likeliest of all families but the last, unknown; null if that is likelier or the threshold isn't reached."""
+    top = F.array_max(z)
+    odds = 1 / F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    k = F.array_position(z, top) - 1
+    return F.when((k < families - 1) & (odds >= threshold), F.struct(k.alias("k"), odds.alias("probability")))
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", copies: int = COPIES, similar: float = SIMILAR) -> DataFrame:
-    """One row per paragraph (line) that carries a licence: doc_id, line_no, family, probability, template, similarity, confirmed.
+    """One row per paragraph that carries a licence: doc_id, line_no, last_line_no, family, probability, template, similarity, confirmed.
 
-    A sparse word n-gram logistic regression predicts a licence family, or unknown, for every line of the whole
-    text; lines predicted unknown have no row.  confirmed: the line has at least the share `similar` of the n-grams of
-    some template of that family; template is the one of which it has the largest share, of ties the first.
-    Lines without an n-gram that the model knows are unknown by training.  Null and empty texts have no rows;
-    null ids and repeated rows are scanned like others; an empty table gives an empty result; other columns are ignored.
+    A sparse word n-gram logistic regression predicts a licence family, or unknown, for the paragraphs of the whole text; those
+    predicted unknown have no row.  A paragraph is a run of lines, none blank, of which only the last ends as a sentence does, so a
+    wrapped licence is one; but if lines of it are predicted on their own and not all as the run is, each such line is.
+    Paragraphs of one family that follow each other are one.  confirmed: the paragraph has at least the share `similar` of
+    the n-grams of some template of that family; template is the one of these that it has most n-grams of, or else the one of
+    which it has the largest share, of ties the first; line_no and last_line_no (from 0) are its first and last line that has any of them.  Lines without an n-gram
+    that the model knows are unknown by training and part paragraphs.  Null and empty texts have no rows; null ids and repeated
+    rows are scanned like others; an empty table gives an empty result; other columns are ignored.
 
     The model (about a thousand n-grams, whatever the input) is the only thing sent to the tasks.
     """
     spark = docs.sparkSession
     model = trained(copies)
-    names = model.families[:-1]
+    names, n = model.families[:-1], len(model.families)
     vectors = spark.createDataFrame(
         [(g, [float(v) for v in row]) for g, row in zip(model.vocabulary, model.weights)], "gram string, w array<double>"
     )
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
     single = [g for g in model.vocabulary if " " not in g]
     lines = text.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    lines = lines.select("row", "doc_id", "line_no", _words(F.col("line")).alias("words"))
+    lines = lines.select("row", "doc_id", "line_no", _words(F.col("line")).alias("words"), F.col("line").rlike(SENTENCE_END).alias("ends"))
     # every n-gram of the model holds a word that it knows alone, or the line has none of them
     lines = lines.filter(F.arrays_overlap("words", F.array(*map(F.lit, single))))
     pairs = F.expr("transform(sequence(1, size(words) - 1), i -> concat_ws(' ', words[i - 1], words[i]))")
     grams = F.array_distinct(F.when(F.size("words") > 1, F.concat("words", pairs)).otherwise(F.col("words")))
-    known = lines.select("row", "doc_id", "line_no", F.explode(grams).alias("gram")).join(F.broadcast(vectors), "gram")
-    sums = [F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(len(model.families))]
-    found = known.groupBy("row", "doc_id", "line_no").agg(*sums, F.collect_set("gram").alias("grams"))
-    z = F.array(*(F.col(f"z{k}") + F.lit(float(model.bias[k])) for k in range(len(model.families))))
-    found = found.select("row", "doc_id", "line_no", "grams", z.alias("z")).withColumn("top", F.array_max("z"))
-    found = found.withColumn("k", F.array_position("z", F.col("top")) - 1)
-    found = found.withColumn("probability", F.expr("1 / aggregate(z, 0D, (a, x) -> a + exp(x - top))"))
-    # few lines are left: what follows is worked out on them alone
-    found = keep(found.filter((F.col("k") < len(names)) & (F.col("probability") >= model.threshold)).drop("z", "top"))
-    rows = [(k, f, n, x, sorted(set(ngrams(x)))) for k, f in enumerate(names) for n, x in enumerate(TEMPLATES[f])]
+    known = lines.select("row", "doc_id", "line_no", "ends", F.explode(grams).alias("gram")).join(F.broadcast(vectors), "gram")
+    sums = [F.sum(F.col("w")[k]).alias(f"z{k}") for k in range(n)]
+    found = known.groupBy("row", "doc_id", "line_no", "ends").agg(*sums, F.collect_set("gram").alias("grams"))
+    biased = lambda z: F.array(*(z(k) + F.lit(float(model.bias[k])) for k in range(n)))
+    found = found.withColumn("alone", _predicted(biased(lambda k: F.col(f"z{k}")), n, model.threshold))
+    order = Window.partitionBy("row").orderBy("line_no")
+    begins = F.coalesce((F.col("line_no") > F.lag("line_no").over(order) + 1) | F.lag("ends").over(order), F.lit(True))
+    found = found.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(order))
+    runs = found.groupBy("row", "doc_id", "run").agg(
+        *(F.sum(f"z{k}").alias(f"z{k}") for k in range(n)), F.collect_set("alone.k").alias("kinds"), F.collect_list(F.struct("line_no", "grams", "alone")).alias("lines")
+    )
+    runs = runs.withColumn("whole", _predicted(biased(lambda k: F.col(f"z{k}")), n, model.threshold))
+    fits = F.col("whole").isNotNull() & (F.size(F.array_except("kinds", F.array("whole.k"))) == 0)
+    apart = F.transform(F.filter("lines", lambda x: x["alone"].isNotNull()), lambda x: F.struct(x["alone"].alias("as"), F.array(F.struct(x["line_no"], x["grams"])).alias("lines")))
+    whole = F.array(F.struct(F.col("whole").alias("as"), F.transform("lines", lambda x: F.struct(x["line_no"], x["grams"])).alias("lines")))
+    # few paragraphs are left: what follows is worked out on them alone
+    units = keep(runs.select("row", "doc_id", F.explode(F.when(fits, whole).otherwise(apart)).alias("u")).select("row", "doc_id", "u.as.k", "u.as.probability", "u.lines"))
+    units = units.withColumn("first", F.array_min("lines.line_no")).withColumn("last", F.array_max("lines.line_no"))
+    order = Window.partitionBy("row").orderBy("first")
+    begins = F.coalesce((F.col("first") > F.lag("last").over(order) + 1) | (F.col("k") != F.lag("k").over(order)), F.lit(True))
+    units = units.withColumn("begins", begins.cast("int")).withColumn("unit", F.sum("begins").over(order))
+    units = units.groupBy("row", "doc_id", "unit", "k").agg(F.max("probability").alias("probability"), F.flatten(F.collect_list("lines")).alias("lines"))
+    units = units.withColumn("grams", F.array_distinct(F.flatten("lines.grams")))
+    rows = [(k, f, i, x, sorted(set(ngrams(x)))) for k, f in enumerate(names) for i, x in enumerate(TEMPLATES[f])]
     templates = spark.createDataFrame(rows, "k long, family string, n int, template string, own array<string>")
-    share = F.size(F.array_intersect("grams", "own")) / F.size("own")
-    held = found.join(F.broadcast(templates), "k").withColumn("best", F.struct(share.alias("share"), (-F.col("n")).alias("n"), "template"))
-    near = held.groupBy("row", "doc_id", "line_no", "family", "probability").agg(F.max("best").alias("best"))
-    return near.select(
-        "doc_id", "line_no", "family", F.round("probability", 6).alias("probability"), F.col("best.template").alias("template"),
-        F.round("best.share", 6).alias("similarity"), (F.col("best.share") >= similar).alias("confirmed"),
+    common = F.size(F.array_intersect("grams", "own"))
+    share = common / F.size("own")
+    near = F.transform(F.filter("lines", lambda x: F.arrays_overlap(x["grams"], F.col("own"))), lambda x: x["line_no"])
+    best = F.struct((share >= similar).alias("ok"), F.when(share >= similar, common).alias("common"), share.alias("share"), (-F.col("n")).alias("n"), "template", F.array_min(near).alias("first"), F.array_max(near).alias("last"), "family")
+    held = units.join(F.broadcast(templates), "k").groupBy("row", "doc_id", "unit", "probability").agg(F.max(best).alias("best"), F.min(F.array_min("lines.line_no")).alias("first"))
+    return held.select(
+        "doc_id", F.coalesce("best.first", "first").alias("line_no"), F.coalesce("best.last", "first").alias("last_line_no"), "best.family",
+        F.round("probability", 6).alias("probability"), "best.template", F.round("best.share", 6).alias("similarity"), F.col("best.ok").alias("confirmed"),
     )
 
 

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -17,7 +18,7 @@ from framewright.llm.edits import best_ending, masks, within
 from framewright.llm.exact_dedup import exact_dedup
 from framewright.llm.html_text import blocks_of, extract_text
 from framewright.llm.language_id import identified, predict_language
-from framewright.llm.licenses import scan_licenses
+from framewright.llm.licenses import TEMPLATES, scan_licenses
 from framewright.llm.line_dedup import line_repeats, op5_line_dedup, repeated_lines, without_lines
 from framewright.llm.packing import Words, best_two_fit, cut, pack_documents
 from framewright.llm.toxicity import score_toxicity
@@ -424,6 +425,24 @@ def test_license_scan(spark):
     assert scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_licenses_wrapped_at_any_width(spark):
+    prose = "he went along the river and saw that it was good."
+    rows, want = [], {}
+    for family, texts in TEMPLATES.items():
+        for x in texts:
+            for width in (60, 72, 80, 10_000):
+                own = textwrap.wrap(x, width, break_long_words=False, break_on_hyphens=False)
+                want[len(rows)] = (family, x, 2, 1 + len(own))
+                rows.append((len(rows), "\n".join([prose, prose, *own, "", prose])))
+    rows.append((len(rows), "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0"))
+    got = {}
+    for r in scan_licenses(docs(spark, rows)).collect():
+        got.setdefault(r["doc_id"], []).append((r["family"], r["template"], r["line_no"], r["last_line_no"], r["confirmed"]))
+    assert sorted(x[0] for x in got.pop(len(rows) - 1)) == ["Apache", "MIT"]
+    assert {k: v for k, v in got.items() if v != [(*want[k], True)]} == {}
+    assert got.keys() == want.keys()
+
+
 # -- op10
 
 
