@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bloom
 from .components import connected_components
-from .shared import drop, keep, ship, table
+from .shared import drop, keep, ship, table, unused
 from .shingles import WORDS, shingle_sets, signature
 
 NUM, DEN = 80, 100  # two sets link when DEN * |both| >= NUM * |either|
@@ -69,7 +71,9 @@ def _u(x: bytes, kind: str) -> np.ndarray:
 
 
 # What is dealt out: for block -1, the documents of a chunk (place: their keys, value: what else is
-# known of them), and for other blocks, shingles (place: which document each is of, value: 32 bits of each).
+# known of them), and for other blocks, shingles (place: which document each is of, or in the second pass how many have
+# it, value: 32 bits of each).
+ALL = 0xFFFF  # stands for the documents of a chunk that have a shingle, if several do
 DEALT = "chunk long, block int, place binary, value binary"
 
 
@@ -84,10 +88,18 @@ def _first(batches: Iterator[pa.RecordBatch], words: int, n_blocks: int, most: i
     def flush() -> pa.RecordBatch:
         doc = np.repeat(np.arange(len(heads)), [len(h) for h in heads]).astype(np.uint16)
         hashes = np.concatenate(heads)
+        order = np.argsort(hashes, kind="stable")
+        doc, hashes = doc[order], hashes[order]
+        # what recurs within the chunk is counted here, and told once as everyone's
+        begins = np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)]
+        several = ~begins | np.append(~begins[1:], False)[: len(hashes)]
+        own = np.bincount(doc[several], minlength=len(heads)).astype(np.uint32)
+        doc[several] = ALL
+        doc, hashes = doc[begins], hashes[begins]
         order, at = _deal(hashes, n_blocks)
         doc, value = doc[order], _upper(hashes)[order]
         rows = [(base + k, b, doc[i:j].tobytes(), value[i:j].tobytes()) for b, (i, j) in enumerate(zip(at, at[1:])) if j > i]
-        known = [np.array([x or 0 for x in ids], np.int64), np.array([x is None for x in ids], np.uint8), np.array(sizes, np.int32)]
+        known = [np.array([x or 0 for x in ids], np.int64), np.array([x is None for x in ids], np.uint8), np.array(sizes, np.int32), own]
         meta = (base + k, -1, np.array(keys, np.int64).tobytes(), b"".join(x.tobytes() for x in known) + b"".join(sigs))
         for x in (keys, ids, sizes, heads, sigs):
             x.clear()
@@ -111,7 +123,7 @@ def _first(batches: Iterator[pa.RecordBatch], words: int, n_blocks: int, most: i
 
 
 def _recurring(t: pa.Table) -> pa.Table:
-    """For a block's rows: which documents of each chunk have shingles that recur, and how many."""
+    """For a block's rows: which documents of each chunk have shingles that recur in other chunks, and how many."""
     chunk, places, values = (t.column(c).to_pylist() for c in ("chunk", "place", "value"))
     value = np.concatenate([_u(v, "<u4") for v in values])
     order = np.argsort(value, kind="stable")
@@ -121,7 +133,7 @@ def _recurring(t: pa.Table) -> pa.Table:
     rows, at = [], 0
     for c, p in zip(chunk, places):
         doc = _u(p, "<u2")
-        doc, n = np.unique(doc[again[at : at + len(doc)]], return_counts=True)
+        doc, n = np.unique(doc[again[at : at + len(doc)] & (doc != ALL)], return_counts=True)
         at += len(p) // 2
         if len(doc):
             rows.append((c, 0, doc.tobytes(), n.astype(np.uint32).tobytes()))
@@ -137,8 +149,8 @@ def _suspects(t: pa.Table) -> pa.Table:
     i = block.index(-1)
     key, v = _u(places[i], "<i8"), values[i]
     n = len(key)
-    ids, null, size, sigs = _u(v[: 8 * n], "<i8"), _u(v[8 * n : 9 * n], "u1"), _u(v[9 * n : 13 * n], "<i4").astype(np.int64), v[13 * n :]
-    found = np.zeros(n, np.int64)
+    ids, null, size, sigs = _u(v[: 8 * n], "<i8"), _u(v[8 * n : 9 * n], "u1"), _u(v[9 * n : 13 * n], "<i4").astype(np.int64), v[17 * n :]
+    found = _u(v[13 * n : 17 * n], "<u4").astype(np.int64)
     for b, p, c in zip(block, places, values):
         if b >= 0:
             found[_u(p, "<u2")] += _u(c, "<u4")
@@ -148,16 +160,17 @@ def _suspects(t: pa.Table) -> pa.Table:
 
 
 def _second(batches: Iterator[pa.RecordBatch], words: int, n_blocks: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The whole sets of suspects in chunks (block -1), and 32 bits of each of their shingles by block."""
+    """The whole sets of suspects in chunks (block -1), and 32 bits of each of a chunk's distinct shingles by block."""
     base, k, size = _chunk(), 0, 0
     keys: list[int] = []
     sets: list[np.ndarray] = []
 
     def flush() -> pa.RecordBatch:
         hashes = np.concatenate(sets)
-        order, at = _deal(hashes, n_blocks)
-        value = _upper(hashes)[order]
-        rows = [(base + k, b, b"", value[i:j].tobytes()) for b, (i, j) in enumerate(zip(at, at[1:])) if j > i]
+        distinct, have = np.unique(hashes, return_counts=True)
+        order, at = _deal(distinct, n_blocks)
+        value, have = _upper(distinct)[order], have[order].astype(np.uint32)
+        rows = [(base + k, b, have[i:j].tobytes(), value[i:j].tobytes()) for b, (i, j) in enumerate(zip(at, at[1:])) if j > i]
         place = np.array(keys, np.int64).tobytes() + np.array([len(s) for s in sets], np.int32).tobytes()
         out = _batch(DEALT, list(zip((base + k, -1, place, hashes.tobytes()), *rows)))
         keys.clear(), sets.clear()
@@ -180,10 +193,10 @@ def _second(batches: Iterator[pa.RecordBatch], words: int, n_blocks: int, most:
 
 def _frequencies(t: pa.Table) -> pa.Table:
     """For each row of a block: how many suspects have each of its shingles (65535 stands for more, too)."""
-    chunk, block, values = (t.column(c).to_pylist() for c in ("chunk", "block", "value"))
-    value = np.concatenate([_u(v, "<u4") for v in values])
-    _, where, n = np.unique(value, return_inverse=True, return_counts=True)
-    n = np.minimum(n, 65535).astype(np.uint16)[where]
+    chunk, block, places, values = (t.column(c).to_pylist() for c in ("chunk", "block", "place", "value"))
+    value, have = np.concatenate([_u(v, "<u4") for v in values]), np.concatenate([_u(p, "<u4") for p in places])
+    _, where = np.unique(value, return_inverse=True)
+    n = np.minimum(np.bincount(where, have), 65535).astype(np.uint16)[where]
     ends = np.cumsum([len(v) // 4 for v in values])
     rows = [(c, b, b"", n[e - len(v) // 4 : e].tobytes()) for c, b, v, e in zip(chunk, block, values, ends)]
     return pa.Table.from_batches([_batch(DEALT, list(zip(*rows)) or [[]] * 4)])
@@ -201,9 +214,11 @@ def _rarest(t: pa.Table, n_blocks: int) -> pa.Table:
     """Of each set the rarest shingles, so many that two sets that link have one in common; none that is alone."""
     rows = sorted(zip(t.column("block").to_pylist(), t.column("place").to_pylist(), t.column("value").to_pylist()))
     keys, sizes, hashes = _unpack(*rows[0][1:])
-    order, _ = _deal(hashes, n_blocks)
-    df = np.empty(len(hashes), np.uint16)
+    distinct, where = np.unique(hashes, return_inverse=True)
+    order, _ = _deal(distinct, n_blocks)
+    df = np.empty(len(distinct), np.uint16)
     df[order] = np.concatenate([_u(v, "<u2") for b, _, v in rows if b >= 0])
+    df = df[where]
     doc = np.repeat(np.arange(len(keys)), sizes)
     order = np.lexsort((hashes, df, doc))
     rank = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -211,13 +226,41 @@ def _rarest(t: pa.Table, n_blocks: int) -> pa.Table:
     return pa.Table.from_batches([_batch(POSTING, [hashes[take].view(np.int64), keys[doc[take]]])])
 
 
+def merge_skip(lists: list[tuple[int, int]], values: list[int], need: int) -> dict[int, int]:
+    """What stands on `need` or more of some sorted lists, and on how many.  lists: where in values each begins and ends.
+
+    The lists' next values are in a heap.  If fewer than `need` lists have the least of them, need - 1 lists can be moved on
+    to the least value of the others, as nothing before it is on enough lists.
+    """
+    heap = [(values[a], a, b) for a, b in lists if a < b]
+    heapq.heapify(heap)
+    out = {}
+    while len(heap) >= need:
+        least, taken = heap[0][0], []
+        while heap and heap[0][0] == least:
+            taken.append(heapq.heappop(heap))
+        if len(taken) >= need:
+            out[least] = len(taken)
+            after = least + 1
+        else:
+            while len(taken) < need - 1:
+                taken.append(heapq.heappop(heap))
+            after = heap[0][0]
+        for _, a, b in taken:
+            a = bisect.bisect_left(values, after, a, b)
+            if a < b:
+                heapq.heappush(heap, (values[a], a, b))
+    return out
+
+
 def join_locally(sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     """Labels after merging those of any two sets that link.  label: integers, equal for sets known to be connected.
 
     Sets are taken in order of size and each is held against those before it.  Some sets of other labels are
     tried first; if any label is then left, a T-occurrence search finds the rest: the sets on the inverted
-    lists of its shingles that have the overlap it needs.  DivideSkip sets the longest lists aside, merges the others,
-    and looks up in the long ones only what has enough occurrences without them.
+    lists of its shingles that have the overlap it needs.  DivideSkip sets the longest lists aside, merges the others by a
+    heap, and looks up in the long ones, by binary search, only what has enough occurrences without them.  Sets that are known to be
+    connected with it are left out of the lists first.
     """
     sizes = np.array([len(s) for s in sets])
     by = np.argsort(sizes, kind="stable")
@@ -250,20 +293,26 @@ def join_locally(sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
         other[:low] = False
         if other.any():
             shared = own[count[own] > 1]
-            shared = shared[np.argsort(count[shared], kind="stable")]
-            if len(shared) >= need:
-                n_long = min(need - 1, int(need / (LONG * math.log2(count[shared[-1]] + 1) + 1)), len(shared) // 2)
-                lists = [posting[first[t] : first[t] + count[t]] for t in shared]
-                got = np.bincount(np.concatenate(lists[: len(lists) - n_long]), minlength=len(by))[:i]
-                maybe = np.flatnonzero((got >= need - n_long) & other)
-                total = got[maybe]
-                if len(maybe):
-                    for x in lists[len(lists) - n_long :] if n_long else ():
-                        at = np.minimum(np.searchsorted(x, maybe), len(x) - 1)
-                        total = total + (x[at] == maybe)
-                    for j in maybe[DEN * total >= NUM * (r + sizes[maybe] - total)].tolist():
-                        if label[j] != label[i]:
-                            merge(i, j)
+            n = count[shared]
+            at = np.repeat(first[shared] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            there = other[np.minimum(posting[at], i - 1)] & (posting[at] < i)
+            on = np.bincount(np.repeat(np.arange(len(shared)), n)[there], minlength=len(shared))
+            lists = posting[at[there]]
+            end = np.cumsum(on)
+            by_length = np.argsort(on, kind="stable")
+            by_length = by_length[on[by_length] > 0]
+            if len(by_length) >= need:
+                n_long = min(need - 1, int(need / (LONG * math.log2(on[by_length[-1]] + 1) + 1)), len(by_length) // 2)
+                short, long = by_length[: len(by_length) - n_long], by_length[len(by_length) - n_long :]
+                got = merge_skip([(int(end[t] - on[t]), int(end[t])) for t in short], lists.tolist(), need - n_long)
+                maybe = np.array(sorted(got), np.int64)
+                total = np.array([got[j] for j in maybe.tolist()], np.int64)
+                for t in long if len(maybe) else ():
+                    x = lists[end[t] - on[t] : end[t]]
+                    total += x[np.minimum(np.searchsorted(x, maybe), len(x) - 1)] == maybe
+                for j in maybe[DEN * total >= NUM * (r + sizes[maybe] - total)].tolist():
+                    if label[j] != label[i]:
+                        merge(i, j)
         mine[own] = False
     out = np.empty_like(label)
     out[by] = label
@@ -371,11 +420,8 @@ def jaccard_components(
     known = keep(first.filter("block < 0").unionByName(recurring).groupBy("chunk").applyInArrow(_suspects, KNOWN))
     drop(first)
     groups = keep(known.filter("near").groupBy("sig").agg(F.min("key").alias("node"), F.min("doc_id").alias("lead")))
-    n = groups.count()
-    if bloom.shape(n, 0.01)[0] <= max_bits:
-        suspects = rows.filter(bloom.build(groups, "node", n, 0.01, seed=9).might_contain(F.col("key")))
-    else:
-        suspects = rows.join(groups.select(F.col("node").alias("key")), "key", "left_semi")
+    # documents that pass by mistake are joined like others, so they cost time and change nothing
+    suspects = rows.filter(bloom.build(groups, "node", groups.count(), 0.01, seed=9, max_bits=max_bits).might_contain(F.col("key")))
     second = keep(suspects.select("key", "text").mapInArrow(lambda it: _second(it, words, n_blocks), DEALT))
     frequencies = second.filter("block >= 0").groupBy("block").applyInArrow(_frequencies, DEALT)
     postings = keep(
@@ -418,18 +464,18 @@ def one_of_each(docs: DataFrame, max_bits: int = bloom.MAX_BITS, **options) -> D
     """The rows of docs (doc_id, text, ...), whole, without those linked to one of a smaller doc_id.
 
     Of each component the document with the smallest doc_id stays (repeated rows of that id and text all do).
-    Rows that a Bloom filter of the dropped ones doesn't know pass straight through; the rest is anti-joined.
+    Null and empty texts link with nothing and stay, as do rows of a null doc_id that are alone; an empty table gives an empty
+    result; other columns may have any name.  Rows that a Bloom filter of the dropped ones doesn't know pass straight through; the
+    rest is anti-joined.
     """
     found = jaccard_components(docs, max_bits=max_bits, **options)
-    gone = keep(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("key").distinct())
-    n = gone.count()
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = docs.withColumn("_key", key)
-    gone = gone.withColumnRenamed("key", "_key")
-    if bloom.shape(n, 0.01)[0] > max_bits:
-        return rows.join(gone, "_key", "left_anti").drop("_key").select(docs.columns)
-    hit = bloom.build(gone, "_key", n, 0.01, seed=8).might_contain(F.col("_key"))
-    return rows.filter(~hit).select(docs.columns).unionByName(rows.filter(hit).join(gone, "_key", "left_anti").select(docs.columns))
+    own, = unused(docs.columns, "key")
+    gone = keep(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias(own)).distinct())
+    rows = docs.withColumn(own, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    hit = bloom.build(gone, own, gone.count(), 0.01, seed=8, max_bits=max_bits).might_contain(F.col(own))
+    # the same join at every size, so that what is shuffled grows with the input and not with a threshold
+    left = rows.filter(hit).join(gone.hint("merge"), own, "left_anti")
+    return rows.filter(~hit).select(docs.columns).unionByName(left.select(docs.columns))
 
 
 def n_parts(df: DataFrame, block_bytes: int) -> int:

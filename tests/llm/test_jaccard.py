@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from framewright.llm.jaccard import DEALT, _batch, _prefix, _recurring, _suspects, jaccard_components
+from framewright.llm.jaccard import DEALT, _batch, _prefix, _recurring, _suspects, jaccard_components, merge_skip, one_of_each
 
 SCHEMA = "doc_id long, text string, n_chars long, key string"
 
@@ -77,6 +77,27 @@ def test_more_recurring_shingles_than_16_bits_count():
     value = np.arange(_prefix(size), dtype=np.uint32)
     place = np.repeat(np.arange(2), len(value)).astype(np.uint16)
     again = _recurring(pa.Table.from_batches([_batch(DEALT, [[0], [0], [place.tobytes()], [np.tile(value, 2).tobytes()]])]))
-    known = np.array([1, 2], np.int64).tobytes() + bytes(2) + np.full(2, size, np.int32).tobytes() + bytes(32)
+    known = np.array([1, 2], np.int64).tobytes() + bytes(2) + np.full(2, size, np.int32).tobytes() + bytes(8) + bytes(32)
     meta = _batch(DEALT, [[0], [-1], [np.arange(2).tobytes()], [known]])
     assert _suspects(pa.concat_tables([pa.Table.from_batches([meta]), again])).column("near").to_pylist() == [True, True]
+
+
+def test_merge_skip_finds_what_is_on_enough_lists():
+    rng = random.Random(2)
+    for _ in range(300):
+        lists = [sorted(rng.sample(range(40), rng.randint(0, 25))) for _ in range(rng.randint(1, 12))]
+        need = rng.randint(1, len(lists))
+        values = [x for own in lists for x in own]
+        ends = np.cumsum([len(own) for own in lists]).tolist()
+        want = {x: n for x in range(40) if (n := sum(x in own for own in lists)) >= need}
+        assert merge_skip([(e - len(own), e) for own, e in zip(lists, ends)], values, need) == want
+
+
+def test_one_of_each_with_clashing_names(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, base), (2, base + " more"), (9, "another text of its own with six words"), (None, None), (4, ""), (5, "")]
+    df = spark.createDataFrame([(i, t, "k", "o", 1) for i, t in rows], "doc_id long, text string, key string, _key string, component_id int")
+    got = one_of_each(df, max_bits=64)
+    assert got.columns == df.columns
+    assert {(r["doc_id"], r["text"], r["key"], r["_key"]) for r in got.collect()} == {(i, t, "k", "o") for i, t in rows if i != 3}
+    assert one_of_each(df.limit(0)).count() == 0
