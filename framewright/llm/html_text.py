@@ -6,6 +6,7 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,7 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 HIDDEN = frozenset(["svg", "template"])
 # HTML elements that end an open svg.
 BREAKS = frozenset("article aside b big blockquote body br center code dd div dl dt em embed footer form h1 h2 h3 h4 h5 h6 head header hr i img li main menu nav ol p pre s section small span strike strong sub sup table tt u ul".split())
@@ -75,6 +77,7 @@ def blocks_of(page: str) -> list[Block]:
     """
     out: list[Block] = []
     stack: list[tuple[str, frozenset[int]]] = [("", frozenset())]
+    opened: Counter[str] = Counter()  # how many of each tag are on the stack
     held: list[tuple[str, bool]] = []
 
     def flush() -> None:
@@ -83,7 +86,7 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 linked = sum(len(t) for t, a in held if a)
                 marks = stack[-1][1] | (inside[-1] if inside else frozenset())
-                out.append(Block(text, tuple(marks), linked, any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _ in stack)))
+                out.append(Block(text, tuple(marks), linked, any(opened[t] for t in HEADINGS)))
             held.clear()
             inside.clear()
 
@@ -92,10 +95,14 @@ def blocks_of(page: str) -> list[Block]:
 
     def add(raw: str) -> None:
         if raw and not hidden:
-            held.append((html.unescape(raw) if "&" in raw else raw, any(t == "a" for t, _ in stack)))
+            held.append((html.unescape(raw) if "&" in raw else raw, opened["a"] > 0))
             if not raw.isspace():
                 inside[:] = [stack[-1][1]]
 
+    def close(i: int) -> None:
+        opened.subtract(t for t, _ in stack[i:])
+        del stack[i:]
+
     at = 0
     for m in _TOKEN.finditer(page):
         add(page[at : m.start()])
@@ -112,7 +119,7 @@ def blocks_of(page: str) -> list[Block]:
                 if tag in hidden:
                     del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
                     continue
-                if not any(t == tag for t, _ in stack):
+                if not opened[tag]:
                     continue
             elif hidden[0] != "svg" or tag not in BREAKS:
                 if tag not in VOID and not m[5].endswith("/"):
@@ -126,9 +133,9 @@ def blocks_of(page: str) -> list[Block]:
         if m[3]:
             if tag not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if tag in INLINE and stack[i][0] not in INLINE:
                     break
@@ -138,9 +145,10 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in CLOSES.get(tag, ()):
-                    del stack[i:]
+            ends = CLOSES.get(tag, ())
+            for i in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ends) else ():
+                if stack[i][0] in ends:
+                    close(i)
                     break
                 if stack[i][0] in BOUNDARY:
                     break
@@ -155,6 +163,7 @@ def blocks_of(page: str) -> list[Block]:
                     if k := WORDS.get(w.lower()):
                         marks.add(INDEX[f"kind:{k}"])
         stack.append((tag, frozenset(marks)))
+        opened[tag] += 1
     add(page[at:] if not _UNFINISHED.match(page, at) else "")
     flush()
     return out

@@ -15,6 +15,8 @@ from .shared import ship, table
 ORDER = 3  # bytes of the longest context
 ROWS_PER_LANG = 3000  # learn from about so many rows of each language, at most
 UND = "und"
+MOST_BITS = 8.0  # to a byte: what no language's trees code in fewer is in none of the learned languages
+SLACK = 64.0  # bits that a text may take beyond that, so that a short one isn't judged by a few odd letters
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -94,21 +96,22 @@ class Judge:
         trees = [Trees(*model[x], order) for x in self.langs]
         self.values = Values(lambda g: np.stack([t.bits(g) for t in trees], 1), len(trees)) if trees else None
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Of each text the language, its score, and by how many bits it misses MOST_BITS a byte (0 if it doesn't)."""
         fine = [i for i, t in enumerate(texts) if t and self.langs and LETTER.search(t)]
         raw = [texts[i].encode() for i in fine]
         cost = np.zeros((len(fine), len(self.langs)))
         for _, grams, starts, which in blocks(raw, self.n) if fine else ():
             np.add.at(cost, which, np.add.reduceat(self.values[grams], starts, axis=0, dtype=np.float64))
-        lang, score = [UND] * len(texts), [0.0] * len(texts)
+        lang, score, missed = [UND] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if not fine:
-            return lang, score
+            return lang, score, missed
         best = cost.argmin(1)
         for j, i in enumerate(fine):
             # the posterior at equal priors, bits counted as if n bytes were sqrt(n) independent ones
             odds = np.exp2(-(cost[j] - cost[j, best[j]]) / np.sqrt(len(raw[j])))
-            lang[i], score[i] = self.langs[best[j]], float(1 / odds.sum())
-        return lang, score
+            lang[i], score[i], missed[i] = self.langs[best[j]], float(1 / odds.sum()), max(0.0, float(cost[j, best[j]] - MOST_BITS * len(raw[j])))
+        return lang, score, missed
 
 
 def identify(docs: DataFrame, model: dict, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,7 +123,7 @@ def identify(docs: DataFrame, model: dict, order: int = ORDER, id_col: str = "do
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                lang, score = of(part.column(1).to_pylist())
+                lang, score, _ = of(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"]
                 )
@@ -154,11 +157,18 @@ def predict_language(
     return found.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "lang_pred", "score")
 
 
-def identified(docs: DataFrame, text_col: str = "text", order: int = ORDER, **fitting) -> DataFrame:
-    """The rows of docs, whole, whose language can be told: those not predicted `und`.  See predict_language."""
+def identified(docs: DataFrame, text_col: str = "text", order: int = ORDER, slack: float = SLACK, **fitting) -> DataFrame:
+    """The rows of docs (doc_id, text, lang, ...), whole, whose language can be told.
+
+    Rows predicted `und` (null texts, texts without a letter, and all if no language can be learned) go; so do texts that no
+    learned language's trees code in MOST_BITS a byte and `slack` bits more: sent as raw bytes they would be shorter, so
+    they are in none of these languages.  An empty table gives an empty result; rows of null doc_id are judged like
+    others; other columns may have any name.  No row is shuffled.  See predict_language for what is learned.
+    """
     ship(docs.sparkSession)
     given = {"id_col": "doc_id", "lang_col": "lang", "folds": 4, "fold": 2} | fitting
-    model = fit(learnable(docs, text_col=text_col, **given), order)
+    rows_per_lang = given.pop("rows_per_lang", ROWS_PER_LANG)
+    model = fit(learnable(docs, text_col=text_col, **given), order, rows_per_lang)
     at_text = docs.columns.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +176,8 @@ def identified(docs: DataFrame, text_col: str = "text", order: int = ORDER, **fi
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                lang, _ = of(part.column(at_text).to_pylist())
-                yield part.filter(pa.array([x != UND for x in lang], pa.bool_()))
+                lang, _, missed = of(part.column(at_text).to_pylist())
+                yield part.filter(pa.array([x != UND and y <= slack for x, y in zip(lang, missed)], pa.bool_()))
 
     return docs.mapInArrow(judge, docs.schema)
 

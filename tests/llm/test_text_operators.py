@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ from framewright.llm import bloom
 from framewright.llm.decontaminate import find_benchmark, normal, without_benchmark
 from framewright.llm.edits import best_ending, masks, within
 from framewright.llm.exact_dedup import exact_dedup
-from framewright.llm.html_text import blocks_of, extract_text
+from framewright.llm.html_text import NAMES, blocks_of, extract_text, trained
 from framewright.llm.language_id import identified, predict_language
 from framewright.llm.licenses import TEMPLATES, scan_licenses
 from framewright.llm.line_dedup import line_repeats, op5_line_dedup, repeated_lines, without_lines
@@ -267,18 +268,22 @@ def test_decontamination(spark):
             t = edited(rng, rng.choice(items)[1], rng.choice([0, 2, 5, 9, 14]))
             body.insert(rng.randint(0, len(body)), t.upper() if i % 2 else t)
         rows.append((i, "\n ".join(body)))
-    bench = spark.createDataFrame([*items, (90, None), (91, "short"), (92, items[0][1])], "item_id long, text string")
-    wanted = [*items, (92, items[0][1])]
-    found = lambda t: {(k, best_part(normal(x), normal(t))) for k, x in wanted if len(normal(x)) >= 40 and best_part(normal(x), normal(t)) <= int(0.05 * len(normal(x)))}
+    rows.append((500, "most of it"))
+    bench = spark.createDataFrame([*items, (90, None), (91, "Of  it"), (92, items[0][1]), (93, " \n")], "item_id long, text string")
+    wanted = [*items, (91, "of it"), (92, items[0][1])]
+    found = lambda t: {(k, best_part(normal(x), normal(t))) for k, x in wanted if best_part(normal(x), normal(t)) <= int(0.05 * len(normal(x)))}
     hits = {i: found(t) for i, t in rows}
     odd = [(1000 + n, t) for n, (_, t) in enumerate(ODD)]
     want = {(i, *h) for i, hs in hits.items() for h in hs}
     df = docs(spark, [*rows, *odd])
+    texts, of = dict(wanted), {i: normal(t or "") for i, t in [*rows, *odd]}
     for block in (8_000_000, 1500):
-        assert {(r["doc_id"], r["item_id"], r["distance"]) for r in find_benchmark(df, bench, block_chars=block).collect()} == want and want
-    clean = without_benchmark(df, bench)
-    assert clean.columns == df.columns
-    assert sorted(r["doc_id"] for r in clean.collect()) == sorted([*(i for i in hits if not hits[i]), *(i for i, _ in odd)])
+        found = find_benchmark(df, bench, block_chars=block).collect()
+        assert {(r["doc_id"], r["item_id"], r["distance"]) for r in found} == want and (500, 91, 0) in want
+        assert all(lev(of[r["doc_id"]][r["start"] : r["start"] + r["length"]], normal(texts[r["item_id"]])) == r["distance"] for r in found)
+        clean = without_benchmark(df, bench, block_chars=block)
+        assert clean.columns == df.columns
+        assert sorted(r["doc_id"] for r in clean.collect()) == sorted([*(i for i in hits if not hits[i]), *(i for i, _ in odd)])
     assert find_benchmark(docs(spark, []), bench).count() == 0 and find_benchmark(docs(spark, rows), bench.limit(0)).count() == 0
 
 
@@ -415,6 +420,23 @@ def test_html_text_after_odd_tags():
     assert of("<p>one</p><3 apples") == ["one", "<3 apples"] and of("<p>one</p><div class='x") == ["one"]
 
 
+def test_html_of_deep_nesting_is_read_in_time_that_grows_with_it():
+    n = 20_000
+    began = time.process_time()
+    assert len(blocks_of("<p>" + "<b>x " * n)) == 1
+    assert len(blocks_of("<div>x" * n + "</span>" * n)) == n
+    assert time.process_time() - began < 10
+
+
+def test_the_likeliest_labels_are_found():
+    rng, field = np.random.default_rng(1), trained(60)
+    for _ in range(200):
+        x = rng.normal(size=(rng.integers(1, 8), len(NAMES))) / 2
+        s = x @ field.state
+        total = lambda y: sum(a[k] for a, k in zip(s, y)) + sum(field.change[a, b] for a, b in zip(y, y[1:]))  # noqa: B023, E731
+        assert tuple(field.decode(x)) == max(itertools.product((0, 1), repeat=len(x)), key=total)
+
+
 # -- op8
 
 
@@ -465,7 +487,8 @@ def test_language_id(spark):
     assert got[403]["lang_pred"] == "cc"
     few = predict_language(df, rows_per_lang=40)
     assert few.filter("lang_pred <> 'und'").count() == len(rows) - 3
-    left = identified(df)
-    assert left.columns == df.columns and left.count() == len(rows) - 3
+    odd = spark.createDataFrame([(900, "नमस्ते दुनिया, यह किसी भी सीखी हुई भाषा में नहीं है।", None, "x", "y"), (901, "क", None, "x", "y")], df.schema)
+    left = identified(df.unionByName(odd))
+    assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {i for i, *_ in rows if i not in (400, 401, 402)} | {901}
     assert predict_language(df.withColumn("lang", F.lit(None).cast("string"))).filter("lang_pred <> 'und'").count() == 0
     assert predict_language(df.limit(0)).count() == 0
