@@ -1,7 +1,9 @@
 """A corpus from raw documents to packed sequences: five stages, each of one operator.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it has kept.  All but the last return the
-columns of documents; the last returns one row per packed piece.
+columns of documents; the last returns one row per packed piece.  An empty table passes as an empty one; columns of any other
+name are kept as they are; rows of null doc_id or repeated rows are rows like any other; what null and empty texts come to
+is said by each stage.
 """
 
 from __future__ import annotations
@@ -17,27 +19,27 @@ from framewright.llm.shared import keep, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of no telling language (null, or without a letter) go."""
+    """Documents in no learned language go: null ones, those without a letter, and those that no language's trees code in fewer bits than their bytes."""
     return identified(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go, and documents of which nothing is left."""
+    """Lines of 40 characters or more that repeat an earlier one go, and documents of which nothing is left; null texts stay."""
     return without_lines(docs, line_repeats(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
+    """Of each group of linked documents the one with the smallest doc_id stays; null and empty texts link with nothing."""
     return one_of_each(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none."""
     return without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is packed into sequences."""
+    """What is left is packed into sequences; null and empty texts are the end token alone."""
     return pack_documents(docs)
 
 
