@@ -53,3 +53,37 @@ def ticks_to_micros(ticks: Column, timescale: Column) -> Column:
 def reduce_depth(sample: Column, depth: Column) -> Column:
     """A sample of `depth` bits as one of 8."""
     return F.least(F.call_function("shiftright", sample, F.greatest(depth - 8, F.lit(0))), F.lit(255))
+
+
+def unit_kind(t: Column) -> Column:
+    """What a unit's type says of it, as a struct of booleans."""
+    kinds = {"vcl": is_vcl, "irap": is_irap, "idr": is_idr, "cra": is_cra, "bla": is_bla, "rasl": is_rasl, "radl": is_radl}
+    return F.struct(*(f(t).alias(k) for k, f in kinds.items()))
+
+
+def crop_window(width: Column, height: Column, chroma: Column, left: Column, right: Column, top: Column, bottom: Column) -> Column:
+    """The part of a picture that is shown: x, y, width, height.  The crop is in chroma samples of the format (0 to 3)."""
+    x, y = F.when(chroma.isin(1, 2), 2).otherwise(1), F.when(chroma == 1, 2).otherwise(1)
+    return F.struct((left * x).alias("x"), (top * y).alias("y"), (width - (left + right) * x).alias("width"), (height - (top + bottom) * y).alias("height"))
+
+
+def to_rgb(y: Column, u: Column, v: Column) -> Column:
+    """BT.709 red, green and blue; all in 0 to 1, u and v centred on a half."""
+    held = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    u, v = u - 0.5, v - 0.5
+    return F.struct(held(y + 1.5748 * v).alias("r"), held(y - 0.1873 * u - 0.4681 * v).alias("g"), held(y + 1.8556 * u).alias("b"))
+
+
+# Levels of messages, from the least telling to none at all.
+LEVELS = ("debug", "info", "warn", "error", "silent")
+
+
+def told(level: Column, threshold: str) -> Column:
+    """Whether a message of this level is shown at the threshold; `silent` shows nothing, and an unknown level isn't shown."""
+    return level.isin(*LEVELS[LEVELS.index(threshold) : -1])
+
+
+def fetched(values: Column, index: Column) -> Column:
+    """(value, error): the value at an index from 0, or that it is out of range; never a failure."""
+    ok = (index >= 0) & (index < F.size(values))
+    return F.struct(F.when(ok, F.try_element_at(values, (index + 1).cast("int"))).alias("value"), F.coalesce(~ok, F.lit(True)).alias("error"))

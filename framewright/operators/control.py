@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..common import folded
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -81,28 +81,26 @@ class Controller:
 def decide(df: DataFrame, key: str, order: list[str], speed: str, ladder: int, start: int, settings: Settings = Settings()) -> DataFrame:
     """One row per row of df: key, order, cap, mean_speed, reason.
 
-    Sessions are dealt by key and sorted; each task folds them row by row and holds one session's few numbers,
-    never its rows.
+    An ordered fold: a task holds one session's few numbers, never its rows.  Sessions of null key are one session; a null
+    speed decides nothing: its row has the cap as it is and no mean.
     """
     kinds = dict(df.dtypes)
     names = [key, *order]
-    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", cap int, mean_speed double, reason string"
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, now = None, object()
-        for f in frames:
-            out = []
-            for k, x in zip(f[key], f[speed]):
-                if of is None or k != now:
-                    now, of = k, Controller(settings)
-                    of.resize(ladder)
-                out.append(of.observe(x, start))
-            got = f[names].copy()
-            got["cap"] = pd.array([c for c, _, _ in out], dtype="Int32")
-            got["mean_speed"], got["reason"] = [m for _, m, _ in out], [r for _, _, r in out]
-            yield got
-
-    return df.select(*names, speed).repartition(key).sortWithinPartitions(key, *order).mapInPandas(fold, schema)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", cap int, mean_speed double, reason string"
+
+    class Session:
+        def __init__(self, k):
+            self.key, self.of = k, Controller(settings)
+            self.of.resize(ladder)
+
+        def row(self, *values):
+            *at, x = values
+            return [(self.key, *at, *((self.of.cap, None, "hold") if x is None else self.of.observe(x, start)))]
+
+        def end(self):
+            return []
+
+    return folded(df, key, order, [*order, speed], Session, schema)
 
 
 def decide_sql(df: DataFrame, key: str, order: list[str], speed: str, ladder: int, start: int, settings: Settings = Settings()) -> DataFrame:

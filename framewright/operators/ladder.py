@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..common import unused
 from .lookup import first_per_key
 
 
@@ -16,19 +17,21 @@ def ladder(variants: DataFrame, group: Sequence[str], order: str) -> DataFrame:
     first stays.  Rungs go by height and then bandwidth; those without a height come first.
     """
     video = variants.filter(F.col("height").isNotNull() | F.col("bandwidth").isNotNull() | (F.coalesce("codec", F.lit("")) != ""))
-    video = video.withColumn("_size", F.when(F.col("height").isNotNull(), F.concat(F.lit("h"), "height")).otherwise(F.concat(F.lit("b"), F.coalesce("bandwidth", F.lit(0)))))
-    one = first_per_key(video, [*group, "_size"], [order]).drop("_size")
+    size, = unused(variants.columns, "size")
+    video = video.withColumn(size, F.when(F.col("height").isNotNull(), F.concat(F.lit("h"), "height")).otherwise(F.concat(F.lit("b"), F.coalesce("bandwidth", F.lit(0)))))
+    one = first_per_key(video, [*group, size], [order]).drop(size)
     w = Window.partitionBy(*group).orderBy(F.col("height").asc_nulls_first(), F.col("bandwidth").asc_nulls_first(), order)
     return one.withColumn("rung", F.row_number().over(w) - 1)
 
 
 def active_rung(sessions: DataFrame, rungs: DataFrame, group: Sequence[str]) -> DataFrame:
     """sessions: group, height, bandwidth of what plays.  Adds rung: that of its height, or else its bandwidth, or else the top."""
-    tops = rungs.groupBy(*group).agg(F.max("rung").alias("_top"))
-    by_height = rungs.filter("height is not null").groupBy(*group, "height").agg(F.min("rung").alias("_h"))
-    by_bandwidth = rungs.filter("bandwidth is not null").groupBy(*group, "bandwidth").agg(F.min("rung").alias("_b"))
+    top, h, b = unused(sessions.columns, "top", "by_height", "by_bandwidth")
+    tops = rungs.groupBy(*group).agg(F.max("rung").alias(top))
+    by_height = rungs.filter("height is not null").groupBy(*group, "height").agg(F.min("rung").alias(h))
+    by_bandwidth = rungs.filter("bandwidth is not null").groupBy(*group, "bandwidth").agg(F.min("rung").alias(b))
     got = sessions.join(by_height, [*group, "height"], "left").join(by_bandwidth, [*group, "bandwidth"], "left").join(tops, list(group), "left")
-    return got.withColumn("rung", F.coalesce("_h", "_b", "_top")).drop("_h", "_b", "_top")
+    return got.withColumn("rung", F.coalesce(h, b, top)).drop(h, b, top)
 
 
 def cap_as_bandwidth(decisions: DataFrame, rungs: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -37,5 +40,21 @@ def cap_as_bandwidth(decisions: DataFrame, rungs: DataFrame, group: Sequence[str
     return decisions.join(told, [*group, "cap"], "left").withColumn("max_kbps", F.ceil(F.col("max_bandwidth") / 1000))
 
 
+def applied(decisions: DataFrame, rungs: DataFrame, group: Sequence[str]) -> DataFrame:
+    """What each kind of player is told of a decision (group, cap, reason): adds apply, and player settings where it applies.
+
+    One limits height and bandwidth, one whole kilobits, one names a level.  A cap is applied when it changes; one that isn't on the
+    ladder can't be and is `reverted`: the controller takes it back.
+    """
+    told = cap_as_bandwidth(decisions, rungs, group)
+    change = needs_change(F.col("reason"))
+    there = F.col("max_bandwidth").isNotNull() | F.col("max_height").isNotNull()
+    return told.select(
+        *decisions.columns, (change & there).alias("apply"), (change & ~there).alias("reverted"),
+        F.when(change, F.col("max_height")).alias("max_height"), F.when(change, F.col("max_bandwidth")).alias("max_bandwidth"),
+        F.when(change, F.col("max_kbps")).alias("max_kbps"), F.when(change & there, F.col("cap")).alias("level"),
+    )
+
+
 def needs_change(reason: Column) -> Column:
     return reason.isin("lower", "raise")

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..common import unused
+
 
 def sequence_number(df: DataFrame, partition: Sequence[str], order: Sequence[str], starts: Column, name: str = "seq") -> DataFrame:
     """How many rows up to each one start a new sequence."""
@@ -22,18 +24,19 @@ def unwrap_counter(
     value with the anchor's low part taken as 0.  Plain windows: no Python, no state.
     """
     w = Window.partitionBy(*partition).orderBy(*order)
-    df = df.withColumn("_run", F.sum(F.when(resets, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run, prev, by = unused(df.columns, "run", "prev", "step")
+    df = df.withColumn(run, F.sum(F.when(resets, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     low = F.col(low_bits)
-    inside = Window.partitionBy(*partition, "_run").orderBy(*order)
+    inside = Window.partitionBy(*partition, run).orderBy(*order)
     anchor_low = F.when(resets, 0).when(anchors, low)
     # low part of the last anchor before each row; 0 where the run has none yet
-    df = df.withColumn("_prev", F.coalesce(F.last(anchor_low, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    df = df.withColumn(prev, F.coalesce(F.last(anchor_low, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     half = modulus // 2
-    step = F.when((low < F.col("_prev")) & (F.col("_prev") - low >= half), modulus).when((low > F.col("_prev")) & (low - F.col("_prev") > half), -modulus).otherwise(0)
-    df = df.withColumn("_step", F.when(resets, 0).otherwise(step))
-    high = F.coalesce(F.sum(F.when(anchors & ~resets, F.col("_step")).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = F.when(resets, low).otherwise(high + F.col("_step") + low)
-    return df.withColumn(name, out.cast("long")).drop("_run", "_prev", "_step")
+    step = F.when((low < F.col(prev)) & (F.col(prev) - low >= half), modulus).when((low > F.col(prev)) & (low - F.col(prev) > half), -modulus).otherwise(0)
+    df = df.withColumn(by, F.when(resets, 0).otherwise(step))
+    high = F.coalesce(F.sum(F.when(anchors & ~resets, F.col(by)).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = F.when(resets, low).otherwise(high + F.col(by) + low)
+    return df.withColumn(name, out.cast("long")).drop(run, prev, by)
 
 
 def display_order(df: DataFrame, partition: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
@@ -45,16 +48,18 @@ def durations(df: DataFrame, partition: Sequence[str], order: Sequence[str], tic
     w = Window.partitionBy(*partition).orderBy(*order)
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     step = F.lead(ticks).over(w) - F.col(ticks)
-    df = df.withColumn("_step", step)
-    return df.withColumn(name, F.coalesce("_step", F.first("_step").over(every))).drop("_step")
+    by, = unused(df.columns, "step")
+    df = df.withColumn(by, step)
+    return df.withColumn(name, F.coalesce(by, F.first(by).over(every))).drop(by)
 
 
 def contiguous_ranges(df: DataFrame, partition: Sequence[str], order: Sequence[str], value: str, gap) -> DataFrame:
     """Maximal runs whose neighbouring values are at most `gap` apart: start, end, n for each."""
     w = Window.partitionBy(*partition).orderBy(*order)
     far = F.col(value) - F.lag(value).over(w) > gap
-    marked = df.withColumn("_far", F.when(far, 1).otherwise(0))
-    marked = marked.withColumn("range_no", F.sum("_far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    apart, = unused(df.columns, "far")
+    marked = df.withColumn(apart, F.when(far, 1).otherwise(0))
+    marked = marked.withColumn("range_no", F.sum(apart).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*partition, "range_no").agg(F.min(value).alias("start"), F.max(value).alias("end"), F.count(F.lit(1)).alias("n"))
 
 
@@ -70,5 +75,6 @@ def batches(df: DataFrame, partition: Sequence[str], order: Sequence[str], size:
 
 def retained(df: DataFrame, partition: Sequence[str], at: str, keep: Column) -> DataFrame:
     """Rows no older than `keep` before the newest of their partition.  An aggregate and a join, so no partition is sorted."""
-    newest = df.groupBy(*partition).agg(F.max(at).alias("_newest"))
-    return df.join(newest, list(partition)).filter(F.col(at) >= F.col("_newest") - keep).drop("_newest")
+    last, = unused(df.columns, "newest")
+    newest = df.groupBy(*partition).agg(F.max(at).alias(last))
+    return df.join(newest, list(partition)).filter(F.col(at) >= F.col(last) - keep).drop(last)

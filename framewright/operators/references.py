@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..common import folded
 from ..functions.buffer import PictureBuffer
 
 
@@ -32,35 +30,36 @@ def derive_sets(pictures: DataFrame, stream: str = "stream", order: str = "decod
 
     What a picture doesn't name is let go.  An ordered fold; a task holds one stream's few POCs at a time.
     """
-    schema = f"{stream} string, {order} long, poc long, before array<long>, after array<long>, follow array<long>, missing array<long>"
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held = object(), set()
-        for f in frames:
-            out = []
-            for s, at, poc, deltas, resets in zip(f[stream], f[order], f["poc"], f["deltas"], f["resets"]):
-                if s != now or resets:
-                    now, held = s, set()
-                named = [] if resets else [(poc + d["delta"], d["used"]) for d in deltas]
-                there = [(p, used) for p, used in named if p in held]
-                out.append((
-                    s, at, poc, sorted((p for p, u in there if u and p < poc), reverse=True), sorted(p for p, u in there if u and p > poc),
-                    [p for p, u in there if not u], [p for p, _ in named if p not in held],
-                ))
-                held = {p for p, _ in there} | {poc}
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+    schema = f"`{stream}` {dict(pictures.dtypes)[stream]}, `{order}` long, poc long, before array<long>, after array<long>, follow array<long>, missing array<long>"
+
+    class Sets:
+        def __init__(self, k):
+            self.stream, self.held = k, set()
+
+        def row(self, at, poc, deltas, resets):
+            if resets:
+                self.held = set()
+            named = [] if resets else [(poc + d["delta"], d["used"]) for d in deltas or []]
+            there = [(p, used) for p, used in named if p in self.held]
+            before = sorted((p for p, u in there if u and p < poc), reverse=True)
+            after = sorted(p for p, u in there if u and p > poc)
+            out = (self.stream, at, poc, before, after, [p for p, u in there if not u], [p for p, _ in named if p not in self.held])
+            self.held = {p for p, _ in there} | {poc}
+            return [out]
+
+        def end(self):
+            return []
 
     rows = pictures.select(stream, F.col(order).cast("long").alias(order), F.col("poc").cast("long").alias("poc"), "deltas", "resets")
-    return rows.repartition(stream).sortWithinPartitions(stream, order).mapInPandas(fold, schema)
+    return folded(rows, stream, [order], [order, "poc", "deltas", "resets"], Sets, schema)
 
 
 def tile_scan(blocks: DataFrame, picture: list[str], columns: Column, rows: Column) -> DataFrame:
     """blocks: picture, x, y; columns and rows: arrays of where tiles start.  Adds tile and scan, the place in tile order."""
     nth = lambda starts, v: F.size(F.filter(starts, lambda s: s <= v)) - 1
-    got = blocks.withColumn("_c", nth(columns, F.col("x"))).withColumn("_r", nth(rows, F.col("y")))
-    got = got.withColumn("tile", F.col("_r") * F.size(columns) + F.col("_c"))
+    got = blocks.withColumn("tile", nth(rows, F.col("y")) * F.size(columns) + nth(columns, F.col("x")))
     w = Window.partitionBy(*picture).orderBy("tile", "y", "x")
-    return got.withColumn("scan", F.row_number().over(w) - 1).drop("_c", "_r")
+    return got.withColumn("scan", F.row_number().over(w) - 1)
 
 
 def starts(sizes: Column) -> Column:
@@ -69,6 +68,12 @@ def starts(sizes: Column) -> Column:
     return F.aggregate(sizes, zero, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
 
 
+def uniform_sizes(total: Column, parts: Column) -> Column:
+    """Sizes of parts as even as whole numbers allow: part i ends at (i + 1) * total div parts."""
+    end = lambda i: F.floor((i * total) / parts)
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda i: (end(i + 1) - end(i)).cast("long"))
+
+
 def bumped(pictures: DataFrame, stream: str, order: str, rank: list[str]) -> DataFrame:
     """Output order: by sequence and then count, numbered within a stream."""
     return pictures.withColumn("shown", F.row_number().over(Window.partitionBy(stream).orderBy(*rank)) - 1)
@@ -88,29 +93,21 @@ def output_order(pictures: DataFrame, max_reorder: int, max_size: int, stream: s
 
     An ordered fold with a picture buffer for state, so a task holds max_size pictures' marks at most.
     """
-    schema = f"{stream} string, sequence int, poc long, shown_after long, shown long"
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, buffer, n = object(), PictureBuffer(max_reorder, max_size), 0
-
-        def rows(found: list[tuple[int, int]], after: int | None) -> list[tuple]:
-            nonlocal n
-            n += len(found)
-            return [(now, s, p, after, n - len(found) + i) for i, (s, p) in enumerate(found)]
-
-        def frame(out: list[tuple]) -> pd.DataFrame:
-            got = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
-            return got.astype({"shown_after": "Int64"})
-
-        for f in frames:
-            out = []
-            for s, at, poc, deltas, resets in zip(f[stream], f[order], f["poc"], f["deltas"], f["resets"]):
-                if s != now:
-                    out += rows(buffer.flush(), None)
-                    now, buffer, n = s, PictureBuffer(max_reorder, max_size), 0
-                out += rows(buffer.add(poc, {poc + d["delta"] for d in deltas}, bool(resets)), at)
-            yield frame(out)
-        yield frame(rows(buffer.flush(), None))
-
-    rows_ = pictures.select(stream, F.col(order).cast("long").alias(order), F.col("poc").cast("long").alias("poc"), "deltas", "resets")
-    return rows_.repartition(stream).sortWithinPartitions(stream, order).mapInPandas(fold, schema)
+    schema = f"`{stream}` {dict(pictures.dtypes)[stream]}, sequence int, poc long, shown_after long, shown long"
+
+    class Output:
+        def __init__(self, k):
+            self.stream, self.buffer, self.n = k, PictureBuffer(max_reorder, max_size), 0
+
+        def out(self, found, after):
+            self.n += len(found)
+            return [(self.stream, s, p, after, self.n - len(found) + i) for i, (s, p) in enumerate(found)]
+
+        def row(self, at, poc, deltas, resets):
+            return self.out(self.buffer.add(poc, {poc + d["delta"] for d in deltas or []}, bool(resets)), at)
+
+        def end(self):
+            return self.out(self.buffer.flush(), None)
+
+    rows = pictures.select(stream, F.col(order).cast("long").alias(order), F.col("poc").cast("long").alias("poc"), "deltas", "resets")
+    return folded(rows, stream, [order], [order, "poc", "deltas", "resets"], Output, schema)

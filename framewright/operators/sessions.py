@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..common import unused
 from ..functions.media import is_vcl
 from .ordering import sequence_number
 
@@ -16,20 +17,21 @@ def boundary_groups(df: DataFrame, partition: Sequence[str], order: Sequence[str
 
 
 def access_units(units: DataFrame, partition: Sequence[str] = ("stream",), order: Sequence[str] = ("nal_idx",)) -> DataFrame:
-    """Adds au_id: the access unit that each unit (columns type and first_slice) belongs to.
+    """Adds au_id, from 0: the access unit that each unit (columns type and first_slice) belongs to.
 
-    A unit begins an access unit if it is the first coded slice of a picture, or one of the kinds that may only
-    stand before the first slice (delimiter, parameter sets, prefix SEI, reserved ones) after a slice has been seen; of a run of such units before
-    a slice, the first begins it.
+    A unit begins an access unit if it is the first slice of a picture and the unit's own has a slice already, or if it comes
+    right after a slice and is of a kind that stands before slices (delimiter, parameter sets, prefix SEI, end of sequence or stream,
+    reserved and unspecified ones).
     """
     w = Window.partitionBy(*partition).orderBy(*order)
     t = F.col("type")
-    opens = t.isin(32, 33, 34, 35, 39) | t.between(41, 44) | t.between(48, 55)
-    kind = F.when(is_vcl(t), "slice").when(opens, "opens")
-    before = F.last(kind, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    starts = (opens & F.coalesce(before == "slice", F.lit(True))) | (is_vcl(t) & F.col("first_slice") & F.coalesce(before == "slice", F.lit(True)))
-    df = units.withColumn("_starts", starts)
-    return df.withColumn("au_id", F.sum(F.when(F.col("_starts"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_starts")
+    opens = (t.isin(32, 33, 34, 35, 36, 37, 39) | t.between(41, 63)) & F.coalesce(is_vcl(F.lag(t).over(w)), F.lit(False))
+    was, begins = unused(units.columns, "was", "begins")
+    df = units.withColumn(was, F.when(is_vcl(t), "slice").when(opens, "opens"))
+    before = F.last(was, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    starts = (F.col(was) == "opens") | (is_vcl(t) & F.col("first_slice") & (before == "slice"))
+    df = df.withColumn(begins, F.when(starts, 1).otherwise(0))
+    return df.withColumn("au_id", F.sum(begins).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop(was, begins)
 
 
 def pictures(units: DataFrame, partition: Sequence[str] = ("stream",), order: Sequence[str] = ("nal_idx",)) -> DataFrame:

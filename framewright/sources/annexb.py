@@ -1,11 +1,13 @@
-"""Byte streams of units behind start codes: splitting, headers, payloads, and a Spark data source."""
+"""Byte streams of units behind start codes: splitting, headers, payloads, and reading them with Spark."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..common import ship
+from ..functions.media import is_vcl
 
 SCHEMA = "stream string, nal_idx int, offset long, size long, type int, layer int, tid int, rbsp binary, epb array<long>"
 
@@ -80,43 +82,30 @@ def split_streams(files: DataFrame) -> DataFrame:
                 for at in range(0, len(got), 1000):
                     yield pd.DataFrame(got[at : at + 1000], columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
+    ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(split, SCHEMA)
 
 
 def read_streams(spark: SparkSession, path: str) -> DataFrame:
+    """The units of all files at a path that Spark can read."""
     return split_streams(spark.read.format("binaryFile").load(path))
 
 
-class AnnexBSource(DataSource):
-    """spark.read.format("annexb").option("path", folder): a partition for each local file."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "annexb"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema):
-        return AnnexBReader(self.options["path"])
-
+FILES = "path string, modificationTime timestamp, length long, content binary"
 
-class AnnexBReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
 
-    def partitions(self):
-        import glob
-        import os
+def feed_streams(spark: SparkSession, path: str, at_a_time: int = 100) -> DataFrame:
+    """As read_streams, of files as they arrive (each holds whole units); a micro-batch takes `at_a_time` at most, so a burst waits its turn."""
+    return split_streams(spark.readStream.schema(FILES).format("binaryFile").option("maxFilesPerTrigger", at_a_time).load(path))
 
-        names = sorted(glob.glob(f"{self.path}/*")) if os.path.isdir(self.path) else [self.path]
-        return [InputPartition(n) for n in names]
 
-    def read(self, partition):
-        with open(partition.value, "rb") as f:
-            yield from rows(partition.value, f.read())
+def routed(units: DataFrame) -> DataFrame:
+    """Adds route: where a unit goes by its type, to the parameter sets, to slice decoding, or nowhere."""
+    t = F.col("type")
+    return units.withColumn("route", F.when(t.between(32, 34), "parameters").when(is_vcl(t), "slices").otherwise("skipped"))
 
 
+# What the standard calls the kinds of units.
 UNIT_NAMES = {
     0: "TRAIL_N", 1: "TRAIL_R", 2: "TSA_N", 3: "TSA_R", 4: "STSA_N", 5: "STSA_R", 6: "RADL_N", 7: "RADL_R", 8: "RASL_N", 9: "RASL_R",
     16: "BLA_W_LP", 17: "BLA_W_RADL", 18: "BLA_N_LP", 19: "IDR_W_RADL", 20: "IDR_N_LP", 21: "CRA_NUT",

@@ -2,103 +2,181 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import logging
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..common import folded, ship, unused
 from ..operators.control import Controller, Settings
 
+_log = logging.getLogger(__name__)
 
-def decide_stream(df: DataFrame, key: str, order: str, speed: str, ladder: int, start: int, settings: Settings = Settings()) -> DataFrame:
+
+def _kept_for(state: GroupState, idle_ms: int | None) -> None:
+    if idle_ms:
+        state.setTimeoutDuration(idle_ms)
+
+
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+
+
+def decide_stream(
+    df: DataFrame, key: str, order: str, speed: str, ladder: int, start: int, settings: Settings = Settings(), idle_ms: int | None = None
+) -> DataFrame:
     """control.decide on a stream whose micro-batches are in order: the state is a controller's few numbers per key.
 
-    Output: key, order, cap (-1: none), mean_speed, reason.
+    Output: key, order, cap (-1: none), mean_speed, reason.  A key's rows of one micro-batch are sorted in memory.  With idle_ms a key
+    that sends nothing for so long is forgotten and starts anew.
     """
+    ship(df.sparkSession)
     kinds = dict(df.dtypes)
-    state_schema = "cap int, low int, high int, speeds string"
-    out_schema = f"{key} {kinds[key]}, {order} {kinds[order]}, cap int, mean_speed double, reason string"
+    out_schema = f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, cap int, mean_speed double, reason string"
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         c = Controller(settings)
         c.resize(ladder)
         if state.exists:
-            cap, c.low, c.high, speeds = state.get
-            c.cap, c.speeds = (None if cap < 0 else cap), [float(x) for x in speeds.split(",") if x]
+            c.cap, c.low, c.high, c.speeds, before = json.loads(state.get[0])
+            c.before = before and tuple(before)
         rows = pd.concat(list(frames)).sort_values(order)
         out = []
         for at, x in zip(rows[order], rows[speed]):
             cap, mean, reason = c.observe(float(x), start)
             out.append((k[0], at, -1 if cap is None else cap, mean, reason))
-        state.update((-1 if c.cap is None else c.cap, c.low, c.high, ",".join(map(repr, c.speeds))))
+        state.update((json.dumps([c.cap, c.low, c.high, c.speeds, c.before]),))
+        _kept_for(state, idle_ms)
         yield pd.DataFrame(out, columns=[key, order, "cap", "mean_speed", "reason"])
 
-    rows = df.select(key, order, speed)
-    return rows.groupBy(key).applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    rows = df.select(key, order, speed).filter(F.col(speed).isNotNull())
+    return rows.groupBy(key).applyInPandasWithState(step, out_schema, "controller string", "append", _timeout(idle_ms))
 
 
-def reorder_stream(df: DataFrame, key: str, arrival: str, position: str, depth: int) -> DataFrame:
+def reorder_stream(df: DataFrame, key: str, arrival: str, position: str, depth: int, idle_ms: int | None = None) -> DataFrame:
     """Rows of each key in order of `position`, holding `depth` of them back; bounded state, disorder bounded by count.
 
-    Output: key, position, emitted (running number).  A row that comes after its place has gone is emitted at once.
+    Output: key, position, emitted (running number).  A row that comes after its place has gone is emitted at once; rows of null
+    position are left out.  With idle_ms a key that sends nothing for so long is flushed: what is held comes out in order, and its
+    state goes.  Without, the last `depth` rows of a key are held as long as the stream runs.
     """
+    ship(df.sparkSession)
     kinds = dict(df.dtypes)
-    schema = f"{key} {kinds[key]}, {position} {kinds[position]}, emitted long"
+    schema = f"`{key}` {kinds[key]}, `{position}` {kinds[position]}, emitted long"
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-        if state.exists:
-            text, n = state.get
-            held = [int(x) for x in text.split(",") if x]
+        held, n = ([int(x) for x in state.get[0].split(",") if x], state.get[1]) if state.exists else ([], 0)
         out = []
-        for x in pd.concat(list(frames)).sort_values(arrival)[position]:
-            held.append(int(x))
-            while len(held) > depth:
-                first = min(held)
-                held.remove(first)
-                out.append((k[0], first, n))
-                n += 1
-        state.update((",".join(map(str, held)), n))
+        if state.hasTimedOut:
+            out = [(k[0], x, n + i) for i, x in enumerate(sorted(held))]
+            state.remove()
+        else:
+            for x in pd.concat(list(frames)).sort_values(arrival)[position]:
+                held.append(int(x))
+                while len(held) > depth:
+                    first = min(held)
+                    held.remove(first)
+                    out.append((k[0], first, n))
+                    n += 1
+            state.update((",".join(map(str, held)), n))
+            _kept_for(state, idle_ms)
         yield pd.DataFrame(out, columns=[key, position, "emitted"])
 
-    rows = df.select(key, arrival, position)
-    return rows.groupBy(key).applyInPandasWithState(step, schema, "held string, n long", "append", GroupStateTimeout.NoTimeout)
+    rows = df.select(key, arrival, position).filter(F.col(position).isNotNull())
+    return rows.groupBy(key).applyInPandasWithState(step, schema, "held string, n long", "append", _timeout(idle_ms))
 
 
 def reorder_batch(df: DataFrame, key: str, arrival: str, position: str, depth: int) -> DataFrame:
-    """reorder_stream with the flush at the end, over a whole table: sorted partitions, one key's buffer at a time."""
+    """reorder_stream with the flush at the end, over a whole table, by sorted partitions and one key's buffer at a time.
+
+    Output: key, position, emitted, and flushed: whether a row came out at the end only.  Rows of null position are left out.
+    """
     kinds = dict(df.dtypes)
-    schema = f"{key} {kinds[key]}, {position} {kinds[position]}, emitted long"
-
-    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held, n = object(), [], 0
-        for f in frames:
-            out = []
-            for k, x in zip(f[key], f[position]):
-                if k != now:
-                    out += [(now, y, n + i) for i, y in enumerate(sorted(held))]
-                    now, held, n = k, [], 0
-                held.append(int(x))
-                if len(held) > depth:
-                    first = min(held)
-                    held.remove(first)
-                    out.append((k, first, n))
-                    n += 1
-            yield pd.DataFrame(out, columns=[key, position, "emitted"])
-        yield pd.DataFrame([(now, y, n + i) for i, y in enumerate(sorted(held))], columns=[key, position, "emitted"])
 
-    return df.select(key, arrival, position).repartition(key).sortWithinPartitions(key, arrival).mapInPandas(step, schema)
+    class Buffer:
+        def __init__(self, k):
+            self.key, self.held, self.n = k, [], 0
+
+        def out(self, x, flushed):
+            self.n += 1
+            return (self.key, x, self.n - 1, flushed)
+
+        def row(self, x):
+            self.held.append(x)
+            if len(self.held) <= depth:
+                return []
+            first = min(self.held)
+            self.held.remove(first)
+            return [self.out(first, False)]
+
+        def end(self):
+            return [self.out(x, True) for x in sorted(self.held)]
+
+    rows = df.filter(F.col(position).isNotNull())
+    return folded(rows, key, [arrival], [position], Buffer, f"`{key}` {kinds[key]}, `{position}` {kinds[position]}, emitted long, flushed boolean")
+
+
+def all_frames(drained: DataFrame, flushed: DataFrame) -> DataFrame:
+    """What came out on the way and what at the end, as one; `flushed` tells which."""
+    return drained.withColumn("flushed", F.lit(False)).unionByName(flushed.withColumn("flushed", F.lit(True)))
 
 
 def current_generation(df: DataFrame, key: str, generation: str) -> DataFrame:
     """Rows of a key's newest generation: what an older one sends late is discarded."""
-    newest = df.groupBy(key).agg(F.max(generation).alias("_newest"))
-    return df.join(newest, key).filter(F.col(generation) == F.col("_newest")).drop("_newest")
+    last, = unused(df.columns, "newest")
+    newest = df.groupBy(key).agg(F.max(generation).alias(last))
+    return df.join(newest, key).filter(F.col(generation) == F.col(last)).drop(last)
 
 
 def rebase(df: DataFrame, segment: list[str], order: str, times: list[str], base: str) -> DataFrame:
-    """Shifts a segment's times so that its first one is `base`; a null base shifts nothing."""
-    first = df.groupBy(*segment).agg(F.min_by(times[0], order).alias("_first"), F.first(base, ignorenulls=True).alias("_base"))
-    shift = F.coalesce(F.col("_first") - F.col("_base"), F.lit(0))
+    """Shifts a segment's times so that its first one is `base`, as its first row that has one gives it; without one nothing is shifted."""
+    at, to = unused(df.columns, "first", "base")
+    first = df.groupBy(*segment).agg(F.min_by(times[0], order).alias(at), F.min_by(base, F.when(F.col(base).isNotNull(), F.col(order))).alias(to))
+    shift = F.coalesce(F.col(at) - F.col(to), F.lit(0))
     return df.join(first, segment).select(*[(F.col(c) - shift).alias(c) if c in times else F.col(c) for c in df.columns])
+
+
+def repositioned(delta_s: Column, queued: Column, begun: Column, least_s: float = 0.5) -> Column:
+    """Whether a change of the time offset means a seek, after which what is queued is to be dropped."""
+    return (F.abs(delta_s) >= least_s) & queued & begun
+
+
+def served(queue: DataFrame, key: str, order: list[str], kind: str) -> DataFrame:
+    """A queue worked off one entry at a time.  queue: key, order, kind (init, segment, abort, or null).  Adds generation, init_no and state.
+
+    generation: how many aborts precede the entry; init_no: how many init segments do, itself included, whatever the generation, as
+    a new run begins with the last one again.  state: `parsed` for an init segment, `served` for a segment after one, `waiting`
+    for a segment before any, `dropped` for a segment that an abort follows before the next entry, else null.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy(*order)
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    k = F.col(kind)
+    df = queue.withColumn("generation", F.sum(F.when(k == "abort", 1).otherwise(0)).over(past)).withColumn("init_no", F.sum(F.when(k == "init", 1).otherwise(0)).over(past))
+    cut = F.coalesce(F.lead(k).over(w) == "abort", F.lit(False))
+    segment = F.when(cut, "dropped").when(F.col("init_no") > 0, "served").otherwise("waiting")
+    return df.withColumn("state", F.when(k == "init", "parsed").when(k == "segment", segment))
+
+
+def publish(*listeners: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: hands each micro-batch to every listener in turn; one that raises doesn't keep it from the others."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for f in listeners:
+                try:
+                    f(batch, number)
+                except Exception:
+                    _log.exception("a listener failed on micro-batch %d", number)
+        finally:
+            batch.unpersist()
+
+    return each
