@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -20,6 +21,7 @@ from .shingles import WORDS, shingle_sets, signature
 NUM, DEN = 80, 100  # two sets link when DEN * |both| >= NUM * |either|
 BLOCK_BYTES = 8 << 20  # of input to each block in which shingles are counted
 GROUP_BYTES = 24 << 20  # of sets that one task joins at once; it takes about six times that while it does
+DENSE = 4096  # sets on the short lists of one search from which on they are counted
 LONG = 0.01  # DivideSkip's mu: the larger, the fewer lists are probed instead of merged
 _U = np.uint64
 
@@ -226,21 +228,20 @@ def _rarest(t: pa.Table, n_blocks: int) -> pa.Table:
     return pa.Table.from_batches([_batch(POSTING, [hashes[take].view(np.int64), keys[doc[take]]])])
 
 
-def merge_skip(lists: list[tuple[int, int]], values: list[int], need: int) -> dict[int, int]:
-    """What stands on `need` or more of some sorted lists, and on how many.  lists: where in values each begins and ends.
+def merge_skip(lists: list[tuple[int, int]], values: list[int], need: int) -> Iterator[tuple[int, int]]:
+    """What stands on `need` or more of some sorted lists, in order, and on how many.  lists: where in values each begins and ends.
 
     The lists' next values are in a heap.  If fewer than `need` lists have the least of them, need - 1 lists can be moved on
     to the least value of the others, as nothing before it is on enough lists.
     """
     heap = [(values[a], a, b) for a, b in lists if a < b]
     heapq.heapify(heap)
-    out = {}
     while len(heap) >= need:
         least, taken = heap[0][0], []
         while heap and heap[0][0] == least:
             taken.append(heapq.heappop(heap))
         if len(taken) >= need:
-            out[least] = len(taken)
+            yield least, len(taken)
             after = least + 1
         else:
             while len(taken) < need - 1:
@@ -250,7 +251,51 @@ def merge_skip(lists: list[tuple[int, int]], values: list[int], need: int) -> di
             a = bisect.bisect_left(values, after, a, b)
             if a < b:
                 heapq.heappush(heap, (values[a], a, b))
-    return out
+
+
+def scan_count(lists: np.ndarray, need: int) -> Iterator[tuple[int, int]]:
+    """As merge_skip, of all the lists' values together, by counting them."""
+    got = np.bincount(lists)
+    for j in np.flatnonzero(got >= need).tolist():
+        yield j, int(got[j])
+
+
+def _links(i: int, low: int, need: int, own: np.ndarray, sizes, label, count, first, posting) -> Iterator[int]:
+    """Sets of another label among low to i that link with set i (tokens own), by DivideSkip.  label may change meanwhile."""
+    other = label[:i] != label[i]
+    other[:low] = False
+    shared = own[count[own] > 1]
+    if len(shared) < need or not other.any():
+        return
+    n = count[shared]
+    at = np.repeat(first[shared] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    there = (posting[at] < i) & other[np.minimum(posting[at], i - 1)]
+    on = np.bincount(np.repeat(np.arange(len(shared)), n)[there], minlength=len(shared))
+    lists, end = posting[at[there]], np.cumsum(on)
+    by_length = np.argsort(on, kind="stable")
+    by_length = by_length[on[by_length] > 0]
+    if len(by_length) < need:
+        return
+    n_long = min(need - 1, int(need / (LONG * math.log2(on[by_length[-1]] + 1) + 1)), len(by_length) // 2)
+    short, long = by_length[: len(by_length) - n_long], by_length[len(by_length) - n_long :]
+    # the long lists one after another as one sorted array: place of the list, then set
+    spots = np.concatenate([np.arange(end[t] - on[t], end[t]) for t in long]) if n_long else np.zeros(0, np.int64)
+    probed = np.repeat(np.arange(n_long), on[long]) * i + lists[spots]
+    if on[short].sum() > DENSE:
+        found = scan_count(np.concatenate([lists[end[t] - on[t] : end[t]] for t in short]), need - n_long)
+    else:
+        found = merge_skip([(int(end[t] - on[t]), int(end[t])) for t in short], lists.tolist(), need - n_long)
+    size = 1
+    while some := list(itertools.islice(found, size)):
+        maybe, total = (np.array(x, np.int64) for x in zip(*some))
+        left = label[maybe] != label[i]
+        maybe, total = maybe[left], total[left]
+        if n_long and len(maybe):
+            wanted = (np.arange(n_long)[:, None] * i + maybe[None, :]).ravel()
+            hit = probed[np.minimum(np.searchsorted(probed, wanted), len(probed) - 1)] == wanted
+            total = total + hit.reshape(n_long, -1).sum(0)
+        yield from maybe[DEN * total >= NUM * (int(sizes[i]) + sizes[maybe] - total)].tolist()
+        size = min(4 * size, 256)
 
 
 def join_locally(sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
@@ -260,7 +305,8 @@ def join_locally(sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     tried first; if any label is then left, a T-occurrence search finds the rest: the sets on the inverted
     lists of its shingles that have the overlap it needs.  DivideSkip sets the longest lists aside, merges the others by a
     heap, and looks up in the long ones, by binary search, only what has enough occurrences without them.  Sets that are known to be
-    connected with it are left out of the lists first.
+    connected with it are left out of the lists first.  Short lists that together hold more than DENSE sets, as those of
+    near copies do, are counted instead of merged, which gives the same at less cost.
     """
     sizes = np.array([len(s) for s in sets])
     by = np.argsort(sizes, kind="stable")
@@ -289,30 +335,9 @@ def join_locally(sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
                 both = int(mine[token[ends[j] - sizes[j] : ends[j]]].sum())
                 if DEN * both >= NUM * (r + int(sizes[j]) - both):
                     merge(i, j)
-        other = label[:i] != label[i]
-        other[:low] = False
-        if other.any():
-            shared = own[count[own] > 1]
-            n = count[shared]
-            at = np.repeat(first[shared] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            there = other[np.minimum(posting[at], i - 1)] & (posting[at] < i)
-            on = np.bincount(np.repeat(np.arange(len(shared)), n)[there], minlength=len(shared))
-            lists = posting[at[there]]
-            end = np.cumsum(on)
-            by_length = np.argsort(on, kind="stable")
-            by_length = by_length[on[by_length] > 0]
-            if len(by_length) >= need:
-                n_long = min(need - 1, int(need / (LONG * math.log2(on[by_length[-1]] + 1) + 1)), len(by_length) // 2)
-                short, long = by_length[: len(by_length) - n_long], by_length[len(by_length) - n_long :]
-                got = merge_skip([(int(end[t] - on[t]), int(end[t])) for t in short], lists.tolist(), need - n_long)
-                maybe = np.array(sorted(got), np.int64)
-                total = np.array([got[j] for j in maybe.tolist()], np.int64)
-                for t in long if len(maybe) else ():
-                    x = lists[end[t] - on[t] : end[t]]
-                    total += x[np.minimum(np.searchsorted(x, maybe), len(x) - 1)] == maybe
-                for j in maybe[DEN * total >= NUM * (r + sizes[maybe] - total)].tolist():
-                    if label[j] != label[i]:
-                        merge(i, j)
+        for j in _links(i, low, need, own, sizes, label, count, first, posting):
+            if label[j] != label[i]:
+                merge(i, j)
         mine[own] = False
     out = np.empty_like(label)
     out[by] = label
@@ -347,7 +372,7 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _links(rows: DataFrame) -> DataFrame:
+def _group_links(rows: DataFrame) -> DataFrame:
     """rows: g1, g2, g3, node, label, value."""
     parts = rows.repartition("g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3")
     return keep(parts.select("g1", "g2", "g3", "node", "label", "value").mapInArrow(_solve, EDGE).filter("a <> b"))
@@ -364,11 +389,11 @@ def _link_large(rows: DataFrame, group_bytes: int) -> DataFrame:
     parts = lambda total: F.greatest(F.ceil(total / F.lit(group_bytes)), F.lit(1)).cast("long")
     total = rows.groupBy("comp").agg(F.sum("bytes").alias("total"))
     rows = keep(rows.join(total, "comp").withColumn("part", F.pmod(F.xxhash64("node"), parts(F.col("total")))))
-    first = _links(rows.select(F.col("comp").alias("g1"), F.col("part").alias("g2"), zero.alias("g3"), "node", F.col("node").alias("label"), "value"))
+    first = _group_links(rows.select(F.col("comp").alias("g1"), F.col("part").alias("g2"), zero.alias("g3"), "node", F.col("node").alias("label"), "value"))
     lead = rows.join(first.select(F.col("a").alias("node")), "node", "left_anti")
     total = lead.groupBy("comp").agg(F.sum("bytes").alias("lead_total"))
     lead = lead.join(total, "comp").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), parts(F.col("lead_total"))))
-    second = _links(lead.select(F.col("comp").alias("g1"), F.col("part").alias("g2"), zero.alias("g3"), "node", F.col("node").alias("label"), "value"))
+    second = _group_links(lead.select(F.col("comp").alias("g1"), F.col("part").alias("g2"), zero.alias("g3"), "node", F.col("node").alias("label"), "value"))
     edges = first.unionByName(second)
     label = connected_components(edges)
     rows = keep(rows.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
@@ -386,7 +411,7 @@ def _link_large(rows: DataFrame, group_bytes: int) -> DataFrame:
     a = minor.withColumn("q", F.pmod(F.xxhash64("node", F.lit(2)), n)).withColumn("o", F.explode(F.sequence(zero, n - 1)))
     among = a.select(F.col("comp").alias("g1"), (-1 - F.least("q", "o")).alias("g2"), (-1 - F.greatest("q", "o")).alias("g3"), *columns)
     pairs = left.select(F.col("comp").alias("g1"), "g2", "g3", *columns).unionByName(right.select(F.col("comp").alias("g1"), "g2", "g3", *columns))
-    return edges.unionByName(_links(pairs)).unionByName(_links(among))
+    return edges.unionByName(_group_links(pairs)).unionByName(_group_links(among))
 
 
 def jaccard_components(
@@ -448,7 +473,7 @@ def jaccard_components(
     zero = F.lit(0).cast("long")
     some_large = not large.isEmpty()
     small = sets.join(large, "comp", "left_anti") if some_large else sets
-    links = _links(small.select(F.col("comp").alias("g1"), zero.alias("g2"), zero.alias("g3"), "node", F.col("node").alias("label"), "value"))
+    links = _group_links(small.select(F.col("comp").alias("g1"), zero.alias("g2"), zero.alias("g3"), "node", F.col("node").alias("label"), "value"))
     if some_large:
         links = links.unionByName(_link_large(keep(sets.join(large, "comp", "left_semi")), group_bytes))
     final = connected_components(links)

@@ -4,23 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if _ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join(p for p in [_ROOT, *paths] if p)
-
+from ..common import ship, unused  # noqa: F401
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and one machine does all."""
@@ -82,13 +71,3 @@ def drop(df: DataFrame) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def unused(columns: list[str], *names: str) -> list[str]:
-    """The names, with underscores before those that columns has, in any case."""
-    taken, out = {c.lower() for c in columns}, []
-    for n in names:
-        while n.lower() in taken:
-            n = "_" + n
-        taken.add(n.lower())
-        out.append(n)
-    return out

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from framewright.llm.jaccard import DEALT, _batch, _prefix, _recurring, _suspects, jaccard_components, merge_skip, one_of_each
+from framewright.llm.jaccard import DEALT, _batch, _prefix, _recurring, _suspects, jaccard_components, join_locally, merge_skip, one_of_each, scan_count
 
 SCHEMA = "doc_id long, text string, n_chars long, key string"
 
@@ -90,7 +90,8 @@ def test_merge_skip_finds_what_is_on_enough_lists():
         values = [x for own in lists for x in own]
         ends = np.cumsum([len(own) for own in lists]).tolist()
         want = {x: n for x in range(40) if (n := sum(x in own for own in lists)) >= need}
-        assert merge_skip([(e - len(own), e) for own, e in zip(lists, ends)], values, need) == want
+        assert list(scan_count(np.array(values, np.int64), need)) == list(want.items())
+        assert list(merge_skip([(e - len(own), e) for own, e in zip(lists, ends)], values, need)) == list(want.items())
 
 
 def test_one_of_each_with_clashing_names(spark):
@@ -101,3 +102,24 @@ def test_one_of_each_with_clashing_names(spark):
     assert got.columns == df.columns
     assert {(r["doc_id"], r["text"], r["key"], r["_key"]) for r in got.collect()} == {(i, t, "k", "o") for i, t in rows if i != 3}
     assert one_of_each(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("dense", [0, 1 << 40])
+def test_groups_of_near_copies_at_the_threshold(dense, monkeypatch):
+    monkeypatch.setattr("framewright.llm.jaccard.DENSE", dense)
+    rng = np.random.default_rng(4)
+    for share in (0.05, 0.2, 0.4):
+        base, sets = rng.integers(0, 1 << 62, 80, dtype=np.uint64), []
+        for _ in range(70):
+            own = base[: rng.integers(60, 81)].copy()
+            k = rng.integers(0, int(len(own) * share) + 1)
+            own[rng.choice(len(own), k, replace=False)] = rng.integers(0, 1 << 62, k, dtype=np.uint64)
+            sets.append(np.unique(own))
+        want = np.arange(len(sets))
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    want[want == want[j]] = want[i]
+        groups = lambda x: sorted(tuple(np.flatnonzero(x == v)) for v in set(x.tolist()))
+        assert groups(join_locally(sets, np.arange(len(sets)))) == groups(want)
