@@ -1,0 +1,460 @@
+"""Decoding intra pictures: slices, coding trees, residuals, and the picture they make.
+
+A picture's slices are serial by nature; a task decodes one stream's pictures one after the other and holds one of them.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+import numpy as np
+
+from . import filters, intra
+from .cabac import Cabac
+from .kernels import COSINES, DST4, dequantise, inverse_transform  # noqa: F401
+from .syntax import Pps, SliceHeader, Sps
+
+# The context of a coefficient's significance in a block of four by four.
+_IN_FOUR = (0, 1, 4, 5, 2, 3, 4, 5, 6, 6, 8, 8, 7, 7, 8)
+# Chroma quantisers that luma ones from 30 to 42 stand for.
+_CHROMA_QP = (29, 30, 31, 32, 33, 33, 34, 34, 35, 35, 36, 36, 37)
+
+
+def scan(n: int, kind: int) -> list[tuple[int, int]]:
+    """(x, y) in order: 0 along diagonals from below left up, 1 by rows, 2 by columns."""
+    cells = [(x, y) for y in range(n) for x in range(n)]
+    return sorted(cells, key=[lambda c: (c[0] + c[1], c[0]), lambda c: (c[1], c[0]), lambda c: (c[0], c[1])][kind])
+
+
+SCANS = {(n, k): scan(n, k) for n in (1, 2, 4, 8) for k in range(3)}
+
+
+def chroma_qp(qp: int, offset: int, extra: int) -> int:
+    q = max(-extra, min(57, qp + offset))
+    return (q if q < 30 else q - 6 if q >= 43 else _CHROMA_QP[q - 30]) + extra
+
+
+@dataclass
+class Picture:
+    """Planes, and per four by four luma samples what later blocks and the filters need to know."""
+
+    sps: Sps
+    planes: list[np.ndarray] = field(default_factory=list)
+
+    def __post_init__(self):
+        s = self.sps
+        if s.chroma > 1:
+            raise ValueError("only luma alone and 4:2:0 are decoded")
+        self.planes = [np.zeros((s.height, s.width), np.int64)] + [np.zeros((s.height // 2, s.width // 2), np.int64) for _ in range(2 if s.chroma else 0)]
+        cells = -(-s.height // 4), -(-s.width // 4)
+        self.done, self.slice, self.qp = np.zeros(cells, bool), np.full(cells, -1), np.zeros(cells, np.int64)
+        self.mode, self.depth, self.raw = np.full(cells, intra.DC), np.zeros(cells, np.int64), np.zeros(cells, bool)
+        self.edge_x, self.edge_y = np.zeros(cells, bool), np.zeros(cells, bool)  # a block begins at the cell's left or top
+        w, h = s.ctbs
+        self.tile, self.header = np.zeros((h, w), np.int64), {}
+        self.sao: dict[tuple[int, int], list] = {}
+
+    def shown(self) -> list[np.ndarray]:
+        """The planes without what is cropped."""
+        left, right, top, bottom = self.sps.crop
+        out = []
+        for i, p in enumerate(self.planes):
+            k = 2 if not i and self.sps.chroma == 1 else 1
+            out.append(p[top * k : p.shape[0] - bottom * k, left * k : p.shape[1] - right * k])
+        return out
+
+    def finish(self, pps: Pps) -> None:
+        """The loop filters, over the whole picture."""
+        filters.deblock(self, pps)
+        filters.offset(self, pps)
+
+
+class SliceDecoder:
+    """Decodes one slice segment into a picture."""
+
+    def __init__(self, picture: Picture, pps: Pps, header: SliceHeader, data: bytes, number: int, before: SliceDecoder | None = None):
+        """number: of the slice; header: with what a dependent segment inherits; before: the segment that it goes on from."""
+        if header.slice_type != 2:
+            raise ValueError("only intra slices are decoded")
+        self.pic, self.sps, self.pps, self.head, self.number = picture, picture.sps, pps, header, number
+        self.cabac = Cabac(data, header.data_at, header.qp)
+        self.side = 1 << self.sps.log2_ctb
+        self.columns, self.rows = pps.tile_starts(self.sps)
+        w, h = self.sps.ctbs
+        tile = lambda v, starts: sum(s <= v for s in starts) - 1
+        cells = sorted((tile(y, self.rows), tile(x, self.columns), y, x) for y in range(h) for x in range(w))
+        self.order = [(x, y) for _, _, y, x in cells]
+        for r, c, y, x in cells:
+            picture.tile[y, x] = r * len(self.columns) + c
+        picture.header[number] = header
+        self.before, self.row_state = before, before.row_state if before else None
+
+    def run(self) -> None:
+        w, _ = self.sps.ctbs
+        first = self.head.address
+        start = self.order.index((first % w, first // w))
+        self.last_qp = self.head.qp
+        if self.head.dependent and self.before:
+            self.cabac.load(self.before.cabac.saved())
+            self.last_qp = self.before.last_qp
+        for i in range(start, len(self.order)):
+            x, y = self.order[i]
+            tile = self.pic.tile[y, x]
+            of_row = self.pps.wavefront and x == self.columns[int(tile) % len(self.columns)]
+            new_tile = i and self.pic.tile[self.order[i - 1][1], self.order[i - 1][0]] != tile
+            if i > start and (new_tile or of_row):
+                self.cabac.start(8 * self.cabac.next_byte())
+            if i > start and new_tile or of_row and (i > start or not new_tile and i):
+                self._begin(x, y, bool(new_tile))
+            self.ctu(x, y)
+            if self.pps.wavefront and (x == self.columns[int(tile) % len(self.columns)] + 1 or self._narrow(tile) and of_row):
+                self.row_state = self.cabac.saved()
+            if self.cabac.ends():
+                return
+            following = self.order[i + 1] if i + 1 < len(self.order) else None
+            if following is None:
+                raise ValueError("a slice goes beyond its picture")
+            t = self.pic.tile[following[1], following[0]]
+            if t != tile or self.pps.wavefront and following[0] == self.columns[int(t) % len(self.columns)]:
+                if not self.cabac.ends():
+                    raise ValueError("a substream doesn't end where it should")
+
+    def _narrow(self, tile: int) -> bool:
+        c = int(tile) % len(self.columns)
+        return [*self.columns, self.sps.ctbs[0]][c + 1] - self.columns[c] == 1
+
+    def _begin(self, x: int, y: int, new_tile: bool) -> None:
+        """Contexts at the start of a tile, or of a row that goes on from the second block of the one above."""
+        self.last_qp = self.head.qp
+        self.cabac.reset(self.head.qp)
+        if not new_tile and self.pps.wavefront and self.row_state and y:
+            # the state is that after the block above and to the right, which must be of this slice or one before
+            right = min(x + 1, self.sps.ctbs[0] - 1)
+            cy, cx = (y - 1) * self.side // 4, right * self.side // 4
+            if self.pic.slice[cy, cx] >= 0 and self.pic.tile[y - 1, right] == self.pic.tile[y, x]:
+                self.cabac.load(self.row_state)
+
+    # -- what may be used
+
+    def usable(self, x: int, y: int, cx: int, cy: int) -> bool:
+        """Whether the block at luma sample (x, y) is decoded and in the slice and tile of that at (cx, cy)."""
+        p = self.pic
+        if x < 0 or y < 0 or x >= self.sps.width or y >= self.sps.height:
+            return False
+        k = self.sps.log2_ctb
+        return bool(p.done[y >> 2, x >> 2]) and p.slice[y >> 2, x >> 2] == self.number and p.tile[y >> k, x >> k] == p.tile[cy >> k, cx >> k]
+
+    # -- coding trees
+
+    def ctu(self, cx: int, cy: int) -> None:
+        x, y = cx * self.side, cy * self.side
+        if self.head.sao_luma or self.head.sao_chroma:
+            self.pic.sao[cx, cy] = self.sao(cx, cy)
+        self.quadtree(x, y, self.sps.log2_ctb, 0)
+
+    def sao(self, cx: int, cy: int) -> list:
+        """For each plane (kind, class or first band, four offsets), or None."""
+        c, side = self.cabac, self.side
+        for dx, dy in ((1, 0), (0, 1)):
+            x, y = (cx - dx) * side, (cy - dy) * side
+            if self.usable(x, y, cx * side, cy * side) and c.bin("sao_merge"):
+                return self.pic.sao[cx - dx, cy - dy]
+        out: list = []
+        kind = 0
+        for i in range(len(self.pic.planes)):
+            if not (self.head.sao_chroma if i else self.head.sao_luma):
+                out.append(None)
+                continue
+            depth = self.sps.depth_chroma if i else self.sps.depth_luma
+            if i < 2:
+                kind = c.sao_type()
+            if not kind:
+                out.append(None)
+                continue
+            most = (1 << min(depth, 10) - 5) - 1
+            values = [c.unary(most, lambda _: c.even()) for _ in range(4)]
+            if kind == 1:
+                values = [-v if v and c.even() else v for v in values]
+                place = c.evens(5)
+            else:
+                values = [values[0], values[1], -values[2], -values[3]]
+                place = c.evens(2) if i < 2 else out[1][1]
+            out.append((kind, place, [v << (depth - min(depth, 10)) for v in values]))
+        return out
+
+    def quadtree(self, x: int, y: int, log2: int, depth: int) -> None:
+        s, size = self.sps, 1 << log2
+        if self.pps.cu_qp_delta and log2 >= s.log2_ctb - self.pps.qp_delta_depth:
+            self.qp_coded, self.qp_delta = False, 0
+            self.group_qp(x, y)
+        elif not self.pps.cu_qp_delta and log2 == s.log2_ctb:
+            self.qp_coded, self.qp_delta = False, 0
+            self.group_qp(x, y)
+        if x + size <= s.width and y + size <= s.height and log2 > s.log2_min_cb:
+            at = sum(self.usable(a, b, x, y) and self.pic.depth[b >> 2, a >> 2] > depth for a, b in ((x - 1, y), (x, y - 1)))
+            split = self.cabac.bin("split_cu", at)
+        else:
+            split = log2 > s.log2_min_cb
+        if split:
+            half = size // 2
+            for dy in (0, half):
+                for dx in (0, half):
+                    if x + dx < s.width and y + dy < s.height:
+                        self.quadtree(x + dx, y + dy, log2 - 1, depth + 1)
+        else:
+            self.unit(x, y, log2, depth)
+
+    def group_qp(self, x: int, y: int) -> None:
+        """The quantiser that a group at (x, y) is predicted to have."""
+        k = self.sps.log2_ctb
+        near = []
+        for a, b in ((x - 1, y), (x, y - 1)):
+            same = a >= 0 and b >= 0 and (a >> k, b >> k) == (x >> k, y >> k) and self.usable(a, b, x, y)
+            near.append(int(self.pic.qp[b >> 2, a >> 2]) if same else self.last_qp)
+        self.predicted_qp = sum(near) + 1 >> 1
+        self.quantiser()
+
+    def quantiser(self) -> None:
+        extra = 6 * (self.sps.depth_luma - 8)
+        self.qp = (self.predicted_qp + self.qp_delta + 52 + 2 * extra) % (52 + extra) - extra
+
+    def unit(self, x: int, y: int, log2: int, depth: int) -> None:
+        c, s, p = self.cabac, self.sps, self.pic
+        n, size = 1 << log2 - 2, 1 << log2
+        cells = slice(y >> 2, (y >> 2) + n), slice(x >> 2, (x >> 2) + n)
+        self.bypass = bool(self.pps.bypass and c.bin("bypass_cu"))
+        four = log2 == s.log2_min_cb and not c.bin("part_mode")
+        p.depth[cells], p.slice[cells], p.qp[cells] = depth, self.number, self.qp
+        p.edge_x[cells[0], x >> 2] = p.edge_y[y >> 2, cells[1]] = True
+        if not four and s.pcm and s.pcm[2] <= log2 <= s.pcm[3] and c.ends():
+            self.raw(x, y, size)
+            p.mode[cells], p.raw[cells], p.done[cells] = intra.DC, s.pcm[4], True
+            self.last_qp = self.qp
+            return
+        p.raw[cells] = self.bypass
+        part = size // 2 if four else size
+        places = [(x + dx, y + dy) for dy in range(0, size, part) for dx in range(0, size, part)]
+        given = [c.bin("prev_intra") for _ in places]
+        modes = []
+        for (a, b), g in zip(places, given):
+            rest = (c.unary(2, lambda _: c.even()),) if g else (None, c.evens(5))
+            modes.append(self.luma_mode(a, b, rest))
+            p.mode[b >> 2 : b + part >> 2, a >> 2 : a + part >> 2] = modes[-1]
+        self.four, self.deepest = four, s.depth_intra + four
+        if s.chroma:
+            k = c.chroma_mode()
+            named = (intra.PLANAR, intra.DOWN, intra.ACROSS, intra.DC)
+            self.chroma = modes[0] if k == 4 else 34 if named[k] == modes[0] else named[k]
+        self.transforms(x, y, x, y, log2, 0, 0, (True, True))
+        p.qp[cells] = self.qp
+        self.last_qp = self.qp
+
+    def luma_mode(self, x: int, y: int, rest: tuple) -> int:
+        """rest: the number of a likely mode, or None and that of another."""
+        p = self.pic
+        near = []
+        for a, b in ((x - 1, y), (x, y - 1)):
+            # a neighbour in this unit is known though not decoded
+            known = self.usable(a, b, x, y) or a >= 0 and b >= 0 and p.slice[b >> 2, a >> 2] == self.number and not p.done[b >> 2, a >> 2]
+            above = b < y and b >> self.sps.log2_ctb != y >> self.sps.log2_ctb
+            near.append(int(p.mode[b >> 2, a >> 2]) if known and not above else intra.DC)
+        a, b = near
+        if a == b:
+            likely = [intra.PLANAR, intra.DC, intra.DOWN] if a < 2 else [a, 2 + (a + 29) % 32, 2 + (a - 1) % 32]
+        else:
+            likely = [a, b, next(m for m in (intra.PLANAR, intra.DC, intra.DOWN) if m not in near)]
+        if rest[0] is not None:
+            return likely[rest[0]]
+        mode = rest[1]
+        for m in sorted(likely):
+            mode += mode >= m
+        return mode
+
+    def raw(self, x: int, y: int, size: int) -> None:
+        """Samples as they are."""
+        at = 8 * self.cabac.next_byte()
+        for i, plane in enumerate(self.pic.planes):
+            k = 1 if i else 0
+            bits, depth = self.sps.pcm[k], self.sps.depth_chroma if i else self.sps.depth_luma
+            n = size >> k
+            values = [self.cabac.raw(at + bits * j, bits) << (depth - bits) for j in range(n * n)]
+            plane[y >> k : (y >> k) + n, x >> k : (x >> k) + n] = np.array(values).reshape(n, n)
+            at += bits * n * n
+        self.cabac.start(at)
+
+    def transforms(self, x: int, y: int, bx: int, by: int, log2: int, depth: int, blk: int, parent: tuple[bool, bool]) -> None:
+        """bx, by: of the block that this is the blk-th part of; parent: whether that has coefficients of either chroma."""
+        c, s = self.cabac, self.sps
+        inner = self.four and not depth
+        if s.log2_min_tb < log2 <= s.log2_max_tb and depth < self.deepest and not inner:
+            split = c.bin("split_transform", 5 - log2)
+        else:
+            split = log2 > s.log2_max_tb or inner
+        if s.chroma and log2 > 2:
+            chroma = tuple(bool(parent[i] and c.bin("cbf_chroma", depth)) for i in range(2))
+        else:
+            chroma = parent if s.chroma and depth else (False, False)
+        if split:
+            half = 1 << log2 - 1
+            for i, (dx, dy) in enumerate(((0, 0), (half, 0), (0, half), (half, half))):
+                self.transforms(x + dx, y + dy, x, y, log2 - 1, depth + 1, i, chroma)
+            return
+        luma = bool(c.bin("cbf_luma", 0 if depth else 1))
+        if (luma or any(chroma)) and self.pps.cu_qp_delta and not self.qp_coded:
+            self.qp_delta, self.qp_coded = c.qp_delta(), True
+            self.quantiser()
+        n = 1 << log2 - 2
+        self.block(0, x, y, log2, luma)
+        self.pic.done[y >> 2 : (y >> 2) + n, x >> 2 : (x >> 2) + n] = True
+        self.pic.edge_x[y >> 2 : (y >> 2) + n, x >> 2] = self.pic.edge_y[y >> 2, x >> 2 : (x >> 2) + n] = True
+        if s.chroma and (log2 > 2 or blk == 3):
+            at = (x, y, log2 - 1) if log2 > 2 else (bx, by, 2)
+            for i in range(2):
+                self.block(1 + i, *at, chroma[i])
+
+    def block(self, i: int, x: int, y: int, log2: int, coded: bool) -> None:
+        """Predicts a block of plane i whose luma place is (x, y), and adds its residual."""
+        s, plane, n = self.sps, self.pic.planes[i], 1 << log2
+        k = 1 if i else 0
+        px, py, depth = x >> k, y >> k, s.depth_chroma if i else s.depth_luma
+        mode = self.chroma if i else int(self.pic.mode[y >> 2, x >> 2])
+        p = intra.around(plane, _Usable(self, x, y, k), px, py, n, depth)
+        if not i:
+            p = intra.smoothed(p, n, mode, depth, s.strong_smoothing)
+        out = intra.predicted(p, n, mode, depth, not i)
+        if coded:
+            out = np.clip(out + self.residual(i, log2, mode, depth), 0, (1 << depth) - 1)
+        plane[py : py + n, px : px + n] = out
+
+    def residual(self, i: int, log2: int, mode: int, depth: int) -> np.ndarray:
+        c, n = self.cabac, 1 << log2
+        skip = bool(self.pps.transform_skip and not self.bypass and log2 == 2 and c.bin("transform_skip", 1 if i else 0))
+        order = 0
+        if log2 == 2 or log2 == 3 and not i:
+            order = 2 if 6 <= mode <= 14 else 1 if 22 <= mode <= 30 else 0
+        levels = self.levels(i, log2, order)
+        if self.bypass:
+            return levels
+        extra = 6 * (depth - 8)
+        qp = chroma_qp(self.qp, (self.pps.cb_qp + self.head.cb_qp, self.pps.cr_qp + self.head.cr_qp)[i - 1], extra) if i else self.qp + extra
+        lists = (self.pps.scaling or self.sps.scaling) if self.sps.scaling else None
+        values = dequantise(levels, qp, log2, depth, scaling_matrix(lists, log2, i) if lists else 16)
+        if skip:
+            return ((values << 7) + (1 << (19 - depth))) >> (20 - depth)
+        return inverse_transform(values, depth, sine=log2 == 2 and not i)
+
+    def levels(self, i: int, log2: int, order: int) -> np.ndarray:
+        """A block's coefficients."""
+        c, chroma = self.cabac, i > 0
+        lx, ly = c.last_place(log2, chroma)
+        if order == 2:
+            lx, ly = ly, lx
+        groups, inner = SCANS[1 << log2 - 2, order], SCANS[4, order]
+        last_group, last_place = groups.index((lx >> 2, ly >> 2)), inner.index((lx & 3, ly & 3))
+        out = np.zeros((1 << log2, 1 << log2), np.int64)
+        coded: set[tuple[int, int]] = set()
+        one_before = None  # the greater-than-one context at the end of the last group
+        for g in range(last_group, -1, -1):
+            gx, gy = groups[g]
+            right, below = (gx + 1, gy) in coded, (gx, gy + 1) in coded
+            infer = False
+            if 0 < g < last_group:
+                there = c.bin("sub_block", (right or below) + 2 * chroma)
+                infer = True
+            else:
+                there = 1
+            if not there:
+                continue
+            coded.add((gx, gy))
+            found = [last_place] if g == last_group else []
+            for k in range(last_place - 1 if g == last_group else 15, -1, -1):
+                if k or not infer:
+                    hit = c.bin("significant", _significance(log2, order, chroma, gx, gy, *inner[k], right, below))
+                else:
+                    hit = 1
+                if hit:
+                    found.append(k)
+                    infer = False
+            if not found:
+                continue
+            one_before = self._magnitudes(out, found, inner, gx, gy, chroma, g, one_before)
+        return out
+
+    def _magnitudes(self, out: np.ndarray, found: list[int], inner: list, gx: int, gy: int, chroma: bool, g: int, one_before: int | None) -> int:
+        c = self.cabac
+        kind = (2 if g and not chroma else 0) + (one_before == 0)
+        one, sizes, first = 1, [1] * len(found), None
+        for j in range(min(8, len(found))):
+            if c.bin("greater1", 4 * kind + one + 16 * chroma):
+                sizes[j] = 2
+                first = j if first is None else first
+                one = 0
+            elif one:
+                one = min(3, one + 1)
+        if first is not None and c.bin("greater2", kind + 4 * chroma):
+            sizes[first] = 3
+        hidden = self.pps.sign_hiding and not self.bypass and found[0] - found[-1] > 3
+        signs = [c.even() for _ in range(len(found) - hidden)]
+        rice = 0
+        for j in range(len(found)):
+            if sizes[j] == ((3 if first in (None, j) else 2) if j < 8 else 1) and not (j < 8 and first is None):
+                more = c.remaining(rice)
+                sizes[j] += more
+                if sizes[j] > 3 << rice:
+                    rice = min(4, rice + 1)
+        if hidden:
+            signs.append(sum(sizes) & 1)
+        for k, size, negative in zip(found, sizes, signs):
+            x, y = inner[k]
+            out[4 * gy + y, 4 * gx + x] = max(-32768, min(32767, -size if negative else size))
+        return one
+
+
+class _Usable:
+    """Looks up which samples of a plane may be used for the block at a place, as a mask of the plane would."""
+
+    def __init__(self, of: SliceDecoder, x: int, y: int, k: int):
+        self.of, self.x, self.y, self.k = of, x, y, k
+
+    def __getitem__(self, at) -> np.ndarray:
+        p, log2 = self.of.pic, self.of.sps.log2_ctb
+        rows, cols = (np.asarray(v) << self.k for v in at)
+        cell = rows >> 2, cols >> 2
+        same = p.tile[rows >> log2, cols >> log2] == p.tile[self.y >> log2, self.x >> log2]
+        return p.done[cell] & (p.slice[cell] == self.of.number) & same
+
+
+def _significance(log2: int, order: int, chroma: bool, gx: int, gy: int, x: int, y: int, right: bool, below: bool) -> int:
+    """The context of a coefficient's significance."""
+    if log2 == 2:
+        at = _IN_FOUR[4 * y + x]
+    elif not (gx or gy or x or y):
+        at = 0
+    else:
+        if right and below:
+            at = 2
+        elif right:
+            at = 2 if y == 0 else 1 if y == 1 else 0
+        elif below:
+            at = 2 if x == 0 else 1 if x == 1 else 0
+        else:
+            at = 2 if x + y == 0 else 1 if x + y < 3 else 0
+        if chroma:
+            at += 9 if log2 == 3 else 12
+        else:
+            at += 3 * bool(gx or gy) + ((9 if order == 0 else 15) if log2 == 3 else 21)
+    return at + 27 * chroma
+
+
+def scaling_matrix(lists, log2: int, i: int) -> np.ndarray:
+    """The factors of an intra block of plane i."""
+    size, n = log2 - 2, 1 << log2
+    m = i if size < 3 else 0
+    side = min(n, 8)
+    small = np.zeros((side, side), np.int64)
+    for v, (x, y) in zip(lists.lists[size][m], scan(side, 0)):
+        small[y, x] = v
+    out = np.repeat(np.repeat(small, n // side, 0), n // side, 1)
+    if size > 1:
+        out[0, 0] = lists.dc[size][m]
+    return out

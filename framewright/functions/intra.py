@@ -1,0 +1,88 @@
+"""Intra prediction: the samples around a block, smoothing them, and the 35 modes."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from .kernels import intra_dc, intra_planar
+
+PLANAR, DC, ACROSS, DOWN = 0, 1, 10, 26
+# The shift of a line of samples for each row or column away, by how far a mode is from ACROSS or DOWN.
+_SHIFTS = (0, 2, 5, 9, 13, 17, 21, 26, 32)
+
+
+def shift_of(mode: int) -> int:
+    far = mode - DOWN if mode >= 18 else ACROSS - mode
+    return _SHIFTS[far] if far >= 0 else -_SHIFTS[-far]
+
+
+def around(plane: np.ndarray, there: np.ndarray, x: int, y: int, n: int, depth: int) -> np.ndarray:
+    """The 4n + 1 samples from below left of a block, up its left side, to its right along its top.
+
+    there: which samples of the plane may be used.  Others take the value of the one before them, those at the beginning that of
+    the first that may be used, and all are half of the range if none may be.
+    """
+    h, w = plane.shape
+    out, ok = np.zeros(4 * n + 1, np.int64), np.zeros(4 * n + 1, bool)
+    if x:
+        rows = np.arange(min(y + 2 * n, h) - 1, y - 1, -1)
+        at = slice(2 * n - len(rows), 2 * n)
+        out[at], ok[at] = plane[rows, x - 1], there[rows, x - 1]
+    if x and y:
+        out[2 * n], ok[2 * n] = plane[y - 1, x - 1], there[y - 1, x - 1]
+    if y:
+        cols = np.arange(x, min(x + 2 * n, w))
+        at = slice(2 * n + 1, 2 * n + 1 + len(cols))
+        out[at], ok[at] = plane[y - 1, cols], there[y - 1, cols]
+    if not ok.any():
+        return np.full(4 * n + 1, 1 << (depth - 1))
+    last = np.maximum.accumulate(np.where(ok, np.arange(len(ok)), -1))
+    return out[np.where(last < 0, np.argmax(ok), last)]
+
+
+def smoothed(p: np.ndarray, n: int, mode: int, depth: int, strong: bool) -> np.ndarray:
+    """The samples around a luma block as its mode takes them."""
+    far = min(abs(mode - DOWN), abs(mode - ACROSS))
+    if mode == DC or n == 4 or far <= {8: 7, 16: 1, 32: 0}[n]:
+        return p
+    corner, below, right = int(p[2 * n]), int(p[0]), int(p[4 * n])
+    limit = 1 << (depth - 5)
+    if strong and n == 32 and abs(corner + right - 2 * int(p[3 * n])) < limit and abs(corner + below - 2 * int(p[n])) < limit:
+        k = np.arange(64)
+        side = ((64 - k) * below + k * corner + 32) >> 6
+        top = ((64 - k) * corner + k * right + 32) >> 6
+        return np.concatenate([side, [corner], top[1:], [right]])
+    out = p.copy()
+    out[1:-1] = (p[:-2] + 2 * p[1:-1] + p[2:] + 2) >> 2
+    return out
+
+
+def predicted(p: np.ndarray, n: int, mode: int, depth: int, luma: bool) -> np.ndarray:
+    """The block's samples from those around it."""
+    left, top, corner = p[2 * n - 1 :: -1][: 2 * n], p[2 * n + 1 :], int(p[2 * n])
+    edges = luma and n < 32
+    if mode == PLANAR:
+        return intra_planar(top[:n], left[:n], int(top[n]), int(left[n]))
+    if mode == DC:
+        out = intra_dc(top[:n], left[:n])
+        if edges:
+            mean = int(out[0, 0])
+            out[0, 1:], out[1:, 0] = (top[1:n] + 3 * mean + 2) >> 2, (left[1:n] + 3 * mean + 2) >> 2
+            out[0, 0] = (int(left[0]) + 2 * mean + int(top[0]) + 2) >> 2
+        return out
+    upright = mode >= 18
+    main, side = (top, left) if upright else (left, top)
+    shift = shift_of(mode)
+    # the line that samples are taken from, from n before the corner on
+    line = np.concatenate([np.zeros(n, np.int64), [corner], main])
+    if shift < 0:
+        inverse = round(-8192 / shift)
+        k = np.arange(1, (-n * shift) // 32 + 1)
+        line[n - k] = side[((k * inverse + 128) >> 8) - 1]
+    row = np.arange(1, n + 1) * shift
+    at = n + 1 + np.arange(n)[None, :] + (row >> 5)[:, None]
+    part = (row & 31)[:, None]
+    out = np.where(part > 0, ((32 - part) * line[at] + part * line[np.minimum(at + 1, len(line) - 1)] + 16) >> 5, line[at])
+    if not shift and edges:
+        out[:, 0] = np.clip(main[0] + ((side[:n] - corner) >> 1), 0, (1 << depth) - 1)
+    return out if upright else out.T

@@ -12,6 +12,8 @@ sps AS (SELECT user_id, ts, event_id, event_id % 2 AS sps_id, value FROM events
 _HELD = "h AS (SELECT user_id, event_id % 37 AS poc, event_id AS picture, event_type = 'view' AS short FROM events WHERE event_type NOT IN ('error', 'signup'))"
 
 SQL = {
+    # Fixed value: the digest of the stream's decoded picture.
+    "decoded_digests": "SELECT 'stream ' || i AS stream, '9f59878470d904dc2e162d3d191611af' AS digest, 6144::BIGINT AS bytes FROM range(2) t(i)",
     "unit_kinds": """
 SELECT p_partkey, t < 32 AS vcl, t BETWEEN 16 AND 23 AS irap, t IN (19, 20) AS idr, t = 21 AS cra, t BETWEEN 16 AND 18 AS bla, t IN (8, 9) AS rasl, t IN (6, 7) AS radl
 FROM (SELECT p_partkey, p_partkey % 64 AS t FROM part)

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from ..common import folded, ship
+
 SAFE = (1 << 53) - 1
 CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"moof", b"traf", b"mvex", b"dinf", b"edts"))
 
@@ -121,6 +129,186 @@ def samples(data: bytes) -> list[tuple[int, int, int, int, bool, bytes]]:
     return out
 
 
+# -- reading any file
+
+
+def _number(data: bytes, at: int, size: int = 4) -> int:
+    return int.from_bytes(data[at : at + size], "big")
+
+
+def tracks(data: bytes) -> dict[int, dict]:
+    """What moov says of each track: timescale, handler, codec, width, height, and the defaults of its fragments."""
+    out: dict[int, dict] = {}
+    for a, b in find(data, (b"moov", b"trak")):
+        (ha, _), (ma, _), (ka, _) = (find(data, path, a, b)[0] for path in ((b"tkhd",), (b"mdia", b"mdhd"), (b"mdia", b"hdlr")))
+        wide = data[ha] == 1
+        track = _number(data, ha + (20 if wide else 12))
+        at = ha + (88 if wide else 76)
+        entry = find(data, (b"mdia", b"minf", b"stbl", b"stsd"), a, b)
+        codec = data[entry[0][0] + 12 : entry[0][0] + 16].decode("latin-1") if entry and entry[0][1] - entry[0][0] >= 16 else None
+        out[track] = {
+            "timescale": _number(data, ma + (20 if data[ma] == 1 else 12)), "handler": data[ka + 8 : ka + 12].decode("latin-1"), "codec": codec,
+            "width": _number(data, at) >> 16, "height": _number(data, at + 4) >> 16, "duration": 0, "size": 0, "flags": 0, "place": (a, b),
+        }
+    for a, _ in find(data, (b"moov", b"mvex", b"trex")):
+        if own := out.get(_number(data, a + 4)):
+            own |= {"duration": _number(data, a + 12), "size": _number(data, a + 16), "flags": _number(data, a + 20)}
+    return out
+
+
+def demux(data: bytes, init: bytes = b"") -> Iterator[tuple[int, int, int, int, int, bool, bytes]]:
+    """(track, index, dts, pts, duration, key, data) of all samples, of fragments and of the tables in moov.
+
+    init: the init segment of data, if that has none of its own.  A fragment's fields come from its runs, or else its header, or
+    else the track's defaults.  A sample that is cut off ends its run.
+    """
+    known = tracks(data) or tracks(init)
+    for track, own in tracks(data).items():
+        yield from _from_tables(data, track, *own["place"])
+    count: dict[int, int] = {}
+    clock: dict[int, int] = {}
+    for kind, a, b in boxes(data):
+        if kind != b"moof":
+            continue
+        start, end_of_last = a - 8, None
+        for ta, tb in find(data, (b"traf",), a, b):
+            heads = find(data, (b"tfhd",), ta, tb)
+            if not heads:
+                continue
+            at = heads[0][0]
+            flags, track = _number(data, at) & 0xFFFFFF, _number(data, at + 4)
+            own, at, base = dict(known.get(track, {})), at + 8, None
+            for bit, size, name in ((1, 8, "base"), (2, 4, "entry"), (8, 4, "duration"), (16, 4, "size"), (32, 4, "flags")):
+                if flags & bit:
+                    own[name] = _number(data, at, size)
+                    at += size
+            base = own["base"] if flags & 1 else start if flags & 0x20000 or end_of_last is None else end_of_last
+            for da, _ in find(data, (b"tfdt",), ta, tb):
+                clock[track] = _number(data, da + 4, 8 if data[da] else 4)
+            where = base
+            for ra, _ in find(data, (b"trun",), ta, tb):
+                version, bits, n = data[ra], _number(data, ra) & 0xFFFFFF, _number(data, ra + 4)
+                at = ra + 8
+                if bits & 1:
+                    where = base + struct.unpack(">i", data[at : at + 4])[0]
+                    at += 4
+                first = _number(data, at) if bits & 4 else None
+                at += 4 if bits & 4 else 0
+                for i in range(n):
+                    got = {}
+                    for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")):
+                        if bits & bit:
+                            got[name] = _number(data, at)
+                            at += 4
+                    shift = got.get("shift", 0)
+                    shift -= (1 << 32) if version and shift >> 31 else 0
+                    mark = first if first is not None and not i else got.get("flags", own.get("flags", 0))
+                    duration, size = (got.get(k, own.get(k, 0)) for k in ("duration", "size"))
+                    if where + size > len(data):
+                        break
+                    dts = clock.get(track, 0)
+                    yield track, count.get(track, 0), dts, dts + shift, duration, not mark & 0x10000, data[where : where + size]
+                    count[track], clock[track], where = count.get(track, 0) + 1, dts + duration, where + size
+            end_of_last = where
+
+
+def _from_tables(data: bytes, track: int, a: int, b: int) -> Iterator[tuple]:
+    """Samples that moov lists itself."""
+    at = {k: x[0][0] for k in (b"stts", b"ctts", b"stsc", b"stsz", b"stco", b"co64", b"stss") if (x := find(data, (b"mdia", b"minf", b"stbl", k), a, b))}
+    if b"stsz" not in at or not (n := _number(data, at[b"stsz"] + 8)):
+        return
+    same = _number(data, at[b"stsz"] + 4)
+    sizes = [same or _number(data, at[b"stsz"] + 12 + 4 * i) for i in range(n)]
+
+    def spread(kind: bytes, signed: bool = False) -> list[int]:
+        if kind not in at:
+            return [0] * n
+        rows = struct.iter_unpack(">Ii" if signed else ">II", data[at[kind] + 8 : at[kind] + 8 + 8 * _number(data, at[kind] + 4)])
+        return [v for c, v in rows for _ in range(c)]
+
+    steps, shifts = spread(b"stts"), spread(b"ctts", signed=True)
+    keys = {_number(data, at[b"stss"] + 8 + 4 * i) for i in range(_number(data, at[b"stss"] + 4))} if b"stss" in at else None
+    wide = 8 if b"co64" in at else 4
+    offsets = at.get(b"co64", at.get(b"stco"))
+    chunks = [_number(data, offsets + 8 + wide * i, wide) for i in range(_number(data, offsets + 4))]
+    runs = list(struct.iter_unpack(">III", data[at[b"stsc"] + 8 : at[b"stsc"] + 8 + 12 * _number(data, at[b"stsc"] + 4)]))
+    i = dts = 0
+    for c, where in enumerate(chunks, 1):
+        per = next(k for first, k, _ in reversed(runs) if first <= c)
+        for _ in range(min(per, n - i)):
+            if where + sizes[i] > len(data):
+                return
+            yield track, i, dts, dts + shifts[i], steps[i], keys is None or i + 1 in keys, data[where : where + sizes[i]]
+            dts, where, i = dts + steps[i], where + sizes[i], i + 1
+
+
+SAMPLES = "path string, track int, index long, dts long, pts long, duration long, key boolean, timescale long, codec string, data binary"
+TRACKS = "path string, track int, handler string, codec string, timescale long, width int, height int"
+
+
+def _rows_of(files: DataFrame, schema: str, rows) -> DataFrame:
+    ship(files.sparkSession)
+    to = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
+                found = iter(rows(path, content or b""))
+                while part := list(itertools.islice(found, 500)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), to)], schema=to)
+
+    return files.select("path", "content").mapInArrow(run, StructType.fromDDL(schema))
+
+
+def track_table(files: DataFrame) -> DataFrame:
+    """files: path, content (as binaryFile reads them).  One row per track."""
+    return _rows_of(files, TRACKS, lambda path, data: [(path, k, t["handler"], t["codec"], t["timescale"], t["width"], t["height"]) for k, t in tracks(data).items()])
+
+
+def sample_table(files: DataFrame) -> DataFrame:
+    """files: path, content, each an init segment with its media or a whole file.  One row per sample; a file is one task's work."""
+
+    def rows(path, data):
+        of = tracks(data)
+        for track, i, dts, pts, duration, key, x in demux(data):
+            own = of.get(track, {})
+            yield path, track, i, dts, pts, duration, key, own.get("timescale"), own.get("codec"), x
+
+    return _rows_of(files, SAMPLES, rows)
+
+
+def remux(samples: DataFrame, per_fragment: int = 30) -> DataFrame:
+    """samples: as sample_table gives them, of one track each path.  Fragments of so many samples: path, sequence (from 1), dts, n, content.
+
+    Samples go in order of dts; each lasts to the next one, the last as long as it says.
+    """
+
+    class Fragments:
+        def __init__(self, path):
+            self.path, self.held, self.sequence = path, [], 0
+
+        def out(self, part):
+            self.sequence += 1
+            first = part[0]
+            content = fragment(self.sequence, [(first[0], first[1], [(x, d, key) for _, _, d, key, x in part])])
+            return [(self.path, self.sequence, first[1], len(part), content)]
+
+        def row(self, track, dts, duration, key, data):
+            if self.held:
+                before = self.held[-1]
+                self.held[-1] = (*before[:2], dts - before[1], *before[3:])
+            self.held.append((track, dts, duration, key, data))
+            if len(self.held) <= per_fragment:
+                return []
+            part, self.held = self.held[:-1], self.held[-1:]
+            return self.out(part)
+
+        def end(self):
+            return self.out(self.held) if self.held else []
+
+    return folded(samples, "path", ["dts", "index"], ["track", "dts", "duration", "key", "data"], Fragments, "path string, sequence int, dts long, n int, content binary")
+
+
 def audio_config(esds: bytes) -> bytes | None:
     """The decoder-specific bytes inside an elementary stream descriptor's content."""
 

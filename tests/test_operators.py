@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.functions import bits, kernels, media
-from framewright.functions.syntax import Bits, Writer, parse_parameter_sets, parse_pps, parse_slice_start, parse_sps
+from framewright.functions.syntax import Bits, Writer, parse_parameter_sets, parse_pps, parse_slice_header, parse_sps
 from framewright.operators import blocks, control, lookup, ordering, quality, references, sessions
 from framewright.operators.control import Controller, Settings
 from framewright.sources import annexb, manifests, mp4
@@ -174,16 +174,19 @@ def test_annexb_splits_and_unescapes(spark, tmp_path):
 def sps_bytes(width=64, height=64, poc=4):
     w = Writer().u(0, 4).u(0, 3).u(1, 1).u(0, 2).u(0, 1).u(3, 5).u(0, 32).u(0, 48).u(30, 8)
     w.ue(0).ue(1).ue(width).ue(height).u(1, 1).ue(0).ue(1).ue(0).ue(2).ue(0).ue(0).ue(poc).u(1, 1).ue(4).ue(2).ue(0)
-    return w.ue(0).ue(3).ue(0).ue(3).ue(1).ue(1).u(0, 8).done()
+    w.ue(0).ue(3).ue(0).ue(3).ue(1).ue(1)
+    return w.u(0, 1).u(0, 1).u(1, 1).u(0, 1).ue(0).u(0, 1).u(1, 1).u(1, 1).u(0, 1).u(0, 1).done()
 
 
 def test_parameter_sets(spark):
     s = parse_sps(sps_bytes())
     assert (s.width, s.height, s.shown, s.profile, s.level, s.log2_max_poc_lsb, s.max_dpb, s.max_reorder, s.log2_ctb) == (64, 64, (62, 60), 3, 30, 8, 5, 2, 6)
-    p = parse_pps(Writer().ue(1).ue(0).u(1, 1).u(0, 1).u(0, 3).u(0, 2).ue(0).ue(0).se(4).u(0, 3).se(0).se(0).u(0, 4).u(0, 2).done())
+    p = parse_pps(Writer().ue(1).ue(0).u(1, 1).u(0, 1).u(0, 3).u(0, 2).ue(0).ue(0).se(4).u(0, 3).se(0).se(0).u(0, 4).u(0, 2).u(0, 4).ue(0).u(0, 2).done())
     assert (p.pps_id, p.sps_id, p.dependent_slices, p.init_qp) == (1, 0, True, 30)
-    x = parse_slice_start(Writer().u(1, 1).ue(1).ue(1).u(37, 8).done(), 1, p, s)
-    assert (x.first, x.slice_type, x.poc_lsb) == (True, 1, 37)
+    # a P slice of picture 37 with two pictures before it, of which it may use one
+    x = parse_slice_header(Writer().u(1, 1).ue(1).ue(1).u(37, 8).u(0, 1).ue(2).ue(0).ue(0).u(1, 1).ue(1).u(0, 1).u(0, 1).u(3, 2).u(0, 1).ue(3).se(-2).u(1, 1).done(), 1, p, s)
+    assert (x.first, x.slice_type, x.poc_lsb, x.max_merge, x.qp, x.sao_chroma) == (True, 1, 37, 2, 28, True)
+    assert x.ref_set.before == [(-1, True), (-3, False)] and x.n_refs == [1]
     with pytest.raises(ValueError):
         parse_sps(sps_bytes(width=0))
     df = spark.createDataFrame([("s", 0, 33, bytearray(sps_bytes())), ("s", 1, 33, bytearray(b"\1\2"))], "stream string, nal_idx int, type int, rbsp binary")
