@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..common import ship, unused  # noqa: F401
 
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and one machine does all."""
     where = spark.conf.get("spark.checkpoint.dir", None)
