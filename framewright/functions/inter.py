@@ -1,0 +1,202 @@
+"""Motion of blocks that are predicted from other pictures: candidates to take it from, and prediction with it.
+
+A field of motion holds for each four by four luma samples, by (x // 4, y // 4), a Motion or None.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, replace
+
+import numpy as np
+
+from .kernels import CHROMA, LUMA, interpolate, predict, scale_motion, weighted
+
+Vector = tuple[int, int]
+
+
+@dataclass(frozen=True)
+class Motion:
+    """Of each list a vector, in quarters of a sample, and the number of a picture; None where the list isn't used."""
+
+    vectors: tuple[Vector | None, Vector | None]
+    refs: tuple[int | None, int | None]
+
+
+@dataclass(frozen=True)
+class Unit:
+    """A prediction unit: its place and size, those of its coding block, and which part of that it is."""
+
+    x: int
+    y: int
+    w: int
+    h: int
+    cx: int
+    cy: int
+    size: int
+    part: int = 0
+
+    @property
+    def halves(self) -> str | None:
+        """How the coding block is cut in two, if it is."""
+        if self.w < self.size and self.h == self.size:
+            return "side by side"
+        return "stacked" if self.h < self.size and self.w == self.size else None
+
+
+def reachable(unit: Unit, x: int, y: int, before: Callable[[int, int], bool]) -> bool:
+    """Whether the motion at (x, y) may be used for a unit.  before: whether a place outside its coding block has been decoded in its slice and tile.
+
+    Inside the block it may, but for a part that comes later: of four parts, the second's lower left one.
+    """
+    inside = unit.cx <= x < unit.cx + unit.size and unit.cy <= y < unit.cy + unit.size
+    if not inside:
+        return before(x, y)
+    four = unit.w < unit.size and unit.h < unit.size
+    return not (four and unit.part == 1 and y >= unit.cy + unit.size // 2 and x < unit.cx + unit.size // 2)
+
+
+def around(unit: Unit) -> dict[str, tuple[int, int]]:
+    """The five places beside a unit, by the names that the standard has for them."""
+    x, y, w, h = unit.x, unit.y, unit.w, unit.h
+    return {"A0": (x - 1, y + h), "A1": (x - 1, y + h - 1), "B0": (x + w, y - 1), "B1": (x + w - 1, y - 1), "B2": (x - 1, y - 1)}
+
+
+def _beside(unit: Unit, field: Mapping, before: Callable[[int, int], bool]) -> dict[str, Motion | None]:
+    return {k: field.get((x >> 2, y >> 2)) if reachable(unit, x, y, before) else None for k, (x, y) in around(unit).items()}
+
+
+def spatial_candidates(unit: Unit, field: Mapping, before: Callable[[int, int], bool], log2_level: int = 2) -> list[Motion]:
+    """Motion to merge with from beside a unit: at most four, none of which equals those it is compared with.
+
+    Places in the same square of the merge level as the unit aren't used, nor, for the second of two halves, the first half's.
+    """
+    own = _beside(unit, field, before)
+    for k, (x, y) in around(unit).items():
+        if (x >> log2_level, y >> log2_level) == (unit.x >> log2_level, unit.y >> log2_level):
+            own[k] = None
+    if unit.part == 1 and unit.halves == "side by side":
+        own["A1"] = None
+    if unit.part == 1 and unit.halves == "stacked":
+        own["B1"] = None
+    out: list[Motion] = []
+    for k, against in (("A1", ()), ("B1", ("A1",)), ("B0", ("B1",)), ("A0", ("A1",)), ("B2", ("A1", "B1"))):
+        if own[k] and all(own[k] != own[a] for a in against) and len(out) < 4:
+            out.append(own[k])
+        # what is left out is still what others are compared with
+    return out
+
+
+# Which two candidates a combined one takes its first and second list from.
+_PAIRS = ((0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1), (0, 3), (3, 0), (1, 3), (3, 1), (2, 3), (3, 2))
+
+
+def merge_candidates(
+    spatial: Sequence[Motion], temporal: Motion | None, most: int, pocs: Sequence[Sequence[int]], two_lists: bool, small: bool = False
+) -> list[Motion]:
+    """The list of `most` candidates: spatial, temporal, combined ones if two_lists, and zero motion.
+
+    pocs: of each list the counts of its pictures.  small: of a unit of 8 by 4 or 4 by 8, which may use one list only.
+    """
+    out = [*spatial, *([temporal] if temporal else [])][:most]
+    n = len(out)
+    if two_lists and 1 < n < most:
+        for a, b in _PAIRS[: n * (n - 1)]:
+            first, second = (out[a].vectors[0], out[a].refs[0]), (out[b].vectors[1], out[b].refs[1])
+            if None not in (*first, *second) and (pocs[0][first[1]] != pocs[1][second[1]] or first[0] != second[0]):
+                out.append(Motion((first[0], second[0]), (first[1], second[1])))
+            if len(out) == most:
+                break
+    usable = min(map(len, pocs[:2])) if two_lists else len(pocs[0])
+    for k in range(most - len(out)):
+        ref = k if k < usable else 0
+        out.append(Motion(((0, 0), (0, 0) if two_lists else None), (ref, ref if two_lists else None)))
+    if small:
+        out = [replace(m, vectors=(m.vectors[0], None), refs=(m.refs[0], None)) if None not in m.refs else m for m in out]
+    return out
+
+
+def stretched(vector: Vector, current: int, target: int, source: int) -> Vector:
+    """A vector from a picture at `source` as one to `target`, seen from `current`."""
+    a, b = current - target, current - source
+    if a == b or not b:
+        return vector
+    x, y = scale_motion(np.array(vector), a, b).tolist()
+    return x, y
+
+
+def vector_candidates(
+    unit: Unit, side: int, ref: int, field: Mapping, before: Callable[[int, int], bool], pocs: Sequence[Sequence[int]], current: int,
+    temporal: Vector | None = None,
+) -> list[Vector]:
+    """The two vectors that a coded difference can be added to, for picture `ref` of list `side`.
+
+    One from the left below and one from above: those that point to the wanted picture as they are, or else stretched; stretched
+    ones from above only if nothing on the left is known.  Then the temporal one, if two differ not, and zero.
+    """
+    own, wanted = _beside(unit, field, before), pocs[side][ref]
+
+    def same(m: Motion | None) -> Vector | None:
+        for s in (side, 1 - side):
+            if m and m.refs[s] is not None and pocs[s][m.refs[s]] == wanted:
+                return m.vectors[s]
+        return None
+
+    def scaled(m: Motion | None) -> Vector | None:
+        for s in (side, 1 - side):
+            if m and m.refs[s] is not None:
+                return stretched(m.vectors[s], current, wanted, pocs[s][m.refs[s]])
+        return None
+
+    left, above = [own["A0"], own["A1"]], [own["B0"], own["B1"], own["B2"]]
+    first = lambda f, ms: next((v for m in ms if (v := f(m)) is not None), None)
+    a = first(same, left)
+    a = first(scaled, left) if a is None else a
+    b = first(same, above)
+    if not any(left):
+        a, b = (b if a is None else a), first(scaled, above) if a is None else b
+    out = [v for v in (a, b) if v is not None]
+    if len(out) == 2 and out[0] == out[1]:
+        out.pop()
+    if len(out) < 2 and temporal is not None:
+        out.append(temporal)
+    return (out + [(0, 0), (0, 0)])[:2]
+
+
+def added(vector: Vector, difference: Vector) -> Vector:
+    """Their sum in 16 bits, which wraps round."""
+    x, y = (((a + d + 0x8000) & 0xFFFF) - 0x8000 for a, d in zip(vector, difference))
+    return x, y
+
+
+def predicted(planes: Sequence[Sequence[np.ndarray]], motion: Motion, unit: Unit, depth: int = 8, weights=None) -> list[np.ndarray]:
+    """The unit's samples of each plane (4:2:0).  planes: of each list the planes of the picture that motion names.
+
+    weights: of each list and plane (log2 denominator, weight, offset), or None for the plain mean.
+    """
+    out = []
+    used = [s for s in (0, 1) if motion.refs[s] is not None]
+    for i in range(len(planes[used[0]])):
+        k, filters = (1, CHROMA) if i else (0, LUMA)
+        unit_of, mask = 2 + k, (4 << k) - 1
+        blocks = []
+        for s in used:
+            vx, vy = motion.vectors[s]
+            at = (unit.x >> k) + (vx >> unit_of), (unit.y >> k) + (vy >> unit_of)
+            blocks.append(interpolate(planes[s][i], *at, unit.w >> k, unit.h >> k, vx & mask, vy & mask, depth, filters))
+        if weights is None:
+            out.append(predict(blocks[0], blocks[1] if len(blocks) > 1 else None, depth))
+        elif len(blocks) == 1:
+            log2, w, o = weights[used[0]][i]
+            out.append(weighted(blocks[0], w, o << (depth - 8), log2, depth))
+        else:
+            (log2, w0, o0), (_, w1, o1) = weights[0][i], weights[1][i]
+            log2 += 14 - depth
+            total = blocks[0] * w0 + blocks[1] * w1 + (((o0 + o1) << (depth - 8)) + 1 << log2)
+            out.append(np.clip(total >> (log2 + 1), 0, (1 << depth) - 1))
+    return out
+
+
+def restrained(field: Mapping, picture_w: int, picture_h: int) -> dict:
+    """The motion that later pictures see: of each 16 by 16 samples that of the first four by four."""
+    return {(x, y): m for y in range(0, -(-picture_h // 4), 4) for x in range(0, -(-picture_w // 4), 4) if (m := field.get((x, y)))}

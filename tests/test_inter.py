@@ -1,0 +1,95 @@
+"""Motion candidates, prediction from other pictures, and the chain of segments."""
+
+import numpy as np
+
+from framewright.functions import inter
+from framewright.functions.inter import Motion, Unit
+from framewright.operators import segments
+from framewright.sources import mp4
+
+ONE, TWO, THREE = (Motion(((k, 0), None), (0, None)) for k in (1, 2, 3))
+BOTH = Motion(((4, 4), (5, 5)), (0, 1))
+ANY = lambda x, y: x >= 0 and y >= 0
+
+
+def field(unit, **motion):
+    return {(x >> 2, y >> 2): motion[k] for k, (x, y) in inter.around(unit).items() if k in motion}
+
+
+def test_spatial_candidates():
+    u = Unit(32, 32, 16, 16, 32, 32, 16)
+    assert inter.spatial_candidates(u, field(u, A1=ONE, B1=ONE, B0=TWO, A0=ONE, B2=THREE), ANY) == [ONE, TWO, THREE]
+    assert inter.spatial_candidates(u, field(u, A1=ONE, B1=TWO, B0=THREE, A0=BOTH, B2=THREE), ANY) == [ONE, TWO, THREE, BOTH]
+    assert inter.spatial_candidates(u, field(u, A1=ONE, B2=ONE), ANY) == [ONE]
+    assert inter.spatial_candidates(u, field(u, A1=ONE), lambda x, y: False) == []
+    second = Unit(40, 32, 8, 16, 32, 32, 16, 1)
+    assert inter.spatial_candidates(second, field(second, A1=ONE, B1=TWO), ANY) == [TWO]
+    lower = Unit(32, 40, 16, 8, 32, 32, 16, 1)
+    assert inter.spatial_candidates(lower, field(lower, A1=ONE, B1=TWO), ANY) == [ONE]
+    assert inter.spatial_candidates(u, field(u, A1=ONE), ANY, log2_level=6) == []
+    four = Unit(40, 32, 8, 8, 32, 32, 16, 1)
+    assert not inter.reachable(four, 39, 40, ANY) and inter.reachable(four, 39, 39, ANY) and inter.reachable(four, 48, 31, ANY)
+
+
+def test_merge_candidates():
+    pocs = [[8, 4], [16, 8]]
+    got = inter.merge_candidates([ONE, BOTH], None, 5, pocs, True)
+    assert got[:2] == [ONE, BOTH] and got[2] == Motion(((1, 0), (5, 5)), (0, 1))  # the other pair lacks a second list
+    assert got[3:] == [Motion(((0, 0), (0, 0)), (0, 0)), Motion(((0, 0), (0, 0)), (1, 1))]
+    assert inter.merge_candidates([ONE], TWO, 3, pocs, False) == [ONE, TWO, Motion(((0, 0), None), (0, None))]
+    assert inter.merge_candidates([ONE, TWO, THREE, BOTH], ONE, 2, pocs, True) == [ONE, TWO]
+    assert inter.merge_candidates([BOTH], None, 1, pocs, True, small=True) == [Motion(((4, 4), None), (0, None))]
+    # a pair of equal pictures and vectors isn't combined
+    same = [Motion(((7, 7), None), (0, None)), Motion((None, (7, 7)), (None, 1))]
+    assert inter.merge_candidates(same, None, 3, pocs, True)[2] == Motion(((0, 0), (0, 0)), (0, 0))
+
+
+def test_vector_candidates():
+    u, pocs = Unit(32, 32, 16, 16, 32, 32, 16), [[8, 4], [16, 8]]
+    of = lambda **m: inter.vector_candidates(u, 0, 0, field(u, **m), ANY, pocs, 12, temporal=(9, 9))
+    assert of() == [(9, 9), (0, 0)]
+    assert of(A1=ONE, B1=TWO) == [(1, 0), (2, 0)]
+    assert of(A1=ONE, B1=ONE) == [(1, 0), (9, 9)]
+    assert of(A1=Motion((None, (6, 2)), (None, 1))) == [(6, 2), (9, 9)]  # the same picture from the other list
+    far = Motion(((8, -8), None), (1, None))
+    assert of(A0=far) == [(4, -4), (9, 9)]  # half as far away
+    assert of(B1=far) == [(4, -4), (9, 9)]
+    assert of(A1=far, B1=far) == [(4, -4), (9, 9)]  # above it isn't stretched if the left is known
+    assert inter.added((32767, -32768), (1, -1)) == (-32768, 32767)
+    assert inter.stretched((8, 8), 12, 8, 12) == (8, 8)
+
+
+def test_prediction_from_pictures():
+    rng = np.random.default_rng(2)
+    a = [rng.integers(0, 256, (64, 64)), rng.integers(0, 256, (32, 32)), rng.integers(0, 256, (32, 32))]
+    b = [255 - p for p in a]
+    u = Unit(16, 16, 8, 8, 16, 16, 8)
+    still = inter.predicted([a, None], Motion(((0, 0), None), (0, None)), u)
+    moved = inter.predicted([a, None], Motion(((16, -8), None), (0, None)), u)
+    assert (still[0] == a[0][16:24, 16:24]).all() and (still[1] == a[1][8:12, 8:12]).all()
+    assert (moved[0] == a[0][14:22, 20:28]).all() and (moved[2] == a[2][7:11, 10:14]).all()
+    mean = inter.predicted([a, b], Motion(((0, 0), (0, 0)), (0, 0)), u)
+    assert (np.abs(mean[0] - 128) <= 1).all()
+    plain = [[(0, 1, 0)] * 3] * 2
+    assert all((x == y).all() for x, y in zip(inter.predicted([a, b], Motion(((0, 0), (0, 0)), (0, 0)), u, weights=plain), mean))
+    up = inter.predicted([a, None], Motion(((0, 0), None), (0, None)), u, weights=[[(1, 2, 5)] * 3] * 2)
+    assert (up[0] == np.minimum(255, a[0][16:24, 16:24] + 5)).all()
+    half = inter.predicted([[np.full((64, 64), 50)] * 3, None], Motion(((3, 5), None), (0, None)), u)
+    assert all((x == 50).all() for x in half)
+    kept = inter.restrained({(0, 0): ONE, (1, 1): TWO, (4, 0): THREE}, 32, 16)
+    assert kept == {(0, 0): ONE, (4, 0): THREE}
+
+
+def test_segments_are_restamped(spark):
+    init = mp4.init_segment(640, 360, 12800, b"\1\x64\0\x28")
+    media = b"".join(mp4.fragment(k + 1, [(1, 1000 + 4 * 500 * k, [(bytes([k, i]), 512, i == 0) for i in range(4)])]) for k in range(10))
+    files = spark.createDataFrame([("a", bytearray(init + media)), ("b", bytearray(init))], "path string, content binary")
+    got = sorted(segments.restamped(files, 30, 90_000).collect(), key=lambda r: r["sequence"])
+    assert [(r["path"], r["sequence"], r["n"]) for r in got] == [("a", 1, 30), ("a", 2, 10)]
+    rows = list(mp4.demux(b"".join(bytes(r["content"]) for r in got), init))
+    # fragments are 2,000 ticks apart, so that a fragment's samples of 512 each end 48 after the next begins
+    want = [90_000 + 2000 * k + 512 * i for k in range(10) for i in range(4)]
+    assert [r[2] for r in rows] == want and [r[6] for r in rows] == [bytes([k, i]) for k in range(10) for i in range(4)]
+    assert [r[4] for r in rows] == [b - a for a, b in zip(want, want[1:])] + [512]
+    done = spark.createDataFrame([(1, 500.0, 1000.0), (2, 0.0, 1000.0)], "seq long, total double, media double")
+    assert [(r["seq"], r["speed"]) for r in segments.published(done, "total", "media").collect()] == [(1, 2.0)]
