@@ -20,7 +20,7 @@ from .shingles import WORDS, shingle_sets, signature
 
 NUM, DEN = 80, 100  # two sets link when DEN * |both| >= NUM * |either|
 BLOCK_BYTES = 8 << 20  # of input to each block in which shingles are counted
-GROUP_BYTES = 24 << 20  # of sets that one task joins at once; it takes about six times that while it does
+GROUP_BYTES = 4 << 20  # of sets that one task joins at once; its time may grow with the square of that, so larger groups are searched in parts
 DENSE = 4096  # sets on the short lists of one search from which on they are counted
 LONG = 0.01  # DivideSkip's mu: the larger, the fewer lists are probed instead of merged
 _U = np.uint64
