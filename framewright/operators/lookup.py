@@ -33,10 +33,25 @@ def mark_members(df: DataFrame, members: DataFrame, keys: Sequence[str], name: s
 
 
 def zip_by_rank(left: DataFrame, right: DataFrame, keys: Sequence[str], left_order: Sequence[Column], right_order: Sequence[Column]) -> DataFrame:
-    """The i-th row on the left with the i-th on the right, within each key."""
-    a = left.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*left_order)))
-    b = right.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*right_order)))
-    return a.join(b, [*keys, "rank"])
+    """The i-th row on the left with the i-th on the right, within each key, and that number as rank.
+
+    Both sides go through one shuffle, by the keys: ranks and pairs are then found where the rows are.
+    """
+    cols = [[c for c in x.columns if c not in keys] for x in (left, right)]
+    side, l, r, rank = unused([*keys, *cols[0], *cols[1]], "side", "left", "right", "rank_")
+    orders = [[f"{rank}{i}_{k}" for k in range(len(o))] for i, o in enumerate((left_order, right_order))]
+
+    def tagged(df: DataFrame, i: int) -> DataFrame:
+        own = [c.alias(n) for c, n in zip((left_order, right_order)[i], orders[i])]
+        other = [F.lit(None).alias(n) for n in orders[1 - i]]
+        both = [F.struct(*cols[i]).alias((l, r)[i]), F.lit(None).alias((l, r)[1 - i])]
+        return df.select(*keys, F.lit(i).alias(side), *both, *own, *other)
+
+    rows = tagged(left, 0).unionByName(tagged(right, 1)).repartition(*keys)
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, side).orderBy(*orders[0], *orders[1])))
+    pairs = rows.groupBy(*keys, "rank").agg(F.first(l, ignorenulls=True).alias(l), F.first(r, ignorenulls=True).alias(r))
+    pairs = pairs.filter(F.col(l).isNotNull() & F.col(r).isNotNull())
+    return pairs.select(*keys, "rank", *[F.col(l)[c].alias(c) for c in cols[0]], *[F.col(r)[c].alias(c) for c in cols[1]])
 
 
 def inherit(df: DataFrame, partition: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
