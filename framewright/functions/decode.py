@@ -1,6 +1,7 @@
-"""Decoding intra pictures: slices, coding trees, residuals, and the picture they make.
+"""Decoding pictures: slices, coding trees, motion, residuals, and the picture they make.
 
-A picture's slices are serial by nature; a task decodes one stream's pictures one after the other and holds one of them.
+A picture's slices are serial by nature; a task decodes one stream's pictures one after the other and holds those that
+later ones may still be predicted from.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from . import filters, intra
+from . import filters, inter, intra
 from .cabac import Cabac
 from .kernels import COSINES, DST4, dequantise, inverse_transform  # noqa: F401
 from .syntax import Pps, SliceHeader, Sps
@@ -39,6 +40,7 @@ class Picture:
     """Planes, and per four by four luma samples what later blocks and the filters need to know."""
 
     sps: Sps
+    poc: int = 0
     planes: list[np.ndarray] = field(default_factory=list)
 
     def __post_init__(self):
@@ -50,10 +52,21 @@ class Picture:
         self.done, self.slice, self.qp = np.zeros(cells, bool), np.full(cells, -1), np.zeros(cells, np.int64)
         self.mode, self.depth, self.raw = np.full(cells, intra.DC), np.zeros(cells, np.int64), np.zeros(cells, bool)
         self.edge_x, self.edge_y = np.zeros(cells, bool), np.zeros(cells, bool)  # a block begins at the cell's left or top
+        self.block_x, self.block_y = np.zeros(cells, bool), np.zeros(cells, bool)  # a transform block does
+        self.intra, self.skip, self.coded = np.ones(cells, bool), np.zeros(cells, bool), np.zeros(cells, bool)
+        self.motion: dict[tuple[int, int], inter.Motion] = {}
+        self.lists: dict[int, list[list[int]]] = {}  # of each slice, the counts of its lists' pictures
         w, h = s.ctbs
         self.tile, self.header = np.zeros((h, w), np.int64), {}
         self.sao: dict[tuple[int, int], list] = {}
 
+    def grey(self) -> Picture:
+        """Stands for a picture that isn't there."""
+        for i, x in enumerate(self.planes):
+            x[:] = 1 << (self.sps.depth_chroma if i else self.sps.depth_luma) - 1
+        self.done[:] = True
+        return self
+
     def shown(self) -> list[np.ndarray]:
         """The planes without what is cropped."""
         left, right, top, bottom = self.sps.crop
@@ -72,12 +85,15 @@ class Picture:
 class SliceDecoder:
     """Decodes one slice segment into a picture."""
 
-    def __init__(self, picture: Picture, pps: Pps, header: SliceHeader, data: bytes, number: int, before: SliceDecoder | None = None):
-        """number: of the slice; header: with what a dependent segment inherits; before: the segment that it goes on from."""
-        if header.slice_type != 2:
-            raise ValueError("only intra slices are decoded")
-        self.pic, self.sps, self.pps, self.head, self.number = picture, picture.sps, pps, header, number
-        self.cabac = Cabac(data, header.data_at, header.qp)
+    def __init__(
+        self, picture: Picture, pps: Pps, header: SliceHeader, data: bytes, number: int, before: SliceDecoder | None = None,
+        refs: tuple[list[Picture], ...] = (),
+    ):
+        """number: of the slice; header: with what a dependent segment inherits; before: the segment that it goes on from; refs: its lists."""
+        self.pic, self.sps, self.pps, self.head, self.number, self.refs = picture, picture.sps, pps, header, number, refs
+        self.pocs = picture.lists[number] = [[p.poc for p in x] for x in refs]
+        kind = (2 - header.cabac_init, 1 + header.cabac_init, 0)[header.slice_type]
+        self.cabac = Cabac(data, header.data_at, header.qp, kind)
         self.side = 1 << self.sps.log2_ctb
         self.columns, self.rows = pps.tile_starts(self.sps)
         w, h = self.sps.ctbs
@@ -107,7 +123,7 @@ class SliceDecoder:
             if i > start and new_tile or of_row and (i > start or not new_tile and i):
                 self._begin(x, y, bool(new_tile))
             self.ctu(x, y)
-            if self.pps.wavefront and (x == self.columns[int(tile) % len(self.columns)] + 1 or self._narrow(tile) and of_row):
+            if self.pps.wavefront and x == self.columns[int(tile) % len(self.columns)] + 1:
                 self.row_state = self.cabac.saved()
             if self.cabac.ends():
                 return
@@ -119,20 +135,14 @@ class SliceDecoder:
                 if not self.cabac.ends():
                     raise ValueError("a substream doesn't end where it should")
 
-    def _narrow(self, tile: int) -> bool:
-        c = int(tile) % len(self.columns)
-        return [*self.columns, self.sps.ctbs[0]][c + 1] - self.columns[c] == 1
-
     def _begin(self, x: int, y: int, new_tile: bool) -> None:
         """Contexts at the start of a tile, or of a row that goes on from the second block of the one above."""
         self.last_qp = self.head.qp
         self.cabac.reset(self.head.qp)
-        if not new_tile and self.pps.wavefront and self.row_state and y:
-            # the state is that after the block above and to the right, which must be of this slice or one before
-            right = min(x + 1, self.sps.ctbs[0] - 1)
-            cy, cx = (y - 1) * self.side // 4, right * self.side // 4
-            if self.pic.slice[cy, cx] >= 0 and self.pic.tile[y - 1, right] == self.pic.tile[y, x]:
-                self.cabac.load(self.row_state)
+        # a row goes on from the state after the block above and to the right, if that is in this slice and tile
+        right = (x + 1) * self.side, (y - 1) * self.side
+        if not new_tile and self.pps.wavefront and self.row_state and self.usable(*right, x * self.side, y * self.side):
+            self.cabac.load(self.row_state)
 
     # -- what may be used
 
@@ -223,15 +233,25 @@ class SliceDecoder:
         n, size = 1 << log2 - 2, 1 << log2
         cells = slice(y >> 2, (y >> 2) + n), slice(x >> 2, (x >> 2) + n)
         self.bypass = bool(self.pps.bypass and c.bin("bypass_cu"))
-        four = log2 == s.log2_min_cb and not c.bin("part_mode")
         p.depth[cells], p.slice[cells], p.qp[cells] = depth, self.number, self.qp
         p.edge_x[cells[0], x >> 2] = p.edge_y[y >> 2, cells[1]] = True
+        p.block_x[cells[0], x >> 2] = p.block_y[y >> 2, cells[1]] = True
+        p.raw[cells] = self.bypass
+        self.intra = True
+        if self.head.slice_type != 2:
+            at = sum(self.usable(a, b, x, y) and p.skip[b >> 2, a >> 2] for a, b in ((x - 1, y), (x, y - 1)))
+            skip = bool(c.bin("skip", int(at)))
+            self.intra = not skip and bool(c.bin("pred_mode"))
+            if not self.intra:
+                self.inter_unit(x, y, log2, depth, skip)
+                p.done[cells], p.qp[cells], self.last_qp = True, self.qp, self.qp
+                return
+        four = log2 == s.log2_min_cb and not c.bin("part_mode")
         if not four and s.pcm and s.pcm[2] <= log2 <= s.pcm[3] and c.ends():
             self.raw(x, y, size)
-            p.mode[cells], p.raw[cells], p.done[cells] = intra.DC, s.pcm[4], True
+            p.mode[cells], p.raw[cells], p.done[cells] = intra.DC, s.pcm[4] or self.bypass, True
             self.last_qp = self.qp
             return
-        p.raw[cells] = self.bypass
         part = size // 2 if four else size
         places = [(x + dx, y + dy) for dy in range(0, size, part) for dx in range(0, size, part)]
         given = [c.bin("prev_intra") for _ in places]
@@ -240,7 +260,7 @@ class SliceDecoder:
             rest = (c.unary(2, lambda _: c.even()),) if g else (None, c.evens(5))
             modes.append(self.luma_mode(a, b, rest))
             p.mode[b >> 2 : b + part >> 2, a >> 2 : a + part >> 2] = modes[-1]
-        self.four, self.deepest = four, s.depth_intra + four
+        self.four, self.cut, self.deepest = four, False, s.depth_intra + four
         if s.chroma:
             k = c.chroma_mode()
             named = (intra.PLANAR, intra.DOWN, intra.ACROSS, intra.DC)
@@ -249,6 +269,98 @@ class SliceDecoder:
         p.qp[cells] = self.qp
         self.last_qp = self.qp
 
+    # -- motion
+
+    def inter_unit(self, x: int, y: int, log2: int, depth: int, skip: bool) -> None:
+        c, s, p, size = self.cabac, self.sps, self.pic, 1 << log2
+        n = size >> 2
+        cells = slice(y >> 2, (y >> 2) + n), slice(x >> 2, (x >> 2) + n)
+        p.intra[cells], p.skip[cells], p.mode[cells] = False, skip, intra.DC
+        cut = None if skip else c.halves(log2 == s.log2_min_cb, log2 == 3, s.amp)
+        xs = [0, int(size * cut[1])] if cut and "x" in cut[0] else [0]
+        ys = [0, int(size * cut[1])] if cut and "y" in cut[0] else [0]
+        places = [(a, b, e, f) for b, f in zip(ys, [*ys[1:], size]) for a, e in zip(xs, [*xs[1:], size])]
+        merged = False
+        for i, (a, b, e, f) in enumerate(places):
+            unit = inter.Unit(x + a, y + b, e - a, f - b, x, y, size, i)
+            merged = skip or bool(c.bin("merge"))
+            motion = self.merged(unit) if merged else self.coded_motion(unit, depth)
+            for cy in range(unit.y >> 2, unit.y + unit.h >> 2):
+                for cx in range(unit.x >> 2, unit.x + unit.w >> 2):
+                    p.motion[cx, cy] = motion
+            p.edge_x[unit.y >> 2 : unit.y + unit.h >> 2, unit.x >> 2] = p.edge_y[unit.y >> 2, unit.x >> 2 : unit.x + unit.w >> 2] = True
+            self.compensate(unit, motion)
+        if not skip and ((merged and not cut) or c.bin("root")):
+            self.four, self.cut, self.deepest = False, bool(cut) and not s.depth_inter, s.depth_inter
+            self.transforms(x, y, x, y, log2, 0, 0, (True, True))
+
+    def decoded(self, unit: inter.Unit):
+        return lambda x, y: self.usable(x, y, unit.x, unit.y)
+
+    def merged(self, unit: inter.Unit) -> inter.Motion:
+        at = self.cabac.merge_index(self.head.max_merge)
+        level, two = self.pps.log2_merge_level, self.head.slice_type == 0
+        of = inter.Unit(unit.cx, unit.cy, 8, 8, unit.cx, unit.cy, 8) if level > 2 and unit.size == 8 else unit
+        spatial = inter.spatial_candidates(of, self.pic.motion, self.decoded(of), level)
+        found = [self.temporal(of, k, 0) for k in range(1 + two)] if self.head.temporal_mvp else [None]
+        found += [None] * (2 - len(found))
+        temporal = inter.Motion(tuple(found), tuple(None if v is None else 0 for v in found)) if any(v is not None for v in found) else None
+        return inter.merge_candidates(spatial, temporal, self.head.max_merge, self.pocs, two, unit.w + unit.h == 12)[at]
+
+    def coded_motion(self, unit: inter.Unit, depth: int) -> inter.Motion:
+        c, h = self.cabac, self.head
+        used = c.lists(depth, unit.w + unit.h == 12) if h.slice_type == 0 else (True, False)
+        told: list = [None, None]
+        for k in (0, 1):
+            if used[k]:
+                ref = c.reference(h.n_refs[k])
+                difference = (0, 0) if k and h.mvd_l1_zero and used[0] else c.difference()
+                told[k] = ref, difference, c.bin("predictor")
+        vectors: list = [None, None]
+        for k in (0, 1):
+            if told[k]:
+                ref, difference, which = told[k]
+                temporal = self.temporal(unit, k, ref) if h.temporal_mvp else None
+                near = inter.vector_candidates(unit, k, ref, self.pic.motion, self.decoded(unit), self.pocs, self.pic.poc, temporal)
+                vectors[k] = inter.added(near[which], difference)
+        return inter.Motion((vectors[0], vectors[1]), (told[0] and told[0][0], told[1] and told[1][0]))
+
+    def temporal(self, unit: inter.Unit, side: int, ref: int) -> inter.Vector | None:
+        """The vector that the collocated picture has right below the unit's corner, or else at its centre, as one to picture ref of the list."""
+        k, (x, y) = self.sps.log2_ctb, (unit.x + unit.w, unit.y + unit.h)
+        other = self.refs[self.head.collocated[0]][self.head.collocated[1]]
+        if x < self.sps.width and y < self.sps.height and y >> k == unit.y >> k:
+            found = self.collocated(other, x, y, side, ref)
+            if found is not None:
+                return found
+        return self.collocated(other, unit.x + unit.w // 2, unit.y + unit.h // 2, side, ref)
+
+    def collocated(self, other: Picture, x: int, y: int, side: int, ref: int) -> inter.Vector | None:
+        cx, cy = x >> 4 << 2, y >> 4 << 2
+        m = other.motion.get((cx, cy))
+        if m is None:
+            return None
+        if None in m.refs:
+            k = 0 if m.refs[1] is None else 1
+        else:
+            forward = all(p <= self.pic.poc for x in self.pocs for p in x)
+            k = side if forward else 1 - self.head.collocated[0]
+        source = other.lists[int(other.slice[cy, cx])][k][m.refs[k]]
+        # distances are between each picture and the one it refers to
+        return inter.stretched(m.vectors[k], self.pic.poc, self.pocs[side][ref], self.pic.poc - (other.poc - source))
+
+    def compensate(self, unit: inter.Unit, motion: inter.Motion) -> None:
+        planes = [self.refs[k][r].planes if r is not None else None for k, r in enumerate(motion.refs)]
+        w, weights = self.head.weights, None
+        if w:
+            log2 = (w.log2_luma, w.log2_chroma, w.log2_chroma)
+            weights = [[(log2[i], *w.lists[k][r][i]) for i in range(3)] if r is not None else None for k, r in enumerate(motion.refs)]
+        for i, block in enumerate(inter.predicted(planes, motion, unit, self.sps.depth_luma, weights)):
+            k = 1 if i else 0
+            self.pic.planes[i][unit.y >> k : unit.y + unit.h >> k, unit.x >> k : unit.x + unit.w >> k] = block
+
+    # -- intra modes and raw samples
+
     def luma_mode(self, x: int, y: int, rest: tuple) -> int:
         """rest: the number of a likely mode, or None and that of another."""
         p = self.pic
@@ -285,8 +397,8 @@ class SliceDecoder:
     def transforms(self, x: int, y: int, bx: int, by: int, log2: int, depth: int, blk: int, parent: tuple[bool, bool]) -> None:
         """bx, by: of the block that this is the blk-th part of; parent: whether that has coefficients of either chroma."""
         c, s = self.cabac, self.sps
-        inner = self.four and not depth
-        if s.log2_min_tb < log2 <= s.log2_max_tb and depth < self.deepest and not inner:
+        inner = (self.four or self.cut) and not depth
+        if s.log2_min_tb < log2 <= s.log2_max_tb and depth < self.deepest and not (self.four and not depth):
             split = c.bin("split_transform", 5 - log2)
         else:
             split = log2 > s.log2_max_tb or inner
@@ -299,13 +411,16 @@ class SliceDecoder:
             for i, (dx, dy) in enumerate(((0, 0), (half, 0), (0, half), (half, half))):
                 self.transforms(x + dx, y + dy, x, y, log2 - 1, depth + 1, i, chroma)
             return
-        luma = bool(c.bin("cbf_luma", 0 if depth else 1))
+        luma = not (self.intra or depth or any(chroma)) or bool(c.bin("cbf_luma", 0 if depth else 1))
         if (luma or any(chroma)) and self.pps.cu_qp_delta and not self.qp_coded:
             self.qp_delta, self.qp_coded = c.qp_delta(), True
             self.quantiser()
         n = 1 << log2 - 2
         self.block(0, x, y, log2, luma)
-        self.pic.done[y >> 2 : (y >> 2) + n, x >> 2 : (x >> 2) + n] = True
+        if self.intra:
+            self.pic.done[y >> 2 : (y >> 2) + n, x >> 2 : (x >> 2) + n] = True
+        self.pic.coded[y >> 2 : (y >> 2) + n, x >> 2 : (x >> 2) + n] = luma
+        self.pic.block_x[y >> 2 : (y >> 2) + n, x >> 2] = self.pic.block_y[y >> 2, x >> 2 : (x >> 2) + n] = True
         self.pic.edge_x[y >> 2 : (y >> 2) + n, x >> 2] = self.pic.edge_y[y >> 2, x >> 2 : (x >> 2) + n] = True
         if s.chroma and (log2 > 2 or blk == 3):
             at = (x, y, log2 - 1) if log2 > 2 else (bx, by, 2)
@@ -313,24 +428,28 @@ class SliceDecoder:
                 self.block(1 + i, *at, chroma[i])
 
     def block(self, i: int, x: int, y: int, log2: int, coded: bool) -> None:
-        """Predicts a block of plane i whose luma place is (x, y), and adds its residual."""
+        """Predicts a block of plane i whose luma place is (x, y), if its unit is intra, and adds its residual."""
         s, plane, n = self.sps, self.pic.planes[i], 1 << log2
         k = 1 if i else 0
         px, py, depth = x >> k, y >> k, s.depth_chroma if i else s.depth_luma
-        mode = self.chroma if i else int(self.pic.mode[y >> 2, x >> 2])
-        p = intra.around(plane, _Usable(self, x, y, k), px, py, n, depth)
-        if not i:
-            p = intra.smoothed(p, n, mode, depth, s.strong_smoothing)
-        out = intra.predicted(p, n, mode, depth, not i)
+        mode = None
+        out = plane[py : py + n, px : px + n]
+        if self.intra:
+            mode = self.chroma if i else int(self.pic.mode[y >> 2, x >> 2])
+            p = intra.around(plane, _Usable(self, x, y, k), px, py, n, depth)
+            if not i:
+                p = intra.smoothed(p, n, mode, depth, s.strong_smoothing)
+            out = intra.predicted(p, n, mode, depth, not i)
         if coded:
             out = np.clip(out + self.residual(i, log2, mode, depth), 0, (1 << depth) - 1)
         plane[py : py + n, px : px + n] = out
 
-    def residual(self, i: int, log2: int, mode: int, depth: int) -> np.ndarray:
+    def residual(self, i: int, log2: int, mode: int | None, depth: int) -> np.ndarray:
+        """mode: of an intra block, else None."""
         c, n = self.cabac, 1 << log2
         skip = bool(self.pps.transform_skip and not self.bypass and log2 == 2 and c.bin("transform_skip", 1 if i else 0))
         order = 0
-        if log2 == 2 or log2 == 3 and not i:
+        if mode is not None and (log2 == 2 or log2 == 3 and not i):
             order = 2 if 6 <= mode <= 14 else 1 if 22 <= mode <= 30 else 0
         levels = self.levels(i, log2, order)
         if self.bypass:
@@ -338,10 +457,10 @@ class SliceDecoder:
         extra = 6 * (depth - 8)
         qp = chroma_qp(self.qp, (self.pps.cb_qp + self.head.cb_qp, self.pps.cr_qp + self.head.cr_qp)[i - 1], extra) if i else self.qp + extra
         lists = (self.pps.scaling or self.sps.scaling) if self.sps.scaling else None
-        values = dequantise(levels, qp, log2, depth, scaling_matrix(lists, log2, i) if lists else 16)
+        values = dequantise(levels, qp, log2, depth, scaling_matrix(lists, log2, i, mode is None) if lists else 16)
         if skip:
             return ((values << 7) + (1 << (19 - depth))) >> (20 - depth)
-        return inverse_transform(values, depth, sine=log2 == 2 and not i)
+        return inverse_transform(values, depth, sine=log2 == 2 and not i and mode is not None)
 
     def levels(self, i: int, log2: int, order: int) -> np.ndarray:
         """A block's coefficients."""
@@ -421,7 +540,8 @@ class _Usable:
         rows, cols = (np.asarray(v) << self.k for v in at)
         cell = rows >> 2, cols >> 2
         same = p.tile[rows >> log2, cols >> log2] == p.tile[self.y >> log2, self.x >> log2]
-        return p.done[cell] & (p.slice[cell] == self.of.number) & same
+        out = p.done[cell] & (p.slice[cell] == self.of.number) & same
+        return out & p.intra[cell] if self.of.pps.constrained_intra else out
 
 
 def _significance(log2: int, order: int, chroma: bool, gx: int, gy: int, x: int, y: int, right: bool, below: bool) -> int:
@@ -446,10 +566,10 @@ def _significance(log2: int, order: int, chroma: bool, gx: int, gy: int, x: int,
     return at + 27 * chroma
 
 
-def scaling_matrix(lists, log2: int, i: int) -> np.ndarray:
-    """The factors of an intra block of plane i."""
+def scaling_matrix(lists, log2: int, i: int, moved: bool = False) -> np.ndarray:
+    """The factors of a block of plane i; moved: of an inter unit."""
     size, n = log2 - 2, 1 << log2
-    m = i if size < 3 else 0
+    m = 3 * moved + (i if size < 3 else 0)
     side = min(n, 8)
     small = np.zeros((side, side), np.int64)
     for v, (x, y) in zip(lists.lists[size][m], scan(side, 0)):

@@ -27,7 +27,8 @@ class Decoder:
         self.buffer: PictureBuffer | None = None
         self.ready: dict[tuple[int, int], tuple] = {}
         self.picture: Picture | None = None
-        self.anchor, self.fresh, self.slice = 0, True, None
+        self.held: dict[int, Picture] = {}  # what later pictures may be predicted from
+        self.anchor, self.fresh, self.slice, self.leads_nowhere = 0, True, None, True
         self.problem: str | None = None
 
     def row(self, kind: int, tid: int, rbsp: bytes | None) -> list[tuple]:
@@ -64,6 +65,8 @@ class Decoder:
     def _slice(self, kind: int, tid: int, data: bytes) -> list[tuple]:
         first, pps, sps = self._sets(kind, data)
         out = self._finish() if first else []
+        if kind in (8, 9) and self.leads_nowhere:
+            return out  # it is predicted from what came before a stream's start
         try:
             head = parse_slice_header(data, kind, pps, sps)
             if first:
@@ -78,12 +81,34 @@ class Decoder:
             else:
                 number = self.slice.number + 1 if self.slice else 0
             self.used = pps
-            self.slice = SliceDecoder(self.picture, pps, head, data, number, self.slice if head.dependent else None)
+            refs = self.slice.refs if head.dependent else self._lists(head)
+            self.slice = SliceDecoder(self.picture, pps, head, data, number, self.slice if head.dependent else None, refs)
             self.slice.run()
         except (ValueError, IndexError) as e:
             self.problem = self.problem or str(e)
         return out
 
+    def _lists(self, head: SliceHeader) -> tuple[list[Picture], ...]:
+        """The lists of pictures that a slice is predicted from; what isn't there is grey."""
+        if head.slice_type == 2:
+            return ()
+        if head.long_term:
+            raise ValueError("prediction from long-term pictures isn't decoded")
+        sets = [[self.poc + d for d, used in x if used] for x in (head.ref_set.before, head.ref_set.after)]
+        out = []
+        for k, n in enumerate(head.n_refs):
+            pool = sets[k] + sets[1 - k]
+            if not pool:
+                raise ValueError("a slice is predicted from no picture")
+            at = head.entries[k] or range(n)
+            out.append([self._held(pool[i % len(pool)]) for i in at])
+        return tuple(out)
+
+    def _held(self, poc: int) -> Picture:
+        if poc not in self.held:
+            self.held[poc] = Picture(self.picture.sps, poc).grey()
+        return self.held[poc]
+
     def _begin(self, kind: int, tid: int, head: SliceHeader, sps: Sps) -> None:
         resets = kind in (19, 20) or 16 <= kind <= 18 or kind == 21 and self.fresh
         span = 1 << sps.log2_max_poc_lsb
@@ -94,11 +119,14 @@ class Decoder:
             high += span
         elif low > self.anchor % span and low - self.anchor % span > span // 2:
             high -= span
+        if 16 <= kind <= 23:
+            self.leads_nowhere = resets
         self.poc, self.resets, self.fresh = high + low, resets, False
         if tid == 0 and not (6 <= kind <= 9 or kind < 16 and kind % 2 == 0):
             self.anchor = self.poc
         self.keeps = {self.poc + d for d, _ in head.ref_set.before + head.ref_set.after}
-        self.picture, self.slice, self.shows, self.problem = Picture(sps), None, head.output, None
+        self.held = {} if resets else {p: x for p, x in self.held.items() if p in self.keeps}
+        self.picture, self.slice, self.shows, self.problem = Picture(sps, self.poc), None, head.output, None
         if self.buffer is None:
             self.buffer = PictureBuffer(sps.max_reorder, sps.max_dpb)
         self.buffer.max_reorder, self.buffer.max_size = sps.max_reorder, sps.max_dpb
@@ -112,6 +140,7 @@ class Decoder:
             self.problem = "a picture lacks slices"
         if not self.problem:
             p.finish(self.used)
+        self.held[self.poc] = p
         out = self.buffer.add(self.poc, self.keeps, self.resets, self.shows)
         depth, planes = p.sps.depth_luma, p.shown()
         content = None if self.problem else write_planar(planes, depth)
@@ -133,7 +162,7 @@ def decode_streams(units: DataFrame, stream: str = "stream", order: str = "nal_i
     """units: stream, order, type, tid, rbsp, as sources.annexb gives them.  One row per picture in display order.
 
     stream, shown (its number), sequence, poc, width, height, depth, planes, yuv (cropped planes, one byte or two for a sample) and
-    problem: why yuv is null, such as a picture that is predicted from others.  Streams are decoded side by side, each by one task,
-    which holds one picture and what the stream's reordering holds back.
+    problem: why yuv is null.  Streams are decoded side by side, each by one task, which holds the pictures that the stream's buffer
+    may hold.
     """
     return folded(units, stream, [order], ["type", "tid", "rbsp"], Decoder, f"`{stream}` {dict(units.dtypes)[stream]}, {FRAMES}")

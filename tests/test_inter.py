@@ -1,9 +1,16 @@
 """Motion candidates, prediction from other pictures, and the chain of segments."""
 
+import dataclasses
+import random
+
 import numpy as np
 
-from framewright.functions import inter
+from framewright.functions import cabac, decode, filters, inter
+from framewright.functions.cabac import WIDTHS, Cabac
+from framewright.functions.decode import Picture, SliceDecoder
 from framewright.functions.inter import Motion, Unit
+from framewright.functions.syntax import SliceHeader, Weights, parse_pps, parse_sps
+from framewright.plans.media_queries import TOY
 from framewright.operators import segments
 from framewright.sources import mp4
 
@@ -93,3 +100,176 @@ def test_segments_are_restamped(spark):
     assert [r[4] for r in rows] == [b - a for a, b in zip(want, want[1:])] + [512]
     done = spark.createDataFrame([(1, 500.0, 1000.0), (2, 0.0, 1000.0)], "seq long, total double, media double")
     assert [(r["seq"], r["speed"]) for r in segments.published(done, "total", "media").collect()] == [(1, 2.0)]
+
+
+class Coder(Cabac):
+    """Takes bins from `choose` instead of a stream, and writes the stream that has them."""
+
+    choose = staticmethod(lambda name, at: 0)
+
+    def start(self, bit):
+        self.parts = [*getattr(self, "parts", []), *([self.bytes()] if hasattr(self, "out") else [])]
+        self.low, self.range, self.pending, self.first, self.out = 0, 510, 0, True, []
+
+    def next_byte(self):
+        return 0
+
+    def put(self, b):
+        self.out += ([] if self.first else [b]) + [1 - b] * self.pending
+        self.first, self.pending = False, 0
+
+    def shift(self):
+        while self.range < 256:
+            if self.low >= 512:
+                self.put(1)
+                self.low -= 512
+            elif self.low < 256:
+                self.put(0)
+            else:
+                self.low -= 256
+                self.pending += 1
+            self.range, self.low = self.range << 1, self.low << 1
+
+    def bin(self, name, at=0):
+        b, c = self.choose(name, at), self.contexts[name][at]
+        width = WIDTHS[c[0]][self.range >> 6 & 3]
+        self.range -= width
+        if b == c[1]:
+            c[0] = min(c[0] + 1, 62)
+        else:
+            self.low, self.range = self.low + self.range, width
+            if not c[0]:
+                c[1] = b
+            c[0] = cabac._DOWN[c[0]]
+        self.shift()
+        return b
+
+    def even(self):
+        b = self.choose("even", 0)
+        self.low = 2 * self.low + b * self.range
+        if self.low >= 1024:
+            self.put(1)
+            self.low -= 1024
+        elif self.low < 512:
+            self.put(0)
+        else:
+            self.low -= 512
+            self.pending += 1
+        return b
+
+    def ends(self):
+        self.range -= 2
+        b = self.choose("ends", 0)
+        if b:
+            self.low, self.range = self.low + self.range, 2
+        self.shift()
+        if b:
+            self.put(self.low >> 9 & 1)
+            self.out += [self.low >> 8 & 1, 1]
+        return bool(b)
+
+    def bytes(self):
+        bits = "".join(map(str, self.out)) + "0" * (-len(self.out) % 8)
+        return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+    def done(self):
+        return b"".join([*self.parts, self.bytes()])
+
+
+SPS = bytes.fromhex(TOY[0][1])
+
+
+def base(seed, poc=0):
+    p = Picture(dataclasses.replace(parse_sps(SPS), log2_min_cb=3), poc)
+    rng = np.random.default_rng(seed)
+    for x in p.planes:
+        x[:] = rng.integers(0, 256, x.shape)
+    p.done[:], p.slice[:] = True, 0
+    p.lists[0] = [[], []]
+    return p
+
+
+def coded(monkeypatch, choose, refs, slice_type, poc, **changes):
+    """A picture made with the bins that choose() gives, and the same decoded from the stream that they make."""
+    pps = dataclasses.replace(parse_pps(bytes.fromhex(TOY[1][1])), **changes.pop("pps", {}))
+    head = SliceHeader(True, 0, False, 0, slice_type=slice_type, n_refs=[len(x) for x in refs], temporal_mvp=True, max_merge=5, qp=30, filter_across=True, **changes)
+    sps = dataclasses.replace(parse_sps(SPS), log2_min_cb=3, amp=True, depth_inter=1, depth_intra=1)
+    made, again = Picture(sps, poc), Picture(sps, poc)
+    with monkeypatch.context() as m:
+        m.setattr(decode, "Cabac", Coder)
+        m.setattr(Coder, "choose", staticmethod(choose))
+        d = SliceDecoder(made, pps, head, b"", 0, None, refs)
+        # after each block comes whether the slice ends, and where a row or tile does, that a part of the stream does
+        firsts = [i and pps.wavefront and x in d.columns or i and made.tile[d.order[i - 1][1], d.order[i - 1][0]] != made.tile[y, x] for i, (x, y) in enumerate(d.order)]
+        ends = [b for first in firsts[1:] for b in ((0, 1) if first else (0,))] + [1]
+
+        def one(name, at):
+            return ends.pop(0) if name == "ends" else choose(name, at)
+
+        m.setattr(Coder, "choose", staticmethod(one))
+        d.run()
+        data = d.cabac.done()
+    SliceDecoder(again, pps, dataclasses.replace(head, data_at=0), data, 0, None, refs).run()
+    assert all((a == b).all() for a, b in zip(made.planes, again.planes)) and made.motion == again.motion and made.done.all()
+    again.finish(dataclasses.replace(pps, deblock_off=False))
+    return made, again, data
+
+
+def test_a_picture_of_skips_repeats_the_one_before(monkeypatch):
+    ref = base(1)
+    made, _, data = coded(monkeypatch, lambda name, at: int(name == "skip"), ([ref],), 1, 1)
+    assert all((a == b).all() for a, b in zip(made.planes, ref.planes)) and len(data) < 20
+    assert set(made.motion.values()) == {Motion(((0, 0), None), (0, None))}
+
+
+def test_a_coded_vector_moves_the_picture(monkeypatch):
+    ref = base(2)
+    # one unit a block, of 32 samples, not merged; its difference is (3 * 4, 0) quarters at the first block, else none
+    vector = {"n": 0}
+
+    def choose(name, at):
+        if name == "part_mode":
+            return 1
+        if name == "difference":
+            vector["n"] += 1
+            return int(vector["n"] in (1, 3))  # the first block's horizontal one is there, and larger than one
+        if name == "even" and vector["n"] == 3 and len(pattern):
+            return pattern.pop(0)
+        return 0
+
+    pattern = [1, 1, 0, 1, 0, 0, 0]  # 2 + 2 + 4, and 4 in three bits, which is twelve; then a plus
+    made, _, _ = coded(monkeypatch, choose, ([ref],), 1, 1)
+    first = made.motion[0, 0].vectors[0]
+    assert first == (12, 0) and all(m.vectors[0] == (12, 0) for m in made.motion.values())  # the others take it as their predictor
+    want = ref.planes[0][:, np.minimum(np.arange(64) + 3, 63)]
+    assert (made.planes[0] == want).all()
+
+
+def test_streams_of_any_bins_decode_as_they_were_made(monkeypatch):
+    rng, seen = random.Random(5), set()
+    likely = {"skip": 0.3, "pred_mode": 0.3, "root": 0.4, "merge": 0.5, "cbf_luma": 0.4, "cbf_chroma": 0.3, "sub_block": 0.3, "significant": 0.3, "even": 0.45}
+    for n in range(10):
+        refs = [base(3, 0), base(4, 4)]
+        for r in refs:  # motion for temporal candidates
+            r.lists[0] = [[-2, -4], [6, 8]]
+            r.intra[:] = False
+            r.motion = {(x, y): Motion(((4 * x - 9, y), (x, -y)), (0, 1)) for x in range(0, 16, 4) for y in range(0, 16, 4) if (x + y) % 8}
+        for slice_type, lists in ((1, ([refs[0], refs[1]],)), (0, ([refs[0], refs[1]], [refs[1], refs[0]]))):
+            choose = lambda name, at: int(rng.random() < likely.get(name, 0.5))
+            shape = ({}, {"wavefront": True}, {"tiles": True, "n_tiles": (2, 2)}, {"tiles": True, "n_tiles": (1, 2), "wavefront": True, "filter_tiles": False})[n % 4]
+            pps = shape | {"sign_hiding": bool(n % 2), "transform_skip": bool(n % 3), "cu_qp_delta": n % 4 > 1, "qp_delta_depth": n % 2, "constrained_intra": n % 5 == 0, "log2_merge_level": 2 + n % 3}
+            weights = Weights(5, 4, [[[(30, 2), (17, -3), (15, 1)]] * 2 for _ in lists]) if n % 3 == 1 else None
+            made, shown, _ = coded(monkeypatch, choose, lists, slice_type, 2, pps=pps, mvd_l1_zero=bool(n % 2), cabac_init=bool(n % 2), collocated=(0, n % 2), weights=weights)
+            assert all(x.min() >= 0 and x.max() <= 255 for x in shown.planes)
+            seen |= {("intra", bool(made.intra.any())), ("skip", bool(made.skip.any())), *(("lists", m.refs[0] is None, m.refs[1] is None) for m in made.motion.values())}
+    assert seen >= {("intra", True), ("skip", True), ("lists", False, False), ("lists", True, False), ("lists", False, True)}
+
+
+def test_edges_of_moving_blocks():
+    of = lambda *x: [(r, v) for r, v in x]
+    apart = filters._moves_apart
+    assert not apart(of((0, (0, 0))), of((0, (3, -3)))) and apart(of((0, (0, 0))), of((0, (4, 0)))) and apart(of((0, (0, 0))), of((1, (0, 0))))
+    two = of((0, (0, 0)), (1, (9, 9)))
+    assert not apart(two, of((1, (8, 8)), (0, (1, 1)))) and apart(two, of((0, (9, 9)), (1, (0, 0)))) and apart(two, of((0, (0, 0))))
+    same = of((0, (0, 0)), (0, (9, 9)))
+    assert not apart(same, of((0, (9, 9)), (0, (0, 0)))) and apart(same, of((0, (0, 0)), (0, (0, 0))))
