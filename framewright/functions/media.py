@@ -50,6 +50,16 @@ def ticks_to_micros(ticks: Column, timescale: Column) -> Column:
     return round_half_up(ticks / timescale * 1_000_000).cast("long")
 
 
+def frames_per_second(timescale: Column, duration: Column) -> Column:
+    """Null where a frame takes no time."""
+    return F.when(duration > 0, timescale / duration)
+
+
+def kilobits(bandwidth: Column) -> Column:
+    """Whole kilobits, rounded up."""
+    return F.ceil(bandwidth / 1000)
+
+
 def reduce_depth(sample: Column, depth: Column) -> Column:
     """A sample of `depth` bits as one of 8."""
     return F.least(F.call_function("shiftright", sample, F.greatest(depth - 8, F.lit(0))), F.lit(255))

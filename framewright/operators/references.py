@@ -24,34 +24,47 @@ def no_backward(current: Column, *lists: Column) -> Column:
     return ~F.exists(F.concat(*lists), lambda p: p > current)
 
 
+def collocated(first: Column, second: Column, side: Column, index: Column) -> Column:
+    """The picture of list `side` (0 or 1) at an index from 0; null where there is none."""
+    at = (index + 1).cast("int")
+    return F.when(index < 0, None).when(side == 0, F.try_element_at(first, at)).otherwise(F.try_element_at(second, at))
+
+
 def derive_sets(pictures: DataFrame, stream: str = "stream", order: str = "decode_idx") -> DataFrame:
-    """pictures: stream, order, poc, deltas (array of struct(delta, used)), resets.  Adds before, after and follow: the POCs
-    of earlier pictures, still held, that this one may use or must keep; missing: those it names that aren't held.
+    """pictures: stream, order, poc, deltas (array of struct(delta, used)), resets, and perhaps long_term (array of struct(poc, span,
+    used): a count, or its value modulo span).  Adds before, after and follow: the POCs of earlier pictures, still held, that this one may
+    use or must keep; long_use and long_keep: the same by long_term; missing: those it names that aren't held.
 
     What a picture doesn't name is let go.  An ordered fold; a task holds one stream's few POCs at a time.
     """
-    schema = f"`{stream}` {dict(pictures.dtypes)[stream]}, `{order}` long, poc long, before array<long>, after array<long>, follow array<long>, missing array<long>"
+    schema = f"`{stream}` {dict(pictures.dtypes)[stream]}, `{order}` long, poc long, before array<long>, after array<long>, follow array<long>, missing array<long>, long_use array<long>, long_keep array<long>"
 
     class Sets:
         def __init__(self, k):
             self.stream, self.held = k, set()
 
-        def row(self, at, poc, deltas, resets):
+        def row(self, at, poc, deltas, resets, long_term):
             if resets:
                 self.held = set()
             named = [] if resets else [(poc + d["delta"], d["used"]) for d in deltas or []]
             there = [(p, used) for p, used in named if p in self.held]
             before = sorted((p for p, u in there if u and p < poc), reverse=True)
             after = sorted(p for p, u in there if u and p > poc)
-            out = (self.stream, at, poc, before, after, [p for p, u in there if not u], [p for p, _ in named if p not in self.held])
-            self.held = {p for p, _ in there} | {poc}
+            missing, far = [p for p, _ in named if p not in self.held], []
+            for x in (long_term or []) if not resets else []:
+                fits = sorted(p for p in self.held if (p % x["span"] if x["span"] else p) == x["poc"])
+                far += [(fits[0], x["used"])] if fits else []
+                missing += [] if fits else [x["poc"]]
+            out = (self.stream, at, poc, before, after, [p for p, u in there if not u], missing, [p for p, u in far if u], [p for p, u in far if not u])
+            self.held = {p for p, _ in there} | {p for p, _ in far} | {poc}
             return [out]
 
         def end(self):
             return []
 
-    rows = pictures.select(stream, F.col(order).cast("long").alias(order), F.col("poc").cast("long").alias("poc"), "deltas", "resets")
-    return folded(rows, stream, [order], [order, "poc", "deltas", "resets"], Sets, schema)
+    far = F.col("long_term") if "long_term" in pictures.columns else F.expr("cast(null as array<struct<poc:long,span:long,used:boolean>>)")
+    rows = pictures.select(stream, F.col(order).cast("long").alias(order), F.col("poc").cast("long").alias("poc"), "deltas", "resets", far.alias("long_term"))
+    return folded(rows, stream, [order], [order, "poc", "deltas", "resets", "long_term"], Sets, schema)
 
 
 def tile_scan(blocks: DataFrame, picture: list[str], columns: Column, rows: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import media
+from ..functions import bits, media
 from ..operators import blocks, control, ladder, lookup, pictures, quality, references, sessions
 from ..sources import annexb
 from ..streaming import ordered
@@ -228,6 +228,35 @@ def caps_by_fold(spark, d):
     return out.select("user_id", "event_id", F.coalesce("cap", F.lit(-1)).alias("cap"), F.round("mean_speed", 6).alias("mean_speed"), "reason")
 
 
+def collocated_pictures(spark, d):
+    k = F.col("c_custkey")
+    c = references.collocated(F.array(k, k + 1, k + 2), F.array(k + 3, k + 4), k % 2, (k % 5 - 1))
+    return _t(spark, d, "customer").select("c_custkey", c.alias("picture"))
+
+
+def time_bases(spark, d):
+    p = _t(spark, d, "part").select("p_partkey", "p_size")
+    return p.select(
+        "p_partkey", media.ticks_to_micros(F.col("p_partkey") * 512, F.lit(12800)).alias("micros"),
+        F.round(media.frames_per_second(F.lit(12800), F.col("p_size") % 7), 6).alias("fps"), media.kilobits(F.col("p_partkey") * 37).alias("kbps"),
+    )
+
+
+def bit_arithmetic(spark, d):
+    k = F.col("p_partkey")
+    return _t(spark, d, "part").select("p_partkey", bits.clip(k, F.lit(20), F.lit(150)).alias("held"), bits.bit_length(k + 1).alias("bits"), bits.round_half_up(F.col("p_size") / 2 - 10).alias("rounded"))
+
+
+def reference_sets(spark, d):
+    from ..operators.ordering import display_order
+
+    e = display_order(_events(spark, d), ["user_id"], ORDER, "n").select("user_id", (F.col("n") - 1).cast("long").alias("decode_idx"), "event_type")
+    named = F.array(*(F.struct(F.lit(-k).alias("delta"), F.lit(k < 3).alias("used")) for k in (1, 2, 3, 5)))
+    pictures_ = e.select("user_id", "decode_idx", F.col("decode_idx").alias("poc"), named.alias("deltas"), (F.col("decode_idx") % 8 == 0).alias("resets"))
+    got = references.derive_sets(pictures_, "user_id")
+    return got.select("user_id", "decode_idx", F.concat_ws(",", "before").alias("before"), F.concat_ws(",", "follow").alias("follow"), F.concat_ws(",", "missing").alias("missing"))
+
+
 # The payloads of a stream of one picture.
 TOY = (
     (33, "01037000000090000000" "00001ea020810596e92930b80400000fa000000fa020"),
@@ -251,7 +280,7 @@ def decoded_digests(spark, d):
 
 
 NAMES = (
-    decoded_digests, unit_kinds, unit_routing, depth_reduction, crop_windows, rgb, log_filter, bounded_fetch, parameter_upsert, parameter_sets_accepted, slice_resolution,
+    decoded_digests, collocated_pictures, time_bases, bit_arithmetic, reference_sets, unit_kinds, unit_routing, depth_reduction, crop_windows, rgb, log_filter, bounded_fetch, parameter_upsert, parameter_sets_accepted, slice_resolution,
     reference_by_poc, reference_by_low_bits, correlated, slice_headers, temporal_vectors, init_cache, any_flag, digests, reconciled, access_units,
     picture_groups, buffered_time, block_levels, edge_classes, entry_points, tile_bounds, output_order, reordered, drained_and_flushed, repositions,
     queue_served, caps_applied, caps_by_fold,

@@ -14,6 +14,26 @@ _HELD = "h AS (SELECT user_id, event_id % 37 AS poc, event_id AS picture, event_
 SQL = {
     # Fixed value: the digest of the stream's decoded picture.
     "decoded_digests": "SELECT 'stream ' || i AS stream, '9f59878470d904dc2e162d3d191611af' AS digest, 6144::BIGINT AS bytes FROM range(2) t(i)",
+    "collocated_pictures": """
+SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 5 < 4 THEN c_custkey + c_custkey % 5 - 1 END
+       ELSE CASE WHEN c_custkey % 5 < 3 THEN c_custkey + c_custkey % 5 + 2 END END AS picture FROM customer
+""",
+    "time_bases": """
+SELECT p_partkey, p_partkey * 40000 AS micros, CASE WHEN p_size % 7 > 0 THEN round(12800 / (p_size % 7), 6) END AS fps, ceil(p_partkey * 37 / 1000)::BIGINT AS kbps FROM part
+""",
+    "bit_arithmetic": """
+SELECT p_partkey, greatest(20, least(150, p_partkey)) AS held, length(ltrim(bin(p_partkey + 1), '0'))::INT AS bits, floor(p_size / 2 - 10 + 0.5)::BIGINT AS rounded FROM part
+""",
+    "reference_sets": """
+WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
+-- a picture holds what the one before named and itself; five back is named by none in between, so it is never held
+k AS (SELECT user_id, n, n % 8 AS r FROM e)
+SELECT user_id, n AS decode_idx,
+       concat_ws(',', CASE WHEN r >= 1 THEN n - 1 END, CASE WHEN r >= 2 THEN n - 2 END) AS before,
+       CASE WHEN r >= 3 THEN (n - 3)::VARCHAR ELSE '' END AS follow,
+       CASE WHEN r = 0 THEN '' ELSE concat_ws(',', CASE WHEN r < 2 THEN n - 2 END, CASE WHEN r < 3 THEN n - 3 END, n - 5) END AS missing
+FROM k
+""",
     "unit_kinds": """
 SELECT p_partkey, t < 32 AS vcl, t BETWEEN 16 AND 23 AS irap, t IN (19, 20) AS idr, t = 21 AS cra, t BETWEEN 16 AND 18 AS bla, t IN (8, 9) AS rasl, t IN (6, 7) AS radl
 FROM (SELECT p_partkey, p_partkey % 64 AS t FROM part)

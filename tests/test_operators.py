@@ -249,6 +249,11 @@ def test_reference_sets(spark):
     got = {r["decode_idx"]: (r["before"], r["after"], r["follow"], r["missing"]) for r in references.derive_sets(df).collect()}
     assert got[1] == ([0], [], [], []) and got[2] == ([0], [4], [], [])
     assert got[3] == ([4, 0], [], [2], [1]) and got[4] == ([4], [8], [], []) and got[5] == ([], [], [], [])
+    far = "array<struct<poc:long,span:long,used:boolean>>"
+    rows = [("s", 0, 0, [], True, None), ("s", 1, 20, [], False, [(0, None, True)]), ("s", 2, 37, [(-17, True)], False, [(0, 16, False), (5, 16, True)]), ("s", 3, 38, [], False, [(5, 32, True)])]
+    df = spark.createDataFrame(rows, f"stream string, decode_idx int, poc int, deltas {d}, resets boolean, long_term {far}")
+    got = {r["decode_idx"]: (r["before"], r["long_use"], r["long_keep"], r["missing"]) for r in references.derive_sets(df).collect()}
+    assert got[1] == ([], [0], [], []) and got[2] == ([20], [], [0], [5]) and got[3] == ([], [37], [], [])
 
 
 def test_manifests(spark):
