@@ -45,3 +45,22 @@ def test_stages(spark, tmp_path):
     assert len(total) <= -(-sum(total.values()) // 2048) + 2
     key = lambda r: (r["doc_id"], r["piece"], r["length"], r["ids_crc32"])
     assert sorted(map(key, corpus_pipeline.run(spark, SF).collect())) == sorted(map(key, packed))
+
+
+def test_stages_take_odd_rows_names_and_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, _key int, gone string, row_key double"
+    long = "a line of its own that is longer than forty characters, to be sure"
+    texts = [(1, None), (2, ""), (3, " \n\t"), (None, f"some words of no id\n{long}"), (4, "one"), (4, "one"), (4, f"{long}\nanother text of the same id"), (5, "x" * 200_000), (6, "tab\tand  two spaces <|endoftext|>  ")]
+    rows = [(i, t, "en", "s", len(t or ""), "k", 1, "g", 0.5) for i, t in texts]
+    rows += [(100 + i, "the same words again and again in this text " * (1 + i % 3), "en", "s", 40, "k", 2, "g", 0.5) for i in range(12)]
+    docs = seen = spark.createDataFrame(rows, schema).repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, docs.limit(0), SF)
+        assert nothing.count() == 0
+        stage(spark, seen, SF).write.parquet(str(tmp_path / name))
+        seen = spark.read.parquet(str(tmp_path / name))
+        if name != "best_fit_packing":
+            assert seen.columns == docs.columns == nothing.columns
+    assert seen.select("doc_id").distinct().count() >= 5
+    left = {(r["doc_id"], r["text"]) for r in spark.read.parquet(str(tmp_path / "benchmark_decontamination")).collect()}
+    assert (None, texts[3][1]) in left and (4, "another text of the same id") in left and (6, texts[8][1]) in left and not {1, 2, 3} & {i for i, _ in left}
