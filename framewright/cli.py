@@ -11,7 +11,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.syntax import dump_headers
-from .operators.pictures import decode_streams
+from .operators.pictures import decode_streams, dump_slices
 from .operators.sessions import access_units
 from .sources import annexb
 
@@ -46,6 +46,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         dump_units(units).show(1 << 30, truncate=False)
     if a.dump_headers:
         dump_headers(units).orderBy("stream", "nal_idx").show(1 << 30, truncate=False)
+        dump_slices(units).orderBy("stream", "nal_idx").show(1 << 30, truncate=False)
     if a.out:
         frames = decode_streams(units).persist()
         print(f"{write_frames(frames, a.out)} pictures")

@@ -12,7 +12,7 @@ import numpy as np
 
 from . import filters, inter, intra
 from .cabac import Cabac
-from .kernels import COSINES, DST4, dequantise, inverse_transform  # noqa: F401
+from .kernels import dequantise, inverse_transform
 from .syntax import Pps, SliceHeader, Sps
 
 # The context of a coefficient's significance in a block of four by four.

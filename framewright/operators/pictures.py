@@ -14,6 +14,8 @@ from ..functions.syntax import Bits, Pps, SliceHeader, Sps, parse_pps, parse_sli
 
 #: What a dependent slice segment has of its own; all else it takes from the slice that it goes on.
 OWN = ("first", "pps_id", "dependent", "address", "entry_points", "data_at")
+#: What a stream that breaks the rules may run into; its picture is then given as a problem.
+BROKEN = (ValueError, IndexError, KeyError)
 FRAMES = "shown int, sequence int, poc long, width int, height int, depth int, planes int, yuv binary, problem string"
 
 
@@ -48,7 +50,7 @@ class Decoder:
                 return out
             elif kind <= 9 or 16 <= kind <= 21:
                 return self._slice(kind, tid, data)
-        except (ValueError, IndexError) as e:
+        except BROKEN as e:
             self.problem = self.problem or str(e)
         return []
 
@@ -84,7 +86,7 @@ class Decoder:
             refs = self.slice.refs if head.dependent else self._lists(head)
             self.slice = SliceDecoder(self.picture, pps, head, data, number, self.slice if head.dependent else None, refs)
             self.slice.run()
-        except (ValueError, IndexError) as e:
+        except BROKEN as e:
             self.problem = self.problem or str(e)
         return out
 
@@ -139,7 +141,10 @@ class Decoder:
         if not self.problem and not p.done.all():
             self.problem = "a picture lacks slices"
         if not self.problem:
-            p.finish(self.used)
+            try:
+                p.finish(self.used)
+            except BROKEN as e:
+                self.problem = str(e)
         self.held[self.poc] = p
         out = self.buffer.add(self.poc, self.keeps, self.resets, self.shows)
         depth, planes = p.sps.depth_luma, p.shown()
@@ -166,3 +171,30 @@ def decode_streams(units: DataFrame, stream: str = "stream", order: str = "nal_i
     may hold.
     """
     return folded(units, stream, [order], ["type", "tid", "rbsp"], Decoder, f"`{stream}` {dict(units.dtypes)[stream]}, {FRAMES}")
+
+
+def dump_slices(units: DataFrame, stream: str = "stream", order: str = "nal_idx") -> DataFrame:
+    """One row per slice: stream, order, first, address, slice_type (I, P or B; null in a dependent segment), qp, poc_lsb, all of its header as
+    text, or what is wrong with it.  Each is read with the parameter sets that were written last before it."""
+
+    class Headers(Decoder):
+        def row(self, at, kind, tid, rbsp):
+            if kind in (33, 34):
+                super().row(kind, tid, rbsp)
+            if not (kind <= 9 or 16 <= kind <= 21):
+                return []
+            try:
+                data = bytes(rbsp or b"")
+                _, pps, sps = self._sets(kind, data)
+                h = parse_slice_header(data, kind, pps, sps)
+            except BROKEN as e:
+                return [(self.stream, at, None, None, None, None, None, None, str(e))]
+            kind_of = None if h.slice_type is None else "BPI"[h.slice_type]
+            return [(self.stream, at, h.first, h.address, kind_of, None if h.dependent else h.qp, h.poc_lsb, str(h), None)]
+
+        def end(self):
+            return []
+
+    kinds = dict(units.dtypes)
+    schema = f"`{stream}` {kinds[stream]}, `{order}` {kinds[order]}, first boolean, address int, slice_type string, qp int, poc_lsb int, text string, problem string"
+    return folded(units, stream, [order], [order, "type", "tid", "rbsp"], Headers, schema)

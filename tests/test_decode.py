@@ -17,7 +17,7 @@ from framewright.functions.decode import SCANS, Picture, scaling_matrix
 from framewright.functions.syntax import (
     Bits, Scaling, SliceHeader, Writer, dump_headers, parse_pps, parse_slice_header, parse_sps, parse_vps, ref_set, scaling_lists,
 )
-from framewright.operators.pictures import Decoder, decode_streams
+from framewright.operators.pictures import Decoder, decode_streams, dump_slices
 from framewright.plans.media_queries import TOY, toy_units
 from framewright.sources import annexb, mp4
 
@@ -60,6 +60,8 @@ def test_broken_streams_give_a_reason_and_no_picture(spark):
         assert len([r for u in (*toy[:2], (20, 0, bytes(data))) for r in d.row(*u)] + d.end()) <= 1
     units = toy_units(spark).withColumn("rbsp", F.when((F.col("stream") == "stream 1") & (F.col("type") == 20), F.lit(None)).otherwise(F.col("rbsp")))
     assert [(r["stream"], r["width"], r["problem"]) for r in decode_streams(units).collect()] == [("stream 0", 64, None)]
+    heads = sorted(dump_slices(units).collect())
+    assert [(r["stream"], r["slice_type"], r["qp"]) for r in heads] == [("stream 0", "I", 27), ("stream 1", None, None)] and heads[1]["problem"]
 
 
 def test_arithmetic_decoder():
@@ -198,7 +200,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main([str(tmp_path / "in.bin"), "-o", str(tmp_path / "out.yuv"), "--dump-nals", "--dump-headers"], spark) == 0
     assert hashlib.md5((tmp_path / "out.yuv").read_bytes()).hexdigest() == "9f59878470d904dc2e162d3d191611af"
     shown = capsys.readouterr().out
-    assert "IDR_N_LP" in shown and "sps_id=0" in shown and "1 pictures" in shown
+    assert "slice_type=2" in shown and "IDR_N_LP" in shown and "sps_id=0" in shown and "1 pictures" in shown
     (tmp_path / "bad.bin").write_bytes(body[:-60])
     assert cli.main([str(tmp_path / "bad.bin"), "-o", str(tmp_path / "out2.yuv")], spark) == 1
 
