@@ -55,7 +55,8 @@ def corpus(seed=1, groups=12):
 
 @pytest.mark.parametrize("limits", [{}, {"group_bytes": 9000, "max_bits": 64, "block_bytes": 1 << 26}])
 def test_equals_brute_force(spark, limits):
-    rows = [*corpus(), (1000, None), (1001, "x " * 50_000), (1002, "x " * 40_000)]
+    count = lambda step: " ".join(f"y{i}" if step and i % step == 0 else str(i) for i in range(60_000))
+    rows = [*corpus(), (1000, None), (1001, "x " * 50_000), (1002, "x " * 40_000), (1003, count(0)), (1004, count(60)), (1005, count(30))]
     df = spark.createDataFrame([(i, t, 0, "k") for i, t in rows], SCHEMA).repartition(3)
     got = sorted(tuple(r)[:3] for r in jaccard_components(df, **limits).collect())
     assert got == brute(rows)
