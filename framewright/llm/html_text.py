@@ -6,7 +6,6 @@ import functools
 import html
 import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +31,8 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split())
-HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+NONE: frozenset[str] = frozenset()
 HIDDEN = frozenset(["svg", "template"])
 # HTML elements that end an open svg.
 BREAKS = frozenset("article aside b big blockquote body br center code dd div dl dt em embed footer form h1 h2 h3 h4 h5 h6 head header hr i img li main menu nav ol p pre s section small span strike strong sub sup table tt u ul".split())
@@ -77,7 +77,7 @@ def blocks_of(page: str) -> list[Block]:
     """
     out: list[Block] = []
     stack: list[tuple[str, frozenset[int]]] = [("", frozenset())]
-    opened: Counter[str] = Counter()  # how many of each tag are on the stack
+    opened: dict[str, int] = {}  # how many of each tag are on the stack, where there are any
     held: list[tuple[str, bool]] = []
 
     def flush() -> None:
@@ -86,7 +86,7 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 linked = sum(len(t) for t, a in held if a)
                 marks = stack[-1][1] | (inside[-1] if inside else frozenset())
-                out.append(Block(text, tuple(marks), linked, any(opened[t] for t in HEADINGS)))
+                out.append(Block(text, tuple(marks), linked, not opened.keys().isdisjoint(HEADINGS)))
             held.clear()
             inside.clear()
 
@@ -95,12 +95,16 @@ def blocks_of(page: str) -> list[Block]:
 
     def add(raw: str) -> None:
         if raw and not hidden:
-            held.append((html.unescape(raw) if "&" in raw else raw, opened["a"] > 0))
+            held.append((html.unescape(raw) if "&" in raw else raw, "a" in opened))
             if not raw.isspace():
                 inside[:] = [stack[-1][1]]
 
     def close(i: int) -> None:
-        opened.subtract(t for t, _ in stack[i:])
+        for t, _ in stack[i:]:
+            if opened[t] == 1:
+                del opened[t]
+            else:
+                opened[t] -= 1
         del stack[i:]
 
     at = 0
@@ -119,7 +123,7 @@ def blocks_of(page: str) -> list[Block]:
                 if tag in hidden:
                     del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
                     continue
-                if not opened[tag]:
+                if tag not in opened:
                     continue
             elif hidden[0] != "svg" or tag not in BREAKS:
                 if tag not in VOID and not m[5].endswith("/"):
@@ -133,7 +137,7 @@ def blocks_of(page: str) -> list[Block]:
         if m[3]:
             if tag not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
+            for i in range(len(stack) - 1, 0, -1) if tag in opened else ():
                 if stack[i][0] == tag:
                     close(i)
                     break
@@ -145,8 +149,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            ends = CLOSES.get(tag, ())
-            for i in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ends) else ():
+            ends = CLOSES.get(tag, NONE)
+            for i in range(len(stack) - 1, 0, -1) if not opened.keys().isdisjoint(ends) else ():
                 if stack[i][0] in ends:
                     close(i)
                     break
@@ -163,7 +167,7 @@ def blocks_of(page: str) -> list[Block]:
                     if k := WORDS.get(w.lower()):
                         marks.add(INDEX[f"kind:{k}"])
         stack.append((tag, frozenset(marks)))
-        opened[tag] += 1
+        opened[tag] = opened.get(tag, 0) + 1
     add(page[at:] if not _UNFINISHED.match(page, at) else "")
     flush()
     return out
