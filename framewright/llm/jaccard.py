@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bloom
 from .components import connected_components
-from .shared import drop, keep, ship, table, unused
+from .shared import drop, keep, n_parts, ship, table, unused
 from .shingles import WORDS, shingle_sets, signature
 
 NUM, DEN = 80, 100  # two sets link when DEN * |both| >= NUM * |either|
@@ -503,14 +503,5 @@ def one_of_each(docs: DataFrame, max_bits: int = bloom.MAX_BITS, **options) -> D
     return rows.filter(~hit).select(docs.columns).unionByName(left.select(docs.columns))
 
 
-def n_parts(df: DataFrame, block_bytes: int) -> int:
-    """A number of blocks in proportion to the input, from how the scan is split."""
-    most = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m").lower()
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    digits = most.rstrip("b")
-    size = int(digits[:-1]) * units[digits[-1]] if digits[-1:] in units else int(digits or 1 << 27)
-    return max(8, math.ceil(df.rdd.getNumPartitions() * min(size, 1 << 30) / block_bytes))
-
-
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import math
 import tempfile
 import uuid
 
@@ -72,3 +73,11 @@ def drop(df: DataFrame) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+
+def n_parts(df: DataFrame, part_bytes: int, least: int = 8) -> int:
+    """A number of parts of about part_bytes each, in proportion to the input, from how the scan is split."""
+    most = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128m").lower()
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    digits = most.rstrip("b")
+    size = int(digits[:-1]) * units[digits[-1]] if digits[-1:] in units else int(digits or 1 << 27)
+    return max(least, math.ceil(df.rdd.getNumPartitions() * min(size, 1 << 30) / part_bytes))

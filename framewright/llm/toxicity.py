@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bytegrams import Values, blocks, counted, find, mask
 from .language_id import held_out
-from .shared import keep, ship, table
+from .shared import keep, n_parts, ship, table
 
 N = 8  # bytes of the longest n-gram
 DISCOUNT = 0.75
@@ -20,6 +20,7 @@ SMOOTH = 4.0  # bytes added to a word's length where its log-likelihoods are len
 MAX_GRAMS = 600_000  # distinct n-grams of a model that is sent to the tasks: 14 MB at most; a larger one stays a table
 PART_GRAMS = 100_000  # of those of a larger model to each part of it
 CHUNK_BYTES = 32 << 20  # of documents that look up their n-grams in a larger model together
+ASK_BYTES = 1 << 29  # of input whose chunks look up a part of the model in one task; each further one gets a copy of the model
 LOW = 3  # shorter n-grams, and those of this length, are few enough to be sent to the tasks with a larger model too
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -317,11 +318,12 @@ def _distinct(texts: list[bytes], n: int, most: int = 1 << 22) -> np.ndarray:
     return np.unique(np.concatenate(held))
 
 
-def _features_far(rows: DataFrame, counts: DataFrame, n: int, parts: int, finish=None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def _features_far(rows: DataFrame, counts: DataFrame, n: int, parts: int, finish=None, chunk_bytes: int = CHUNK_BYTES, groups: int = 1) -> DataFrame:
     """As _features_of, with a model that stays a table.
 
     Documents are put together in chunks.  A chunk's distinct n-grams go to the parts of the model that know of them; their
-    values come back to the chunk, whose documents are then scored as by a model at hand.
+    values come back to the chunk, whose documents are then scored as by a model at hand.  Chunks are dealt to so many
+    groups, each of which has the model for itself, so what one task looks up doesn't grow with the input.
     """
     extra, order = rows.columns[2], min(LOW, n - 1)
     low = None
@@ -362,13 +364,16 @@ def _features_far(rows: DataFrame, counts: DataFrame, n: int, parts: int, finish
 
     model = counts.mapInArrow(lambda it: _parted(it, n, parts), "part int, gram binary, toxic binary, clean binary")
     ask = chunks.groupBy("chunk").applyInArrow(asked, "chunk long, part int, gram binary")
-    values = ask.groupBy("part").cogroup(model.groupBy("part")).applyInArrow(valued, "chunk long, part int, value binary")
+    ask = ask.withColumn("to", F.pmod(F.xxhash64("chunk"), F.lit(groups)))
+    model = model.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    values = ask.groupBy("part", "to").cogroup(model.groupBy("part", "to")).applyInArrow(valued, "chunk long, part int, value binary")
     return chunks.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(scored, _schema(rows, finish))
 
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     folds: int = 5, fold: int = 0, n: int = N, max_grams: int = MAX_GRAMS, calibrate_rows: int = 6000, broadcast_rows: int = 2_000_000,
+    ask_bytes: int = ASK_BYTES,
 ) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
@@ -404,7 +409,8 @@ def score_toxicity(
         grams = Grams(*_in_order(counts.toArrow()))
         features_of: Callable[..., DataFrame] = lambda rows, finish=None: _features_of(rows, grams, n, finish)
     else:
-        features_of = lambda rows, finish=None: _features_far(rows, counts, n, -(-size // PART_GRAMS), finish)
+        groups = n_parts(rows, ask_bytes, least=1)
+        features_of = lambda rows, finish=None: _features_far(rows, counts, n, -(-size // PART_GRAMS), finish, groups=groups)
     held = {r["toxic"]: r["count"] for r in marks.filter(last).groupBy("toxic").count().collect()}
     usable = known.filter(last) if len(held) == 2 else known
     share = min(1.0, calibrate_rows / max(1, sum((held if len(held) == 2 else have).values())))

@@ -387,8 +387,8 @@ def test_toxicity_keeps_all_grams_of_a_large_model(spark):
     rows = [(i, " ".join([word() for _ in range(rng.randint(5, 60))] + ["grub" + word()] * (i % 4 == 0))) for i in range(400)]
     df = docs(spark, [*rows, *ODD[:4], rows[7]])
     marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
-    of = lambda most: sorted((str(r["doc_id"]), r["held_out"], round(r["score"], 9), r["predicted"]) for r in score_toxicity(df, marks, max_grams=most).collect())
-    assert of(200) == of(600_000)
+    of = lambda most, ask: sorted((str(r["doc_id"]), r["held_out"], round(r["score"], 9), r["predicted"]) for r in score_toxicity(df, marks, max_grams=most, ask_bytes=ask).collect())
+    assert of(200, 1 << 26) == of(200, 1 << 40) == of(600_000, 1)
 
 
 # -- op7
