@@ -23,17 +23,22 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # What the tokenizer's pre-tokenisation takes for white space (Unicode's White_Space).
 WHITE = "\\t\\n\\x0b\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PART = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+_BETWEEN = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 
 
 class Words(dict):
     """Token ids, as little-endian unsigned 32-bit bytes, of a run of white space and the run of other characters after it.
 
     Pre-tokenisation always ends a token where white space begins, so each such part is encoded once and
-    looked up afterwards.  The memory is bounded: a full dictionary is emptied, and long parts are not remembered.
+    looked up afterwards.  The memory is bounded: a full dictionary is emptied, parts of more than LONG characters or
+    MANY ids are not remembered (so an entry takes some 350 bytes at most, in any script, and all 140 MB), and a long text is
+    split into parts block by block.
     """
 
     LIMIT = 400_000
-    LONG = 256
+    LONG = 32
+    MANY = 16
+    BLOCK = 1 << 20  # characters
 
     def __init__(self, ranks_path: str, special: dict[str, int] = SPECIAL):
         """special: strings that are a token of their own wherever they stand, and their ids; the longest wins."""
@@ -48,7 +53,7 @@ class Words(dict):
 
     def __missing__(self, part: str) -> bytes:
         ids = np.array(self.encoding.encode_ordinary(part), "<u4").tobytes()
-        if len(part) <= self.LONG:
+        if len(part) <= self.LONG and len(ids) <= 4 * self.MANY:
             if len(self) >= self.LIMIT:
                 self.clear()
             self[part] = ids
@@ -65,7 +70,11 @@ class Words(dict):
         return b"".join([*out, self.plain(text[at:])])
 
     def plain(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _PART.findall(text)))
+        out, at = [], 0
+        while len(text) - at > self.BLOCK and (m := _BETWEEN.search(text, at + self.BLOCK)):
+            out.append(b"".join(map(self.__getitem__, _PART.findall(text, at, m.start()))))
+            at = m.start()
+        return b"".join([*out, b"".join(map(self.__getitem__, _PART.findall(text, at)))])
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:

@@ -5,8 +5,10 @@ import hashlib
 import itertools
 import random
 import re
+import sys
 import textwrap
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -159,6 +161,27 @@ def test_words_encode_like_the_tokenizer():
         assert np.frombuffer(own.encode(t), "<u4").tolist() == ref.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_words_take_bounded_memory(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(Words, "LIMIT", 1000)
+    path, rng = public_tokenizers.path("byte_bpe_50k.tiktoken"), random.Random(3)
+    own = Words(path)
+    parts = [" " + "".join(map(chr, rng.choices(range(0x4E00, 0x9000), k=n))) for _ in range(500) for n in (1, 5, 250)]  # long ones take 4 kB with their ids
+    once, again = own.encode("".join(parts)), own.encode("".join(parts))
+    assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in own.items()) <= 310 * 1000
+    assert once == again == b"".join(map(Words(path).encode, parts))
+
+    text = "word\t a " * 600_000
+    tracemalloc.start()
+    got = own.encode(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(got) + (16 << 20)
+    monkeypatch.setattr(Words, "BLOCK", 1 << 40, raising=False)
+    assert got == own.encode(text)
+
+
 def test_cut():
     assert cut(1, 5) == [(0, 1)] and cut(5, 5) == [(0, 5)] and cut(12, 5) == [(0, 2), (2, 5), (7, 5)] and cut(10, 5) == [(0, 5), (5, 5)]
 
