@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontaminate, exact_dedup, html_text, jaccard, language_id, licenses, line_dedup, packing, toxicity, url_filter
+from . import alignment, decontaminate, exact_dedup, html_text, jaccard, language_id, licenses, line_dedup, merkle, packing, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
         "op10_language_id": language_id.op10_language_id,
         "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
+        "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 
 
