@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontaminate, exact_dedup, html_text, jaccard, language_id, licenses, line_dedup, merkle, packing, toxicity, url_filter
+from . import alignment, decontaminate, exact_dedup, html_text, jaccard, language_id, licenses, line_dedup, merkle, packing, quality_rules, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_license_scan": licenses.op8_license_scan,
         "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
         "op10_language_id": language_id.op10_language_id,
+        "op11_quality_rules": quality_rules.op11_quality_rules,
         "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
