@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import keep, table
+from .shared import keep, table, unused
 
 WHITE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
@@ -26,41 +26,77 @@ def _long(c: Column, name: str) -> Column:
     return c.cast("long").alias(name)
 
 
+def _window(words: Column, i: Column) -> Column:
+    return F.struct(*(F.get(words, i + k).alias(f"w{k}") for k in range(3)))
+
+
+def _place_bits(words: Column) -> Column:
+    """How many low bits the numbers of an array's windows need."""
+    return F.length(F.bin(F.size(words).cast("long")))
+
+
+def _starts(words: Column, bits: Column) -> Column:
+    """The places, in order, of the windows of three words that stand in an array of words more than once.  bits: _place_bits.
+
+    A window's hash and its place are packed into one long, so that a plain sort brings equal ones together.  Those next to one of
+    their hash are compared with it word by word.
+    """
+    n = F.size(words) - 2
+    hashed = lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(3)))
+    high = lambda h: F.call_function("shiftleft", F.call_function("shiftright", h, bits), bits)
+    packed = F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), lambda i: high(hashed(i)).bitwiseOR(i.cast("long"))))
+    near = lambda x, y: F.call_function("shiftrightunsigned", x.bitwiseXOR(y), bits) == 0
+    place = lambda x: x.bitwiseXOR(high(x)).cast("int")
+    beside = lambda p: F.filter(p, lambda x, j: near(x, F.get(p, j - 1)) | near(x, F.get(p, j + 1)))
+
+    def compared(p: Column) -> Column:
+        """How each entry is to the one before: 0 of another hash, 1 the same words, 2 other words of the same hash."""
+        same = lambda x, y: _window(words, place(x)) == _window(words, place(y))
+        return F.transform(p, lambda x, j: F.when(near(x, F.get(p, j - 1)), F.when(same(x, F.get(p, j - 1)), 1).otherwise(2)).otherwise(0))
+
+    def found(x: Column) -> Column:
+        p, to = x["p"], x["to"]
+        again = F.transform(p, lambda v, j: F.when((F.get(to, j) == 1) | (F.coalesce(F.get(to, j + 1), F.lit(0)) == 1), place(v)))
+        return F.when(F.array_contains(to, 2), _starts_of_mixed(words)).otherwise(F.sort_array(F.filter(again, lambda i: i.isNotNull())))
+
+    some = F.transform(F.array(packed), beside)
+    both = F.transform(some, lambda p: F.struct(p.alias("p"), compared(p).alias("to")))
+    return F.when(n > 1, F.transform(both, found)[0])
+
+
+def _starts_of_mixed(words: Column) -> Column:
+    """_starts for the few texts in which different windows have the same hash: the windows themselves are sorted."""
+    w = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(_window(words, i).alias("w"), i.alias("i"))))
+    same = lambda x, y: F.coalesce(x["w"] == y["w"], F.lit(False))
+    again = lambda s: F.transform(s, lambda x, j: F.when(same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)), x["i"]))
+    return F.sort_array(F.filter(F.transform(F.array(w), again)[0], lambda i: i.isNotNull()))
+
+
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: Sequence[str] = ()) -> DataFrame:
     """doc_id, others, and counts of each whole text (null: empty), all as longs.
 
     n_words, word_chars, n_symbols, n_dup_lines (lines with a word, equal to an earlier one), n_repeat_words (words in windows of three that
     stand in the text twice or more), n_lines (with a word), n_marks (! and ?), n_digits, n_capital_words and n_distinct_words.  A row needs nothing of
-    any other: no shuffle, and a sort of its own windows, as two 64-bit hashes and a place each, finds those that recur.
+    any other: no shuffle.
     """
-    text = F.col("text")
-    without = lambda chars: F.length("text") - F.length(F.translate(text, chars, ""))
+    text, words = F.col("text"), F.col("words")
+    bits, = unused(others, "bits")
     d = docs.select(F.col(id_col).alias("doc_id"), *others, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     d = d.select(
-        "doc_id", *others, "text", F.filter(F.split(text, f"{WHITE}+", -1), lambda w: w != "").alias("words"),
+        "doc_id", *others, F.filter(F.split(text, f"{WHITE}+", -1), lambda w: w != "").alias("words"),
         F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+        F.regexp_replace(text, "[^#*$%&|<>!?0-9]+", "").alias("signs"),
     )
-    words = F.col("words")
-
-    def window(i: Column) -> Column:
-        three = [F.get(words, i + k) for k in range(3)]
-        return F.struct(F.xxhash64(*three).alias("h"), F.xxhash64(F.lit(1), *three).alias("k"), i.alias("i"))
-
-    windows = F.when(F.size("words") > 2, F.transform(F.sequence(F.lit(0), F.size("words") - 3), window))
+    signs = lambda chars: F.length("signs") - F.length(F.translate("signs", chars, ""))
     capital = lambda w: (F.upper(w) == w) & (F.lower(w) != w)
-    d = d.select(
-        "doc_id", *others, _long(F.size("words"), "n_words"), _long(F.length(F.translate(text, " \t\n\x0b\x0c\r", "")), "word_chars"), _long(without(SYMBOLS), "n_symbols"),
-        _long(F.size("lines") - F.size(F.array_distinct("lines")), "n_dup_lines"), _long(F.size("lines"), "n_lines"), _long(without("!?"), "n_marks"),
-        _long(without("0123456789"), "n_digits"), _long(F.size(F.filter(words, capital)), "n_capital_words"), _long(F.size(F.array_distinct(words)), "n_distinct_words"),
-        F.sort_array(windows).alias("windows"),
-    )
-    w = F.col("windows")
-    same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (x["k"] == y["k"]), F.lit(False))
-    again = F.transform(w, lambda x, j: F.when(same(x, F.get(w, j - 1)) | same(x, F.get(w, j + 1)), x["i"]))
-    d = d.withColumn("windows", F.sort_array(F.filter(again, lambda i: i.isNotNull())))
     step = lambda acc, i: F.struct((i + 3).alias("end"), (acc["n"] + 3 - F.greatest(acc["end"] - i, F.lit(0))).alias("n"))
-    covered = F.aggregate("windows", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
-    return d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("windows")
+    covered = F.aggregate(_starts(words, F.col(bits)), F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
+    return d.withColumn(bits, _place_bits(words)).select(
+        "doc_id", *others, _long(F.size(words), "n_words"), F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + F.length(w)).alias("word_chars"),
+        _long(signs(SYMBOLS), "n_symbols"), _long(F.size("lines") - F.size(F.array_distinct("lines")), "n_dup_lines"), _long(F.size("lines"), "n_lines"),
+        _long(signs("!?"), "n_marks"), _long(signs("0123456789"), "n_digits"), _long(F.size(F.filter(words, capital)), "n_capital_words"),
+        _long(F.size(F.array_distinct(words)), "n_distinct_words"), _long(F.coalesce(covered, F.lit(0)), "n_repeat_words"),
+    )
 
 
 def statistics(counts: DataFrame) -> DataFrame:
