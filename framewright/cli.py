@@ -1,6 +1,6 @@
-"""python -m framewright.cli STREAM [-o OUT] [--dump-nals] [--dump-headers]: decodes byte streams, or shows what is in them.
+"""python -m framewright.cli STREAM -o OUT [--dump-nals] [--dump-headers]: tells what is in byte streams.
 
-STREAM: what Spark can read as binary files.  OUT: a local file that pictures are written to, stream by stream in display order.
+STREAM: a file or folder.  OUT: a folder; the tables asked for are written there as JSON lines, by the tasks that make them.
 """
 
 from __future__ import annotations
@@ -11,49 +11,33 @@ import sys
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.syntax import dump_headers
-from .operators.pictures import decode_streams, dump_slices
+from .operators.pictures import dump_slices
 from .operators.sessions import access_units
 from .sources import annexb
 
 
-def write_frames(frames: DataFrame, out: str) -> int:
-    """Writes yuv of the frames one after another to a local file, a partition at a time; how many there were."""
-    n = 0
-    with open(out, "wb") as f:
-        for r in frames.filter("yuv is not null").orderBy("stream", "shown").select("yuv").toLocalIterator():
-            f.write(r["yuv"])
-            n += 1
-    return n
-
-
 def dump_units(units: DataFrame) -> DataFrame:
     """What each unit is and which access unit it is in."""
     first = F.expr("shiftright(conv(hex(substring(rbsp, 1, 1)), 16, 10), 7) = 1")
     named = annexb.name_units(access_units(units.withColumn("first_slice", F.coalesce(first, F.lit(False)))))
-    return named.select("stream", "nal_idx", "offset", "size", "type", "type_name", "tid", "au_id").orderBy("stream", "nal_idx")
+    return named.select("stream", "nal_idx", "offset", "size", "type", "type_name", "tid", "au_id")
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("stream")
-    p.add_argument("-o", "--out")
+    p.add_argument("-o", "--out", required=True)
     p.add_argument("--dump-nals", action="store_true")
     p.add_argument("--dump-headers", action="store_true")
     a = p.parse_args(args)
     spark = spark or SparkSession.builder.getOrCreate()
     units = annexb.read_streams(spark, a.stream)
-    if a.dump_nals:
-        dump_units(units).show(1 << 30, truncate=False)
+    told = {"nals": dump_units(units)} if a.dump_nals else {}
     if a.dump_headers:
-        dump_headers(units).orderBy("stream", "nal_idx").show(1 << 30, truncate=False)
-        dump_slices(units).orderBy("stream", "nal_idx").show(1 << 30, truncate=False)
-    if a.out:
-        frames = decode_streams(units).persist()
-        print(f"{write_frames(frames, a.out)} pictures")
-        bad = frames.filter("problem is not null").select("stream", "shown", "problem").limit(20).collect()
-        for r in bad:
-            print(f"{r['stream']}: picture {r['shown']}: {r['problem']}", file=sys.stderr)
-        return 1 if bad else 0
+        told |= {"headers": dump_headers(units), "slices": dump_slices(units)}
+    for name, table in told.items():
+        table.repartitionByRange("stream", "nal_idx").sortWithinPartitions("stream", "nal_idx").write.mode("overwrite").json(f"{a.out}/{name}")
+    print(f"{units.count()} units")
     return 0
 
 

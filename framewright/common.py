@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from pathlib import Path
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -34,6 +35,14 @@ def unused(columns: Sequence[str], *names: str) -> list[str]:
     return out
 
 
+def with_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], take: Sequence[str]) -> DataFrame:
+    """df with the columns `take` of the one row of groups that has its keys; null equals null."""
+    own = unused([*df.columns, *take], *(f"key{i}" for i in range(len(keys))))
+    right = groups.select(*(F.col(k).alias(o) for k, o in zip(keys, own)), *take)
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own)), F.lit(True))
+    return df.join(right, same, "left").drop(*own)
+
+
 class Fold(Protocol):
     """What is done with the rows of one key, in order; each step gives rows of the result."""
 

@@ -65,6 +65,15 @@ def reduce_depth(sample: Column, depth: Column) -> Column:
     return F.least(F.call_function("shiftright", sample, F.greatest(depth - 8, F.lit(0))), F.lit(255))
 
 
+def packed_samples(samples: Column, depth: Column) -> Column:
+    """Samples as bytes, as a file of planes has them: one for each of up to 8 bits, else two, little-endian; null where a sample is."""
+    two = F.transform(samples, lambda x: F.lpad(F.hex(x.cast("long")), 4, "0"))
+    one = F.transform(samples, lambda x: F.lpad(F.hex(x.cast("long")), 2, "0"))
+    swapped = F.transform(two, lambda x: F.concat(F.substring(x, 3, 2), F.substring(x, 1, 2)))
+    text = F.array_join(F.when(depth <= 8, one).otherwise(swapped), "")
+    return F.when(~F.exists(samples, lambda x: x.isNull()), F.unhex(text))
+
+
 def unit_kind(t: Column) -> Column:
     """What a unit's type says of it, as a struct of booleans."""
     kinds = {"vcl": is_vcl, "irap": is_irap, "idr": is_idr, "cra": is_cra, "bla": is_bla, "rasl": is_rasl, "radl": is_radl}

@@ -104,12 +104,12 @@ def decide(df: DataFrame, key: str, order: list[str], speed: str, ladder: int, s
 
 
 def decide_sql(df: DataFrame, key: str, order: list[str], speed: str, ladder: int, start: int, settings: Settings = Settings()) -> DataFrame:
-    """The same as one SQL fold over each session's array; for sessions that fit in a row."""
+    """The same as one SQL fold over each session's array, null keys and null speeds included; for sessions that fit in a row."""
     s = settings
     rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(speed).cast("double").alias("x")))).alias("r"))
     zero = "named_struct('cap', cast(null as int), 'low', 0, 'high', 0, 'w', cast(array() as array<double>), 'out', cast(array() as array<struct<cap:int,mean_speed:double,reason:string>>))"
     step = f"""
-    (a, e) -> transform(array(slice(concat(a.w, array(e.x)), -least(size(a.w) + 1, {s.window}), {s.window})), w ->
+    (a, e) -> if(e.x is null, named_struct('cap', a.cap, 'low', a.low, 'high', a.high, 'w', a.w, 'out', concat(a.out, array(named_struct('cap', a.cap, 'mean_speed', cast(null as double), 'reason', 'hold')))), transform(array(slice(concat(a.w, array(e.x)), -least(size(a.w) + 1, {s.window}), {s.window})), w ->
       transform(array(aggregate(w, 0D, (p, q) -> p + q) / size(w)), m ->
         transform(array(named_struct('slow', size(w) = {s.window} and m < 1, 'fast', size(w) = {s.window} and m > {s.target}D, 'full', size(w) = {s.window})), f ->
           transform(array(named_struct(
@@ -122,7 +122,7 @@ def decide_sql(df: DataFrame, key: str, order: list[str], speed: str, ladder: in
               'w', if(c.lower or c.raise, cast(array() as array<double>), w),
               'out', concat(a.out, array(named_struct(
                 'cap', case when c.lower then coalesce(a.cap, {min(max(start, 0), ladder - 1)}) - 1 when c.raise then a.cap + 1 else a.cap end,
-                'mean_speed', m, 'reason', case when not f.full then 'init' when c.lower then 'lower' when c.raise then 'raise' else 'hold' end)))))[0])[0])[0])[0]
+                'mean_speed', m, 'reason', case when not f.full then 'init' when c.lower then 'lower' when c.raise then 'raise' else 'hold' end)))))[0])[0])[0])[0])
     """
     folded = rows.select(key, "r", F.expr(f"aggregate(r, {zero}, {step}).out").alias("o"))
     return folded.select(key, F.explode(F.arrays_zip("r", "o")).alias("z")).select(key, *[F.col(f"z.r.{c}").alias(c) for c in order], "z.o.*")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..common import unused
+from ..common import unused, with_groups
 
 
 def as_of(facts: DataFrame, versions: DataFrame, keys: Sequence[str], order: Sequence[str], take: Sequence[str]) -> DataFrame:
@@ -143,9 +143,9 @@ def temporal_motion(blocks: DataFrame, motion: DataFrame, picture: Sequence[str]
 def cached(df: DataFrame, content: str, order: Sequence[str], key: str) -> DataFrame:
     """Adds made_for: the key of the first row of the same content, whose result stands for all of them.
 
-    Contents are compared by SHA-256, so they are not shuffled.
+    Contents are compared by SHA-256, so they are not shuffled.  Null content is one content.
     """
     digest, = unused(df.columns, "digest")
     rows = df.withColumn(digest, F.sha2(F.col(content).cast("binary"), 256))
     first = rows.groupBy(digest).agg(F.min_by(key, F.struct(*order)).alias("made_for"))
-    return rows.join(first, digest, "left").drop(digest)
+    return with_groups(rows, first, [digest], ["made_for"]).drop(digest)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..common import unused
+from ..common import unused, with_groups
 
 
 def sequence_number(df: DataFrame, partition: Sequence[str], order: Sequence[str], starts: Column, name: str = "seq") -> DataFrame:
@@ -74,7 +74,7 @@ def batches(df: DataFrame, partition: Sequence[str], order: Sequence[str], size:
 
 
 def retained(df: DataFrame, partition: Sequence[str], at: str, keep: Column) -> DataFrame:
-    """Rows no older than `keep` before the newest of their partition.  An aggregate and a join, so no partition is sorted."""
+    """Rows no older than `keep` before the newest of their partition.  An aggregate and a join, so no partition is sorted; null keys are keys like any other."""
     last, = unused(df.columns, "newest")
     newest = df.groupBy(*partition).agg(F.max(at).alias(last))
-    return df.join(newest, list(partition)).filter(F.col(at) >= F.col(last) - keep).drop(last)
+    return with_groups(df, newest, partition, [last]).filter(F.col(at) >= F.col(last) - keep).drop(last)

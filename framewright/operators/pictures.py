@@ -1,40 +1,25 @@
-"""Streams of units as pictures: parameter sets, slices and display order, folded stream by stream."""
+"""Slices of streams of units, each read with the parameter sets that were written last before it."""
 
 from __future__ import annotations
 
-import dataclasses
-
 from pyspark.sql import DataFrame
 
 from ..common import folded
-from ..functions.buffer import PictureBuffer
-from ..functions.decode import Picture, SliceDecoder
-from ..functions.kernels import write_planar
-from ..functions.syntax import Bits, Pps, SliceHeader, Sps, parse_pps, parse_slice_header, parse_sps
+from ..functions.syntax import Bits, Pps, Sps, parse_pps, parse_slice_header, parse_sps
 
-#: What a dependent slice segment has of its own; all else it takes from the slice that it goes on.
-OWN = ("first", "pps_id", "dependent", "address", "entry_points", "data_at")
-#: What a stream that breaks the rules may run into; its picture is then given as a problem.
+#: What a stream that breaks the rules may run into; it is then given as a problem.
 BROKEN = (ValueError, IndexError, KeyError)
-FRAMES = "shown int, sequence int, poc long, width int, height int, depth int, planes int, yuv binary, problem string"
 
 
-class Decoder:
-    """Takes one stream's units in order, and gives its pictures in the order in which they are shown."""
+class Slices:
+    """One stream's units in order: the parameter sets so far, and a row for each slice."""
 
-    def __init__(self, stream=None):
-        self.stream, self.n = stream, 0
+    def __init__(self, stream):
+        self.stream = stream
         self.sps: dict[int, Sps] = {}
         self.pps: dict[int, Pps] = {}
-        self.buffer: PictureBuffer | None = None
-        self.ready: dict[tuple[int, int], tuple] = {}
-        self.picture: Picture | None = None
-        self.held: dict[int, Picture] = {}  # what later pictures may be predicted from
-        self.anchor, self.fresh, self.slice, self.leads_nowhere = 0, True, None, True
-        self.problem: str | None = None
 
-    def row(self, kind: int, tid: int, rbsp: bytes | None) -> list[tuple]:
-        """A unit: its type, temporal id and payload."""
+    def row(self, at, kind, rbsp):
         data = bytes(rbsp or b"")
         try:
             if kind == 33:
@@ -44,157 +29,31 @@ class Decoder:
                 p = parse_pps(data)
                 if p.sps_id in self.sps:  # one whose sequence parameter set isn't there yet is rejected
                     self.pps[p.pps_id] = p
-            elif kind in (36, 37):
-                out = self._finish()
-                self.fresh = True
-                return out
-            elif kind <= 9 or 16 <= kind <= 21:
-                return self._slice(kind, tid, data)
-        except BROKEN as e:
-            self.problem = self.problem or str(e)
-        return []
-
-    def _sets(self, kind: int, data: bytes) -> tuple[bool, Pps, Sps]:
-        b = Bits(data)
-        first = b.flag()
-        b.u(1 if 16 <= kind <= 23 else 0)
-        pps = self.pps.get(b.ue())
-        sps = self.sps.get(pps.sps_id) if pps else None
-        if not sps:
-            raise ValueError("a slice refers to no parameter set")
-        return first, pps, sps
+        except BROKEN:
+            pass  # dump_headers tells what is wrong with it
+        return [self.slice(at, kind, data)] if kind <= 9 or 16 <= kind <= 21 else []
 
-    def _slice(self, kind: int, tid: int, data: bytes) -> list[tuple]:
-        first, pps, sps = self._sets(kind, data)
-        out = self._finish() if first else []
-        if kind in (8, 9) and self.leads_nowhere:
-            return out  # it is predicted from what came before a stream's start
+    def slice(self, at, kind, data):
         try:
-            head = parse_slice_header(data, kind, pps, sps)
-            if first:
-                self._begin(kind, tid, head, sps)
-            if self.picture is None:
-                raise ValueError("a slice has no picture")
-            if head.dependent:
-                if self.slice is None:
-                    raise ValueError("a dependent slice follows none")
-                head = dataclasses.replace(self.slice.head, **{k: getattr(head, k) for k in OWN})
-                number = self.slice.number
-            else:
-                number = self.slice.number + 1 if self.slice else 0
-            self.used = pps
-            refs = self.slice.refs if head.dependent else self._lists(head)
-            self.slice = SliceDecoder(self.picture, pps, head, data, number, self.slice if head.dependent else None, refs)
-            self.slice.run()
+            b = Bits(data)
+            b.u(2 if 16 <= kind <= 23 else 1)
+            pps = self.pps.get(b.ue())
+            sps = self.sps.get(pps.sps_id) if pps else None
+            if not sps:
+                raise ValueError("a slice refers to no parameter set")
+            h = parse_slice_header(data, kind, pps, sps)
         except BROKEN as e:
-            self.problem = self.problem or str(e)
-        return out
-
-    def _lists(self, head: SliceHeader) -> tuple[list[Picture], ...]:
-        """The lists of pictures that a slice is predicted from; what isn't there is grey."""
-        if head.slice_type == 2:
-            return ()
-        if head.long_term:
-            raise ValueError("prediction from long-term pictures isn't decoded")
-        sets = [[self.poc + d for d, used in x if used] for x in (head.ref_set.before, head.ref_set.after)]
-        out = []
-        for k, n in enumerate(head.n_refs):
-            pool = sets[k] + sets[1 - k]
-            if not pool:
-                raise ValueError("a slice is predicted from no picture")
-            at = head.entries[k] or range(n)
-            out.append([self._held(pool[i % len(pool)]) for i in at])
-        return tuple(out)
-
-    def _held(self, poc: int) -> Picture:
-        if poc not in self.held:
-            self.held[poc] = Picture(self.picture.sps, poc).grey()
-        return self.held[poc]
-
-    def _begin(self, kind: int, tid: int, head: SliceHeader, sps: Sps) -> None:
-        resets = kind in (19, 20) or 16 <= kind <= 18 or kind == 21 and self.fresh
-        span = 1 << sps.log2_max_poc_lsb
-        low, high = head.poc_lsb, self.anchor - self.anchor % span
-        if resets:
-            high = 0
-        elif low < self.anchor % span and self.anchor % span - low >= span // 2:
-            high += span
-        elif low > self.anchor % span and low - self.anchor % span > span // 2:
-            high -= span
-        if 16 <= kind <= 23:
-            self.leads_nowhere = resets
-        self.poc, self.resets, self.fresh = high + low, resets, False
-        if tid == 0 and not (6 <= kind <= 9 or kind < 16 and kind % 2 == 0):
-            self.anchor = self.poc
-        self.keeps = {self.poc + d for d, _ in head.ref_set.before + head.ref_set.after}
-        self.held = {} if resets else {p: x for p, x in self.held.items() if p in self.keeps}
-        self.picture, self.slice, self.shows, self.problem = Picture(sps, self.poc), None, head.output, None
-        if self.buffer is None:
-            self.buffer = PictureBuffer(sps.max_reorder, sps.max_dpb)
-        self.buffer.max_reorder, self.buffer.max_size = sps.max_reorder, sps.max_dpb
-
-    def _finish(self) -> list[tuple]:
-        """The picture at hand is whole."""
-        p, self.picture = self.picture, None
-        if p is None:
-            return []
-        if not self.problem and not p.done.all():
-            self.problem = "a picture lacks slices"
-        if not self.problem:
-            try:
-                p.finish(self.used)
-            except BROKEN as e:
-                self.problem = str(e)
-        self.held[self.poc] = p
-        out = self.buffer.add(self.poc, self.keeps, self.resets, self.shows)
-        depth, planes = p.sps.depth_luma, p.shown()
-        content = None if self.problem else write_planar(planes, depth)
-        self.ready[self.buffer.sequence, self.poc] = (*p.sps.shown, depth, len(planes), content, self.problem)
-        self.problem = None
-        return self._rows(out)
+            return self.stream, at, None, None, None, None, None, None, str(e)
+        kind_of = None if h.slice_type is None else "BPI"[h.slice_type]
+        return self.stream, at, h.first, h.address, kind_of, None if h.dependent else h.qp, h.poc_lsb, str(h), None
 
-    def _rows(self, found: list[tuple[int, int]]) -> list[tuple]:
-        out = [(self.stream, self.n + i, *at, *self.ready.pop(at)) for i, at in enumerate(found)]
-        self.n += len(out)
-        return out
-
-    def end(self) -> list[tuple]:
-        out = self._finish()
-        return out + self._rows(self.buffer.flush() if self.buffer else [])
-
-
-def decode_streams(units: DataFrame, stream: str = "stream", order: str = "nal_idx") -> DataFrame:
-    """units: stream, order, type, tid, rbsp, as sources.annexb gives them.  One row per picture in display order.
-
-    stream, shown (its number), sequence, poc, width, height, depth, planes, yuv (cropped planes, one byte or two for a sample) and
-    problem: why yuv is null.  Streams are decoded side by side, each by one task, which holds the pictures that the stream's buffer
-    may hold.
-    """
-    return folded(units, stream, [order], ["type", "tid", "rbsp"], Decoder, f"`{stream}` {dict(units.dtypes)[stream]}, {FRAMES}")
+    def end(self):
+        return []
 
 
 def dump_slices(units: DataFrame, stream: str = "stream", order: str = "nal_idx") -> DataFrame:
     """One row per slice: stream, order, first, address, slice_type (I, P or B; null in a dependent segment), qp, poc_lsb, all of its header as
     text, or what is wrong with it.  Each is read with the parameter sets that were written last before it."""
-
-    class Headers(Decoder):
-        def row(self, at, kind, tid, rbsp):
-            if kind in (33, 34):
-                super().row(kind, tid, rbsp)
-            if not (kind <= 9 or 16 <= kind <= 21):
-                return []
-            try:
-                data = bytes(rbsp or b"")
-                _, pps, sps = self._sets(kind, data)
-                h = parse_slice_header(data, kind, pps, sps)
-            except BROKEN as e:
-                return [(self.stream, at, None, None, None, None, None, None, str(e))]
-            kind_of = None if h.slice_type is None else "BPI"[h.slice_type]
-            return [(self.stream, at, h.first, h.address, kind_of, None if h.dependent else h.qp, h.poc_lsb, str(h), None)]
-
-        def end(self):
-            return []
-
     kinds = dict(units.dtypes)
     schema = f"`{stream}` {kinds[stream]}, `{order}` {kinds[order]}, first boolean, address int, slice_type string, qp int, poc_lsb int, text string, problem string"
-    return folded(units, stream, [order], [order, "type", "tid", "rbsp"], Headers, schema)
+    return folded(units, stream, [order], [order, "type", "rbsp"], Slices, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bits, media
-from ..operators import blocks, control, ladder, lookup, pictures, quality, references, sessions
+from ..operators import blocks, control, ladder, lookup, quality, references, sessions
 from ..sources import annexb
 from ..streaming import ordered
 from .queries import _t, _variants
@@ -257,30 +257,8 @@ def reference_sets(spark, d):
     return got.select("user_id", "decode_idx", F.concat_ws(",", "before").alias("before"), F.concat_ws(",", "follow").alias("follow"), F.concat_ws(",", "missing").alias("missing"))
 
 
-# The payloads of a stream of one picture.
-TOY = (
-    (33, "01037000000090000000" "00001ea020810596e92930b80400000fa000000fa020"),
-    (34, "c07181a480"),
-    (
-        20,
-        "ad40" "0427daff" "fd92aa112fbf157c1c3df8fbe296939f06fae8d34dbd8655559bfedabcfdcc828f435242d564848c4bdc"
-        "ac81c03bc87dc81fff842f332244ae85688cbff8c7ce1e97f8ae9df4783688d47ff2bf213e9e2f358c9801240e016f1fbd7de37637b0",
-    ),
-)
-
-
-def toy_units(spark):
-    rows = F.array(*(F.struct(F.lit(i).alias("nal_idx"), F.lit(t).alias("type"), F.lit(0).alias("tid"), F.unhex(F.lit(x)).alias("rbsp")) for i, (t, x) in enumerate(TOY)))
-    return spark.range(2).select(F.concat(F.lit("stream "), "id").alias("stream"), F.inline(rows))
-
-
-def decoded_digests(spark, d):
-    frames = pictures.decode_streams(toy_units(spark))
-    return quality.digest(frames, "stream", ["shown"], "yuv")
-
-
 NAMES = (
-    decoded_digests, collocated_pictures, time_bases, bit_arithmetic, reference_sets, unit_kinds, unit_routing, depth_reduction, crop_windows, rgb, log_filter, bounded_fetch, parameter_upsert, parameter_sets_accepted, slice_resolution,
+    collocated_pictures, time_bases, bit_arithmetic, reference_sets, unit_kinds, unit_routing, depth_reduction, crop_windows, rgb, log_filter, bounded_fetch, parameter_upsert, parameter_sets_accepted, slice_resolution,
     reference_by_poc, reference_by_low_bits, correlated, slice_headers, temporal_vectors, init_cache, any_flag, digests, reconciled, access_units,
     picture_groups, buffered_time, block_levels, edge_classes, entry_points, tile_bounds, output_order, reordered, drained_and_flushed, repositions,
     queue_served, caps_applied, caps_by_fold,

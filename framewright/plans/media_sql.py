@@ -12,8 +12,6 @@ sps AS (SELECT user_id, ts, event_id, event_id % 2 AS sps_id, value FROM events
 _HELD = "h AS (SELECT user_id, event_id % 37 AS poc, event_id AS picture, event_type = 'view' AS short FROM events WHERE event_type NOT IN ('error', 'signup'))"
 
 SQL = {
-    # Fixed value: the digest of the stream's decoded picture.
-    "decoded_digests": "SELECT 'stream ' || i AS stream, '9f59878470d904dc2e162d3d191611af' AS digest, 6144::BIGINT AS bytes FROM range(2) t(i)",
     "collocated_pictures": """
 SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 5 < 4 THEN c_custkey + c_custkey % 5 - 1 END
        ELSE CASE WHEN c_custkey % 5 < 3 THEN c_custkey + c_custkey % 5 + 2 END END AS picture FROM customer

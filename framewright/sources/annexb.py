@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,17 +15,17 @@ SCHEMA = "stream string, nal_idx int, offset long, size long, type int, layer in
 
 def units(data: bytes) -> list[tuple[int, bytes]]:
     """(offset, unit) for what stands between start codes; trailing zeros are trimmed and units below two bytes dropped."""
-    marks = []
+    return list(each_unit(data))
+
+
+def each_unit(data: bytes) -> Iterator[tuple[int, bytes]]:
     at = data.find(b"\0\0\1")
     while at >= 0:
-        marks.append(at)
-        at = data.find(b"\0\0\1", at + 3)
-    out = []
-    for a, b in zip(marks, [*marks[1:], len(data)]):
-        unit = data[a + 3 : b].rstrip(b"\0")
+        end = data.find(b"\0\0\1", at + 3)
+        unit = data[at + 3 : end if end >= 0 else len(data)].rstrip(b"\0")
         if len(unit) >= 2:
-            out.append((a + 3, unit))
-    return out
+            yield at + 3, unit
+        at = end
 
 
 def header(unit: bytes) -> tuple[int, int, int]:
@@ -65,7 +66,7 @@ def length_prefixed(data: bytes, size: int) -> list[bytes]:
 
 
 def rows(stream: str, data: bytes) -> Iterator[tuple]:
-    for i, (offset, unit) in enumerate(units(data)):
+    for i, (offset, unit) in enumerate(each_unit(data)):
         rbsp, gone = payload(unit)
         yield (stream, i, offset, len(unit), *header(unit), rbsp, gone)
 
@@ -78,9 +79,9 @@ def split_streams(files: DataFrame) -> DataFrame:
 
         for f in batches:
             for path, content in zip(f["path"], f["content"]):
-                got = list(rows(path, bytes(content or b"")))
-                for at in range(0, len(got), 1000):
-                    yield pd.DataFrame(got[at : at + 1000], columns=[x.split()[0] for x in SCHEMA.split(", ")])
+                found = rows(path, bytes(content or b""))
+                while part := list(itertools.islice(found, 1000)):
+                    yield pd.DataFrame(part, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
     ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(split, SCHEMA)

@@ -162,44 +162,57 @@ def demux(data: bytes, init: bytes = b"") -> Iterator[tuple[int, int, int, int,
     init: the init segment of data, if that has none of its own.  A fragment's fields come from its runs, or else its header, or
     else the track's defaults.  A sample that is cut off ends its run.
     """
+    count: dict[int, int] = {}
+    for fragment, track, index, *rest in fragments(data, init):
+        yield track, index if fragment < 0 else count.get(track, 0), *rest
+        count[track] = count.get(track, 0) + (fragment >= 0)
+
+
+def fragments(data: bytes, init: bytes = b"", at: int = 0, first: bool = True) -> Iterator[tuple[int, int, int, int | None, int | None, int, bool, bytes]]:
+    """(fragment, track, index in it, dts, pts, duration, key, data); data are the bytes of a file from `at` on, where a fragment begins.
+
+    fragment: where in the file it begins, or -1 for samples that moov lists.  Time begins at 0 with a file's first fragment; in a part that begins with
+    another one, dts is null until a fragment tells it.
+    """
     known = tracks(data) or tracks(init)
     for track, own in tracks(data).items():
-        yield from _from_tables(data, track, *own["place"])
-    count: dict[int, int] = {}
-    clock: dict[int, int] = {}
+        for row in _from_tables(data, track, *own["place"]):
+            yield -1, *row
+    clock: dict[int, int | None] = {} if first else dict.fromkeys(known)
     for kind, a, b in boxes(data):
         if kind != b"moof":
             continue
+        count: dict[int, int] = {}
         start, end_of_last = a - 8, None
         for ta, tb in find(data, (b"traf",), a, b):
             heads = find(data, (b"tfhd",), ta, tb)
             if not heads:
                 continue
-            at = heads[0][0]
-            flags, track = _number(data, at) & 0xFFFFFF, _number(data, at + 4)
-            own, at, base = dict(known.get(track, {})), at + 8, None
+            p = heads[0][0]
+            flags, track = _number(data, p) & 0xFFFFFF, _number(data, p + 4)
+            own, p, base = dict(known.get(track, {})), p + 8, None
             for bit, size, name in ((1, 8, "base"), (2, 4, "entry"), (8, 4, "duration"), (16, 4, "size"), (32, 4, "flags")):
                 if flags & bit:
-                    own[name] = _number(data, at, size)
-                    at += size
-            base = own["base"] if flags & 1 else start if flags & 0x20000 or end_of_last is None else end_of_last
+                    own[name] = _number(data, p, size)
+                    p += size
+            base = own["base"] - at if flags & 1 else start if flags & 0x20000 or end_of_last is None else end_of_last
             for da, _ in find(data, (b"tfdt",), ta, tb):
                 clock[track] = _number(data, da + 4, 8 if data[da] else 4)
             where = base
             for ra, _ in find(data, (b"trun",), ta, tb):
                 version, bits, n = data[ra], _number(data, ra) & 0xFFFFFF, _number(data, ra + 4)
-                at = ra + 8
+                p = ra + 8
                 if bits & 1:
-                    where = base + struct.unpack(">i", data[at : at + 4])[0]
-                    at += 4
-                first = _number(data, at) if bits & 4 else None
-                at += 4 if bits & 4 else 0
+                    where = base + struct.unpack(">i", data[p : p + 4])[0]
+                    p += 4
+                first = _number(data, p) if bits & 4 else None
+                p += 4 if bits & 4 else 0
                 for i in range(n):
                     got = {}
                     for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")):
                         if bits & bit:
-                            got[name] = _number(data, at)
-                            at += 4
+                            got[name] = _number(data, p)
+                            p += 4
                     shift = got.get("shift", 0)
                     shift -= (1 << 32) if version and shift >> 31 else 0
                     mark = first if first is not None and not i else got.get("flags", own.get("flags", 0))
@@ -207,8 +220,10 @@ def demux(data: bytes, init: bytes = b"") -> Iterator[tuple[int, int, int, int,
                     if where + size > len(data):
                         break
                     dts = clock.get(track, 0)
-                    yield track, count.get(track, 0), dts, dts + shift, duration, not mark & 0x10000, data[where : where + size]
-                    count[track], clock[track], where = count.get(track, 0) + 1, dts + duration, where + size
+                    told = (dts, dts + shift) if dts is not None else (None, None)
+                    yield at + start, track, count.get(track, 0), *told, duration, not mark & 0x10000, data[where : where + size]
+                    count[track], where = count.get(track, 0) + 1, where + size
+                    clock[track] = dts + duration if dts is not None else None
             end_of_last = where
 
 

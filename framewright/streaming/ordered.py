@@ -7,10 +7,10 @@ import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..common import folded, ship, unused
+from ..common import folded, ship, unused, with_groups
 from ..operators.control import Controller, Settings
 
 _log = logging.getLogger(__name__)
@@ -128,18 +128,22 @@ def all_frames(drained: DataFrame, flushed: DataFrame) -> DataFrame:
 
 
 def current_generation(df: DataFrame, key: str, generation: str) -> DataFrame:
-    """Rows of a key's newest generation: what an older one sends late is discarded."""
+    """Rows of a key's newest generation: what an older one sends late is discarded.  Rows of null key are one key's; those of null generation go."""
     last, = unused(df.columns, "newest")
     newest = df.groupBy(key).agg(F.max(generation).alias(last))
-    return df.join(newest, key).filter(F.col(generation) == F.col(last)).drop(last)
+    return with_groups(df, newest, [key], [last]).filter(F.col(generation) == F.col(last)).drop(last)
 
 
 def rebase(df: DataFrame, segment: list[str], order: str, times: list[str], base: str) -> DataFrame:
-    """Shifts a segment's times so that its first one is `base`, as its first row that has one gives it; without one nothing is shifted."""
-    at, to = unused(df.columns, "first", "base")
-    first = df.groupBy(*segment).agg(F.min_by(times[0], order).alias(at), F.min_by(base, F.when(F.col(base).isNotNull(), F.col(order))).alias(to))
-    shift = F.coalesce(F.col(at) - F.col(to), F.lit(0))
-    return df.join(first, segment).select(*[(F.col(c) - shift).alias(c) if c in times else F.col(c) for c in df.columns])
+    """Shifts a segment's times so that its first one is `base`, as its first row that has one gives it; without one nothing is shifted.
+
+    One shuffle, by the segment; null segments are one segment.
+    """
+    by, = unused(df.columns, "shift")
+    w = Window.partitionBy(*segment)
+    first, to = F.min_by(times[0], order).over(w), F.min_by(base, F.when(F.col(base).isNotNull(), F.col(order))).over(w)
+    moved = df.withColumn(by, F.coalesce(first - to, F.lit(0)))
+    return moved.select(*[(F.col(c) - F.col(by)).alias(c) if c in times else F.col(c) for c in df.columns])
 
 
 def repositioned(delta_s: Column, queued: Column, begun: Column, least_s: float = 0.5) -> Column:
@@ -154,8 +158,6 @@ def served(queue: DataFrame, key: str, order: list[str], kind: str) -> DataFrame
     a new run begins with the last one again.  state: `parsed` for an init segment, `served` for a segment after one, `waiting`
     for a segment before any, `dropped` for a segment that an abort follows before the next entry, else null.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key).orderBy(*order)
     past = w.rowsBetween(Window.unboundedPreceding, 0)
     k = F.col(kind)

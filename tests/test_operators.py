@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.functions import bits, kernels, media
+from framewright.functions import bits, media
 from framewright.functions.syntax import Bits, Writer, parse_parameter_sets, parse_pps, parse_slice_header, parse_sps
 from framewright.operators import blocks, control, lookup, ordering, quality, references, sessions
 from framewright.operators.control import Controller, Settings
@@ -62,6 +62,23 @@ def test_controller_as_sql_fold_and_as_sorted_scan_agree(spark):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
+def test_null_speeds_and_keys_are_alike_in_both_controllers(spark):
+    rows = [(k, t, x) for k in (1, None) for t, x in enumerate([0.5, None, 0.5, 0.5, None, None, 2.0, 2.0])]
+    df = spark.createDataFrame(rows, "k long, t long, x double")
+    for s in (Settings(), Settings(window=3, raise_after=2, lower_after=2)):
+        a, b = (f(df, "k", ["t"], "x", 4, 3, s).select("k", "t", "cap", F.round("mean_speed", 9), "reason") for f in (control.decide, control.decide_sql))
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() == 16
+
+
+def test_rows_of_null_key_stay(spark):
+    df = spark.createDataFrame([(None, 1, 5, 100), (None, 2, 8, None), (1, 1, 7, 50)], "s long, o int, t int, b int")
+    got = sorted((str(r["s"]), r["o"], r["t"]) for r in ordered.rebase(df, ["s"], "o", ["t"], "b").collect())
+    assert got == [("1", 1, 50), ("None", 1, 100), ("None", 2, 103)]
+    assert ordered.current_generation(df, "s", "o").count() == 2 and ordering.retained(df, ["s"], "t", F.lit(1)).count() == 2
+    got = {(r["k"], r["made_for"]) for r in lookup.cached(spark.createDataFrame([(1, None), (2, None), (3, "x")], "k int, c string"), "c", ["k"], "k").collect()}
+    assert got == {(1, 1), (2, 1), (3, 3)}
+
+
 def test_controller_stream_equals_batch(spark, tmp_path):
     df = speeds(spark, 120)
     for i in range(3):
@@ -222,24 +239,25 @@ def test_fragments_round_trip_and_decode_times():
 
 def test_transforms(spark):
     for n in (4, 8, 16, 32):
-        t = kernels.cosine_matrix(n)
+        t = np.array(blocks.cosine_matrix(n))
         assert (t[0] == 64).all() and np.abs(t @ t.T - np.diag(np.diag(t @ t.T))).max() <= 0.01 * (t @ t.T)[0, 0]
-    assert (kernels.cosine_matrix(4) == np.array(blocks.DCT4)).all()
-    x = np.zeros((4, 4), int)
-    x[0, 0] = 512  # 512 * 64 * 64 / 2^19
-    assert (kernels.inverse_transform(x) == 4).all()
-    plane = np.arange(64).reshape(8, 8)
-    whole = kernels.interpolate(plane, 2, 2, 3, 3, 0, 0)
-    assert (kernels.predict(whole) == plane[2:5, 2:5]).all()
-    half = kernels.predict(kernels.interpolate(np.full((9, 9), 77), 0, 0, 4, 4, 2, 1))
-    assert (half == 77).all()
-    assert (kernels.intra_dc(np.full(4, 10), np.full(4, 20)) == 15).all()
-    p = np.array([[5, 5, 5], [5, 1, 5], [5, 5, 5]])
-    assert kernels.edge_offset(p, 0, (3, 2, -2, -3))[1, 1] == 4
-    assert (kernels.band_offset(np.array([[250]]), 30, (1, 2, 3, 4)) == 252).all()
+        x = [(7 * i * i) % 91 - 45 for i in range(n)]
+        got = spark.createDataFrame([(x,)], "x array<int>").select(blocks.forward(F.col("x"), n).alias("y"))
+        y = got.first()["y"]
+        assert y == (t @ np.array(x)).tolist()
+        back = got.select(blocks.inverse(F.col("y"), n, 12 + n.bit_length() - 1).alias("z")).first()["z"]
+        assert max(abs(p - q) for p, q in zip(back, x)) <= 1
+    assert blocks.cosine_matrix(4) == [list(r) for r in blocks.DCT4]
+    with pytest.raises(ValueError):
+        blocks.cosine_matrix(12)
     got = spark.createDataFrame([([1, 2, 3, 4],)], "x array<int>").select(blocks.inverse4(blocks.transform4(F.col("x")), shift=14).alias("y")).first()["y"]
     assert got == [1, 2, 3, 4]
-    assert kernels.scale_motion(np.array([8, -8]), 2, 4).tolist() == [4, -4]
+
+
+def test_samples_as_bytes(spark):
+    rows = [([0, 255, 7], 8), ([1023, 5], 10), ([], 8), ([1, None], 8), (None, 8)]
+    got = [r[0] for r in spark.createDataFrame(rows, "s array<int>, d int").select(media.packed_samples(F.col("s"), F.col("d")).alias("b")).collect()]
+    assert [None if x is None else bytes(x) for x in got] == [b"\0\xff\x07", b"\xff\x03\x05\0", b"", None, None]
 
 
 def test_reference_sets(spark):
