@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -77,15 +77,18 @@ def _edge_per_key(df: DataFrame, key: Sequence[str], pick, order: Sequence[str])
     return df.groupBy(*key).agg(best).select(*key, *[F.col(own)[c].alias(c) for c in rest]).select(df.columns)
 
 
-def resolve(slices: DataFrame, pps: DataFrame, sps: DataFrame, scope: str, order: Sequence[str], take_pps: Sequence[str], take_sps: Sequence[str]) -> DataFrame:
+def resolve(
+    slices: DataFrame, pps: DataFrame, sps: DataFrame, scope: str, order: Sequence[str], take_pps: Sequence[str], take_sps: Sequence[str], join: Callable = as_of
+) -> DataFrame:
     """Each slice (scope, order, pps_id) with what it refers to at its place in the stream.
 
     The picture parameter set of its pps_id (pps: scope, order, pps_id, sps_id) that was written last before it, and of that one's
-    sps_id the sequence parameter set (sps: scope, order, sps_id) written last before the slice: two as-of joins.
+    sps_id the sequence parameter set (sps: scope, order, sps_id) written last before the slice: two as-of joins, by scans.as_of where a scope may
+    be large.
     """
-    one = as_of(slices, pps, [scope, "pps_id"], order, ["sps_id", *take_pps])
+    one = join(slices, pps, [scope, "pps_id"], order, ["sps_id", *take_pps])
     two = one.withColumnRenamed("asof_sps_id", "sps_id").withColumnsRenamed({f"asof_{c}": f"pps_{c}" for c in take_pps})
-    return as_of(two, sps, [scope, "sps_id"], order, take_sps).withColumnsRenamed({f"asof_{c}": f"sps_{c}" for c in take_sps})
+    return join(two, sps, [scope, "sps_id"], order, take_sps).withColumnsRenamed({f"asof_{c}": f"sps_{c}" for c in take_sps})
 
 
 def accepted(pps: DataFrame, sps: DataFrame, scope: str, order: Sequence[str]) -> DataFrame:

@@ -27,7 +27,7 @@ from .files import Staged, listed, located, named, ranges, stream_of
 
 SPLIT = 64 << 20
 CODE = b"\0\0\1"
-UNITS = "stream string, offset long, size long, type int, layer int, tid int, rbsp binary, epb array<long>"
+UNITS = "stream string, file string, offset long, size long, type int, layer int, tid int, rbsp binary, epb array<long>"
 SAMPLES = "path string, fragment long, track int, index long, dts long, pts long, duration long, key boolean, timescale long, codec string, data binary"
 
 
@@ -107,7 +107,7 @@ def _unit_rows(part: Range, names: Sequence[str]) -> Iterator[tuple]:
     with where.open_input_file(at) as f:
         for offset, unit in units_between(f, part.start, part.end):
             kind, layer, tid = annexb.header(unit)
-            got = {"stream": part.stream, "offset": offset, "size": len(unit), "type": kind, "layer": layer, "tid": tid}
+            got = {"stream": part.stream, "file": part.path, "offset": offset, "size": len(unit), "type": kind, "layer": layer, "tid": tid}
             if any(got[c] not in v for c, v in part.wanted.items()):
                 continue
             if deep:

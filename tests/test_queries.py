@@ -7,17 +7,18 @@ import os
 import duckdb
 import pytest
 
-from framewright.plans import media_queries
+from framewright.plans import media_queries, stream_queries
 from framewright.plans.media_sql import SQL as MEDIA_SQL
 from framewright.plans.queries import queries as ordered_queries
 from framewright.plans.sql import SQL as ORDERED_SQL
+from framewright.plans.stream_sql import SQL as STREAM_SQL
 
 SF = "/root/testdata/sf0.001"
-SQL = ORDERED_SQL | MEDIA_SQL
+SQL = ORDERED_SQL | MEDIA_SQL | STREAM_SQL
 
 
 def queries():
-    return ordered_queries() | media_queries.queries()
+    return ordered_queries() | media_queries.queries() | stream_queries.queries()
 
 
 @pytest.fixture(scope="module")
