@@ -26,7 +26,7 @@ def normal(text: str) -> str:
 class Matcher:
     """Finds items (id, normalised text) in texts, with at most rate * length edits each."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float = RATE):
         import ahocorasick
 
         self.items = [(i, len(t), int(rate * len(t)), masks(t)) for i, t in items]
@@ -72,7 +72,11 @@ class Matcher:
                 sizes = sorted(range(max(0, m - distance), min(end, m + distance) + 1), key=lambda x: (abs(x - m), x))
                 own = next(x for x in sizes if within(self.texts[n], text[end - x : end], distance))  # noqa: B023
                 out.append((item, distance, end - own, own))
-        return sorted(out)
+        return sorted(out, key=_by_id)
+
+
+def _by_id(row: tuple) -> tuple:
+    return row[0] is not None, row[0] or 0, *row[1:]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -93,7 +97,7 @@ def item_blocks(benchmark: DataFrame, block_chars: int) -> tuple[int, Callable[[
 
     def block(b: int) -> list[tuple[int, str]]:
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
-        return sorted((-1 if r["item_id"] is None else r["item_id"], t) for r in own if (t := normal(r["text"])))
+        return sorted(((r["item_id"], t) for r in own if (t := normal(r["text"]))), key=_by_id)
 
     return n, block
 
@@ -133,7 +137,7 @@ def find_benchmark(
     Both texts are lower-cased and their white space is made single spaces; an item is found where its edit distance
     to some part of the whole document is at most rate times its length.  start and length tell the part of the
     normalised document that has the least distance.  Null or empty texts contain nothing; null and blank items are not
-    looked for, all others are, however short; items of equal text are all reported; repeated rows are searched each;
+    looked for, all others are, however short; items of equal text are all reported, one without id as null; repeated rows are searched each;
     empty tables are fine; other columns are ignored.
 
     The items are the query set: they go to the tasks in blocks of about block_chars, one pass over the documents for

@@ -21,7 +21,7 @@ _WELL = r"(?:\s++(?:[^\s=<>\"'/]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s<>\"']
 _ATTRIBUTES = rf"{_WELL}/?|[^<>]*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*+>"
-    rf"|<(script|style|noscript|iframe|textarea|title)(?![\w:-]|{_WELL}/>)(?:{_ATTRIBUTES})>.*?(?:</\2\s*>|\Z)"
+    rf"|<(script|style|iframe|textarea|title)(?![\w:-]|{_WELL}/>)(?:{_ATTRIBUTES})>.*?(?:</\2\s*>|\Z)"
     rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_ATTRIBUTES})>",
     re.S | re.I,
 )
@@ -68,16 +68,25 @@ class Block:
     heading: bool
 
 
+def _closable(page: str) -> str:
+    """The page, as long as it is, with nothing in it that looks for an end that never comes: each such start would be looked at up to the page's end."""
+    after = page.rfind("]]>") + 1
+    page = page[:after] + re.sub(r"<!\[CDATA\[", "<!(CDATA(", page[after:], flags=re.I)
+    after = page.rfind(">") + 1
+    return page[:after] + re.sub(r"<(?!!--)", " ", page[after:])
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's leaf blocks: runs of text between block-level tags, white space made single spaces.
 
     Comments, scripts, styles and other text that isn't shown are left out; what is in an svg or template, up to its end tag, that of an
-    element around it or, for an svg, an HTML element.  Tags of objects are passed over, and what starts no tag is text.  Unclosed elements end where HTML ends
-    them, and end tags without a start are ignored.
+    element around it or, for an svg, an HTML element.  Text in a noscript is text like any other.  Tags of objects are passed over, and what starts no
+    tag is text.  Unclosed elements end where HTML ends them, and end tags without a start are ignored.
     """
     out: list[Block] = []
     stack: list[tuple[str, frozenset[int]]] = [("", frozenset())]
-    opened: dict[str, int] = {}  # how many of each tag are on the stack, where there are any
+    opened: dict[str, list[int]] = {}  # where on the stack each tag is, where it is
+    bounds, solid = [0], [0]  # where on it elements of BOUNDARY are, and those not of INLINE
     held: list[tuple[str, bool]] = []
 
     def flush() -> None:
@@ -92,6 +101,7 @@ def blocks_of(page: str) -> list[Block]:
 
     inside: list[frozenset[int]] = []
     hidden: list[str] = []  # open elements from an svg or template on
+    veiled: dict[str, int] = {}  # how many of each tag these are
 
     def add(raw: str) -> None:
         if raw and not hidden:
@@ -101,14 +111,20 @@ def blocks_of(page: str) -> list[Block]:
 
     def close(i: int) -> None:
         for t, _ in stack[i:]:
-            if opened[t] == 1:
+            opened[t].pop()
+            if not opened[t]:
                 del opened[t]
-            else:
-                opened[t] -= 1
         del stack[i:]
+        for x in (bounds, solid):
+            while x[-1] >= i:
+                x.pop()
+
+    def hide(tag: str) -> None:
+        hidden.append(tag)
+        veiled[tag] = veiled.get(tag, 0) + 1
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    for m in _TOKEN.finditer(_closable(page)):
         add(page[at : m.start()])
         at = m.end()
         if m[1] is not None:
@@ -120,42 +136,38 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if hidden:
             if m[3]:
-                if tag in hidden:
-                    del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
+                if veiled.get(tag):
+                    ended = None
+                    while ended != tag:
+                        ended = hidden.pop()
+                        veiled[ended] -= 1
                     continue
                 if tag not in opened:
                     continue
             elif hidden[0] != "svg" or tag not in BREAKS:
                 if tag not in VOID and not m[5].endswith("/"):
-                    hidden.append(tag)
+                    hide(tag)
                 continue
             hidden.clear()
+            veiled.clear()
         if tag in HIDDEN:
             if not m[3] and not m[5].endswith("/"):
-                hidden.append(tag)
+                hide(tag)
             continue
         if m[3]:
             if tag not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, 0, -1) if tag in opened else ():
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
+            if tag in opened and (tag not in INLINE or opened[tag][-1] > solid[-1]):
+                close(opened[tag][-1])
             continue
         if tag == "br":
             add(" ")
             continue
         if tag not in INLINE:
             flush()
-            ends = CLOSES.get(tag, NONE)
-            for i in range(len(stack) - 1, 0, -1) if not opened.keys().isdisjoint(ends) else ():
-                if stack[i][0] in ends:
-                    close(i)
-                    break
-                if stack[i][0] in BOUNDARY:
-                    break
+            last = max((opened[t][-1] for t in CLOSES.get(tag, NONE) if t in opened), default=0)
+            if last and last >= bounds[-1]:
+                close(last)
         if tag in VOID or m[5].endswith("/") and tag not in INLINE:
             continue
         marks = set(stack[-1][1])
@@ -166,8 +178,11 @@ def blocks_of(page: str) -> list[Block]:
                 for w in _PART.findall("".join(a)):
                     if k := WORDS.get(w.lower()):
                         marks.add(INDEX[f"kind:{k}"])
+        opened.setdefault(tag, []).append(len(stack))
+        for x, there in ((bounds, tag in BOUNDARY), (solid, tag not in INLINE)):
+            if there:
+                x.append(len(stack))
         stack.append((tag, frozenset(marks)))
-        opened[tag] = opened.get(tag, 0) + 1
     add(page[at:] if not _UNFINISHED.match(page, at) else "")
     flush()
     return out

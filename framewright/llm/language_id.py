@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .bytegrams import Values, blocks, counted, find, mask
-from .shared import ship, table
+from .shared import MOST, place, share, ship, table
 
 ORDER = 3  # bytes of the longest context
 ROWS_PER_LANG = 3000  # learn from about so many rows of each language, at most
@@ -57,16 +57,17 @@ def fit(rows: DataFrame, order: int = ORDER, rows_per_lang: int = ROWS_PER_LANG)
     """Counts of the (order + 1)-grams of each language in rows (doc_id, text, lang).
 
     A language with more rows than rows_per_lang is learned from about that many of them, drawn by a
-    hash of the doc_id; so the model's size doesn't grow with the input.
+    hash of 63 bits of the doc_id; so the model's size doesn't grow with the input, and however many rows there are, those of the
+    smallest hash are drawn at least.
     """
-    have = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    drawn_by = place("doc_id", "ppm")
+    have = {r["lang"]: (r["n"], r["least"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(drawn_by).alias("least")).collect()}
     if not have:
         return {}
-    share = F.lit(1 << 20)
-    for lang, n in have.items():
-        if n > rows_per_lang:
-            share = F.when(F.col("lang") == lang, int((1 << 20) * rows_per_lang / n)).otherwise(share)
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("ppm")), F.lit(1 << 20)) < share)
+    most = F.lit(MOST)
+    for lang, (n, least) in have.items():
+        most = F.when(F.col("lang") == lang, F.lit(max(least, share(rows_per_lang, n)))).otherwise(most)
+    drawn = rows.filter(drawn_by <= most)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import keep, table, unused
+from .shared import keep, place, share, table, unused
 
 WHITE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
@@ -238,7 +238,7 @@ def sampled(labels: DataFrame, id_col: str, quality_col: str, rows: int) -> Data
     own = labels.filter(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg((F.min(quality_col) == 0).alias("low"))
     n = own.count()
     if n > rows:
-        own = own.filter(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("fit")), 1) < ((rows << 63) // n))
+        own = own.filter(place("doc_id", "fit") <= share(rows, n))
     return own
 
 

@@ -2,72 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import math
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..common import ship, unused  # noqa: F401
+from ..scratch import clear, drop, keep, shared_dir  # noqa: F401
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and one machine does all."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="framewright-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+MOST = (1 << 63) - 1
 
 
-def _scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/framewright/{spark.sparkContext.applicationId}"
+def place(column: str, salt: str) -> Column:
+    """A hash of 63 bits, by which rows are drawn."""
+    return F.shiftrightunsigned(F.xxhash64(column, F.lit(salt)), 1)
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes what keep() has written in this application.  Results that have not been written or collected go with it."""
-    _delete(spark, _scratch(spark))
-
-
-@atexit.register
-def _clear_at_exit() -> None:
-    spark = SparkSession.getActiveSession() if _kept else None
-    if spark is not None:
-        with contextlib.suppress(Exception):  # the context may have ended before
-            clear(spark)
-
-
-_kept: set[str] = set()
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back.
-
-    This cuts the lineage: a lost executor costs no recomputation, and later passes read
-    only the columns they need.  The tables are deleted when the application ends, or by clear().
-    """
-    spark = df.sparkSession
-    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
-    _kept.add(path)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._kept_at = path
-    return out
-
-
-def _delete(spark: SparkSession, where: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes the table behind what keep() has returned, once all that was made of it is kept itself."""
-    _delete(df.sparkSession, df._kept_at)
+def share(rows: int, n: int) -> int:
+    """Which hash is the largest that is drawn for about `rows` of n to be."""
+    return MOST if n <= rows else (rows << 63) // n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

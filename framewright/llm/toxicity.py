@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bytegrams import Values, blocks, counted, find, mask
 from .language_id import held_out
-from .shared import keep, n_parts, ship, table
+from .shared import keep, n_parts, place, share, ship, table
 
 N = 8  # bytes of the longest n-gram
 DISCOUNT = 0.75
@@ -411,10 +411,13 @@ def score_toxicity(
     else:
         groups = n_parts(rows, ask_bytes, least=1)
         features_of = lambda rows, finish=None: _features_far(rows, counts, n, -(-size // PART_GRAMS), finish, groups=groups)
-    held = {r["toxic"]: r["count"] for r in marks.filter(last).groupBy("toxic").count().collect()}
-    usable = known.filter(last) if len(held) == 2 else known
-    share = min(1.0, calibrate_rows / max(1, sum((held if len(held) == 2 else have).values())))
-    drawn = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("kn")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    drawn_by = place("doc_id", "kn")
+    classes = lambda df: {r["toxic"]: (r["n"], r["least"]) for r in df.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.min(drawn_by).alias("least")).collect()}
+    held = classes(marks.filter(last))
+    usable, of = (known.filter(last), held) if len(held) == 2 else (known, classes(marks))
+    # a hash of 63 bits; of each class the row of the smallest hash is drawn at least
+    most = max(share(calibrate_rows, sum(n for n, _ in of.values())), *(least for _, least in of.values()))
+    drawn = usable.filter(drawn_by <= most)
     got = features_of(drawn).toArrow()
     x = np.column_stack([got.column(f"f{i}").to_numpy() for i in range(FEATURES)])
     if not len(x):  # labels, but none of a document in docs

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered():
     found = [re.match(r"op(\d+)_\w+$", n) for n in entry.queries()]
-    assert sorted(int(m[1]) for m in found if m) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(m[1]) for m in found if m) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", ["op1_url_filter", "op2_exact_dedup"])

@@ -515,3 +515,56 @@ def test_language_id(spark):
     assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {i for i, *_ in rows if i not in (400, 401, 402)} | {901}
     assert predict_language(df.withColumn("lang", F.lit(None).cast("string"))).filter("lang_pred <> 'und'").count() == 0
     assert predict_language(df.limit(0)).count() == 0
+
+
+def test_a_share_below_a_millionth_still_draws(spark, monkeypatch):
+    """As of tables of many billions of rows: what is drawn for the fit is little, but never nothing."""
+    from framewright.llm import language_id, toxicity
+
+    for m in (language_id, toxicity):
+        monkeypatch.setattr(m, "share", lambda rows, n: (rows << 63) // (n * 10**12))
+    rows = [(i, ("the quick brown fox and the lazy dog " if i % 2 else "der schnelle braune fuchs und der faule hund ") * 5, "en" if i % 2 else "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.predict_language(docs, rows_per_lang=10).collect()
+    assert all(r["lang_pred"] == ("en" if r["doc_id"] % 2 else "de") for r in got)
+    texts = [(i, ("kind words for all " if i % 2 else "vile foul rotten ") * 4) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(200)], "doc_id long, toxic int")
+    scored = toxicity.score_toxicity(spark.createDataFrame(texts, "doc_id long, text string"), labels, calibrate_rows=50).collect()
+    assert all(r["predicted"] == int(r["doc_id"] % 2 == 0) for r in scored)
+
+
+def test_hostile_markup_takes_time_in_proportion():
+    import time
+
+    from framewright.llm.html_text import blocks_of
+
+    def seconds(page):
+        best = 9.0
+        for _ in range(3):
+            began = time.process_time()
+            blocks_of(page)
+            best = min(best, time.process_time() - began)
+        return best
+
+    n = 20_000
+    for make in (
+        lambda n: "<![CDATA[" * n, lambda n: "<!" * n, lambda n: "<?" * n, lambda n: "<svg>" * n + "</x>" * n, lambda n: "<svg>" * n + "</svg>" * n,
+        lambda n: "<p><td>" + "<b>" * n + "<h1>" * n, lambda n: "<b>" * n + "</i>" * n, lambda n: "x > " + "<![CDATA[" * n + ">", lambda n: "<noscript>" * n + "</b>" * n,
+    ):
+        small, large = seconds(make(n)), seconds(make(2 * n))
+        assert large < 3 * small + 0.05 and large < 5
+
+
+def test_noscript_is_text_like_any_other():
+    from framewright.llm.html_text import blocks_of
+
+    assert [b.text for b in blocks_of("<article><p>one</p><noscript><p>two</p></noscript><p>three</p></article>")] == ["one", "two", "three"]
+
+
+def test_an_item_without_id_is_told_as_one(spark):
+    from framewright.llm.decontaminate import find_benchmark
+
+    items = spark.createDataFrame([(None, "alpha beta gamma delta"), (-1, "epsilon zeta eta theta")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so alpha beta gamma delta it is"), (2, "epsilon zeta eta theta alpha beta gamma delta")], "doc_id long, text string")
+    got = sorted((r["doc_id"], str(r["item_id"])) for r in find_benchmark(docs, items).collect())
+    assert got == [(1, "None"), (2, "-1"), (2, "None")]
