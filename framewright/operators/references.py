@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..common import folded
+from ..common import folded, unused
 from ..functions.buffer import PictureBuffer
+from .scans import sequence_number
 
 
 def reference_list(before: Column, after: Column, long_term: Column, size: Column, entries: Column | None = None) -> Column:
@@ -35,13 +36,14 @@ def derive_sets(pictures: DataFrame, stream: str = "stream", order: str = "decod
     used): a count, or its value modulo span).  Adds before, after and follow: the POCs of earlier pictures, still held, that this one may
     use or must keep; long_use and long_keep: the same by long_term; missing: those it names that aren't held.
 
-    What a picture doesn't name is let go.  An ordered fold; a task holds one stream's few POCs at a time.
+    What a picture doesn't name is let go.  An ordered fold; a task holds few POCs at a time.  A picture that resets starts anew, so a stream is dealt by the runs
+    that such pictures begin, however long it is.
     """
     schema = f"`{stream}` {dict(pictures.dtypes)[stream]}, `{order}` long, poc long, before array<long>, after array<long>, follow array<long>, missing array<long>, long_use array<long>, long_keep array<long>"
 
     class Sets:
         def __init__(self, k):
-            self.stream, self.held = k, set()
+            self.stream, self.held = k["stream"], set()
 
         def row(self, at, poc, deltas, resets, long_term):
             if resets:
@@ -63,8 +65,10 @@ def derive_sets(pictures: DataFrame, stream: str = "stream", order: str = "decod
             return []
 
     far = F.col("long_term") if "long_term" in pictures.columns else F.expr("cast(null as array<struct<poc:long,span:long,used:boolean>>)")
-    rows = pictures.select(stream, F.col(order).cast("long").alias(order), F.col("poc").cast("long").alias("poc"), "deltas", "resets", far.alias("long_term"))
-    return folded(rows, stream, [order], [order, "poc", "deltas", "resets", "long_term"], Sets, schema)
+    run, = unused(pictures.columns, "run")
+    pictures = sequence_number(pictures, [stream], [order], F.col("resets"), run)
+    rows = pictures.select(F.struct(F.col(stream).alias("stream"), F.col(run).alias("run")).alias("at"), F.col(order).cast("long").alias(order), F.col("poc").cast("long").alias("poc"), "deltas", "resets", far.alias("long_term"))
+    return folded(rows, "at", [order], [order, "poc", "deltas", "resets", "long_term"], Sets, schema)
 
 
 def tile_scan(blocks: DataFrame, picture: list[str], columns: Column, rows: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..common import ship
 from ..functions.media import is_vcl
@@ -53,6 +53,11 @@ def plain_offset(coded: int, gone: list[int]) -> int:
     return coded - sum(x < coded for x in gone)
 
 
+def plain_place(coded: Column, gone: Column) -> Column:
+    """plain_offset as an expression; gone: the array epb."""
+    return coded - F.size(F.filter(gone, lambda x: x < coded))
+
+
 def length_prefixed(data: bytes, size: int) -> list[bytes]:
     """Units behind big-endian lengths of `size` bytes; stops at one that is cut off."""
     out, at = [], 0

@@ -7,7 +7,7 @@ import struct
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -324,6 +324,60 @@ def remux(samples: DataFrame, per_fragment: int = 30) -> DataFrame:
     return folded(samples, "path", ["dts", "index"], ["track", "dts", "duration", "key", "data"], Fragments, "path string, sequence int, dts long, n int, content binary")
 
 
+def sniffed(files: DataFrame) -> DataFrame:
+    """Adds begins_media (content begins with an ftyp or moov box) and begins_file (with an ftyp box); false for null and short content."""
+    kind = F.decode(F.substring(F.col("content").cast("binary"), 5, 4), "iso-8859-1")
+    return files.withColumn("begins_media", F.coalesce(kind.isin("ftyp", "moov"), F.lit(False))).withColumn("begins_file", F.coalesce(kind == "ftyp", F.lit(False)))
+
+
+def decode_times(files: DataFrame) -> DataFrame:
+    """path and time: the base decode time of a segment's only track fragment, or null."""
+    return _rows_of(files, "path string, time long", lambda path, data: [(path, decode_time(data))])
+
+
+def or_free(content: Column) -> Column:
+    """Content, or an empty box where nothing came."""
+    return F.coalesce(content, F.lit(bytearray(FREE)))
+
+
+def init_segments(tracks: DataFrame) -> DataFrame:
+    """tracks: path, width, height, scale, rate and channels (null: no sound), record and config (the decoders' own bytes).  path, content."""
+    ship(tracks.sparkSession)
+    to = to_arrow_schema(StructType.fromDDL("path string, content binary"))
+
+    def run(batches):
+        for batch in batches:
+            out = [
+                (path, init_segment(width, height, scale, record or b"", (rate, channels, config or b"") if rate else None))
+                for path, width, height, scale, rate, channels, record, config in zip(*(c.to_pylist() for c in batch.columns))
+            ]
+            cols = list(zip(*out)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, to)], schema=to)
+
+    return tracks.select("path", "width", "height", "scale", "rate", "channels", "record", "config").mapInArrow(run, "path string, content binary")
+
+
+def media_segments(samples: DataFrame) -> DataFrame:
+    """samples: path, sequence (the segment's number in it), track, index, dts, duration, key, data.  One fragment for each path and sequence: path, sequence, content.
+
+    A segment's tracks stand one after another in it, in order of their numbers, each from its first sample's dts on.  A task holds a segment.
+    """
+
+    class Segment:
+        def __init__(self, at):
+            self.at, self.tracks = at, {}
+
+        def row(self, track, dts, duration, key, data):
+            self.tracks.setdefault(track, (track, dts, []))[2].append((data, duration, key))
+            return []
+
+        def end(self):
+            return [(self.at["path"], self.at["sequence"], fragment(self.at["sequence"], list(self.tracks.values())))]
+
+    rows = samples.select(F.struct("path", "sequence").alias("at"), "track", "index", "dts", "duration", "key", "data")
+    return folded(rows, "at", ["track", "index"], ["track", "dts", "duration", "key", "data"], Segment, "path string, sequence int, content binary")
+
+
 def audio_config(esds: bytes) -> bytes | None:
     """The decoder-specific bytes inside an elementary stream descriptor's content."""
 

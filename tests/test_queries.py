@@ -7,18 +7,19 @@ import os
 import duckdb
 import pytest
 
-from framewright.plans import media_queries, stream_queries
+from framewright.plans import media_queries, source_queries, stream_queries
 from framewright.plans.media_sql import SQL as MEDIA_SQL
 from framewright.plans.queries import queries as ordered_queries
+from framewright.plans.source_sql import SQL as SOURCE_SQL
 from framewright.plans.sql import SQL as ORDERED_SQL
 from framewright.plans.stream_sql import SQL as STREAM_SQL
 
 SF = "/root/testdata/sf0.001"
-SQL = ORDERED_SQL | MEDIA_SQL | STREAM_SQL
+SQL = ORDERED_SQL | MEDIA_SQL | STREAM_SQL | SOURCE_SQL
 
 
 def queries():
-    return ordered_queries() | media_queries.queries() | stream_queries.queries()
+    return ordered_queries() | media_queries.queries() | stream_queries.queries() | source_queries.queries()
 
 
 @pytest.fixture(scope="module")
