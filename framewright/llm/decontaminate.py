@@ -157,11 +157,13 @@ def without_benchmark(
     ship(docs.sparkSession)
     n, block = item_blocks(benchmark, block_chars)
     if n > 1:
-        own, = unused(docs.columns, "key")
-        found = keep(_all_hits(docs, benchmark, "doc_id", text_col, rate, block_chars).select(F.col("key").alias(own)).distinct())
+        own, of, whose = unused(docs.columns, "key", "found", "whose")
+        found = keep(_all_hits(docs, benchmark, "doc_id", text_col, rate, block_chars).select(F.col("key").alias(of), F.col("doc_id").alias(whose)).distinct())
         rows = docs.withColumn(own, F.xxhash64(F.col("doc_id").cast("long"), F.col(text_col).cast("string")))
-        hit = bloom.build(found, own, found.count(), 0.01, seed=4, max_bits=max_bits).might_contain(F.col(own))
-        return rows.filter(~hit).unionByName(rows.filter(hit).join(found, own, "left_anti")).select(docs.columns)
+        hit = bloom.build(found, of, found.count(), 0.01, seed=4, max_bits=max_bits).might_contain(F.col(own))
+        # by doc_id too, as the hashes of two documents may be equal
+        same = (F.col(own) == F.col(of)) & F.col("doc_id").cast("long").eqNullSafe(F.col(whose))
+        return rows.filter(~hit).unionByName(rows.filter(hit).join(found, same, "left_anti")).select(docs.columns)
     wanted, at_text = block(0), docs.columns.index(text_col)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -494,12 +494,14 @@ def one_of_each(docs: DataFrame, max_bits: int = bloom.MAX_BITS, **options) -> D
     rest is anti-joined.
     """
     found = jaccard_components(docs, max_bits=max_bits, **options)
-    own, = unused(docs.columns, "key")
-    gone = keep(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias(own)).distinct())
+    own, of, whose = unused(docs.columns, "key", "gone", "whose")
+    gone = keep(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias(of), F.col("doc_id").alias(whose)).distinct())
     rows = docs.withColumn(own, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    hit = bloom.build(gone, own, gone.count(), 0.01, seed=8, max_bits=max_bits).might_contain(F.col(own))
+    hit = bloom.build(gone, of, gone.count(), 0.01, seed=8, max_bits=max_bits).might_contain(F.col(own))
+    # by doc_id too, as the hashes of two documents may be equal
+    same = (F.col(own) == F.col(of)) & F.col("doc_id").cast("long").eqNullSafe(F.col(whose))
     # the same join at every size, so that what is shuffled grows with the input and not with a threshold
-    left = rows.filter(hit).join(gone.hint("merge"), own, "left_anti")
+    left = rows.filter(hit).join(gone.hint("merge"), same, "left_anti")
     return rows.filter(~hit).select(docs.columns).unionByName(left.select(docs.columns))
 
 
