@@ -1,125 +1,53 @@
-"""Stateful streams: the controller, bounded reordering, and discarding what an older generation sends."""
+"""Ordered streams as tables: bounded reordering, generations, time bases, queues, listeners."""
 
 from __future__ import annotations
 
-import json
+import heapq
 import logging
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..common import folded, ship, unused, with_groups
-from ..operators.control import Controller, Settings
+from ..common import folded, unused, with_groups
 
 _log = logging.getLogger(__name__)
 
 
-def _kept_for(state: GroupState, idle_ms: int | None) -> None:
-    if idle_ms:
-        state.setTimeoutDuration(idle_ms)
+class Reorder:
+    """Holds `depth` rows of a key back: of more, the one of the smallest position comes out."""
 
+    def __init__(self, key, depth: int):
+        self.key, self.depth, self.held, self.n = key, depth, [], 0
 
-def _timeout(idle_ms: int | None) -> str:
-    return GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    def _out(self, flushed: bool) -> tuple:
+        self.n += 1
+        return self.key, heapq.heappop(self.held), self.n - 1, flushed
 
+    def row(self, x) -> list[tuple]:
+        if x is None:
+            return []
+        heapq.heappush(self.held, x)
+        return [self._out(False)] if len(self.held) > self.depth else []
 
-def decide_stream(
-    df: DataFrame, key: str, order: str, speed: str, ladder: int, start: int, settings: Settings = Settings(), idle_ms: int | None = None
-) -> DataFrame:
-    """control.decide on a stream whose micro-batches are in order: the state is a controller's few numbers per key.
+    def end(self) -> list[tuple]:
+        return [self._out(True) for _ in range(len(self.held))]
 
-    Output: key, order, cap (-1: none), mean_speed, reason.  A key's rows of one micro-batch are sorted in memory.  With idle_ms a key
-    that sends nothing for so long is forgotten and starts anew.
-    """
-    ship(df.sparkSession)
-    kinds = dict(df.dtypes)
-    out_schema = f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, cap int, mean_speed double, reason string"
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        c = Controller(settings)
-        c.resize(ladder)
-        if state.exists:
-            c.cap, c.low, c.high, c.speeds, before = json.loads(state.get[0])
-            c.before = before and tuple(before)
-        rows = pd.concat(list(frames)).sort_values(order)
-        out = []
-        for at, x in zip(rows[order], rows[speed]):
-            cap, mean, reason = c.observe(float(x), start)
-            out.append((k[0], at, -1 if cap is None else cap, mean, reason))
-        state.update((json.dumps([c.cap, c.low, c.high, c.speeds, c.before]),))
-        _kept_for(state, idle_ms)
-        yield pd.DataFrame(out, columns=[key, order, "cap", "mean_speed", "reason"])
-
-    rows = df.select(key, order, speed).filter(F.col(speed).isNotNull())
-    return rows.groupBy(key).applyInPandasWithState(step, out_schema, "controller string", "append", _timeout(idle_ms))
-
-
-def reorder_stream(df: DataFrame, key: str, arrival: str, position: str, depth: int, idle_ms: int | None = None) -> DataFrame:
-    """Rows of each key in order of `position`, holding `depth` of them back; bounded state, disorder bounded by count.
-
-    Output: key, position, emitted (running number).  A row that comes after its place has gone is emitted at once; rows of null
-    position are left out.  With idle_ms a key that sends nothing for so long is flushed: what is held comes out in order, and its
-    state goes.  Without, the last `depth` rows of a key are held as long as the stream runs.
-    """
-    ship(df.sparkSession)
-    kinds = dict(df.dtypes)
-    schema = f"`{key}` {kinds[key]}, `{position}` {kinds[position]}, emitted long"
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, n = ([int(x) for x in state.get[0].split(",") if x], state.get[1]) if state.exists else ([], 0)
-        out = []
-        if state.hasTimedOut:
-            out = [(k[0], x, n + i) for i, x in enumerate(sorted(held))]
-            state.remove()
-        else:
-            for x in pd.concat(list(frames)).sort_values(arrival)[position]:
-                held.append(int(x))
-                while len(held) > depth:
-                    first = min(held)
-                    held.remove(first)
-                    out.append((k[0], first, n))
-                    n += 1
-            state.update((",".join(map(str, held)), n))
-            _kept_for(state, idle_ms)
-        yield pd.DataFrame(out, columns=[key, position, "emitted"])
-
-    rows = df.select(key, arrival, position).filter(F.col(position).isNotNull())
-    return rows.groupBy(key).applyInPandasWithState(step, schema, "held string, n long", "append", _timeout(idle_ms))
+    def state(self):
+        return [self.held, self.n]
+
+    def load(self, state) -> None:
+        self.held, self.n = state
 
 
 def reorder_batch(df: DataFrame, key: str, arrival: str, position: str, depth: int) -> DataFrame:
-    """reorder_stream with the flush at the end, over a whole table, by sorted partitions and one key's buffer at a time.
+    """Rows of each key in order of `position`, holding `depth` of them back, and a flush at the end; by sorted partitions and one key's buffer at a time.
 
-    Output: key, position, emitted, and flushed: whether a row came out at the end only.  Rows of null position are left out.
+    Output: key, position, emitted (running number), and flushed: whether a row came out at the end only.  A row that comes after its place has gone is emitted at
+    once; rows of null position are left out.  stateful.reordered does the same on a stream.
     """
     kinds = dict(df.dtypes)
-
-    class Buffer:
-        def __init__(self, k):
-            self.key, self.held, self.n = k, [], 0
-
-        def out(self, x, flushed):
-            self.n += 1
-            return (self.key, x, self.n - 1, flushed)
-
-        def row(self, x):
-            self.held.append(x)
-            if len(self.held) <= depth:
-                return []
-            first = min(self.held)
-            self.held.remove(first)
-            return [self.out(first, False)]
-
-        def end(self):
-            return [self.out(x, True) for x in sorted(self.held)]
-
     rows = df.filter(F.col(position).isNotNull())
-    return folded(rows, key, [arrival], [position], Buffer, f"`{key}` {kinds[key]}, `{position}` {kinds[position]}, emitted long, flushed boolean")
+    return folded(rows, key, [arrival], [position], lambda k: Reorder(k, depth), f"`{key}` {kinds[key]}, `{position}` {kinds[position]}, emitted long, flushed boolean")
 
 
 def all_frames(drained: DataFrame, flushed: DataFrame) -> DataFrame:

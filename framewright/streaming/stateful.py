@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import itertools
 import json
 from collections.abc import Callable, Iterator, Sequence
@@ -15,6 +14,7 @@ from pyspark.sql.types import StructType
 from ..common import folded, ship, unused
 from ..operators.control import Controller, Settings
 from ..scratch import folder
+from .ordered import Reorder
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -115,32 +115,6 @@ def folded_stream(
     return rows.groupBy("_key").transformWithState(p, to, "Append", "EventTime")
 
 
-class Reorder:
-    """streaming.ordered's buffer by a heap: the smallest of more than `depth` rows comes out."""
-
-    def __init__(self, key, depth: int):
-        self.key, self.depth, self.held, self.n = key, depth, [], 0
-
-    def _out(self, flushed: bool) -> tuple:
-        self.n += 1
-        return self.key, heapq.heappop(self.held), self.n - 1, flushed
-
-    def row(self, x) -> list[tuple]:
-        if x is None:
-            return []
-        heapq.heappush(self.held, x)
-        return [self._out(False)] if len(self.held) > self.depth else []
-
-    def end(self) -> list[tuple]:
-        return [self._out(True) for _ in range(len(self.held))]
-
-    def state(self):
-        return [self.held, self.n]
-
-    def load(self, state) -> None:
-        self.held, self.n = state
-
-
 def reordered(df: DataFrame, key: str, at: str, arrival: str, position: str, depth: int, **how) -> DataFrame:
     """ordered.reorder_batch on a stream: key, position, emitted, flushed (it came out as its key had ended)."""
     kinds = dict(df.dtypes)

@@ -1,5 +1,4 @@
 import random
-import time
 
 import numpy as np
 import pytest
@@ -79,19 +78,6 @@ def test_rows_of_null_key_stay(spark):
     assert got == {(1, 1), (2, 1), (3, 3)}
 
 
-def test_controller_stream_equals_batch(spark, tmp_path):
-    df = speeds(spark, 120)
-    for i in range(3):
-        df.filter((F.col("t") >= 40 * i) & (F.col("t") < 40 * i + 40)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = ordered.decide_stream(stream, "k", "t", "x", 4, 3).writeStream.format("memory").queryName("caps").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    got = {(r["k"], r["t"], r["cap"], r["reason"]) for r in spark.table("caps").collect()}
-    want = {(r["k"], r["t"], -1 if r["cap"] is None else r["cap"], r["reason"]) for r in control.decide(df, "k", ["t"], "x", 4, 3).collect()}
-    assert got == want
-
-
 def test_reorder_emits_in_order_and_loses_nothing(spark):
     rng = random.Random(2)
     rows = []
@@ -332,19 +318,6 @@ def test_picture_buffer_is_bounded_and_incremental_equals_batch():
             assert out == sorted(out)
 
 
-def test_reorder_stream_equals_batch_but_for_what_it_still_holds(spark, tmp_path):
-    df = spark.createDataFrame([(k, i, i ^ 3) for k in range(2) for i in range(40)], "k long, at long, p long")
-    for i in range(2):
-        df.filter((F.col("at") >= 20 * i) & (F.col("at") < 20 * i + 20)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = ordered.reorder_stream(stream, "k", "at", "p", 4).writeStream.format("memory").queryName("shown").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    got = sorted(tuple(r) for r in spark.table("shown").collect())
-    want = sorted(tuple(r)[:3] for r in ordered.reorder_batch(df, "k", "at", "p", 4).filter("not flushed").collect())
-    assert got == want and len(got) == 72
-
-
 def test_folds_keep_null_and_large_keys(spark):
     big = 9007199254740993
     rows = [(k, t, 0.5) for k in (big, None, big - 1) for t in range(4)] + [(big, 4, None)]
@@ -355,22 +328,6 @@ def test_folds_keep_null_and_large_keys(spark):
     assert sorted(map(str, ((r["k"], r["p"], r["emitted"], r["flushed"]) for r in out))) == sorted(map(str, [(None, 4, 0, False), (None, 5, 1, True), (big, big, 0, True)]))
 
 
-def test_reorder_stream_flushes_what_is_idle(spark, tmp_path):
-    df = spark.createDataFrame([(k, i, i ^ 3) for k in range(2) for i in range(20)], "k long, at long, p long")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    shown = ordered.reorder_stream(stream, "k", "at", "p", 4, idle_ms=500)
-    q = shown.writeStream.format("memory").queryName("all_shown").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="300 milliseconds").start()
-    for _ in range(120):
-        if spark.table("all_shown").count() == 40:
-            break
-        time.sleep(0.5)
-    q.stop()
-    got = spark.table("all_shown").collect()
-    for k in range(2):
-        assert [r["p"] for r in sorted((r for r in got if r["k"] == k), key=lambda r: r["emitted"])] == list(range(20))
-
-
 def test_a_failing_listener_leaves_the_others_alone(spark):
     seen = []
 
