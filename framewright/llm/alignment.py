@@ -26,8 +26,7 @@ class Tokens:
     def __init__(self, ranks_path: str, model_path: str):
         import sentencepiece
 
-        self.words = Words(ranks_path, {})
-        own = self.words.encoding
+        self.ranks = own = Words(ranks_path, {}).encoding
         self.a = [own.decode_single_token_bytes(i) for i in range(own.max_token_value + 1)]
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.b = [self._bytes(i) for i in range(self.model.get_piece_size())]
@@ -43,15 +42,19 @@ class Tokens:
         there = [i for i, x in enumerate(texts) if x]
         a, b = ([np.zeros(0, np.int64)] * len(texts) for _ in range(2))
         for i, ids in zip(there, self.model.encode([texts[i] for i in there], num_threads=1) if there else []):
-            whole = b" " + texts[i].encode()
-            if b"".join(map(self.b.__getitem__, ids)) != whole:
-                continue
-            first = np.frombuffer(self.words.encode(" " + texts[i]), "<u4")
-            if b"".join(map(self.a.__getitem__, first.tolist())) == whole:
-                a[i], b[i] = first.astype(np.int64), np.array(ids, np.int64)
+            text = " " + texts[i]
+            whole, first = text.encode(), self.ranks.encode_ordinary(text)
+            if b"".join(map(self.b.__getitem__, ids)) == whole == b"".join(map(self.a.__getitem__, first)):
+                a[i], b[i] = np.array(first, np.int64), np.array(ids, np.int64)
         return a, b
 
 
+def union1d(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """np.union1d of two ascending arrays: merged, which a stable sort does with runs, instead of hashed and sorted."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+
+
 @dataclass
 class Alignment:
     """Tokens of some documents, one after another, by where they end in the documents' bytes.
@@ -65,7 +68,7 @@ class Alignment:
 
     @cached_property
     def intervals(self) -> np.ndarray:
-        return np.union1d(self.ends_a, self.ends_b)
+        return union1d(self.ends_a, self.ends_b)
 
     @cached_property
     def overlaps(self) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +114,8 @@ class Alignment:
 
 def _blocks(batch: pa.RecordBatch, size: int = BLOCK) -> Iterator[tuple[list, list, list]]:
     ids, keys, texts, held = [], [], [], 0
-    for i in range(batch.num_rows):
-        rid, key, text = (c[i].as_py() for c in batch.columns)
+    rows = (row for at in range(0, batch.num_rows, 500) for row in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns)))
+    for rid, key, text in rows:
         ids.append(rid)
         keys.append(key)
         texts.append(text)
