@@ -83,10 +83,9 @@ def split_streams(files: DataFrame) -> DataFrame:
         import pandas as pd
 
         for f in batches:
-            for path, content in zip(f["path"], f["content"]):
-                found = rows(path, bytes(content or b""))
-                while part := list(itertools.islice(found, 1000)):
-                    yield pd.DataFrame(part, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+            found = (row for path, content in zip(f["path"], f["content"]) for row in rows(path, bytes(content or b"")))
+            while part := list(itertools.islice(found, 1000)):
+                yield pd.DataFrame(part, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
     ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(split, SCHEMA)
