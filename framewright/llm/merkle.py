@@ -191,3 +191,45 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         folded(F.coalesce(_hex(F.col("tampered")), F.col("leaf")), F.col("path")).alias("folded_root"),
     )
     return got.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+# crc32 is taken bit by bit, the trees level by level, and a proof is folded over the list of its siblings.
+OP13_SQL = """
+WITH RECURSIVE v AS (
+  SELECT doc_id, lang, n_chars,
+         list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::UBIGINT)), lambda a, b:
+           list_reduce(list_prepend(xor(a, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))) AS c,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS before,
+         coalesce(strlen(text) || ':' || text, '-') AS after
+  FROM documents
+), l AS (
+  SELECT doc_id, lang, leaf, CASE WHEN xor(c, 4294967295::UBIGINT) % 7 = 0 THEN sha256(before || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || after) ELSE leaf END AS told,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT *, sha256(before || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || after) AS leaf FROM v)
+), nodes AS (
+  SELECT lang, 0 AS level, i, n AS w, leaf AS h FROM l
+  UNION ALL
+  SELECT lang, level + 1, i // 2, (max(w) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE w > 1 GROUP BY lang, level, i // 2
+), g AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE w = 1
+), tops AS (
+  SELECT 0 AS level, i, n AS w, subroot AS h FROM g
+  UNION ALL
+  SELECT level + 1, i // 2, (max(w) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE w > 1 GROUP BY level, i // 2
+), way AS (
+  SELECT l.lang, l.i, list({'r': (l.i >> o.level) & 1, 'h': s.h} ORDER BY o.level) AS p
+  FROM l JOIN nodes o ON o.lang IS NOT DISTINCT FROM l.lang AND o.i = l.i >> o.level AND o.w > 1
+  LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM o.lang AND s.level = o.level AND s.i = xor(o.i, 1) GROUP BY ALL
+), above AS (
+  SELECT g.i, list({'r': (g.i >> o.level) & 1, 'h': s.h} ORDER BY o.level) AS p
+  FROM g JOIN tops o ON o.i = g.i >> o.level AND o.w > 1 LEFT JOIN tops s ON s.level = o.level AND s.i = xor(o.i, 1) GROUP BY ALL
+), whole AS (
+  SELECT l.*, g.subroot, (SELECT h FROM tops WHERE w = 1) AS root, list_concat(coalesce(way.p, []), coalesce(above.p, [])) AS p
+  FROM l JOIN g ON g.lang IS NOT DISTINCT FROM l.lang LEFT JOIN way ON way.lang IS NOT DISTINCT FROM l.lang AND way.i = l.i LEFT JOIN above ON above.i = g.i
+)
+SELECT *, folded_root = root AS verified FROM (
+  SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(list_filter(p, lambda x: x.h IS NOT NULL), lambda x: x.h), '')) AS proof_sha256,
+         list_reduce(list_prepend({'r': 0::BIGINT, 'h': told}, p), lambda a, b: {'r': 0::BIGINT, 'h': CASE WHEN b.h IS NULL THEN sha256(a.h) WHEN b.r = 1 THEN sha256(b.h || a.h) ELSE sha256(a.h || b.h) END}).h AS folded_root
+  FROM whole
+)
+"""

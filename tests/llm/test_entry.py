@@ -15,7 +15,7 @@ def test_every_operator_is_registered():
     assert sorted(int(m[1]) for m in found if m) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
-@pytest.mark.parametrize("name", ["op1_url_filter", "op2_exact_dedup"])
+@pytest.mark.parametrize("name", ["op1_url_filter", "op2_exact_dedup", "op13_merkle_manifest"])
 def test_equals_sql(spark, name):
     c = duckdb.connect()
     for p in glob.glob(f"{SF}/*.parquet"):
