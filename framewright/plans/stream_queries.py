@@ -40,18 +40,18 @@ def _told(units):
 
 
 def unit_files(spark, d):
-    return _told(streams.read_units(spark, _written_units(spark, d), "folders", split_bytes=8192))
+    return _told(streams.read_units(spark, _written_units(spark, d), "folders", split_bytes=32_768))
 
 
 def unit_files_followed(spark, d):
     path = _written_units(spark, d)
     streams.register(spark)
-    follow = spark.readStream.format("units").option("streams", "folders").option("final", "true").option("splitBytes", 8192)
+    follow = spark.readStream.format("units").option("streams", "folders").option("final", "true").option("splitBytes", 32_768)
     return _told(stateful.collected(follow.load(path)))
 
 
 def units_of_types(spark, d):
-    got = streams.read_units(spark, _written_units(spark, d), "folders", 8192, ["stream", "size", "type"], type=[1, 19, 21], stream=["s1", "s3"])
+    got = streams.read_units(spark, _written_units(spark, d), "folders", 32_768, ["stream", "size", "type"], type=[1, 19, 21], stream=["s1", "s3"])
     return got.groupBy("stream", "type").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
 
 
@@ -69,7 +69,7 @@ def fragment_files(spark, d):
     heads = made.select("path").distinct().select("path", F.lit(0).alias("sequence"), F.lit(init).alias("content"))
     path = folder(spark)
     streams.write_in_order(made.unionByName(heads), path, "path", ["sequence"], "content", ".mp4")
-    got = spark.read.format("samples").option("splitBytes", 8192).load(path)
+    got = spark.read.format("samples").option("splitBytes", 32_768).load(path)
     return got.select(F.element_at(F.split("path", "/"), -2).alias("stream"), "track", "dts", "pts", "duration", "key", F.decode("data", "utf-8").alias("payload"))
 
 
