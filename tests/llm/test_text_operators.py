@@ -124,6 +124,17 @@ def test_url_filter(spark):
     assert none.filter("verdict = 'allow' and rule is null").count() == df.count()
 
 
+def test_url_filter_by_its_contract(spark):
+    """The rules' words as the contract lists them, and the verdicts and rules that follow."""
+    assert [(r.verdict, r.key) for r in RULES] == [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+    told = {
+        "http://a.com/en/6": ("com/en/", "block"), "http://b.example.com/en/71": ("example.com/en/7", "allow"), "http://a.net/de/8": ("net/de/", "allow"),
+        "http://example.net/de/7": ("net/de/", "allow"), "http://b.Example.net/de/81?x": ("example.net/de/8", "block"), "http://org/es/": ("org/es/", "block"), "http://a.net/en/": (None, "allow"),
+    }
+    got = url_filter(spark.createDataFrame([(0, u) for u in told], "page_id long, url string")).collect()
+    assert {r["url"]: (r["rule"], r["verdict"]) for r in got} == told
+
+
 # -- op2
 
 
