@@ -43,6 +43,12 @@ def with_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], take: Seq
     return df.join(right, same, "left").drop(*own)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df's rows dealt evenly over tasks, before work that takes far longer than reading or moving them: a small file is one task otherwise, whatever its rows ask for."""
+    spark = df.sparkSession
+    return df.repartition(4 * spark.sparkContext.defaultParallelism)
+
+
 class Fold(Protocol):
     """What is done with the rows of one key, in order; each step gives rows of the result."""
 

@@ -8,7 +8,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .. import cli
-from ..common import ship
+from ..common import ship, spread
 from ..functions.syntax import Writer, dump_headers, parse_parameter_sets
 from ..operators import pictures, references
 from ..operators.ordering import display_order
@@ -109,7 +109,7 @@ def _written(df, schema: str, row):
             cols = list(zip(*(row(*x) for x in zip(*(c.to_pylist() for c in batch.columns))))) or [[]] * len(to)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, to)], schema=to)
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 UNITS = "stream string, nal_idx int, type int, tid int, offset long, size long, rbsp binary"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..common import spread
 from ..functions import media
 from ..operators import blocks, lookup, scans, segments
 from ..operators.ordering import display_order
@@ -190,7 +191,7 @@ def observed_totals(spark, d):
 def prefixed_units(spark, d):
     tables.register(spark)
     with_length = lambda c: F.concat(F.unhex(F.lpad(F.hex(F.length(c)), 4, "0")), F.encode(c, "utf-8"))
-    _t(spark, d, "part").select("p_partkey", F.concat(with_length("p_type"), with_length("p_brand")).alias("data")).createOrReplaceTempView("framewright_prefixed")
+    spread(_t(spark, d, "part").select("p_partkey", F.concat(with_length("p_type"), with_length("p_brand")).alias("data"))).createOrReplaceTempView("framewright_prefixed")
     return spark.sql("SELECT p_partkey, i, decode(unit, 'utf-8') AS unit FROM framewright_prefixed AS p, LATERAL length_prefixed(p.data, 2)")
 
 
@@ -198,7 +199,7 @@ def stored_parameter_sets(spark, d):
     tables.register(spark)
     unit = lambda c: F.concat(F.lit("0001"), F.lpad(F.hex(F.length(c)), 4, "0"), F.hex(F.encode(c, "utf-8")))
     record = F.concat(F.hex(F.lit("hvcC")), F.lit("00" * 22 + "02" + "A1"), unit("p_type"), F.lit("22"), unit("p_brand"))
-    _t(spark, d, "part").select("p_partkey", F.unhex(record).alias("data")).createOrReplaceTempView("framewright_records")
+    spread(_t(spark, d, "part").select("p_partkey", F.unhex(record).alias("data"))).createOrReplaceTempView("framewright_records")
     return spark.sql("SELECT p_partkey, i, type, decode(unit, 'utf-8') AS unit FROM framewright_records AS p, LATERAL parameter_sets(p.data)")
 
 
@@ -207,7 +208,7 @@ def audio_configs(spark, d):
     inner = F.concat(F.lit("05"), F.lpad(F.hex(F.length("p_brand")), 2, "0"), F.hex(F.encode("p_brand", "utf-8")))
     outer = F.concat(F.lit("04"), F.lpad(F.hex(13 + F.length(F.unhex(inner))), 2, "0"), F.lit("40" + "00" * 12), inner)
     whole = F.concat(F.lit("03"), F.lpad(F.hex(3 + F.length(F.unhex(outer))), 2, "0"), F.lit("000000"), outer)
-    _t(spark, d, "part").select("p_partkey", F.unhex(whole).alias("esds")).createOrReplaceTempView("framewright_descriptors")
+    spread(_t(spark, d, "part").select("p_partkey", F.unhex(whole).alias("esds"))).createOrReplaceTempView("framewright_descriptors")
     return spark.sql("SELECT p_partkey, decode(config, 'utf-8') AS config FROM framewright_descriptors AS p, LATERAL audio_config(p.esds)")
 
 

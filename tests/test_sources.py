@@ -111,6 +111,17 @@ def test_demux_and_remux(spark):
     assert [r[2:] for r in again] == [r[2:] for r in rows]
 
 
+def test_many_small_rows_are_many_tasks_work(spark):
+    """Init segments of a table that one task reads, and their tracks."""
+    part = spark.range(0, 600, 1, 1)
+    sizes = part.select(F.col("id").cast("string").alias("path"), (F.col("id") % 5 * 16).alias("width"), F.lit(360).alias("height"), F.lit(12800).alias("scale"), F.when(F.col("id") % 2 == 0, 48000).alias("rate"), F.lit(2).alias("channels"), F.lit(b"\1").alias("record"), F.lit(b"\2").alias("config"))
+    inits = mp4.init_segments(sizes)
+    per_task = [n for n, in inits.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(per_task) == 600 and max(per_task) < 100
+    got = mp4.track_table(inits).select("path", "track", "width").collect()
+    assert sorted(map(tuple, got)) == sorted((str(i), k, i % 5 * 16 if k == 1 else 0) for i in range(600) for k in (1, 2) if k == 1 or i % 2 == 0)
+
+
 def test_segments_are_restamped(spark):
     init = mp4.init_segment(640, 360, 12800, b"\1\x64\0\x28")
     media = b"".join(mp4.fragment(k + 1, [(1, 1000 + 4 * 500 * k, [(bytes([k, i]), 512, i == 0) for i in range(4)])]) for k in range(10))
