@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -13,10 +14,11 @@ from pyspark.sql.types import StructType
 
 from ..common import folded, ship, unused
 from ..operators.control import Controller, Settings
-from ..scratch import folder
+from ..scratch import drop, folder, keep
 from .ordered import Reorder
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FILE_ROWS = 500_000  # of a file that is played
 
 
 class StreamFold(Protocol):
@@ -279,18 +281,25 @@ def correlated(requests: DataFrame, responses: DataFrame, key: str, asked: str,
 def played(df: DataFrame, at: str, batches: int, end: str = "2999-01-01", last: dict | None = None) -> DataFrame:
     """A table as a stream: its rows by ranges of the timestamp `at`, in `batches` micro-batches, and then one row with a time
     that is later than all of them, so that a watermark passes everything, and else nulls and the values in `last`: a key that can be null needs another one
-    there.  The files are written to the shared folder."""
+    there.  The files are written to the shared folder, as many for each micro-batch, as a stream takes the same number of files each time; so where there are too
+    few rows for one of them it is empty.  A file has about FILE_ROWS rows, or where times are equal up to `batches` times as many."""
     spark = df.sparkSession
     path = folder(spark)
-    cuts = df.select(F.percentile_approx(at, [k / batches for k in range(1, batches)], 10_000).alias("q")).first()["q"] or []
-    edges = [None, *dict.fromkeys(cuts), None]
-    for a, b in zip(edges, edges[1:]):
+    rows = keep(df)
+    told = rows.select(F.percentile_approx(at, [k / batches for k in range(1, batches)], 10_000).alias("q"), F.count(F.lit(1)).alias("n")).first()
+    files = max(1, math.ceil(told["n"] / batches / FILE_ROWS))
+    edges = [None, *dict.fromkeys(told["q"] or []), None]
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
+        own = f"{path}/{i:05d}"
         inside = (F.lit(True) if a is None else F.col(at) > F.lit(a)) & (F.lit(True) if b is None else F.col(at) <= F.lit(b))
-        df.filter(inside).coalesce(1).write.mode("append").parquet(path)
+        rows.filter(inside).repartition(files).write.parquet(own)
+        for _ in range(files - len(spark.read.schema(df.schema).parquet(own).inputFiles())):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(own)
+    drop(rows)
     values = {**(last or {}), at: end}
     row = [F.lit(values.get(c)).cast(t).alias(c) for c, t in df.dtypes]
-    spark.range(1).select(*row).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    spark.range(1).select(*row).coalesce(1).write.parquet(f"{path}/{len(edges) - 1:05d}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
 
 
 def collected(stream: DataFrame, seconds: int = 600, checkpoint: str | None = None, path: str | None = None) -> DataFrame:

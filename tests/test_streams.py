@@ -183,3 +183,26 @@ def test_table_functions(spark):
     got = {r["key"]: (r["digest"], r["bytes"]) for r in spark.sql("SELECT * FROM stream_digest(TABLE(d))").collect()}
     assert got == {None: ("187ef4436122d1cc2f40dc2b92f0eba0", 2), 5: ("d41d8cd98f00b204e9800998ecf8427e", 0)}
     assert annexb.length_prefixed(b"\1a", 1) == [b"a"]
+
+
+def test_played_batches_are_many_files_and_come_whole(spark, monkeypatch):
+    """Two of three micro-batches are cut in files; the last one has fewer rows than files, and still comes alone."""
+    monkeypatch.setattr(stateful, "FILE_ROWS", 25, raising=False)
+    df = spark.range(300).select("id", F.timestamp_seconds(F.least(F.col("id"), F.lit(150)) + F.when(F.col("id") > 297, 5).otherwise(0) + 1_000_000).alias("ts"))
+    path, seen = folder(spark), []
+    stream = stateful.played(df, "ts", 3)
+    files = stream.select("id", F.input_file_name().alias("file"))
+
+    def each(batch, number):
+        got = batch.groupBy("file").count().collect()
+        seen.append((sum(r["count"] for r in got), max((r["count"] for r in got), default=0)))
+
+    files.writeStream.foreachBatch(each).option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
+    edges = sorted(r["ts"] for r in df.collect())
+    assert sum(n for n, _ in seen) == 301 and seen[-1] == (1, 1) and [n for n, _ in seen[:-1]] == _sizes(df, edges, 3)
+    assert max(most for _, most in seen) <= 75 and len(seen) == 4 and seen[2][0] < 4
+
+
+def _sizes(df, times, batches):
+    cuts = df.select(F.percentile_approx("ts", [k / batches for k in range(1, batches)], 10_000).alias("q")).first()["q"]
+    return [sum((a is None or t > a) and (b is None or t <= b) for t in times) for a, b in zip([None, *cuts], [*cuts, None])]
