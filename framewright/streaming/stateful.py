@@ -36,7 +36,8 @@ class StreamFold(Protocol):
 class _Folding(StatefulProcessor):
     """Rows wait in buckets of event time until the watermark has passed these; a timer for each bucket then folds its rows in order.
 
-    State of a key: its waiting buckets, its fold, and the last bucket folded.  A bucket's rows are the most that is held at once.
+    State of a key: its waiting buckets, its fold, and the last bucket folded.  A bucket's rows wait in parts, each written once as it comes; they
+    are the most that is held at once.
     """
 
     def __init__(self, make: Callable[[object], StreamFold], names: Sequence[str], fields: str, n_order: int, out: Sequence[str], bucket_ms: int, idle_ms: int):
@@ -44,7 +45,8 @@ class _Folding(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "bucket long", f"rows array<struct<{self.fields}>>")
+        self.waiting = handle.getMapState("waiting", "bucket long, part int", f"rows array<struct<{self.fields}>>")
+        self.parts = handle.getMapState("parts", "bucket long", "n int")
         self.fold = handle.getValueState("fold", "state string, last long")
 
     def _end_of(self, bucket: int) -> int:
@@ -56,12 +58,12 @@ class _Folding(StatefulProcessor):
             for r in part:
                 buckets.setdefault(r["_ms"] // self.bucket_ms, []).append(tuple(r[n] for n in self.names))
             for b, own in buckets.items():
-                if self.waiting.containsKey((b,)):
-                    own = [tuple(x) for x in self.waiting.getValue((b,))[0]] + own
-                else:
+                n = self.parts.getValue((b,))[0] if self.parts.containsKey((b,)) else 0
+                if not n:
                     self.handle.registerTimer(self._end_of(b))
                     self.handle.registerTimer(self._end_of(b) + self.idle_ms)
-                self.waiting.updateValue((b,), (own,))
+                self.waiting.updateValue((b, n), (own,))
+                self.parts.updateValue((b,), (n + 1,))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -69,7 +71,7 @@ class _Folding(StatefulProcessor):
         at = expiredTimerInfo.getExpiryTimeInMs()
         state, last = self.fold.get() if self.fold.exists() else (None, None)
         b = at // self.bucket_ms - 1
-        folds = at == self._end_of(b) and self.waiting.containsKey((b,))
+        folds = at == self._end_of(b) and self.parts.containsKey((b,))
         ends = not folds and last is not None and at == self._end_of(last) + self.idle_ms
         if not folds and not ends:
             return
@@ -78,8 +80,11 @@ class _Folding(StatefulProcessor):
             fold.load(json.loads(state))
         out: list[tuple] = []
         if folds:
-            rows = [tuple(x) for x in self.waiting.getValue((b,))[0]]
-            self.waiting.removeKey((b,))
+            rows = []
+            for i in range(self.parts.getValue((b,))[0]):
+                rows += [tuple(x) for x in self.waiting.getValue((b, i))[0]]
+                self.waiting.removeKey((b, i))
+            self.parts.removeKey((b,))
             for r in sorted(rows, key=lambda r: tuple((v is not None, v) for v in r[: self.n_order])):
                 out += fold.row(*r[self.n_order :])
             self.fold.update((json.dumps(fold.state()), b))

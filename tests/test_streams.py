@@ -206,3 +206,59 @@ def test_played_batches_are_many_files_and_come_whole(spark, monkeypatch):
 def _sizes(df, times, batches):
     cuts = df.select(F.percentile_approx("ts", [k / batches for k in range(1, batches)], 10_000).alias("q")).first()["q"]
     return [sum((a is None or t > a) and (b is None or t <= b) for t in times) for a, b in zip([None, *cuts], [*cuts, None])]
+
+
+class Kept(dict):
+    """Map state that counts the rows written to it."""
+
+    written = 0
+
+    def containsKey(self, k):
+        return k in self
+
+    def getValue(self, k):
+        return self.get(k)
+
+    def updateValue(self, k, v):
+        self[k] = v
+        if isinstance(v[0], list):
+            Kept.written += len(v[0])
+
+    def removeKey(self, k):
+        del self[k]
+
+
+def test_waiting_rows_are_written_once():
+    """Rows of one bucket that come in many parts, as a growing stream's do, and what a timer then makes of them."""
+
+    class Handle:
+        timers: set = set()
+
+        def getMapState(self, *a):
+            return Kept()
+
+        def getValueState(self, *a):
+            class Value:
+                got = None
+                exists = lambda self: self.got is not None
+                get = lambda self: self.got
+
+                def update(self, v):
+                    self.got = v
+
+            return Value()
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+    class At:
+        getExpiryTimeInMs = staticmethod(lambda: 1000)
+
+    p = stateful._Folding(stateful.First, ["v0", "v1"], "v0: long, v1: long", 1, ["own", "first"], 1000, 5000)
+    p.init(Handle())
+    Kept.written = 0
+    for a in range(0, 6000, 300):
+        list(p.handleInputRows(("k",), iter([{"_ms": 5, "v0": 5999 - i, "v1": i} for i in range(a, a + 300)]), None))
+    assert Kept.written == 6000 and Handle.timers == {1000, 6000}
+    assert [tuple(r) for r in p.handleExpiredTimer(("k",), None, At)] == [(5999 - i, 5999) for i in range(6000)]
+    assert not p.waiting and list(p.handleExpiredTimer(("k",), None, At)) == []
